@@ -1,0 +1,35 @@
+"""Connected components by contraction, on Spark tables only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fluorite.llm.common import stage
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``edges``: a, b (long). Returns node, component (the smallest node reachable) for every node of an edge.
+
+    Each round points every node at its smallest neighbour, follows the pointers once more, and replaces the edges by
+    those between the nodes pointed at; edges inside a component vanish. Pointers go to smaller nodes only, so a component
+    ends at its smallest node. A round's tables are written to the shared folder, so the plan doesn't grow.
+    """
+    left = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes: DataFrame | None = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("p"))
+        to = stage(_follow(to, to))
+        ends = left.join(to.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(to.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
+        left = stage(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        nodes = to if nodes is None else stage(_follow(nodes, to))
+    if nodes is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.select("node", F.col("p").alias("component"))
+
+
+def _follow(nodes: DataFrame, to: DataFrame) -> DataFrame:
+    """Each node with what ``to`` says of the node it points at."""
+    step = to.select(F.col("node").alias("p"), F.col("p").alias("further"))
+    return nodes.join(step, "p", "left").select("node", F.coalesce("further", "p").alias("p"))
