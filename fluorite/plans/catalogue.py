@@ -1,11 +1,647 @@
-"""Queries over the driver's tables, and the same in SQL for DuckDB."""
+"""Queries over the given tables, each an operator applied to a whole table, and the same in SQL for DuckDB.
+
+Sums and means of doubles are rounded on both sides, as their order of addition differs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fluorite.functions.ranking import numbered
+from fluorite.operators import cohort, raster
+from fluorite.operators import spots as sp
+from fluorite.plans import adapters as ad
+from fluorite.plans.adapters import with_tables as w
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+VOXEL, RADIUS, MIN_SPOTS = (361.0, 75.0, 75.0), 250.0, 4
+#: Pairs of conditions that the tests compare.
+PAIRS = [("Incision_0h", "Amputation_0h"), ("Incision_6h", "Amputation_6h"), ("Incision_12h", "Amputation_12h"), ("Incision_0h", "Incision_6h"), ("Amputation_0h", "Amputation_12h")]
+#: Injury lengths of the first image of each condition.
+LENGTHS = {"Amputation_0h": 575.145, "Incision_0h": 366.728, "Amputation_6h": 739.554, "Incision_6h": 382.210, "Amputation_12h": 926.973, "Incision_12h": 308.338}
+GROUPS = sorted(LENGTHS)
+#: Names of conditions in figures.
+RENAMED = {"Incision_0h": "Incision 0 hpa", "Incision_6h": "Incision 6 hpa", "Amputation_0h": "Amputation 0 hpa", "Amputation_6h": "Amputation 6 hpa"}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+def pairs_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PAIRS, "a string, b string")
+
+
+def lengths_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(LENGTHS.items()), "condition string, length double")
+
+
+PAIRS_SQL = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") t(a, b))"
+LENGTHS_SQL = "lengths AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE)" for a, b in LENGTHS.items()) + ") t(condition, length))"
+
+
+# ---- tables of cells: summaries -------------------------------------------------------------------------------------
+
+
+@query(w("cells") + " SELECT grp, rep, count(*) AS n_cells, round(avg(n), 6) AS mean_value, sum(n) AS sum_value FROM cells WHERE n > 0 GROUP BY ALL")
+def cohort_summary(spark, d):
+    return rounded(cohort.summary(ad.cells(spark, d), ["grp", "rep"], "n"), "mean_value")
+
+
+@query(
+    w("cells")
+    + """, q AS (SELECT grp, quantile_cont(inten, 0.0) AS v_min, quantile_cont(inten, 0.25) AS v_q1, quantile_cont(inten, 0.5) AS v_median, quantile_cont(inten, 0.75) AS v_q3, quantile_cont(inten, 1.0) AS v_max FROM cells GROUP BY grp),
+e AS (SELECT grp, min(inten) AS whisker_lo, max(inten) AS whisker_hi FROM cells JOIN q USING (grp) WHERE inten BETWEEN v_q1 - 1.5 * (v_q3 - v_q1) AND v_q3 + 1.5 * (v_q3 - v_q1) GROUP BY grp)
+SELECT grp, round(v_min, 6) AS v_min, round(v_q1, 6) AS v_q1, round(v_median, 6) AS v_median, round(v_q3, 6) AS v_q3, round(v_max, 6) AS v_max, whisker_lo, whisker_hi FROM q JOIN e USING (grp)"""
+)
+def cohort_boxplot(spark, d):
+    return rounded(cohort.five_numbers(ad.cells(spark, d), ["grp"], "inten"), "v_min", "v_q1", "v_median", "v_q3", "v_max")
+
+
+@query(w("cells") + " SELECT grp, rep, round(avg(ln(1 + inten)), 6) AS mean_log1p, count(*) AS n_cells FROM cells GROUP BY ALL")
+def cohort_log1p_mean(spark, d):
+    return ad.cells(spark, d).groupBy("grp", "rep").agg(r6(F.avg(F.log1p("inten"))).alias("mean_log1p"), F.count("*").alias("n_cells"))
+
+
+@query(w("cells") + " SELECT grp, greatest(least(floor((inten - 0.0) / 5000), 19), 0)::BIGINT AS bin, count(*) AS n, greatest(least(floor((inten - 0.0) / 5000), 19), 0) * 5000.0::DOUBLE AS bin_start FROM cells GROUP BY ALL")
+def cohort_histogram(spark, d):
+    return cohort.histogram(ad.cells(spark, d), ["grp"], "inten", 0.0, 5000.0, 20)
+
+
+@query(
+    w("cells")
+    + """, s AS (SELECT grp, count(*) AS c, stddev_samp(n) * count(*) ^ (-0.2) AS h, min(n) AS lo, max(n) AS hi FROM cells GROUP BY grp),
+g AS (SELECT s.*, k, lo + (hi - lo) * k / 15 AS pos FROM s, range(16) t(k)),
+t AS (SELECT grp, n, count(*) AS m FROM cells GROUP BY ALL)
+SELECT grp, k, round(any_value(pos), 6) AS pos, round(sum(m * exp(-0.5 * ((pos - n) / h) ^ 2)) / any_value(c * h * 2.5066282746310002), 6) AS density FROM g JOIN t USING (grp) GROUP BY grp, k"""
+)
+def cohort_kde(spark, d):
+    return rounded(cohort.density(ad.cells(spark, d), ["grp"], "n"), "pos", "density")
+
+
+@query(w("cells") + " SELECT max(inten) AS overall_max, round(avg(m), 6) AS mean_of_means FROM (SELECT grp, rep, max(inten) AS inten, avg(n) AS m FROM cells GROUP BY ALL)")
+def overall_max(spark, d):
+    g = ad.cells(spark, d).groupBy("grp", "rep").agg(F.max("inten").alias("inten"), F.avg("n").alias("m"))
+    return g.agg(F.max("inten").alias("overall_max"), r6(F.avg("m")).alias("mean_of_means"))
+
+
+@query(w("cells") + " SELECT rep, round(avg(n), 6) AS mean_nonzero FROM cells WHERE n <> 0 GROUP BY rep")
+def nonzero_means(spark, d):
+    return ad.cells(spark, d).where("n <> 0").groupBy("rep").agg(r6(F.avg("n")).alias("mean_nonzero"))
+
+
+# ---- tables of cells: reshaping -------------------------------------------------------------------------------------
+
+
+@query(
+    w("cells")
+    + ", wide AS (SELECT rep, " + ", ".join(f"sum(n) FILTER (grp = '{g}') AS {g}" for g in GROUPS) + " FROM cells GROUP BY rep) "
+    + " UNION ALL ".join(f"SELECT rep, '{g}' AS condition, {g} AS value FROM wide WHERE {g} IS NOT NULL" for g in GROUPS)
+)
+def melt_long(spark, d):
+    wide = ad.cells(spark, d).groupBy("rep").pivot("grp", GROUPS).agg(F.sum("n"))
+    return cohort.long_from_wide(wide, ["rep"], GROUPS)
+
+
+@query(
+    w("cells")
+    + ", r AS (SELECT grp, inten, row_number() OVER (PARTITION BY grp ORDER BY inten, n, rep) - 1 AS row_idx FROM cells) SELECT row_idx, "
+    + ", ".join(f"max(inten) FILTER (grp = '{g}') AS {g}" for g in GROUPS) + " FROM r GROUP BY row_idx"
+)
+def wide_ragged(spark, d):
+    return cohort.wide_ragged(ad.cells(spark, d), "grp", "inten", ["inten", "n", "rep"], GROUPS)
+
+
+@query(w("cells") + " SELECT regexp_extract(grp || '_' || rep, '([A-Za-z]+_[0-9]+h)', 1) AS grp, regexp_extract(grp, '_([0-9]+)h', 1)::BIGINT AS hours, count(*) AS n FROM cells GROUP BY ALL")
+def group_extract(spark, d):
+    name = F.concat_ws("_", "grp", "rep")
+    return ad.cells(spark, d).groupBy(F.regexp_extract(name, "([A-Za-z]+_[0-9]+h)", 1).alias("grp"), F.regexp_extract(name, "_([0-9]+)h", 1).cast("long").alias("hours")).agg(F.count("*").alias("n"))
+
+
+@query(w("cells") + " SELECT CASE grp " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RENAMED.items()) + " END AS shown, count(*) AS n FROM cells GROUP BY ALL")
+def condition_rename(spark, d):
+    names = F.create_map(*[F.lit(x) for pair in RENAMED.items() for x in pair])
+    return ad.cells(spark, d).groupBy(F.try_element_at(names, F.col("grp")).alias("shown")).agg(F.count("*").alias("n"))
+
+
+FILES_SQL = "files AS (SELECT DISTINCT grp, '/exp/' || grp || '/Image' || rep || '/565/results/spots.npy' AS path FROM cells)"
+
+
+@query(w("cells") + f", {FILES_SQL} SELECT grp, path, row_number() OVER (PARTITION BY grp ORDER BY path) AS replicate, grp || '_' || row_number() OVER (PARTITION BY grp ORDER BY path) AS col_name FROM files")
+def replicate_number(spark, d):
+    files = ad.cells(spark, d).select("grp", F.concat(F.lit("/exp/"), "grp", F.lit("/Image"), "rep", F.lit("/565/results/spots.npy")).alias("path")).distinct()
+    return cohort.replicate_numbers(files, ["grp"], "path").withColumn("col_name", F.concat_ws("_", "grp", "replicate"))
+
+
+@query(
+    w("cells")
+    + """, f AS (SELECT DISTINCT '/exp/' || grp || '/Image' || rep || '/565/' || p || lpad((rep * 7)::VARCHAR, 3, '0') || '.tif' AS path FROM cells, (VALUES ('label_'), ('stacked_'), ('max_projection_')) t(p))
+SELECT path, regexp_extract(path, '/([^/]+)/Image', 1) AS condition, regexp_extract(path, 'Image([0-9]+)', 1) AS image FROM f
+WHERE regexp_matches(path, '[0-9]{3}\\.tif$') AND NOT regexp_matches(path, '/(stacked_|max_projection_)[^/]*$')"""
+)
+def manifest_scan(spark, d):
+    from fluorite.sources import files
+
+    made = ad.cells(spark, d).select("grp", "rep").distinct().withColumn("p", F.explode(F.array(F.lit("label_"), F.lit("stacked_"), F.lit("max_projection_"))))
+    path = F.concat(F.lit("/exp/"), "grp", F.lit("/Image"), "rep", F.lit("/565/"), "p", F.lpad((F.col("rep") * 7).cast("string"), 3, "0"), F.lit(".tif"))
+    kept = files.label_images(made.select(path.alias("path")))
+    return kept.select("path", F.regexp_extract("path", "/([^/]+)/Image", 1).alias("condition"), F.regexp_extract("path", "Image([0-9]+)", 1).alias("image"))
+
+
+@query("SELECT c_custkey AS image, round(c_acctbal, 2) AS threshold FROM customer WHERE c_acctbal >= 0")
+def sidecar_thresholds(spark, d):
+    from fluorite.sources import files
+
+    c = ad.table(spark, d, "customer")
+    text = F.concat(F.lit("shape: (30, 64, 64)\ndtype: uint16\nthreshold: "), F.col("c_acctbal").cast("decimal(20,2)").cast("string"), F.lit("\n"))
+    lines = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("image"), F.explode(F.split(text, "\n")).alias("value"))
+    return files.thresholds(lines).select("image", F.round("threshold", 2).alias("threshold"))
+
+
+@query("SELECT o_custkey AS image, arg_min(o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) * 1000000000000 + o_orderkey) AS chosen FROM orders GROUP BY o_custkey")
+def read_with_fallback(spark, d):
+    from fluorite.sources import files
+
+    o = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("image"), F.col("o_orderkey").alias("file"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("priority"))
+    return files.first_available(o, "image", ["priority", "file"]).select("image", F.col("file").alias("chosen"))
+
+
+# ---- two-sample tests -----------------------------------------------------------------------------------------------
+
+MOMENTS = "m AS (SELECT grp AS g, count(*) AS n, avg(n) AS m, var_samp(n) AS v FROM cells GROUP BY grp)"
+
+
+@query(
+    w("cells") + f", {PAIRS_SQL}, {MOMENTS}" + """ SELECT p.a || ' vs ' || p.b AS comparison, x.n AS n1, y.n AS n2, round((x.m - y.m) / sqrt(x.v / x.n + y.v / y.n), 6) AS t_stat,
+round((x.v / x.n + y.v / y.n) ^ 2 / ((x.v / x.n) ^ 2 / (x.n - 1) + (y.v / y.n) ^ 2 / (y.n - 1)), 4) AS df FROM pairs p JOIN m x ON x.g = p.a JOIN m y ON y.g = p.b"""
+)
+def welch_stat(spark, d):
+    return rounded(cohort.welch(ad.cells(spark, d), pairs_table(spark), "grp", "n"), "t_stat").withColumn("df", F.round("df", 4))
+
+
+POOLED = """sides AS (SELECT a || ' vs ' || b AS comparison, a AS g, 1 AS side FROM pairs UNION ALL SELECT a || ' vs ' || b, b, 2 FROM pairs),
+pool AS (SELECT comparison, {v} AS value, count(*) FILTER (side = 1) AS c1, count(*) FILTER (side = 2) AS c2 FROM cells JOIN sides ON grp = g GROUP BY ALL),
+size AS (SELECT comparison, sum(c1) AS n1, sum(c2) AS n2 FROM pool GROUP BY comparison HAVING sum(c1) > 0 AND sum(c2) > 0)"""
+
+
+@query(
+    w("cells") + f", {PAIRS_SQL}, {POOLED.format(v='inten')}, " + """run AS (SELECT comparison, sum(c1) OVER o AS f1, sum(c2) OVER o AS f2 FROM pool WINDOW o AS (PARTITION BY comparison ORDER BY value))
+SELECT comparison, any_value(n1)::BIGINT AS n1, any_value(n2)::BIGINT AS n2, round(max(abs(f1 / n1 - f2 / n2)), 9) AS ks_stat FROM run JOIN size USING (comparison) GROUP BY comparison"""
+)
+def ks_stat(spark, d):
+    return cohort.kolmogorov_smirnov(ad.cells(spark, d), pairs_table(spark), "grp", "inten").withColumn("ks_stat", F.round("ks_stat", 9))
+
+
+@query(
+    w("cells") + f", {PAIRS_SQL}, {POOLED.format(v='n')}, " + """run AS (SELECT *, sum(c1 + c2) OVER (PARTITION BY comparison ORDER BY value) - (c1 + c2) + (c1 + c2 + 1) / 2 AS mid FROM pool)
+SELECT comparison, any_value(n1)::BIGINT AS n1, any_value(n2)::BIGINT AS n2, round(sum(mid * c1) - any_value(n1 * (n1 + 1) / 2), 6) AS u_stat FROM run JOIN size USING (comparison) GROUP BY comparison"""
+)
+def mwu_stat(spark, d):
+    return rounded(cohort.mann_whitney(ad.cells(spark, d), pairs_table(spark), "grp", "n"), "u_stat").select("comparison", "n1", "n2", "u_stat")
+
+
+@query()
+def welch_p(spark, d):
+    return cohort.welch_p(cohort.welch(ad.cells(spark, d), pairs_table(spark), "grp", "n"))
+
+
+@query()
+def ks_p(spark, d):
+    return cohort.ks_p(cohort.kolmogorov_smirnov(ad.cells(spark, d), pairs_table(spark), "grp", "n"))
+
+
+@query()
+def mwu_p(spark, d):
+    return cohort.mwu_p(cohort.mann_whitney(ad.cells(spark, d), pairs_table(spark), "grp", "n"), "less")
+
+
+@query()
+def sorted_results(spark, d):
+    tests = cohort.mwu_p(cohort.mann_whitney(ad.cells(spark, d), pairs_table(spark), "grp", "inten"))
+    return tests.withColumn("label", cohort.significance(F.col("p_value"))).orderBy("p_value", "comparison")
+
+
+@query(w("cells") + f", {LENGTHS_SQL}, t AS (SELECT grp AS condition, sum(n) AS total, count(*) AS n_cells FROM cells WHERE n > 0 GROUP BY grp) SELECT condition, total, n_cells, round(total / length, 6) AS spots_per_length, round(n_cells / length, 6) AS cells_per_length FROM t LEFT JOIN lengths USING (condition)")
+def length_normalised(spark, d):
+    out = cohort.per_length(ad.cells(spark, d), lengths_table(spark), "grp", "n")
+    return rounded(out, "spots_per_length", "cells_per_length").drop("length_per_spot", "length_per_cell")
+
+
+@query(w("cells") + f", {LENGTHS_SQL}, t AS (SELECT grp AS condition, sum(n) AS total, count(*) AS n_cells FROM cells WHERE n > 0 AND rep = 1 GROUP BY grp) SELECT condition, round(length / total, 9) AS length_per_spot, round(length / n_cells, 9) AS length_per_cell FROM t LEFT JOIN lengths USING (condition)")
+def inverse_length(spark, d):
+    out = cohort.per_length(ad.cells(spark, d).where("rep = 1"), lengths_table(spark), "grp", "n")
+    return out.select("condition", *[F.round(c, 9).alias(c) for c in ("length_per_spot", "length_per_cell")])
+
+
+# ---- spots: thresholds, filters, counts -----------------------------------------------------------------------------
+
+
+@query("SELECT coalesce(quantile_cont(value, 0.99), 0) AS threshold FROM events")
+def control_threshold_percentile(spark, d):
+    return sp.threshold_percentile(ad.spots(spark, d), "intensity", 0.99)
+
+
+@query("SELECT spot_id, total, peak FROM (SELECT event_id AS spot_id, value AS total, user_id AS peak, row_number() OVER (ORDER BY value, event_id) - 1 AS rn, count(*) OVER () AS n FROM events) WHERE rn = least(floor(n * 0.99), n - 1)")
+def control_threshold_rank(spark, d):
+    e = ad.table(spark, d, "events").select(F.col("event_id").alias("spot_id"), F.col("value").alias("total"), F.col("user_id").alias("peak"))
+    return sp.threshold_rank(e, "total", "peak", 0.99)
+
+
+@query("SELECT event_type AS channel, coalesce(CASE WHEN event_type = 'purchase' THEN 50.0 END, CASE WHEN count(*) FILTER (user_id % 2 = 0) > 0 THEN quantile_cont(value, 0.99) FILTER (user_id % 2 = 0) END, 10.0, max(value)) AS threshold FROM events GROUP BY event_type")
+def threshold_precedence(spark, d):
+    s = ad.table(spark, d, "events").groupBy(F.col("event_type").alias("channel")).agg(F.percentile(F.when(F.col("user_id") % 2 == 0, F.col("value")), F.lit(0.99)).alias("control"), F.max("value").alias("auto"))
+    manual = F.when(F.col("channel") == "purchase", F.lit(50.0))
+    return s.select("channel", sp.threshold_precedence(manual, F.col("control"), F.lit(10.0), F.col("auto")).alias("threshold"))
+
+
+@query(w("img") + " SELECT round(quantile_cont(v, 0.999), 9) AS threshold, count(*) AS n FROM img WHERE v < 0")
+def auto_threshold_quantile(spark, d):
+    return ad.img(spark, d).where("v < 0").agg(F.round(F.percentile("v", F.lit(0.999)), 9).alias("threshold"), F.count("*").alias("n"))
+
+
+@query("SELECT k, (k * 10)::DOUBLE AS threshold, (SELECT count(*) FROM events WHERE value >= k * 10) AS n_spots FROM range(40) t(k)")
+def elbow_curve(spark, d):
+    return sp.elbow(ad.spots(spark, d), "intensity", 0.0, 10.0, 40)
+
+
+CONTROL = "c AS (SELECT avg(intensity) AS m FROM spots WHERE channel = 'view')"
+
+
+@query(w("spots") + f", {CONTROL} SELECT channel, count(*) AS n, round(min(intensity), 6) AS dimmest FROM spots, c WHERE channel <> 'view' AND (m IS NULL OR intensity >= m) GROUP BY channel")
+def background_filter(spark, d):
+    s = ad.spots(spark, d)
+    kept = sp.background_filter(s.where("channel <> 'view'"), s.where("channel = 'view'"))
+    return kept.groupBy("channel").agg(F.count("*").alias("n"), r6(F.min("intensity")).alias("dimmest"))
+
+
+@query(w("spots") + " SELECT spot_id, intensity FROM spots WHERE intensity < 150")
+def intensity_clip(spark, d):
+    return ad.spots(spark, d).where("intensity < 150").select("spot_id", "intensity")
+
+
+@query(w("spots") + f", {CONTROL}" + """ SELECT 'raw' AS stage, count(*) AS n, round(avg(intensity), 6) AS mean_intensity FROM spots
+UNION ALL SELECT 'background_removed', count(*), round(avg(intensity), 6) FROM spots, c WHERE m IS NULL OR intensity >= m
+UNION ALL SELECT 'clipped', count(*), round(avg(intensity), 6) FROM spots, c WHERE (m IS NULL OR intensity >= m) AND intensity < 150""")
+def stage_counts(spark, d):
+    s = ad.spots(spark, d)
+    kept = sp.background_filter(s, s.where("channel = 'view'"))
+    count = lambda name, df: df.agg(F.lit(name).alias("stage"), F.count("*").alias("n"), r6(F.avg("intensity")).alias("mean_intensity"))
+    return count("raw", s).unionByName(count("background_removed", kept)).unionByName(count("clipped", kept.where("intensity < 150")))
+
+
+@query(w("spots") + " SELECT DISTINCT z, y, x FROM spots")
+def distinct_voxels(spark, d):
+    return ad.spots(spark, d).select("z", "y", "x").distinct()
+
+
+@query(w("spots") + " SELECT spot_id, z, y, x, intensity FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY intensity DESC, spot_id) AS r FROM spots) WHERE r = 1")
+def brightest_of_channel(spark, d):
+    best = ad.spots(spark, d).groupBy("channel").agg(F.max(F.struct("intensity", (-F.col("spot_id")).alias("k"), "z", "y", "x")).alias("b"))
+    return best.select((-F.col("b.k")).alias("spot_id"), "b.z", "b.y", "b.x", "b.intensity")
+
+
+# ---- spots: clusters ------------------------------------------------------------------------------------------------
+
+NEAR_SQL = """p AS (SELECT z, y, x, count(*) AS n FROM spots GROUP BY ALL),
+near AS (SELECT a.z, a.y, a.x, b.z AS z2, b.y AS y2, b.x AS x2, b.n AS n2 FROM p a JOIN p b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 4 AND a.y + 4 AND b.x BETWEEN a.x - 4 AND a.x + 4
+  AND ((a.z - b.z) * 361) ^ 2 + ((a.y - b.y) * 75) ^ 2 + ((a.x - b.x) * 75) ^ 2 <= 62500),
+core AS (SELECT z, y, x, sum(n2) AS n_near FROM near GROUP BY ALL)"""
+
+
+@query(w("spots") + f", {NEAR_SQL} SELECT spot_id, n_near::BIGINT AS n_near, n_near >= 4 AS is_core FROM spots JOIN core USING (z, y, x)")
+def cluster_core(spark, d):
+    return sp.cluster_cores(ad.spots(spark, d), VOXEL, RADIUS, MIN_SPOTS).select("spot_id", "n_near", "is_core")
+
+
+@query()
+def cluster_components(spark, d):
+    return sp.clusters(ad.spots(spark, d), VOXEL, RADIUS, MIN_SPOTS)
+
+
+# ---- images ---------------------------------------------------------------------------------------------------------
+
+
+@query(w("img") + " SELECT z // 7 AS plane, y, x, max(v) AS v FROM img GROUP BY ALL HAVING count(*) = 7")
+def project_max_full(spark, d):
+    return raster.project_full(ad.img(spark, d), 7)
+
+
+@query(w("img") + " SELECT z // 10 AS plane, y, x, max(v) AS v FROM img GROUP BY ALL")
+def project_max_grouped(spark, d):
+    return raster.project_grouped(ad.img(spark, d), 10)
+
+
+@query(w("img") + ", e AS (SELECT z // 10 AS plane, min(z) AS z0, max(z) AS z1 FROM img GROUP BY ALL) SELECT plane, y, x, max(v) AS v FROM img JOIN e ON e.plane = z // 10 WHERE z < z1 OR z0 = z1 GROUP BY ALL")
+def project_max_compat(spark, d):
+    return raster.project_grouped(ad.img(spark, d), 10, compat_drop_last=True)
+
+
+@query(w("img") + " SELECT y, x, max(v) AS v, count(*) AS n_planes FROM img GROUP BY ALL")
+def project_max_stack(spark, d):
+    return raster.project_stack(ad.img(spark, d))
+
+
+@query(w("img") + ", s AS (SELECT z, min(v) AS lo, max(v) AS hi FROM img GROUP BY z) SELECT z, y, x, round(CASE WHEN hi = lo THEN 0 ELSE (v - lo) / (hi - lo) END, 9) AS v FROM img JOIN s USING (z)")
+def minmax_norm(spark, d):
+    return raster.minmax_normalise(ad.img(spark, d)).withColumn("v", F.round("v", 9))
+
+
+@query(w("img") + ", s AS (SELECT z, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.998) AS hi FROM img GROUP BY z) SELECT z, y, x, round((v - lo) / (hi - lo), 6) AS v FROM img JOIN s USING (z)")
+def percentile_norm(spark, d):
+    return rounded(raster.percentile_normalise(ad.img(spark, d)), "v")
+
+
+@query(w("spots") + " SELECT spot_id, round(intensity / (SELECT max(intensity) FROM spots) * 100, 6) AS pct FROM spots")
+def pct_of_max(spark, d):
+    s = ad.spots(spark, d)
+    return s.join(F.broadcast(s.agg(F.max("intensity").alias("top")))).select("spot_id", r6(F.col("intensity") / F.col("top") * 100).alias("pct"))
+
+
+def _extrema_sql(f: str, test: str) -> str:
+    src, col = "img", "v"
+    for k, (axis, rest, reach) in enumerate((("x", "z, y", 2), ("y", "z, x", 2), ("z", "y, x", 1)), 1):
+        src = f"(SELECT *, {f}({col}) OVER (PARTITION BY {rest} ORDER BY {axis} RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS m{k} FROM {src})"
+        col = f"m{k}"
+    return f" SELECT z, y, x, v FROM {src} WHERE v = m3 AND {test}"
+
+
+@query(w("img") + _extrema_sql("max", "v > 0"))
+def local_maxima(spark, d):
+    return raster.extrema(ad.img(spark, d), 1, 2, 2)
+
+
+@query(w("img") + _extrema_sql("min", "v < 0"))
+def local_minima(spark, d):
+    return raster.extrema(ad.img(spark, d), 1, 2, 2, "min")
+
+
+@query(w("img") + ", q AS (SELECT l.z, l.y, l.x, s_suppkey AS spot_id FROM supplier JOIN img l ON l.z = s_suppkey AND l.y = s_suppkey % 8 AND l.x = s_nationkey % 8) SELECT spot_id, i.y - q.y AS dy, i.x - q.x AS dx, max(v) AS v FROM q JOIN img i ON i.z BETWEEN q.z - 2 AND q.z + 2 AND i.y BETWEEN q.y - 3 AND q.y + 3 AND i.x BETWEEN q.x - 3 AND q.x + 3 GROUP BY ALL")
+def centre_crop_mip(spark, d):
+    s = ad.table(spark, d, "supplier")
+    points = s.select(F.col("s_suppkey").alias("spot_id"), F.col("s_suppkey").alias("z"), (F.col("s_suppkey") % 8).alias("y"), (F.col("s_nationkey") % 8).cast("long").alias("x"))
+    i = ad.img(spark, d)
+    return raster.centre_crop(i, points.join(i.select("z", "y", "x"), ["z", "y", "x"], "left_semi"), 2, 3, 3)
+
+
+@query(w("img") + " SELECT z, y, x, v FROM img WHERE z = (SELECT (max(z) + 1) // 2 FROM img)")
+def central_slice(spark, d):
+    i = ad.img(spark, d)
+    mid = i.agg(F.floor((F.max("z") + 1) / 2).cast("long").alias("z"))
+    return i.join(F.broadcast(mid), "z").select("z", "y", "x", "v")
+
+
+KERNEL = "k AS (SELECT d, exp(-0.5 * d ^ 2) / sum(exp(-0.5 * d ^ 2)) OVER () AS w FROM range(-3, 4) t(d))"
+
+
+@query(w("img") + f", {KERNEL} SELECT z, round(sum(v * w), 9) AS edge_response FROM img JOIN k ON k.d = x - 3 GROUP BY z")
+def gaussian_kernel(spark, d):
+    k = raster.gaussian_kernel(spark, 1.0)
+    i = ad.img(spark, d).withColumn("d", F.col("x") - 3)
+    return i.join(F.broadcast(k), "d").groupBy("z").agg(F.round(F.sum(F.col("v") * F.col("w")), 9).alias("edge_response"))
+
+
+SMOOTH = KERNEL + """,
+gy AS (SELECT z, y + d AS y, x, sum(v * w) AS v FROM img, k WHERE y + d BETWEEN 0 AND 7 GROUP BY ALL),
+gx AS (SELECT z, y, x + d AS x, sum(v * w) AS v FROM gy, k WHERE x + d BETWEEN 0 AND 7 GROUP BY ALL)"""
+
+
+@query(w("img") + f", {SMOOTH} SELECT z, y, x, round(v, 9) AS v FROM gx")
+def gaussian_smooth(spark, d):
+    return raster.gaussian(ad.img(spark, d), {"y": 1.0, "x": 1.0}).withColumn("v", F.round("v", 9))
+
+
+@query(w("img") + f", {SMOOTH}" + """ SELECT z, y, x, round(v, 8) AS v FROM (SELECT c.z, c.y, c.x, 2 * (9 * any_value(c.v) - sum(n.v)) AS v
+FROM gx c JOIN gx n ON n.z = c.z AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL)""")
+def log_response(spark, d):
+    return raster.log_response(ad.img(spark, d), {"y": 1.0, "x": 1.0}).withColumn("v", F.round("v", 8))
+
+
+FLOOD = w("img", recursive=True) + f", s AS ({_extrema_sql('max', 'v > 0')})" + """, seed AS (SELECT z * 64 + y * 8 + x AS spot_id, z, y, x, v FROM s),
+step AS (SELECT * FROM (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) t(dz, dy, dx)),
+f AS (SELECT spot_id, z, y, x, v, 0 AS level FROM seed UNION SELECT f.spot_id, i.z, i.y, i.x, i.v, f.level + 1 FROM f, step JOIN img i ON i.z = f.z + dz AND i.y = f.y + dy AND i.x = f.x + dx WHERE f.level < 4 AND i.v > 0 AND f.v >= i.v),
+flood AS (SELECT spot_id, z, y, x, any_value(v) AS v, min(level) AS level FROM f GROUP BY spot_id, z, y, x)"""
+FLOOD_LEVELS = 4
+
+
+def _flood(spark, d):
+    i = ad.img(spark, d)
+    seeds = raster.extrema(i, 1, 2, 2).withColumn("spot_id", F.col("z") * 64 + F.col("y") * 8 + F.col("x"))
+    return i, raster.flood_fill(i, seeds, FLOOD_LEVELS)
+
+
+@query(FLOOD + " SELECT spot_id, z, y, x FROM flood")
+def flood_fill(spark, d):
+    return _flood(spark, d)[1].select("spot_id", "z", "y", "x")
+
+
+@query(FLOOD + " SELECT spot_id, level::BIGINT AS level, count(*) AS n, round(sum(v), 9) AS total FROM flood GROUP BY ALL")
+def flood_levels(spark, d):
+    return _flood(spark, d)[1].groupBy("spot_id", F.col("level").cast("long").alias("level")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 9).alias("total"))
+
+
+@query(FLOOD + " SELECT spot_id, round(sum(v), 9) AS total, count(*) AS n_voxels FROM flood GROUP BY spot_id")
+def spot_intensity(spark, d):
+    i, f = _flood(spark, d)
+    return sp.integrate(f, i).withColumn("total", F.round("total", 9))
+
+
+@query(FLOOD + " SELECT spot_id, " + ", ".join(f"max({a}) - min({a}) + 1 AS span_{a}, (max({a}) - min({a})) / 2 AS radius_{a}" for a in "zyx") + " FROM flood GROUP BY spot_id")
+def spot_span(spark, d):
+    return sp.spans(_flood(spark, d)[1])
+
+
+@query(FLOOD + """, n AS (SELECT DISTINCT spot_id, z + dz AS z, y + dy AS y, x + dx AS x FROM flood, step),
+b AS (SELECT min(z) AS z0, max(z) AS z1 FROM img)
+SELECT spot_id, z, y, x FROM (SELECT n.* FROM n ANTI JOIN flood USING (spot_id, z, y, x)), b WHERE z BETWEEN z0 AND z1 AND y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7
+UNION ALL SELECT spot_id, z, y, x FROM flood, b WHERE z IN (z0, z1) OR y IN (0, 7) OR x IN (0, 7)""")
+def outer_shell(spark, d):
+    i, f = _flood(spark, d)
+    z0, z1 = i.agg(F.min("z"), F.max("z")).first()
+    return raster.outer_shell(f, {"z": (z0 or 0, z1 or 0), "y": (0, 7), "x": (0, 7)})
+
+
+RING = "ring AS (SELECT a, b FROM range(-4, 5) ta(a), range(-4, 5) tb(b) WHERE abs(a) + abs(b) {op} 4)"
+
+
+@query(w("spots") + ", " + RING.format(op="=") + " SELECT spot_id, z, y + a AS y, x + b AS x FROM spots, ring WHERE y + a BETWEEN 0 AND 63 AND x + b BETWEEN 0 AND 63")
+def diamond_ring(spark, d):
+    return raster.diamond(ad.spots(spark, d), 4, (64, 64))
+
+
+@query(w("spots") + ", " + RING.format(op="<=") + " SELECT z, y + a AS y, x + b AS x, max(spot_id) AS spot_id FROM spots, ring WHERE y + a BETWEEN 0 AND 63 AND x + b BETWEEN 0 AND 63 GROUP BY 1, 2, 3")
+def spot_raster(spark, d):
+    return raster.rasterise(raster.diamond(ad.spots(spark, d), 4, (64, 64), filled=True))
+
+
+# ---- cells ----------------------------------------------------------------------------------------------------------
+
+
+@query(w("cell_px") + " SELECT plane, y, x, label, d2 FROM cell_px")
+def expand_labels(spark, d):
+    return ad.cell_px(spark, d).withColumn("d2", F.col("d2").cast("long"))
+
+
+def _assigned(spark, d):
+    px = ad.cell_px(spark, d)
+    return px, sp.assign(ad.placed_spots(spark, d), px)
+
+
+@query(w("assigned") + " SELECT spot_id, plane, label FROM assigned")
+def assign_spots(spark, d):
+    return _assigned(spark, d)[1].select("spot_id", "plane", "label")
+
+
+@query(w("counts") + " SELECT plane, label, n, round(intensity, 6) AS intensity FROM counts")
+def cell_counts(spark, d):
+    px, a = _assigned(spark, d)
+    return rounded(sp.cell_counts(a, px), "intensity")
+
+
+@query(w("counts") + " SELECT g.plane, g.l AS label, coalesce(c.n, 0) AS n FROM (SELECT plane, unnest(range(1, m + 1)) AS l FROM (SELECT plane, max(label) AS m FROM cell_px GROUP BY plane)) g LEFT JOIN counts c ON c.plane = g.plane AND c.label = g.l")
+def label_outer_counts(spark, d):
+    px, a = _assigned(spark, d)
+    dense = px.groupBy("plane").agg(F.max("label").alias("m")).select("plane", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("label"))
+    return dense.join(sp.cell_counts(a, px).select("plane", "label", "n"), ["plane", "label"], "left").select("plane", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query(w("assigned") + " SELECT plane, count(*) FILTER (label = 0) AS background, count(*) FILTER (label > 0) AS assigned FROM assigned GROUP BY plane")
+def background_counts(spark, d):
+    return sp.background_counts(_assigned(spark, d)[1])
+
+
+@query(w("counts") + " SELECT p.plane, p.y, p.x, p.label, c.n, round(c.intensity, 6) AS intensity FROM cell_px p JOIN counts c USING (plane, label)")
+def zonal_map(spark, d):
+    px, a = _assigned(spark, d)
+    return rounded(sp.zonal_map(px, sp.cell_counts(a, px)).select("plane", "y", "x", "label", "n", "intensity"), "intensity")
+
+
+@query(w("counts") + " SELECT plane, label, n, CASE WHEN n > 0 THEN sum((n > 0)::INT) OVER (PARTITION BY plane ORDER BY label) ELSE 0 END::BIGINT AS new_label FROM counts")
+def positive_relabel(spark, d):
+    px, a = _assigned(spark, d)
+    return sp.positive_relabel(sp.cell_counts(a, px)).select("plane", "label", "n", "new_label")
+
+
+@query(w("cell_px") + ", t AS (SELECT plane, y, x, label FROM cell_px WHERE d2 <= 16), nt AS (SELECT plane, label, count(*) AS n FROM t GROUP BY ALL), nf AS (SELECT plane, label, count(*) AS n FROM cell_px GROUP BY ALL), c AS (SELECT plane, t.label AS a, f.label AS b, count(*) AS c FROM t JOIN cell_px f USING (plane, y, x) GROUP BY ALL) SELECT nt.plane, nt.label, round(coalesce(max(c / (nt.n + nf.n - c)), 0), 9) AS iou FROM nt LEFT JOIN c ON c.plane = nt.plane AND c.a = nt.label LEFT JOIN nf ON nf.plane = c.plane AND nf.label = c.b GROUP BY 1, 2")
+def label_iou(spark, d):
+    px = ad.cell_px(spark, d)
+    return sp.best_overlap(px.where("d2 <= 16"), px).withColumn("iou", F.round("iou", 9))
+
+
+@query(w("cell_px") + ", b AS (SELECT plane, label, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM cell_px GROUP BY ALL) SELECT plane, median(h) AS median_h, median(w) AS median_w, count(*) AS n_labels FROM b GROUP BY plane")
+def label_extents(spark, d):
+    return sp.label_extents(ad.cell_px(spark, d))
+
+
+@query(w("spots", "cell_px") + " SELECT p.plane, p.plane IN (SELECT plane FROM spots) AS has_spots, n, (SELECT max(plane) FROM spots) >= p.plane AS inside FROM (SELECT plane, count(DISTINCT label) AS n FROM cell_px GROUP BY plane) p")
+def shape_check(spark, d):
+    px = ad.cell_px(spark, d).groupBy("plane").agg(F.count_distinct("label").alias("n"))
+    s = ad.placed_spots(spark, d).select("plane").distinct().withColumn("here", F.lit(True))
+    top = F.broadcast(ad.placed_spots(spark, d).agg(F.max("plane").alias("top")))
+    return px.join(s, "plane", "left").join(top).select("plane", F.coalesce("here", F.lit(False)).alias("has_spots"), "n", (F.col("top") >= F.col("plane")).alias("inside"))
+
+
+@query(w("cell_px") + " SELECT plane, count(DISTINCT label) + 1 AS n_with_background, max(label) AS max_label FROM cell_px GROUP BY plane")
+def distinct_labels(spark, d):
+    return ad.cell_px(spark, d).groupBy("plane").agg((F.count_distinct("label") + 1).alias("n_with_background"), F.max("label").alias("max_label"))
+
+
+# ---- tiles ----------------------------------------------------------------------------------------------------------
+
+SIZES = "z AS (SELECT s_suppkey AS image, 600 + s_suppkey % 5 * 200 AS ny, 700 + s_nationkey * 40 AS nx FROM supplier)"
+TILES = f"{SIZES}, t AS (SELECT image, y0, least(y0 + 512, ny) AS y1, x0, least(x0 + 512, nx) AS x1 FROM (SELECT image, ny, nx, y0, unnest(range(0, nx, 448)) AS x0 FROM (SELECT *, unnest(range(0, ny, 448)) AS y0 FROM z)))"
+
+
+def _tiles(spark, d):
+    s = ad.table(spark, d, "supplier")
+    sizes = s.select(F.col("s_suppkey").alias("image"), (600 + F.col("s_suppkey") % 5 * 200).cast("int").alias("ny"), (700 + F.col("s_nationkey") * 40).cast("int").alias("nx"))
+    return raster.tile_grid(sizes, 512, 64)
+
+
+@query(f"WITH {TILES} SELECT * FROM t")
+def tile_grid(spark, d):
+    return _tiles(spark, d)
+
+
+@query(f"WITH {TILES}, m AS (SELECT image, y0 * 10000 + x0 AS tile, (y1 - y0 + x1 - x0) % 97 AS max_label FROM t) SELECT *, coalesce(sum(max_label) OVER (PARTITION BY image ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS label_offset FROM m")
+def tile_offset(spark, d):
+    t = _tiles(spark, d).select("image", (F.col("y0") * 10000 + F.col("x0")).alias("tile"), ((F.col("y1") - F.col("y0") + F.col("x1") - F.col("x0")) % 97).alias("max_label"))
+    return raster.tile_offsets(t)
+
+
+@query(w("cell_px") + ", o AS (SELECT plane, y, x, label FROM cell_px UNION ALL SELECT plane, y, x, label + 10 FROM cell_px WHERE x % 448 < 8) SELECT plane, y, x, max(label) AS label FROM o GROUP BY ALL")
+def tile_merge(spark, d):
+    px = ad.cell_px(spark, d).select("plane", "y", "x", "label")
+    return raster.tile_merge(px.unionByName(px.where("x % 448 < 8").withColumn("label", F.col("label") + 10)))
+
+
+# ---- samples and positions ------------------------------------------------------------------------------------------
+
+HASH = "(event_id * 7919 + 104729) % 1000003"
+
+
+@query(f"SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY {HASH}, event_id) - 1 AS rn, count(*) OVER () AS n FROM events) WHERE rn < ceil(n * 0.1)")
+def sample_planes(spark, d):
+    rows = numbered(ad.table(spark, d, "events").select("event_id", F.expr(HASH).alias("h")), ["h", "event_id"])
+    return rows.join(F.broadcast(rows.agg(F.ceil(F.count("*") * 0.1).alias("m")))).where("rn < m").select("event_id")
+
+
+@query(f"SELECT event_id, rn < greatest(1, round(0.15 * n)) AS validation FROM (SELECT event_id, row_number() OVER (ORDER BY {HASH}, event_id) - 1 AS rn, count(*) OVER () AS n FROM events)")
+def train_val_split(spark, d):
+    rows = numbered(ad.table(spark, d, "events").select("event_id", F.expr(HASH).alias("h")), ["h", "event_id"])
+    size = F.broadcast(rows.agg(F.greatest(F.lit(1.0), F.round(F.count("*") * 0.15)).alias("m")))
+    return rows.join(size).select("event_id", (F.col("rn") < F.col("m")).alias("validation"))
+
+
+@query(f"SELECT event_id FROM events WHERE {HASH} % 1000000 < 50000")
+def qc_sample(spark, d):
+    return ad.table(spark, d, "events").where(F.expr(HASH) % 1000000 < 50000).select("event_id")
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events) WHERE rn > 3")
+def slice_skip(spark, d):
+    return numbered(ad.table(spark, d, "events").select("event_id", "value", "ts"), ["ts", "event_id"]).where("rn >= 3").select("event_id", "value")
+
+
+# ---- array files ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type AS path, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row, unnest([0, 1, 2])::BIGINT AS col, unnest([event_id % 40, event_id * 7 % 64, user_id % 64])::DOUBLE AS value FROM events")
+def npy_round_trip(spark, d):
+    from fluorite.sources import arrays
+
+    return arrays.array_rows(arrays.spots_npy(ad.spots(spark, d), "channel")).select("path", "row", "col", "value")
+
+
+@query(w("img") + " SELECT (z // 50)::VARCHAR AS path, z - min(z) OVER (PARTITION BY z // 50) AS z, y, x, v FROM img")
+def tiff_round_trip(spark, d):
+    from fluorite.sources import arrays
+
+    i = ad.img(spark, d).withColumn("stack", F.floor(F.col("z") / 50).cast("long"))
+    return arrays.tiff_rows(arrays.stack_tiff(i, "stack"))
