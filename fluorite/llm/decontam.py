@@ -15,7 +15,7 @@ from fluorite.llm.common import stage
 
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|l|ml|miles?|feet|foot|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|meters?|metres?|grams?|litres?|liters?"
-NUMBER = r"\p{Nd}+(?:[.,:]\p{Nd}+)*"
+NUMBER = r"\p{Nd}++(?:[.,:]\p{Nd}++)*+"
 #: Placeholders hold a letter that no lower-cased text has, so words of a text can't be taken for them.
 NUM, UNIT, NAME = "0N", "0U", "0A"
 #: Above so many benchmark windows the join shuffles instead of broadcasting; a window takes about 60 bytes.
@@ -34,7 +34,7 @@ def words(text: Column) -> Column:
     # Names: capitalised words after a word in lower case, so not at the start of a sentence.
     t = F.regexp_replace(t, r"(?<=\p{Ll}[,;]?\x20)\p{Lu}\p{L}+", "0A_$0")
     t = F.regexp_replace(t, rf"(?i)({NUMBER})\s*(%|(?:{UNITS})\b)", " 0N_$1 0U_$2 ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{Nd}}_.,:]){NUMBER}", " 0N_$0 ")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{Nd}}_.,:]){NUMBER}(?![\p{{L}}_])", " 0N_$0 ")
     return F.regexp_extract_all(t, F.lit(r"0[NUA]_\S+|[\p{L}\p{M}]+|\p{Nd}+"), F.lit(0))
 
 
