@@ -645,3 +645,83 @@ def tiff_round_trip(spark, d):
 
     i = ad.img(spark, d).withColumn("stack", F.floor(F.col("z") / 50).cast("long"))
     return arrays.tiff_rows(arrays.stack_tiff(i, "stack"))
+
+
+# ---- fits, samples and whole analyses -------------------------------------------------------------------------------
+
+
+@query()
+def gaussian_fit(spark, d):
+    from fluorite.operators.fitting import gaussian_fit as fit
+
+    i = ad.img(spark, d)
+    seeds = raster.extrema(i, 1, 2, 2).withColumn("spot_id", F.col("z") * 64 + F.col("y") * 8 + F.col("x"))
+    return fit(i, seeds, min_r2=0.2)
+
+
+@query(f"WITH {SIZES}, e AS (SELECT image, ny, nx, k, (image * 3 + k) % 1000003 AS h FROM z, range(3) t(k) WHERE ny >= 700 AND nx >= 900), p AS (SELECT image, k, (h * 7921 + 209458) % 1000003 % (ny - 699) AS y0, (h * 7923 + 314187) % 1000003 % (nx - 899) AS x0 FROM e) SELECT image, k, y0, x0, y0 + 700 AS y1, x0 + 900 AS x1 FROM p")
+def random_crops(spark, d):
+    from fluorite.operators.sampling import random_regions
+
+    s = ad.table(spark, d, "supplier")
+    sizes = s.select(F.col("s_suppkey").alias("image"), (600 + F.col("s_suppkey") % 5 * 200).alias("ny"), (700 + F.col("s_nationkey") * 40).alias("nx"))
+    return random_regions(sizes, 700, 900, 3)
+
+
+def _draw_sql(s: int) -> str:
+    return f"((z % 1000003) * {7919 + 2 * s} + {104729 * (s + 1)}) % 1000003"
+
+
+@query(
+    w("img")
+    + f""", a AS (SELECT z, v, CASE WHEN {_draw_sql(3)} % 2 = 1 THEN 7 - y ELSE y END AS y, CASE WHEN {_draw_sql(4)} % 2 = 1 THEN 7 - x ELSE x END AS x FROM img)
+SELECT z, CASE WHEN {_draw_sql(5)} % 2 = 1 THEN x ELSE y END AS y, CASE WHEN {_draw_sql(5)} % 2 = 1 THEN y ELSE x END AS x,
+round(v * (0.6 + 1.4 * ({_draw_sql(6)} / 1000003.0::DOUBLE)) + (-0.2 + 0.4 * ({_draw_sql(7)} / 1000003.0::DOUBLE)), 9) AS v FROM a"""
+)
+def augment_images(spark, d):
+    from fluorite.operators.sampling import augment
+
+    return augment(ad.img(spark, d), 8).withColumn("v", F.round("v", 9))
+
+
+@query("SELECT s_suppkey AS image, round((300 + s_suppkey % 200)::DOUBLE / ((75 + s_nationkey + 75) / 2.0), 9) AS anisotropy FROM supplier")
+def anisotropy(spark, d):
+    s = ad.table(spark, d, "supplier")
+    ratio = (300 + F.col("s_suppkey") % 200) / ((75 + F.col("s_nationkey") + 75) / F.lit(2.0))
+    return s.select(F.col("s_suppkey").alias("image"), F.round(ratio, 9).alias("anisotropy"))
+
+
+@query(w("cells") + " SELECT grp, printf('%s: n=%d, mean=%.2f', grp, count(*), round(avg(n), 2)) AS shown, lpad(count(*)::VARCHAR, 8, '0') AS padded FROM cells GROUP BY grp")
+def formatted_summary(spark, d):
+    g = ad.cells(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("n"), 2).alias("m"))
+    return g.select("grp", F.format_string("%s: n=%d, mean=%.2f", "grp", "n", "m").alias("shown"), F.lpad(F.col("n").cast("string"), 8, "0").alias("padded"))
+
+
+LOG_SQL = w("img") + f", {SMOOTH}" + """, lg AS (SELECT z, y, x, round(v, 8) AS v FROM (SELECT c.z, c.y, c.x, 2 * (9 * any_value(c.v) - sum(n.v)) AS v
+FROM gx c JOIN gx n ON n.z = c.z AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL)),
+pk AS (""" + _extrema_sql("max", "v > 0").replace("FROM img)", "FROM lg)") + """),
+lv AS (SELECT quantile_cont(v, 0.999) AS level FROM lg WHERE v > 0)"""
+
+
+@query(LOG_SQL + " SELECT z, y, x, v AS peak FROM pk, lv WHERE v >= level")
+def detect_spots(spark, d):
+    from fluorite.functions.config import Settings
+    from fluorite.plans.pipelines import detect
+
+    settings = Settings(kernel_size=(0.0, 1.0, 1.0), minimal_distance=(1, 2, 2), max_levels=4)
+    return detect(ad.img(spark, d), settings, digits=8).select("z", "y", "x", "peak")
+
+
+@query(w("counts") + ", r AS (SELECT plane, label, n, row_number() OVER (PARTITION BY plane ORDER BY label) AS new_label FROM counts WHERE n > 0) SELECT p.plane, p.y, p.x, r.new_label AS label, r.n FROM cell_px p JOIN r USING (plane, label)")
+def counterstain_positive(spark, d):
+    from fluorite.plans.pipelines import counterstain
+
+    px, a = _assigned(spark, d)
+    return counterstain(px, sp.cell_counts(a, px))
+
+
+@query()
+def cohort_tests(spark, d):
+    from fluorite.plans.pipelines import cohort_tests as tests
+
+    return tests(ad.cells(spark, d), pairs_table(spark), "grp", "inten")
