@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from fluorite.llm.common import map_batches, stage
 from fluorite.llm.components import connected_components
 
+#: Ids of documents with candidates are broadcast up to so many, 8 bytes each.
+MAX_BROADCAST_IDS = 4_000_000
+
 
 def word_hashes(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of the words: runs of anything but the six ASCII white-space characters, A-Z in lower case."""
@@ -136,7 +139,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = stage(classes)
     # Both columns together are one row's, so a set that many rows share doesn't gather in one task.
     first = named.join(nodes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    banded = first.select("doc_id", F.explode("bands").alias("band")).distinct()
+    banded = first.dropDuplicates(["set_key", "doc_id"]).select("doc_id", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     # The leader itself is a member of each of its groups.
     member = stage(banded.join(leaders.select("band", "leader"), "band").select("leader", F.col("doc_id").alias("node")).distinct())
@@ -145,7 +148,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("leader", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    wanted = member.select(F.col("node").alias("doc_id")).distinct()
+    # Only texts that have a candidate are read again. Their ids are few and are broadcast, so that no other text moves; the
+    # size is checked, and beyond it the texts are dealt by id.
+    wanted = stage(member.select(F.col("node").alias("doc_id")).distinct())
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
     def sets():
         seen: dict[bytes, int] = {}
