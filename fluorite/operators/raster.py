@@ -195,3 +195,39 @@ def expand_labels(labels: DataFrame, distance: float, bounds: tuple[int, int]) -
     reach = reach.where(F.col("y").between(0, bounds[0] - 1) & F.col("x").between(0, bounds[1] - 1))
     near = reach.groupBy("plane", "y", "x").agg(F.min(F.struct("d2", "label")).alias("n"))
     return near.select("plane", "y", "x", F.col("n.label").alias("label"), F.col("n.d2").alias("d2"))
+
+
+def convolve_reflected(img: DataFrame, axis: str, weights: Sequence[tuple[int, float]], bounds: tuple[int, int]) -> DataFrame:
+    """Weighted sum along one axis; outside the image it is mirrored at its edges (edge voxels count twice).
+
+    Each voxel asks for its mirrored neighbours, so the sum is one equi-join with the image and one aggregation.
+    """
+    lo, n = bounds[0], bounds[1] - bounds[0] + 1
+    array = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in weights])
+    k = F.pmod(F.col(axis) + F.col("s.d") - lo, F.lit(2 * n))
+    asked = img.select("z", "y", "x", F.explode(array).alias("s")).withColumn("from", (F.when(k < n, k).otherwise(2 * n - 1 - k) + lo).cast("long"))
+    rest = [a for a in "zyx" if a != axis]
+    source = img.select(*rest, F.col(axis).alias("from"), "v")
+    return asked.join(source, [*rest, "from"]).groupBy("z", "y", "x").agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
+
+
+def log_filter(img: DataFrame, sigma: dict[str, float], bounds: dict[str, tuple[int, int]], truncate: float = 4.0) -> DataFrame:
+    """Negated Laplacian of Gaussian, clipped at 0, so that bright spots are positive and 0 means no signal.
+
+    Sum over the axes of the second derivative of a Gaussian along one axis and the Gaussian along the others.
+    """
+
+    def kernel(s: float, second: bool) -> list[tuple[int, float]]:
+        r = int(truncate * s + 0.5)
+        base = [math.exp(-0.5 * (d / s) ** 2) for d in range(-r, r + 1)]
+        return [(d, w / sum(base) * ((d * d / s**2 - 1) / s**2 if second else 1)) for d, w in zip(range(-r, r + 1), base, strict=True)]
+
+    axes = [a for a in "zyx" if sigma.get(a)]
+    parts = None
+    for second in axes:
+        one = img
+        for a in axes:
+            one = convolve_reflected(one, a, kernel(sigma[a], a == second), bounds[a])
+        parts = one if parts is None else parts.unionByName(one)
+    summed = parts.groupBy("z", "y", "x").agg((-F.sum("v")).alias("v"))
+    return summed.withColumn("v", F.greatest("v", F.lit(0.0)))

@@ -725,3 +725,49 @@ def cohort_tests(spark, d):
     from fluorite.plans.pipelines import cohort_tests as tests
 
     return tests(ad.cells(spark, d), pairs_table(spark), "grp", "inten")
+
+
+@query(
+    w("img")
+    + """, g AS (SELECT d, e / sum(e) OVER () AS w, e / sum(e) OVER () * (d * d - 1) AS w2 FROM (SELECT d, exp(-0.5 * d ^ 2) AS e FROM range(-4, 5) t(d))),
+m AS (SELECT o, d, CASE WHEN k < 8 THEN k ELSE 15 - k END AS i, w, w2 FROM (SELECT o, d, w, w2, (o + d + 16) % 16 AS k FROM range(8) t(o), g)),
+p AS (SELECT i.z, y.o AS y, x.o AS x, sum(v * (y.w2 * x.w + y.w * x.w2)) AS v FROM img i JOIN m y ON y.i = i.y JOIN m x ON x.i = i.x GROUP BY ALL)
+SELECT z, y, x, round(greatest(-v, 0), 8) + 0.0 AS v FROM p"""
+)
+def log_filter(spark, d):
+    out = raster.log_filter(ad.img(spark, d), {"y": 1.0, "x": 1.0}, {"y": (0, 7), "x": (0, 7)})
+    return out.withColumn("v", F.round("v", 8) + F.lit(0.0))
+
+
+@query()
+def decompose_dense(spark, d):
+    from fluorite.operators.dense import decompose
+
+    i, f = _flood(spark, d)
+    seeds = raster.extrema(i, 1, 2, 2)
+    return decompose(i.where("v > 0"), seeds, f, 0.1)
+
+
+@query(w("cell_px", "spots") + """, s AS (SELECT label, count(*) AS n_spots FROM spots JOIN cell_px USING (plane, y, x) GROUP BY ALL),
+a AS (SELECT label, count(*) AS cell_area, count(*) FILTER (d2 <= 4) AS nucleus_area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cell_px GROUP BY label)
+SELECT a.*, coalesce(n_spots, 0) AS n_spots FROM a LEFT JOIN s USING (label)""")
+def extract_cells(spark, d):
+    px = ad.cell_px(spark, d)
+    area = px.groupBy("label").agg(F.count("*").alias("cell_area"), F.count_if(F.col("d2") <= 4).alias("nucleus_area"), *[f(a).alias(f"{a}{k}") for a in "yx" for k, f in enumerate((F.min, F.max))])
+    inside = ad.placed_spots(spark, d).join(px, ["plane", "y", "x"]).groupBy("label").agg(F.count("*").alias("n_spots"))
+    return area.join(inside, "label", "left").withColumn("n_spots", F.coalesce("n_spots", F.lit(0)))
+
+
+@query(w("spots") + """, t AS (SELECT channel, z, quantile_cont(intensity, 0.999) AS threshold FROM spots GROUP BY ALL)
+SELECT channel, count(*) AS n_images, round(avg(threshold), 6) AS mean_threshold, round(quantile_cont(threshold, 0.5), 6) AS median_threshold FROM t GROUP BY channel""")
+def threshold_survey(spark, d):
+    t = ad.spots(spark, d).groupBy("channel", "z").agg(F.percentile("intensity", F.lit(0.999)).alias("threshold"))
+    return t.groupBy("channel").agg(F.count("*").alias("n_images"), r6(F.avg("threshold")).alias("mean_threshold"), r6(F.percentile("threshold", F.lit(0.5))).alias("median_threshold"))
+
+
+@query("SELECT p.part, p.p_partkey AS image, q.s_suppkey AS mask FROM (SELECT p_partkey % 10 AS part, p_partkey, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_name, p_partkey) AS r FROM part) p JOIN (SELECT s_suppkey % 10 AS part, s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_name) AS r FROM supplier) q ON p.part = q.part AND p.r = q.r")
+def paired_by_order(spark, d):
+    images = ad.table(spark, d, "part").select((F.col("p_partkey") % 10).alias("part"), F.col("p_partkey").alias("image"), F.col("p_name").alias("k"))
+    masks = ad.table(spark, d, "supplier").select((F.col("s_suppkey") % 10).alias("part"), F.col("s_suppkey").alias("mask"), F.col("s_name").alias("k"))
+    a, b = numbered(images, ["k", "image"], "r", ["part"]), numbered(masks, ["k", "mask"], "r", ["part"])
+    return a.select("part", "image", "r").join(b.select("part", "mask", "r"), ["part", "r"]).select("part", "image", "mask")
