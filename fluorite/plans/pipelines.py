@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluorite.functions.config import Settings
+from fluorite.functions.scratch import stage
 from fluorite.operators import cohort, raster
 from fluorite.operators import spots as sp
 
@@ -18,7 +19,8 @@ def detect(img: DataFrame, settings: Settings, manual: float | None = None, cont
     plateaus don't depend on the order of sums.
     """
     sigma = dict(zip("zyx", settings.kernel_size, strict=True))
-    response = raster.log_response(img, sigma).withColumn("v", F.round("v", digits))
+    # The threshold, the maxima and each level of the fill read the response: it is computed once and written.
+    response = stage(raster.log_response(img, sigma).withColumn("v", F.round("v", digits)))
     dz, dy, dx = settings.minimal_distance
     auto = response.where("v > 0").agg(F.percentile("v", F.lit(0.999)).alias("auto"))
     if control is not None:
@@ -28,7 +30,7 @@ def detect(img: DataFrame, settings: Settings, manual: float | None = None, cont
         auto = auto.withColumn("control", F.lit(None).cast("double"))
     level = auto.select(sp.threshold_precedence(F.lit(manual).cast("double"), F.col("control"), F.lit(settings.experiment_threshold).cast("double"), F.col("auto")).alias("level"))
     peaks = raster.extrema(response, dz, dy, dx).join(F.broadcast(level)).where("v >= level").drop("level")
-    found = peaks.withColumn("spot_id", F.xxhash64("z", "y", "x")).withColumnRenamed("v", "peak")
+    found = stage(peaks.withColumn("spot_id", F.xxhash64("z", "y", "x")).withColumnRenamed("v", "peak"))
     voxels = raster.flood_fill(response, found, settings.max_levels)
     out = found.join(sp.integrate(voxels, img), "spot_id").join(sp.spans(voxels), "spot_id")
     return out.select("spot_id", "z", "y", "x", "peak", "total", "n_voxels", *[f"span_{a}" for a in "zyx"])
