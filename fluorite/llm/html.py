@@ -207,7 +207,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     Null or empty html has an empty text; a null url is a host of its own; repeated rows are extracted each. Other columns
     are ignored; an empty table gives no rows.
     """
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     templates = stage(host_templates(rows, min_pages, min_share))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST.pattern, 1))
     if templates.count() <= MAX_BROADCAST_TEMPLATES:
