@@ -27,8 +27,8 @@ from fluorite.llm.common import stage
 from fluorite.llm.tokenfile import id_width, tokenise
 from fluorite.llm.tokens import default_path
 
-#: Sources beyond so many share queues by hash, which bounds what is broadcast.
-MAX_QUEUES = 4096
+#: Sources beyond so many share queues by hash, which bounds what is broadcast and what placing a piece costs.
+MAX_QUEUES = 256
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
@@ -61,25 +61,31 @@ class _Placer:
     def __init__(self, plan: list[dict]):
         self.plan = []
         for p in plan:
-            queues = list(p["queues"])
-            n = [p["queues"][q][1] - p["queues"][q][0] for q in queues]
-            self.plan.append((p["base"], p["windows"], {q: k for k, q in enumerate(queues)}, np.array(n, dtype=object), p["queues"]))
+            n = np.array([hi - lo for lo, hi in p["queues"].values()], np.int64)
+            # floor(w * n / windows) by quotient and remainder: the products stay small for up to 2**31 windows.
+            self.plan.append((p["base"], p["windows"], n // p["windows"], n % p["windows"], {q: (k, *span) for k, (q, span) in enumerate(p["queues"].items())}))
+        self.last: tuple | None = None
+
+    def _window(self, phase: int, w: int, k: int) -> int:
+        """Where queue ``k``'s ids of window ``w`` begin; runs come in order, so mostly the last one is asked again."""
+        if self.last is None or self.last[0] != (phase, w, k):
+            base, windows, whole, rest, _ = self.plan[phase]
+            before, after = w * whole + w * rest // windows, (w + 1) * whole + (w + 1) * rest // windows
+            self.last = ((phase, w, k), base + int(before.sum()) + int((after[:k] - before[:k]).sum()))
+        return self.last[1]
 
     def runs(self, queue: str, first: int, n: int):
         """(ids before it in the run, ids, place in the stream) for each piece of ids ``first`` to ``first + n``."""
-        for base, windows, order, sizes, queues in self.plan:
+        for phase, (_, windows, _, _, queues) in enumerate(self.plan):
             if queue not in queues:
                 continue
-            lo, hi = queues[queue]
+            k, lo, hi = queues[queue]
             at, end, own = max(first, lo) - lo, min(first + n, hi) - lo, hi - lo
-            k = order[queue]
             while at < end:
                 # the window that serves id `at`: the largest w with floor(w * own / windows) <= at
                 w = ((at + 1) * windows - 1) // own
                 stop = min(end, (w + 1) * own // windows)
-                before, after = w * sizes // windows, (w + 1) * sizes // windows
-                place = base + int(before.sum()) + int((after - before)[:k].sum()) + at - w * own // windows
-                yield at + lo - first, stop - at, place
+                yield at + lo - first, stop - at, self._window(phase, w, k) + at - w * own // windows
                 at = stop
 
 
@@ -99,7 +105,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, max_tokens:
         ids = ids.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["queue", F.col("doc_id").asc_nulls_first()]
-    dealt = ids.repartitionByRange(parts, *order, "ids").sortWithinPartitions(*order, "ids")
+    # The ranges go by queue and document only: their bounds are sampled, and ids would go to the driver with the samples.
+    dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
 
     def number(batches):
         served: dict[str, int] = {}

@@ -2,9 +2,10 @@
 
 The library splits a text into words by a fixed pattern that takes at most one space into the word that follows it, and
 merges the bytes of each word on its own. So, in a text without two spaces in a row or one at its end, a space and what
-follows it up to the next space (a run) always gets the same ids, and so do its words. Each Python worker keeps the ids of
-runs and words it has met, asks the library for a batch's new words together, and gathers the batch's ids from its runs;
-they are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+follows it up to the next space (a run) always gets the same ids, and of letters with one mark behind, so do the letters
+and the mark. Each Python worker keeps the ids of the letters and runs it has met in Arrow and numpy arrays, asks the
+library for a batch's new ones together, and gathers the batch's ids from them; they are those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -13,41 +14,16 @@ import functools
 import json
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from tokenizers import Tokenizer
 
-#: Runs and words whose ids a worker keeps; beyond that it forgets those it hasn't met since it last forgot some. About
-#: 200 bytes each, and up to twice as many are held.
-CACHED = 250_000
-#: Bytes of text that are looked up together, and new words that the library gets as one text.
+#: Entries whose ids a worker keeps, about 40 bytes each; beyond that it keeps those of the current batch.
+CACHED = 600_000
+#: Bytes of text that are looked up together, and new entries that the library gets as one text.
 BATCH_BYTES = 8_000_000
-NEW_WORDS = 1000
-ASCII_MARKS = set(".,;:!?")
-
-
-class _Cache:
-    """What ``learn`` says of keys: a function from a list of them to a list of values."""
-
-    def __init__(self, learn):
-        self.learn, self.now, self.old = learn, {}, {}
-
-    def of(self, keys: list) -> list[bytes]:
-        if len(self.now) >= CACHED:
-            self.now, self.old = {}, self.now
-        now, old = self.now, self.old
-        missing = [k for k, v in zip(keys, map(now.get, keys), strict=True) if v is None]
-        new = []
-        for k in dict.fromkeys(missing):
-            v = old.get(k)
-            if v is None:
-                new.append(k)
-            else:
-                now[k] = v
-        now.update(zip(new, self.learn(new), strict=True))
-        return list(map(now.__getitem__, keys))
+NEW_ENTRIES = 1000
+MARKS = ".,;:!?"
 
 
 class Encoder:
@@ -61,8 +37,14 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         #: Ids that begin with a space, which a byte-level vocabulary writes as U+0120.
         self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(self.size)])
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.words, self.runs = _Cache(self._learn_words), _Cache(self._learn_runs)
+        self.mark = np.full(256, -1, np.int64)
+        for m in MARKS:
+            ids = np.frombuffer(self(m), "<u4")
+            if len(ids) == 1:
+                self.mark[ord(m)] = ids[0]
+        # Entry k: a string without spaces, and the ids of a space and it.
+        self.keys = pa.array([], pa.large_string())
+        self.flat, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
@@ -78,33 +60,44 @@ class Encoder:
             yield self._slice(texts.slice(at, end - at))
             at = end
 
-    def _learn_words(self, words: list[str]) -> list[bytes]:
-        """The library gets many words of a space and letters as one text; where each begins, an id begins with a space."""
-        out: dict[str, bytes] = {}
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        for k in range(0, len(plain), NEW_WORDS):
-            part = plain[k : k + NEW_WORDS]
-            (got,) = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their counts. The library gets many entries as one text; where each begins, an id begins with a space."""
+        parts, counts = [], []
+        for k in range(0, len(new), NEW_ENTRIES):
+            part = new[k : k + NEW_ENTRIES]
+            (got,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             begin = np.flatnonzero(self.spaced[ids])
-            if len(begin) == len(part):
-                raw, cut = ids.tobytes(), [*(4 * begin).tolist(), 4 * len(ids)]
-                out.update((w, raw[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
-        return [out[w] if w in out else self(w) for w in words]
-
-    def _learn_runs(self, runs: list[str]) -> list[bytes]:
-        words: list[str] = []
-        ends = []
-        for r in runs:
-            if r.isalpha():
-                words.append(" " + r)
-            elif r[-1:] in ASCII_MARKS and r[:-1].isalpha():
-                words += (" " + r[:-1], r[-1])
+            if len(begin) == len(part) and begin[0] == 0:
+                parts.append(ids)
+                counts.append(np.diff(begin, append=len(ids)))
             else:
-                words += self.find(" " + r)
-            ends.append(len(words))
-        ids = self.words.of(words)
-        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                own = [np.frombuffer(self(" " + s), "<u4") for s in part]
+                parts += own
+                counts.append(np.array(list(map(len, own)), np.int64))
+        return np.concatenate(parts or [self.flat[:0]]), np.concatenate(counts or [self.length[:0]])
+
+    def _entries(self, keys: pa.Array) -> np.ndarray:
+        """Where different ``keys`` are among the entries; new ones are added."""
+        found = pc.index_in(keys, value_set=self.keys)
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            new = keys.filter(pc.is_null(found))
+            flat, length = self._learn(new.to_pylist())
+            at[at < 0] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
+            if len(self.keys) > CACHED:
+                used = np.unique(at)
+                self.flat = self._gather(self.flat, self.length, used)
+                self.keys, self.length = self.keys.take(pa.array(used)), self.length[used]
+                at = np.searchsorted(used, at)
+        return at
+
+    @staticmethod
+    def _gather(flat: np.ndarray, length: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        start, n = np.cumsum(length) - length, length[entries]
+        return flat[np.repeat(start[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
@@ -112,21 +105,38 @@ class Encoder:
             whole = pc.or_(whole, pc.match_substring(texts, s))
         whole = whole.to_numpy(zero_copy_only=False) if self.by_run else np.ones(len(texts), bool)
         # A text's first run follows no space, and texts that go whole aren't split: both get entries of their own.
-        split = pc.if_else(pa.array(whole), "", texts)
-        lists = pc.split_pattern(split, " ")
+        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         ends = lists.offsets.to_numpy()
         ends = ends - ends[0]
         runs = lists.flatten().dictionary_encode()
-        codes, kinds = runs.indices.to_numpy().astype(np.int64), len(runs.dictionary)
-        blobs = self.runs.of(runs.dictionary.to_pylist())
-        codes[ends[:-1]] = kinds + np.arange(len(texts))
-        blobs += [self(text if all_of_it else text.split(" ", 1)[0]) for text, all_of_it in zip(texts.to_pylist(), whole, strict=True)]
-        flat, length = np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        start = np.cumsum(length) - length
-        n = length[codes]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(start[codes] - (upto - n), n) + np.arange(upto[-1])]
-        return ids, upto[ends[1:] - 1]
+        kinds = pa.concat_arrays([runs.dictionary])
+
+        stem = pc.utf8_rtrim(kinds, MARKS)
+        marks = (pc.binary_length(kinds).to_numpy(zero_copy_only=False) - pc.binary_length(stem).to_numpy(zero_copy_only=False)).astype(np.int64)
+        offsets = np.frombuffer(kinds.buffers()[1], np.int64)[kinds.offset : kinds.offset + len(kinds) + 1]
+        data = np.frombuffer(kinds.buffers()[2] or b"\0", np.uint8)
+        mark = self.mark[data[np.maximum(offsets[1:] - 1, 0)]]
+        plain = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False) & ((marks == 0) | ((marks == 1) & (mark >= 0)))
+        tail = np.where(plain & (marks == 1), mark, -1)
+        keys = pc.if_else(pa.array(plain), stem, kinds).dictionary_encode()
+        entry = self._entries(keys.dictionary)[keys.indices.to_numpy()]
+
+        first = [np.frombuffer(self(t if w else t.split(" ", 1)[0]), "<u4") for t, w in zip(texts.to_pylist(), whole, strict=True)]
+        flat = np.concatenate([self.flat, *first])
+        length = np.concatenate([self.length, np.array(list(map(len, first)), np.int64)])
+        codes = runs.indices.to_numpy()
+        entries, tails = entry[codes], tail[codes]
+        entries[ends[:-1]], tails[ends[:-1]] = len(self.length) + np.arange(len(texts)), -1
+
+        n = length[entries]
+        upto = np.cumsum(n + (tails >= 0))
+        out = np.empty(upto[-1], "<u4")
+        marked = np.flatnonzero(tails >= 0)
+        body = np.ones(len(out), bool)
+        body[upto[marked] - 1] = False
+        out[body] = self._gather(flat, length, entries)
+        out[upto[marked] - 1] = tails[marked]
+        return out, upto[ends[1:] - 1]
 
 
 @functools.cache
@@ -136,4 +146,6 @@ def encoder(path: str) -> Encoder:
 
 
 def default_path() -> str:
+    import public_tokenizers
+
     return public_tokenizers.path("byte_bpe_50k.json")
