@@ -4,7 +4,7 @@ A file set is a Parquet folder with one row for each block; the frequency table
 holds whole documents, at least one and as many as fit ``block_tokens``; one document longer than that is a block. Row:
 
     part int, block int     place in document order (parts follow each other, blocks within a part too)
-    n_ids long              ids in the block
+    before long, n_ids long ids in the part before the block, and in the block
     doc_ids, doc_lens       each document's id and count of ids, in order
     coded binary            the ids, by rANS with checkpoints (see ``rans``)
     ids_crc32 long          checksum of the block's ids as little-endian unsigned 32-bit integers
@@ -27,7 +27,7 @@ from fluorite.llm import rans
 from fluorite.llm.common import map_batches, stage
 from fluorite.llm.tokens import default_path, encoder
 
-BLOCK = "part int, block int, n_ids long, doc_ids array<long>, doc_lens array<long>, coded binary, ids_crc32 long"
+BLOCK = "part int, block int, before long, n_ids long, doc_ids array<long>, doc_lens array<long>, coded binary, ids_crc32 long"
 
 
 def tokenise(docs: DataFrame, path: str | None = None, end_id: int | None = 0, keep: str = "") -> DataFrame:
@@ -92,23 +92,23 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0, block_token
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def code(batches):
-        part, block, held, size = -1, 0, [], 0
+        part, block, before, held, size = -1, 0, 0, [], 0
         table = rans.Table(shared.value)
 
         def flush():
             raw = b"".join(x[2] for x in held)
             own = np.frombuffer(raw, f"<u{width}").astype("<u4")
             every = max(checkpoint_steps, len(own) // lanes // 60_000 + 1)
-            row = {"part": part, "block": block, "n_ids": len(own), "doc_ids": [x[0] for x in held], "doc_lens": [x[1] for x in held], "coded": rans.encode(own, table, lanes, every), "ids_crc32": zlib.crc32(own.tobytes())}
+            row = {"part": part, "block": block, "before": before, "n_ids": len(own), "doc_ids": [x[0] for x in held], "doc_lens": [x[1] for x in held], "coded": rans.encode(own, table, lanes, every), "ids_crc32": zlib.crc32(own.tobytes())}
             return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
         for b in batches:
             for doc, n, blob, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "part")), strict=True):
                 if held and (p != part or size + n > block_tokens):
                     yield flush()
-                    block, held, size = block + 1, [], 0
+                    block, before, held, size = block + 1, before + size, [], 0
                 if p != part:
-                    part, block = p, 0
+                    part, block, before = p, 0, 0
                 held.append((doc, n, blob))
                 size += n
         if held:
@@ -121,41 +121,32 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0, block_token
     return stage(blocks), counts
 
 
-SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("coded", pa.binary()), ("ids_crc32", pa.int64())])
+SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("coded", pa.binary()), ("ids_crc32", pa.int64())])
 
 
 def read(blocks: DataFrame, counts: np.ndarray) -> DataFrame:
     """Decode blocks: doc_id, start long (ids of all documents before it), n_tokens, ids_crc32 and ids (little-endian u32).
 
-    A block whose checksum doesn't hold fails the job. Where a block starts follows from the blocks' counts alone: they
-    are summed by part, and only within a part do blocks need their order.
+    A block whose checksum doesn't hold fails the job. A block knows its place in its part; the parts' sums give the rest.
     """
     by_part = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = by_part.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     # One row for each part, and there are as many parts as shuffle partitions.
-    at = blocks.select("part", "block", "n_ids").withColumn("within", F.sum("n_ids").over(W.partitionBy("part").orderBy("block")) - F.col("n_ids"))
-    at = at.join(F.broadcast(base), "part").select("part", "block", (F.col("base") + F.col("within")).alias("at"))
-    placed = blocks.join(at, ["part", "block"])
+    placed = blocks.join(F.broadcast(base), "part").withColumn("at", F.col("base") + F.col("before"))
     shared = blocks.sparkSession.sparkContext.broadcast(counts)
 
-    def make():
+    def decode(batches):
         table = rans.Table(shared.value)
-
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
-            for row in batch.to_pylist():
+        for batch in batches:
+            for k in range(batch.num_rows):  # a block at a time, so a task holds the ids of one
+                (row,) = batch.slice(k, 1).to_pylist()
                 raw = rans.decode(row["coded"], table).tobytes()
                 if zlib.crc32(raw) != row["ids_crc32"]:
                     raise ValueError(f"checksum of block {row['part']}/{row['block']} doesn't hold")
-                at = 0
-                for doc, n in zip(row["doc_ids"], row["doc_lens"], strict=True):
-                    own = raw[4 * at : 4 * (at + n)]
-                    for k, v in (("doc_id", doc), ("start", row["at"] + at), ("n_tokens", n), ("ids_crc32", zlib.crc32(own)), ("ids", own)):
-                        out[k].append(v)
-                    at += n
-            kinds = {"ids": pa.binary()}
-            return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
-
-        return one
+                ends = np.cumsum(row["doc_lens"]).tolist()
+                own = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+                start = [row["at"] + e - n for e, n in zip(ends, row["doc_lens"], strict=True)]
+                cols = (row["doc_ids"], start, row["doc_lens"], list(map(zlib.crc32, own)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(own, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return map_batches(placed, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary", make)
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
