@@ -3,7 +3,8 @@
 Numbers, units of measure and names become typed placeholders, so an item asked again with other values has the same
 template. Windows of template words are hash-joined with those of the benchmark; a document is contaminated by an item if
 enough of the item's windows occur in it and its values fill the item's slots consistently: wherever the item repeats a
-value, the document repeats one too.
+value, the document repeats one too. Values are compared over the whole document first; an item that fails there is looked
+for again in each of its occurrences, as a document may hold several versions of it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ NUMBER = r"\p{Nd}++(?:[.,:]\p{Nd}++)*+"
 NUM, UNIT, NAME = "0N", "0U", "0A"
 #: Above so many benchmark windows the join shuffles instead of broadcasting; a window takes about 60 bytes.
 MAX_BROADCAST_WINDOWS = 500_000
-
+#: An occurrence may be out of step with itself by so many words: a name of two words for one, a word put in.
+SLACK = 8
 
 
 def let(value: Column, use) -> Column:
@@ -54,11 +56,44 @@ def windows(text: Column, size: int) -> Column:
     return let(hashed, of)
 
 
+def occurrences(hits: DataFrame) -> DataFrame:
+    """doc_id, item_id, at, pos, doc_pos: for each offset between item and document at which a window is met, the occurrence there.
+
+    It takes each window of the item at the offset nearest to its own, up to ``SLACK`` away, and each place of the document
+    once, so a template that repeats inside itself doesn't borrow the values of its neighbours.
+    """
+    keys, width = ["doc_id", "item_id"], SLACK + 1
+    bucket = F.floor(F.col("at") / width)
+    hits = hits.withColumn("at", F.col("doc_pos") - F.col("pos"))
+    anchors = hits.select(*keys, "at").distinct().withColumn("bucket", F.explode(F.sequence(bucket - 1, bucket + 1)))
+    near = hits.select(*keys, "pos", "doc_pos", F.col("at").alias("own"), F.floor(F.col("at") / width).alias("bucket")).join(anchors, [*keys, "bucket"])
+    off = F.abs(F.col("own") - F.col("at"))
+    near = near.where(off <= SLACK)
+    near = near.groupBy(*keys, "at", "pos").agg(F.min(F.struct(off.alias("off"), "doc_pos")).alias("m"))
+    near = near.groupBy(*keys, "at", "m.doc_pos").agg(F.min(F.struct("m.off", "pos")).alias("m"))
+    return near.select(*keys, "at", "m.pos", "doc_pos")
+
+
+def slot_pairs(hits: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``hits`` with p, a pair of slot values a of the item and b of the document, for each slot of each window."""
+    pairs = F.zip_with(F.slice("item_words", F.col("pos") + 1, size), F.slice("doc_words", F.col("doc_pos") + 1, size), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.filter(pairs, lambda p: p["a"].rlike("^0[NUA]_") & p["b"].rlike("^0[NUA]_"))
+    return hits.join(texts, ["doc_id", "item_id"]).select(*hits.columns, F.explode(pairs).alias("p"))
+
+
+def agreements(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """n_slots and agreement for each value of ``keys``."""
+    values = pairs.groupBy(*keys, "p.a", "p.b").agg(F.count("*").alias("n"))
+    by_value = values.groupBy(*keys, "a").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    return by_value.groupBy(*keys).agg(F.count("*").alias("n_slots"), (F.sum("best") / F.sum("n")).alias("agreement"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", size: int = 5, min_coverage: float = 0.5, min_agreement: float = 0.6) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots and agreement of each contaminated document and item.
 
     coverage: the part of the item's windows that occur in the document. agreement: of the aligned slot values, the part in
-    which the document has, for the item's value, its most frequent value there; 1 without slots.
+    which the document has, for the item's value, its most frequent value there; 1 without slots. It is that of the whole
+    document, or else of the best occurrence that holds enough of the item.
 
     An item or a text of fewer than ``size`` words has no windows and matches nothing, null and empty texts too. Rows with the
     same id count as one document or item, those with a null doc_id as one too. Empty tables give no rows; other columns are
@@ -77,16 +112,24 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     enough = matched.join(totals, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= min_coverage)
     enough = stage(enough)
 
-    slotted = item.select("item_id", words(F.col("text")).alias("item_words")).where(F.exists("item_words", lambda w: w.rlike("^0[NUA]_")))
-    asked = enough.join(slotted, "item_id")
-    aligned = met.join(asked.select("doc_id", "item_id", "item_words"), ["doc_id", "item_id"])
-    wanted = asked.select("doc_id").distinct()
+    item_words = item.select("item_id", words(F.col("text")).alias("item_words"))
+    asked = enough.select("doc_id", "item_id").join(item_words, "item_id")
+    wanted = enough.select("doc_id").distinct()
     doc_words = doc.join(F.broadcast(wanted) if small and wanted.limit(100_001).count() <= 100_000 else wanted, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
-    both = aligned.join(doc_words, "doc_id")
-    pairs = F.zip_with(F.slice("item_words", F.col("pos") + 1, size), F.slice("doc_words", F.col("doc_pos") + 1, size), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.filter(pairs, lambda p: p["a"].rlike("^0[NUA]_") & p["b"].rlike("^0[NUA]_"))
-    values = both.select("doc_id", "item_id", F.explode(pairs).alias("p")).groupBy("doc_id", "item_id", "p.a", "p.b").agg(F.count("*").alias("n"))
-    by_value = values.groupBy("doc_id", "item_id", "a").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    slots = by_value.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), (F.sum("best") / F.sum("n")).alias("agreement"))
-    out = enough.join(slots, ["doc_id", "item_id"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= min_agreement)
-    return out.select("doc_id", "item_id", "n_matched", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "agreement")
+    texts = stage(asked.join(doc_words, "doc_id"))
+    hits = met.select("doc_id", "item_id", "pos", "doc_pos")
+    keys = ["doc_id", "item_id"]
+    pooled = enough.join(agreements(slot_pairs(hits, texts, size), keys), keys, "left")
+    pooled = stage(pooled.withColumn("agreement", F.coalesce("agreement", F.lit(1.0))))
+
+    # What fails over the whole document is judged occurrence by occurrence.
+    failed = pooled.where(F.col("agreement") < min_agreement).drop("n_slots", "agreement")
+    held = occurrences(hits.join(failed.select(*keys), keys, "left_semi").distinct())
+    lengths = item_windows.groupBy("item_id").agg(F.count_distinct("pos").alias("n_pos"))
+    whole = held.groupBy(*keys, "at").agg(F.count("*").alias("n_held")).join(lengths, "item_id").where(F.col("n_held") >= min_coverage * F.col("n_pos")).select(*keys, "at")
+    units = stage(held.join(whole, [*keys, "at"], "left_semi"))
+    judged = agreements(slot_pairs(units, texts, size), [*keys, "at"])
+    judged = units.select(*keys, "at").distinct().join(judged, [*keys, "at"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= min_agreement)
+    best = judged.groupBy(*keys).agg(F.max(F.struct("agreement", "n_slots")).alias("m")).select(*keys, "m.n_slots", "m.agreement")
+    out = pooled.where(F.col("agreement") >= min_agreement).unionByName(failed.join(best, keys))
+    return out.select(*keys, "n_matched", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "agreement")

@@ -387,6 +387,16 @@ def test_inconsistent_slots_are_no_copy(spark):
     assert decontam.contaminated(d, i).count() == 0 and decontam.contaminated(d, i, min_agreement=0).count() == 1
 
 
+def test_versions_of_an_item_are_judged_each(spark):
+    one = ITEM.replace("40", "75").replace("Anna", "Boris").replace("120", "9")
+    two = ITEM.replace("40", "31").replace("Anna", "Clara").replace("120", "8")
+    sums = "so 3 plus 4 is 7 and 5 plus 6 is 11 and 8 plus 1 is 9"
+    docs = [(1, f"{ITEM} {one}"), (2, f"{one} {two} {ITEM}"), (3, sums), (4, f"first {one} then some words between {two}")]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(8, sums), (9, ITEM)], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.agreement for r in found.collect()}
+    assert set(got) == {(1, 9), (2, 9), (3, 8), (4, 9)} and got[2, 9] == got[3, 8] == 1.0
+
+
 def test_decontamination_takes_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string").withColumn("h", F.lit(1))
     assert {r.doc_id for r in decontam.contaminated(odd, items).collect()} == {1, 2, None}
