@@ -5,6 +5,9 @@ template. Windows of template words are hash-joined with those of the benchmark;
 enough of the item's windows occur in it and its values fill the item's slots consistently: wherever the item repeats a
 value, the document repeats one too. Values are compared over the whole document first; an item that fails there is looked
 for again in each of its occurrences, as a document may hold several versions of it.
+
+Where a sentence begins, a capital doesn't tell a name. So a window has a second reading in which each capitalised word is a
+name; occurrences take windows of either reading.
 """
 
 from __future__ import annotations
@@ -44,14 +47,25 @@ def template(word: Column) -> Column:
     return F.when(word.rlike("^0[NUA]_"), F.substring(word, 1, 2)).otherwise(F.lower(word))
 
 
+def slot(word: Column) -> Column:
+    """A word in the second reading: a capitalised one is a name, and a name ends with its letters."""
+    return F.when(word.rlike(r"^\p{Lu}\p{L}"), F.concat(F.lit("0A_"), word)).when(word.startswith("0A_"), F.regexp_extract(word, r"^0A_\p{L}+", 0)).otherwise(word)
+
+
 def windows(text: Column, size: int) -> Column:
-    """array<long>: hash of the template words of each window; empty for a text of fewer words."""
-    hashed = F.transform(words(text), lambda w: F.xxhash64(template(w)))
+    """array of pos, h and plain: hash of the template words of each window, and again, with plain false, in its second
+    reading if that differs; empty for a text of fewer words."""
+    hashed = F.transform(words(text), lambda w: F.struct(F.xxhash64(template(w)).alias("t"), w.rlike(r"^\p{Lu}\p{L}").alias("c")))
+    name = F.xxhash64(F.lit(NAME))
 
     def of(h: Column) -> Column:
         n = F.size(h) - (size - 1)
-        window = lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in range(size)])
-        return F.when(n > 0, F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(1))), window)).otherwise(F.array().cast("array<bigint>"))
+        at = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+        word = lambda i, k: F.get(h, i + k)
+        plain = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[word(i, k)["t"] for k in range(size)]).alias("h"), F.lit(True).alias("plain"))
+        second = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.when(word(i, k)["c"], name).otherwise(word(i, k)["t"]) for k in range(size)]).alias("h"), F.lit(False).alias("plain"))
+        capital = lambda i: F.exists(F.slice(h, i + 1, size), lambda x: x["c"])
+        return F.concat(F.transform(at, plain), F.transform(F.filter(at, capital), second))
 
     return let(hashed, of)
 
@@ -74,9 +88,9 @@ def occurrences(hits: DataFrame) -> DataFrame:
     return near.select(*keys, "at", "m.pos", "doc_pos")
 
 
-def slot_pairs(hits: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def slot_pairs(hits: DataFrame, texts: DataFrame, size: int, read=lambda word: word) -> DataFrame:
     """``hits`` with p, a pair of slot values a of the item and b of the document, for each slot of each window."""
-    pairs = F.zip_with(F.slice("item_words", F.col("pos") + 1, size), F.slice("doc_words", F.col("doc_pos") + 1, size), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(F.slice("item_words", F.col("pos") + 1, size), F.slice("doc_words", F.col("doc_pos") + 1, size), lambda a, b: F.struct(read(a).alias("a"), read(b).alias("b")))
     pairs = F.filter(pairs, lambda p: p["a"].rlike("^0[NUA]_") & p["b"].rlike("^0[NUA]_"))
     return hits.join(texts, ["doc_id", "item_id"]).select(*hits.columns, F.explode(pairs).alias("p"))
 
@@ -100,36 +114,38 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     ignored.
     """
     item = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL")
-    item_windows = stage(item.select("item_id", F.posexplode(windows(F.col("text"), size)).alias("pos", "h")).distinct())
-    totals = item_windows.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
+    item_windows = stage(item.select("item_id", F.inline(windows(F.col("text"), size))).distinct())
+    totals = item_windows.where("plain").groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"), F.count_distinct("pos").alias("n_pos"))
     # The benchmark's size is checked; beyond the bound both sides are dealt by window.
     small = item_windows.count() <= MAX_BROADCAST_WINDOWS
     right = F.broadcast(item_windows) if small else item_windows
     doc = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    met = doc.select("doc_id", F.posexplode(windows(F.col("text"), size)).alias("doc_pos", "h")).join(right, "h")
-    met = stage(met)
-    matched = met.groupBy("doc_id", "item_id", "h").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
-    enough = matched.join(totals, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= min_coverage)
-    enough = stage(enough)
+    met = doc.select("doc_id", F.inline(windows(F.col("text"), size))).withColumnsRenamed({"pos": "doc_pos", "plain": "doc_plain"}).join(right, "h")
+    met = stage(met.withColumn("plain", F.col("plain") & F.col("doc_plain")).drop("doc_plain"))
+    keys = ["doc_id", "item_id"]
+    # n_matched: different windows as they are, n_met: places of the item whose window is met in either reading.
+    matched = met.groupBy(*keys).agg(F.count_distinct(F.when(F.col("plain"), F.col("h"))).alias("n_matched"), F.count_distinct("pos").alias("n_met"))
+    enough = matched.join(totals, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    enough = stage(enough.where((F.col("coverage") >= min_coverage) | (F.col("n_met") >= min_coverage * F.col("n_pos"))))
 
     item_words = item.select("item_id", words(F.col("text")).alias("item_words"))
     asked = enough.select("doc_id", "item_id").join(item_words, "item_id")
     wanted = enough.select("doc_id").distinct()
     doc_words = doc.join(F.broadcast(wanted) if small and wanted.limit(100_001).count() <= 100_000 else wanted, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
     texts = stage(asked.join(doc_words, "doc_id"))
-    hits = met.select("doc_id", "item_id", "pos", "doc_pos")
-    keys = ["doc_id", "item_id"]
-    pooled = enough.join(agreements(slot_pairs(hits, texts, size), keys), keys, "left")
+    hits = met.select(*keys, "pos", "doc_pos", "plain")
+    pooled = enough.join(agreements(slot_pairs(hits.where("plain"), texts, size), keys), keys, "left")
     pooled = stage(pooled.withColumn("agreement", F.coalesce("agreement", F.lit(1.0))))
+    # No join finds a null id's texts, so its coverage alone counts.
+    passed = (F.col("coverage") >= min_coverage) & (F.col("agreement") >= min_agreement) | F.col("doc_id").isNull()
 
-    # What fails over the whole document is judged occurrence by occurrence.
-    failed = pooled.where(F.col("agreement") < min_agreement).drop("n_slots", "agreement")
-    held = occurrences(hits.join(failed.select(*keys), keys, "left_semi").distinct())
-    lengths = item_windows.groupBy("item_id").agg(F.count_distinct("pos").alias("n_pos"))
-    whole = held.groupBy(*keys, "at").agg(F.count("*").alias("n_held")).join(lengths, "item_id").where(F.col("n_held") >= min_coverage * F.col("n_pos")).select(*keys, "at")
+    # What fails over the whole document is judged occurrence by occurrence, in both readings.
+    failed = pooled.where(~passed).drop("n_slots", "agreement")
+    held = occurrences(hits.drop("plain").join(failed.select(*keys), keys, "left_semi").distinct())
+    whole = held.groupBy(*keys, "at").agg(F.count("*").alias("n_held")).join(totals, "item_id").where(F.col("n_held") >= min_coverage * F.col("n_pos")).select(*keys, "at")
     units = stage(held.join(whole, [*keys, "at"], "left_semi"))
-    judged = agreements(slot_pairs(units, texts, size), [*keys, "at"])
+    judged = agreements(slot_pairs(units, texts, size, slot), [*keys, "at"])
     judged = units.select(*keys, "at").distinct().join(judged, [*keys, "at"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= min_agreement)
     best = judged.groupBy(*keys).agg(F.max(F.struct("agreement", "n_slots")).alias("m")).select(*keys, "m.n_slots", "m.agreement")
-    out = pooled.where(F.col("agreement") >= min_agreement).unionByName(failed.join(best, keys))
+    out = pooled.where(passed).unionByName(failed.join(best, keys))
     return out.select(*keys, "n_matched", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "agreement")

@@ -397,6 +397,14 @@ def test_versions_of_an_item_are_judged_each(spark):
     assert set(got) == {(1, 9), (2, 9), (3, 8), (4, 9)} and got[2, 9] == got[3, 8] == 1.0
 
 
+def test_names_that_begin_sentences_are_slots(spark):
+    item = "Anna buys seven red pens at the shop. Anna gives five of them to her sister. Anna keeps all other pens in a box. Anna wants to know what she has left."
+    other = item.replace("Anna", "Boris")
+    docs = [(1, f"He said: {other}"), (2, '"' + other.replace(". ", '."\n"')), (3, "Boris buys seven red pens at the shop. Then he went home and slept until late in the day."), (4, item)]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2, 4]
+
+
 def test_decontamination_takes_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string").withColumn("h", F.lit(1))
     assert {r.doc_id for r in decontam.contaminated(odd, items).collect()} == {1, 2, None}
