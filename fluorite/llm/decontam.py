@@ -8,12 +8,16 @@ for again in each of its occurrences, as a document may hold several versions of
 
 Where a sentence begins, a capital doesn't tell a name. So a window has a second reading in which each capitalised word is a
 name; occurrences take windows of either reading.
+
+Besides half of an item, a passage of ``PASSAGE`` of its template words in a row counts, an item of which up to ``CHANGES`` words
+were replaced, and an item too short for windows if it occurs whole with its own values.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fluorite.llm.common import stage
 
@@ -26,6 +30,10 @@ NUM, UNIT, NAME = "0N", "0U", "0A"
 MAX_BROADCAST_WINDOWS = 500_000
 #: An occurrence may be out of step with itself by so many words: a name of two words for one, a word put in.
 SLACK = 8
+#: So many template words in a row are a leak, however long the item is.
+PASSAGE = 13
+#: So many words of an item may have been replaced; fewer in one under 15 words, where no window might be left to find it by.
+CHANGES = 2
 
 
 def let(value: Column, use) -> Column:
@@ -88,6 +96,44 @@ def occurrences(hits: DataFrame) -> DataFrame:
     return near.select(*keys, "at", "m.pos", "doc_pos")
 
 
+def passages(hits: DataFrame, least: int) -> DataFrame:
+    """doc_id, item_id, at, run, pos, doc_pos: runs of ``least`` or more windows that follow each other in both texts."""
+    keys = ["doc_id", "item_id", "at"]
+    rows = hits.withColumn("at", F.col("doc_pos") - F.col("pos"))
+    rows = rows.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy(*keys).orderBy("pos")))
+    return rows.withColumn("n", F.count("*").over(W.partitionBy(*keys, "run"))).where(F.col("n") >= least).drop("n")
+
+
+def aligned(hits: DataFrame, texts: DataFrame, totals: DataFrame, size: int) -> DataFrame:
+    """doc_id, item_id, at and pairs (of all slot values) where the whole item but its replaced words stands in the document."""
+    keys = ["doc_id", "item_id", "at"]
+    met = hits.withColumn("at", F.col("doc_pos") - F.col("pos")).groupBy(*keys).agg(F.count("*").alias("n")).join(totals.select("item_id", "n_pos", "changes"), "item_id")
+    met = met.where((F.col("n") >= 1) & (F.col("n") >= F.col("n_pos") - size * F.col("changes"))).join(texts, ["doc_id", "item_id"])
+    pairs = F.transform("item_words", lambda w, i: F.struct(w.alias("a"), F.get("doc_words", i + F.col("at").cast("int")).alias("b")))
+    same = lambda p: F.coalesce((template(p["a"]) == template(p["b"])) | (template(slot(p["a"])) == template(slot(p["b"]))), F.lit(False))
+    met = met.select(*keys, "changes", pairs.alias("pairs")).where(F.size(F.filter("pairs", lambda p: ~same(p))) <= F.col("changes"))
+    own = F.transform("pairs", lambda p: F.struct(slot(p["a"]).alias("a"), slot(p["b"]).alias("b")))
+    return met.select(*keys, F.filter(own, lambda p: F.coalesce(p["a"].rlike("^0[NUA]_") & p["b"].rlike("^0[NUA]_"), F.lit(False))).alias("pairs"))
+
+
+def short_items(doc: DataFrame, item: DataFrame, size: int) -> DataFrame:
+    """Items of fewer than ``size`` words that occur whole, in their own values, as rows of ``contaminated``."""
+    exact = F.transform(words(F.col("text")), lambda w: F.lower(F.regexp_replace(slot(w), "^0[NUA]_", "")))
+    slots = F.size(F.filter(words(F.col("text")), lambda w: w.rlike("^0[NUA]_"))).cast("long")
+    item = item.select("item_id", exact.alias("w"), slots.alias("n_slots")).withColumn("n", F.size("w")).where((F.col("n") > 0) & (F.col("n") < size))
+    item = stage(item.select("item_id", "n", "n_slots", F.xxhash64(F.array_join("w", " ")).alias("h")).distinct())
+    lengths = sorted(r.n for r in item.select("n").distinct().collect())  # at most size - 1
+
+    def of(w: Column) -> Column:
+        cut = lambda n: lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")).alias("h"))
+        at = lambda n: F.when(F.size(w) >= n, F.sequence(F.lit(0), F.greatest(F.size(w), F.lit(n)) - n)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.concat(*[F.transform(at(n), cut(n)) for n in lengths]))
+
+    found = doc.select("doc_id", F.inline(let(exact, of))) if lengths else doc.select("doc_id", F.lit(0).alias("n"), F.lit(0).cast("long").alias("h")).limit(0)
+    found = found.join(F.broadcast(item) if item.count() <= MAX_BROADCAST_WINDOWS else item, ["n", "h"]).select("doc_id", "item_id", "n_slots").distinct()
+    return found.select("doc_id", "item_id", F.lit(1).cast("long").alias("n_matched"), F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("coverage"), "n_slots", F.lit(1.0).alias("agreement"))
+
+
 def slot_pairs(hits: DataFrame, texts: DataFrame, size: int, read=lambda word: word) -> DataFrame:
     """``hits`` with p, a pair of slot values a of the item and b of the document, for each slot of each window."""
     pairs = F.zip_with(F.slice("item_words", F.col("pos") + 1, size), F.slice("doc_words", F.col("doc_pos") + 1, size), lambda a, b: F.struct(read(a).alias("a"), read(b).alias("b")))
@@ -107,15 +153,16 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
     coverage: the part of the item's windows that occur in the document. agreement: of the aligned slot values, the part in
     which the document has, for the item's value, its most frequent value there; 1 without slots. It is that of the whole
-    document, or else of the best occurrence that holds enough of the item.
+    document, or else of the best occurrence, passage or alignment that holds enough of the item.
 
-    An item or a text of fewer than ``size`` words has no windows and matches nothing, null and empty texts too. Rows with the
-    same id count as one document or item, those with a null doc_id as one too. Empty tables give no rows; other columns are
+    A text of fewer than ``size`` words has no windows, an empty or null one has no words; an item of fewer must occur whole, in
+    its own values. Rows with the same id count as one document or item, those with a null doc_id as one too. Empty tables give no rows; other columns are
     ignored.
     """
     item = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL")
     item_windows = stage(item.select("item_id", F.inline(windows(F.col("text"), size))).distinct())
     totals = item_windows.where("plain").groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"), F.count_distinct("pos").alias("n_pos"))
+    totals = stage(totals.withColumn("changes", F.least(F.lit(CHANGES), F.floor((F.col("n_pos") - 1) / size))))
     # The benchmark's size is checked; beyond the bound both sides are dealt by window.
     small = item_windows.count() <= MAX_BROADCAST_WINDOWS
     right = F.broadcast(item_windows) if small else item_windows
@@ -126,8 +173,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     # n_matched: different windows as they are, n_met: places of the item whose window is met in either reading.
     matched = met.groupBy(*keys).agg(F.count_distinct(F.when(F.col("plain"), F.col("h"))).alias("n_matched"), F.count_distinct("pos").alias("n_met"))
     enough = matched.join(totals, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-    enough = stage(enough.where((F.col("coverage") >= min_coverage) | (F.col("n_met") >= min_coverage * F.col("n_pos"))))
-
+    covered = (F.col("coverage") >= min_coverage) | (F.col("n_met") >= min_coverage * F.col("n_pos"))
+    traced = (F.col("n_met") >= PASSAGE - size + 1) | (F.col("n_met") >= F.col("n_pos") - size * F.col("changes"))
+    enough = stage(enough.where(covered | traced & F.col("doc_id").isNotNull()))
     item_words = item.select("item_id", words(F.col("text")).alias("item_words"))
     asked = enough.select("doc_id", "item_id").join(item_words, "item_id")
     wanted = enough.select("doc_id").distinct()
@@ -141,11 +189,18 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
     # What fails over the whole document is judged occurrence by occurrence, in both readings.
     failed = pooled.where(~passed).drop("n_slots", "agreement")
-    held = occurrences(hits.drop("plain").join(failed.select(*keys), keys, "left_semi").distinct())
+    hits = stage(hits.drop("plain").join(failed.select(*keys), keys, "left_semi").distinct())
+    held = occurrences(hits)
     whole = held.groupBy(*keys, "at").agg(F.count("*").alias("n_held")).join(totals, "item_id").where(F.col("n_held") >= min_coverage * F.col("n_pos")).select(*keys, "at")
-    units = stage(held.join(whole, [*keys, "at"], "left_semi"))
-    judged = agreements(slot_pairs(units, texts, size, slot), [*keys, "at"])
-    judged = units.select(*keys, "at").distinct().join(judged, [*keys, "at"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= min_agreement)
+    unit = [*keys, "at", "run"]
+    # Runs count from -1 on; -2 is an occurrence, -3 an alignment.
+    units = held.join(whole, [*keys, "at"], "left_semi").withColumn("run", F.lit(-2)).unionByName(passages(hits, PASSAGE - size + 1))
+    units = stage(units)
+    lines = stage(aligned(hits, texts, totals, size).withColumn("run", F.lit(-3)))
+    pairs = slot_pairs(units, texts, size, slot).select(*unit, "p").unionByName(lines.select(*unit, F.explode("pairs").alias("p")))
+    judged = units.select(*unit).unionByName(lines.select(*unit)).distinct().join(agreements(pairs, unit), unit, "left")
+    judged = judged.withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= min_agreement)
     best = judged.groupBy(*keys).agg(F.max(F.struct("agreement", "n_slots")).alias("m")).select(*keys, "m.n_slots", "m.agreement")
     out = pooled.where(passed).unionByName(failed.join(best, keys))
-    return out.select(*keys, "n_matched", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "agreement")
+    out = out.select(*keys, "n_matched", "n_windows", "coverage", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "agreement")
+    return out.unionByName(short_items(doc, item, size))

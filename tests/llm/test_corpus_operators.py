@@ -405,6 +405,26 @@ def test_names_that_begin_sentences_are_slots(spark):
     assert sorted(r.doc_id for r in found.collect()) == [1, 2, 4]
 
 
+def test_short_changed_and_partly_copied_items_are_found(spark):
+    short = "the old bridge near our small town was closed for repairs during last winter"
+    middle = "every child in this class has seven green marbles and shares them with friends after school today"
+    long = " ".join(f"w{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}{'xyz'[k // 100]}" for k in range(200))
+    other = middle.replace("class", "house").replace("friends", "people")
+    docs = [
+        (1, f"now {other} or so"),
+        (2, f"before {' '.join(long.split()[50:110])} after"),
+        (3, "Tell me: what is 12 * 7? Thanks"),
+        (4, "Tell me: what is 13 * 7? Thanks"),
+        (5, short.replace("town", "city")),
+        (6, " ".join(long.split()[50:62])),
+        (7, "now every child in this class has other things to do at home and nobody shares anything"),
+        (8, other.replace("green", "blue")),
+    ]
+    items = [(1, middle), (2, long), (3, "What is 12 * 7?"), (4, short)]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1, 1), (2, 2), (3, 3), (5, 4)]
+
+
 def test_decontamination_takes_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string").withColumn("h", F.lit(1))
     assert {r.doc_id for r in decontam.contaminated(odd, items).collect()} == {1, 2, None}
