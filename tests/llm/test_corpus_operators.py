@@ -455,6 +455,20 @@ def test_mpeg_damage():
     assert mpeg.read(stream + b"TAG" + bytes(125))["tags"] == ["id3v2", "id3v1"]
 
 
+@pytest.mark.parametrize("units", [1, 3])
+def test_mpeg_payload_that_looks_like_a_tag(units):
+    payload = bytearray(b"x" * 576 * units)
+    payload[576 * units - 55 : 576 * units - 52] = b"TAG"
+    stream = mpeg.write(bytes(payload))
+    assert stream[-128:-125] == b"TAG"
+    got = mpeg.read(stream)
+    assert mpeg.payload_of(stream, got["offsets"]) == payload and got["tags"] == ["id3v2"] and got["missing_frames"] == got["skipped"] == 0
+    tagged = mpeg.read(stream + b"TAG" + bytes(125))
+    assert len(tagged["offsets"]) == units and tagged["tags"] == ["id3v2", "id3v1"] and tagged["skipped"] == 0
+    cut = mpeg.read(stream[:-50] + b"TAG" + bytes(125))
+    assert cut["missing_frames"] == 1 and cut["tags"] == ["id3v2", "id3v1"]
+
+
 def test_mpeg_headers():
     assert mpeg.header(bytes([0xFF, 0xFB, 0x90, 0x00]))[:3] == (417, 1152, 44100)
     assert mpeg.header(bytes([0xFF, 0xF3, 0x40, 0xC0]))[:3] == (104, 576, 22050)
