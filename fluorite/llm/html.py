@@ -39,10 +39,14 @@ NAMED = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs comments comment reply respond disqus share sharing social related recommended footer masthead pagination pager widget toolbar "
     "complementary contentinfo skip login search".split()
 )
+#: Ids are often made from a title: in an article they count on these elements, if all their words name boilerplate.
+ID_INSIDE = frozenset("div aside ul".split())
+REMARKS = frozenset("comment comments respond disqus".split())
 NAMED_OUTSIDE = NAMED | {"header", "top", "topbar"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Names with or without a value, taken one after another, so that a value's words are never read as names.
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME = re.compile(r"[^A-Za-z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -67,16 +71,22 @@ class _Open:
 def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in BOILERPLATE or (tag == "header" and not in_main):
         return True
-    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
+    if not attrs:
         return False
-    for name, value in ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+    found = [(name.lower(), value.strip("\"'").lower()) for name, value in ATTR.findall(attrs)]
+    if tag in ("html", "body", "article", "main") and not any(name in ("class", "id", "role") and "comment" in value for name, value in found):
+        return False
+    for name, value in found:
         if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
             return True
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        elif (NAMED if in_main else NAMED_OUTSIDE) & set(NAME.split(value)):
+        if name == "id" and (in_main or tag in OWN_TEXT):
+            own = set(NAME.split(value)) - {""}
+            if own and (tag in ID_INSIDE and own <= NAMED or tag not in OWN_TEXT and own <= REMARKS):
+                return True
+        elif name in ("class", "id", "role") and (NAMED if in_main else NAMED_OUTSIDE) & set(NAME.split(value)):
             return True
     return False
 

@@ -283,6 +283,14 @@ def test_main_text_by_markup():
     assert html.parse("<article><p>cut &am")[0] == "cut &am"
 
 
+def test_attribute_values_and_title_ids_drop_no_text():
+    page = """<body><article><h2 id="related-work">Work</h2><p>See <a href="/the-hidden-valley">valley</a> and <a title="a hidden gem" href=/p?id=search>gem</a>.</p>
+    <section id="search-algorithms"><h2 id='login'>Log in</h2><p data-class="menu" data-hidden=1>Text</p></section><section id="comments"><p>Reader</p></section>
+    <div id="cookie-banner">Cookies</div><p hidden>Secret</p><p style="color: red; display: none">Gone</p><div class=ad>Buy</div></article></body>"""
+    assert html.parse(page)[0] == "Work\nSee valley and gem.\nLog in\nText"
+    assert html.parse('<body><div><h2 id="login">Log in</h2><p>Text</p></div><div id="main-menu">Menu</div></body>')[0] == "Log in\nText"
+
+
 def test_recurring_subtrees_go_and_article_text_stays(spark):
     rows = []
     for k in range(30):
