@@ -27,7 +27,8 @@ from fluorite.llm.common import stage
 from fluorite.llm.tokenfile import id_width, tokenise
 from fluorite.llm.tokens import default_path
 
-#: Sources beyond so many share queues by hash, which bounds what is broadcast and what placing a piece costs.
+#: Sources beyond so many share queues by hash, which bounds what is broadcast and what placing a piece costs; one that has a
+#: weight always keeps its own.
 MAX_QUEUES = 256
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
@@ -102,7 +103,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, max_tokens:
     ids = tokenise(named, path, end_id, keep="source")
     ids = stage(ids.withColumn("queue", F.col("source")))
     if ids.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        ids = ids.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")))
+        shared_queue = F.concat(F.lit("\x00#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))
+        own = [q for q, w in (weights or {}).items() if w > 0]
+        ids = ids.withColumn("queue", F.when(F.col("source").isin(own), F.col("source")).otherwise(shared_queue) if own else shared_queue)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["queue", F.col("doc_id").asc_nulls_first()]
     # The ranges go by queue and document only: their bounds are sampled, and ids would go to the driver with the samples.

@@ -263,6 +263,17 @@ def test_windows_hold_the_target_mixture():
             assert abs(got - 5000 * n / total) < 1000
 
 
+def test_weights_hold_with_many_sources(spark):
+    rows = [(k, "some words of a text " * 20, f"s{k % 300}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, max_tokens=64, window_tokens=64, weights={"s7": 3.0, "s8": 1.0}).drop("ids").collect()
+    assert len({r.doc_id for r in got}) == 600
+    total = sum(r.length for r in got if r.source == "s7")
+    first = [r for r in got if r.sequence_id * 64 + r.offset < total * 4 // 3]  # the phase in which both are served
+    n = {q: sum(r.length for r in first if r.source == q) for q in ("s7", "s8")}
+    assert n["s7"] == total and 2.5 < n["s7"] / n["s8"] < 3.5
+
+
 def test_packing_takes_odd_rows(odd):
     got = packing.pack(odd).collect()
     assert sum(r.length for r in got) == sum(len(ids_of(r.text)) + 1 for r in odd.select("text").collect())
