@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is empty (local tests) a temporary folder takes its place.
+    Only where that setting is empty and the master is local (tests) a temporary folder takes its place; a cluster's executors
+    share none, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/fluorite"
     return f"{base.rstrip('/')}/fluorite-{uuid.uuid4().hex}"
 
@@ -33,6 +36,25 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than this part of all rows, so at most as many as this, are attached by broadcast.
+HOT_KEYS = 100_000
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join on ``keys``, of which ``right`` has one row each with ``n``, the rows of ``left`` that have it.
+
+    A key with more than 1 / HOT_KEYS of all rows (and more than 1,000) is hot: there are at most HOT_KEYS of them whatever the
+    data, so they are broadcast and their rows don't move; the others are dealt by key. Null keys don't meet.
+    """
+    right = stage(right)
+    most = max(1000, (right.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    hot = right.where(F.col(n) > most)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) <= most), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,11 +1,19 @@
 """Main text of web pages by site template removal.
 
-Elements' subtrees are hashed in the tasks that parse the pages; Spark counts, for each host, on how many pages with
+Each element's subtree is hashed in the tasks that parse the pages; Spark counts, for each host, on how many pages with
 different main text each hash occurs, and a second pass deletes the subtrees that recur across many pages of their host.
-Copies of one article count once, so a widely copied article is no template. Paragraphs, headings, list items and quotes
-inside an article are its own text, however often a passage recurs, and are never deleted as template; nor is anything that
-holds the article. What a page's markup names as menu, header, footer, sidebar, notice, advert, form, script, style or
-reader comments goes too.
+Copies of one article count once, so a widely copied article is no template. An element has up to two hashes:
+
+* its content: tag, class and role names, text and children, without link targets, ids, white space and, but in prose, digits;
+* its shape and place: the names alone, its own and those above it, runs of equal children counted once, so a menu counts
+  by its kind of items. Only elements that the markup names as page furniture have it, and those outside the article
+  whose text is all links: their text may differ from page to page.
+
+Paragraphs, headings, list items and quotes inside an article are its own text, however often a passage recurs, and are
+never deleted by content; nor is anything that holds them or the article.
+
+Where counts don't decide (a host of few pages), what a page's markup names as menu, header, footer, sidebar, notice, advert,
+form, script, style or reader comments goes by its name, and of a page with an article only that is taken.
 """
 
 from __future__ import annotations
@@ -13,12 +21,13 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluorite.llm.common import map_batches, stage
+from fluorite.llm.common import attach, map_batches, stage
 
 # HTML element names by role.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -30,6 +39,8 @@ BLOCK = frozenset(
 )
 #: Text elements that an article owns.
 OWN_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption blockquote pre figcaption summary".split())
+#: Of these, the ones that hold prose; their numbers count, as a text may differ from the next page's in these alone.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 #: An open p ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,24 +59,37 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[
 #: Names with or without a value, taken one after another, so that a value's words are never read as names.
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME = re.compile(r"[^A-Za-z]+")
-HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+LOOSE, SPACE = re.compile(r"[\d\s]+"), re.compile(r"\s+")
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
-#: A subtree is a template if it recurs on so many pages of a host with different main text, and on this part of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
-#: Up to so many hosts with templates their lists are broadcast (a list has at most mean subtrees of a page / MIN_SHARE hashes).
-MAX_BROADCAST_TEMPLATES = 200_000
+#: A subtree is a template if it recurs on so many pages of a host with different main text, and on this part of them;
+#: a shape says less than content, so it takes a larger part.
+MIN_PAGES, MIN_SHARE, MIN_SHAPE_SHARE = 5, 0.2, 0.5
+#: Up to so many template hashes, 8 bytes each, go to all tasks as one sorted array; beyond it each page gets its host's.
+MAX_BROADCAST_TEMPLATES = 2_000_000
 
 
-def host_of(url: str | None) -> str:
-    m = HOST.match(url or "")
-    return m[1].lower() if m else ""
+class _Open:
+    """An element that isn't closed yet. parts: its text and children for the content hash; kinds: children's shapes."""
 
+    __slots__ = ("tag", "name", "path", "drop", "main", "keep", "mark", "holds_main", "holds_own", "parts", "kinds", "linked", "prose", "bare", "links")
+
+    def __init__(self, tag, name, path, drop, main, keep, mark, linked, prose):
+        self.tag, self.name, self.path, self.drop, self.main, self.keep, self.mark, self.linked, self.prose = tag, name, path, drop, main, keep, mark, linked, prose
+        self.holds_main, self.holds_own, self.bare, self.links = False, keep, False, int(tag == "a")
+        self.parts, self.kinds = [], []
 
-class _Open:
-    __slots__ = ("tag", "start", "drop", "main", "keep", "mark", "holds_main")
 
-    def __init__(self, tag, start, drop, main, keep, mark):
-        self.tag, self.start, self.drop, self.main, self.keep, self.mark, self.holds_main = tag, start, drop, main, keep, mark, False
+def _number(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
+
+
+def element_name(tag: str, attrs: str) -> str:
+    """Tag, classes and role in lower case, without digits; ids and all other attributes don't count."""
+    if "=" not in attrs:
+        return tag
+    own = [(name.lower(), LOOSE.sub(" ", value.strip("\"'").lower()).split()) for name, value in ATTR.findall(attrs)]
+    return ".".join([tag, *sorted({c for name, words in own if name in ("class", "role") for c in words})])
 
 
 def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
@@ -91,38 +115,56 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
-def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[str, list[int]]:
-    """The main text of a page without its host's ``templates``, and the hashes of the subtrees that could be some.
+def parse(page: str | None, is_template=None, site: str = "", lists: bool = True) -> tuple[str, list[int]]:
+    """The main text of a page without its site's templates, and the hashes of the subtrees that could be some.
 
-    The main text is that of its articles, without one of its main element, else of its body. Blocks that have text are
-    joined by line feeds. A null or empty page has neither.
+    ``is_template``: tells a template's hash, None for no templates; ``site`` is hashed into each of them. Hashes of content
+    are even, those of shape odd. The main text is that of the page's articles, without one of its main element, else of
+    its body. Blocks that have text are joined by line feeds. A null or empty page has neither text nor hashes.
+    ``lists``: False leaves out all rules but the templates, to see what the counts alone delete.
     """
     text = page or ""
     stack: list[_Open] = []
-    pieces: list[tuple[str | None, bool]] = []  # text in a block and whether a main element holds it; None: a block's edge
+    # Text in a block, whether a main element holds it and whether a named one does; None is a block's edge.
+    pieces: list[tuple[str | None, bool, bool]] = []
     hashes: list[int] = []
     dropped = 0
-    seen_main = {"article": False, "main": False}
 
-    def close(k: int, end: int) -> None:
+    def close(k: int) -> None:
         nonlocal dropped
         while len(stack) > k:
             e = stack.pop()
-            if e.drop:
-                dropped -= 1
-            elif not dropped and e.tag in BLOCK and not e.keep and not e.holds_main:
-                h = xxhash.xxh64_intdigest(text[e.start : end].encode("utf-8", "surrogatepass")) >> 1
-                hashes.append(h)
-                if h in templates:
+            dropped -= e.drop
+            content, shape = _number(e.name, *e.parts), _number(e.name, *e.kinds)
+            if e.parts and not e.holds_main and (e.tag in BLOCK or e.drop):
+                own = []
+                if not e.holds_own:
+                    own.append(_number(site, str(content)) >> 2 << 1)
+                if e.drop or not e.main and not e.bare and e.links > 1:
+                    own.append(_number(site, e.path, str(shape)) >> 2 << 1 | 1)
+                hashes.extend(own)
+                if is_template is not None and any(map(is_template, own)):
                     del pieces[e.mark :]
-            if stack and (e.holds_main or e.tag in ("article", "main")) and not e.drop and not dropped:
-                stack[-1].holds_main = True
+            if stack:
+                up = stack[-1]
+                if e.parts:
+                    up.parts.append(f"\x1e{content:x}")
+                kind = f"{shape:x}"
+                if not up.kinds or up.kinds[-1] != kind:
+                    up.kinds.append(kind)
+                up.bare, up.links, up.holds_own = up.bare or e.bare, up.links + e.links, up.holds_own or e.holds_own
+                if (e.holds_main or e.tag in ("article", "main")) and not e.drop and not dropped:
+                    up.holds_main = True
             if e.tag in BLOCK:
-                pieces.append((None, False))
+                pieces.append((None, False, False))
 
     def add(start: int, end: int) -> None:
-        if end > start and not dropped:
-            pieces.append((text[start:end], bool(stack) and stack[-1].main))
+        if end > start:
+            own = text[start:end]
+            pieces.append((own, bool(stack) and stack[-1].main, dropped > 0))
+            if stack and (own := (SPACE if stack[-1].prose else LOOSE).sub("", own.lower())):
+                stack[-1].parts.append(own)
+                stack[-1].bare = stack[-1].bare or not stack[-1].linked
 
     at = 0
     while True:
@@ -138,46 +180,50 @@ def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[st
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
-                    close(k, at)
+                    close(k)
                     break
                 if stack[k].tag in ("article", "main", "body") and tag not in ("body", "html", "main", "article", "section", "div"):
                     break
             continue
         if tag in VOID:
-            if tag in ("br", "hr") and not dropped:
-                pieces.append((" ", bool(stack) and stack[-1].main) if tag == "br" else (None, False))
+            if tag in ("br", "hr"):
+                pieces.append((" ", bool(stack) and stack[-1].main, dropped > 0) if tag == "br" else (None, False, False))
             continue
         if tag in ENDS_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == "p":
-                    close(k, m.start())
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
         if tag in ENDS_OWN:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag in ENDS_OWN[tag]:
-                    close(k, m.start())
+                    close(k)
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                     break
         inside = bool(stack) and stack[-1].main
         main = inside or tag in ("article", "main") or 'role="main"' in m[3].lower()
         drop = _boilerplate(tag, m[3], inside)
+        name = element_name(tag, m[3])
         if tag in BLOCK:
-            pieces.append((None, False))
-        if not dropped and not drop and tag in seen_main:
-            seen_main[tag] = True
-        stack.append(_Open(tag, m.start(), drop, main, inside and tag in OWN_TEXT, len(pieces)))
+            pieces.append((None, False, False))
+        path = f"{stack[-1].path}/{stack[-1].name}" if stack and len(stack) < 64 else ""
+        up = stack[-1] if stack else None
+        keep, linked, prose = inside and not dropped and not drop and tag in OWN_TEXT, tag == "a" or up is not None and up.linked, tag in PROSE or up is not None and up.prose
+        stack.append(_Open(tag, name, path, drop, main, keep, len(pieces), linked, prose))
         dropped += drop
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(text, at)
             at = stop.start() if stop else len(text)
-    close(0, len(text))
-    only_main = any(own for piece, own in pieces if piece and piece.strip())
+    close(0)
+    if lists:
+        pieces = [p for p in pieces if not p[2]]
+    only_main = lists and any(own for piece, own, _ in pieces if piece and piece.strip())
     blocks: list[str] = []
     held: list[str] = []
-    for piece, own in [*pieces, (None, False)]:
+    for piece, own, _ in [*pieces, (None, False, False)]:
         if piece is None:
             line = " ".join(html.unescape("".join(held)).split())
             if line:
@@ -188,59 +234,66 @@ def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[st
     return "\n".join(blocks), hashes
 
 
-def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates array<long>: subtree hashes that recur across the host's pages with different main text."""
+def _rows(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
+
+
+def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_shape_share: float = MIN_SHAPE_SHARE) -> DataFrame:
+    """host, h: hashes of subtrees that recur across the host's pages with different main text. Pages without a host have none."""
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            hosts, bodies, hashes = [], [], []
-            for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                body, found = parse(page)
-                hosts.append(host_of(url))
-                bodies.append(xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) >> 1)
+            bodies, hashes = [], []
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                body, found = parse(page, None, host)
+                bodies.append(_number(body) >> 1)
                 hashes.append(sorted(set(found)))
-            return pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "body": pa.array(bodies, pa.int64()), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
+            return pa.RecordBatch.from_pydict({"host": b.column("host"), "body": pa.array(bodies, pa.int64()), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
 
         return one
 
-    parsed = stage(map_batches(pages.select(F.col("url").cast("string"), F.col("html").cast("string")), "host string, body long, hashes array<long>", make))
+    parsed = stage(map_batches(_rows(pages).where("host <> ''").select("host", "html"), "host string, body long, hashes array<long>", make))
     # One row for each different main text of a host, then counts: partial sums go first, so a large host is no hot key.
     bodies = parsed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
     each = parsed.select("host", "body", F.explode("hashes").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
-    often = each.where(F.col("n") >= min_pages).join(bodies, "host").where(F.col("n") >= min_share * F.col("n_pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("templates"))
+    often = stage(each.where(F.col("n") >= min_pages))
+    # A host that has more such hashes than others is attached without a shuffle.
+    sizes = often.groupBy("host").agg(F.count("*").alias("n_hashes")).join(bodies, "host")
+    share = F.when(F.col("h") % 2 == 0, min_share).otherwise(min_shape_share)
+    return attach(often, sizes, ["host"], "n_hashes").where(F.col("n") >= share * F.col("n_pages")).select("host", "h")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_shape_share: float = MIN_SHAPE_SHARE, lists: bool = True, max_broadcast: int = MAX_BROADCAST_TEMPLATES
+) -> DataFrame:
     """``pages`` (page_id, url, html) as page_id, url, text and n_chars.
 
-    Null or empty html has an empty text; a null url is a host of its own; repeated rows are extracted each. Other columns
-    are ignored; an empty table gives no rows.
+    Null or empty html has an empty text; pages without a url or host are of no site, so only the markup's names count;
+    repeated rows are extracted each; a page may have any length. Other columns are ignored, whatever their names; an empty
+    table gives no rows.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    templates = stage(host_templates(rows, min_pages, min_share))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST.pattern, 1))
-    if templates.count() <= MAX_BROADCAST_TEMPLATES:
-        joined = rows.withColumn("host", host).join(F.broadcast(templates), "host", "left")
+    rows = _rows(pages)
+    templates = stage(host_templates(pages, min_pages, min_share, min_shape_share))
+    if templates.count() <= max_broadcast:
+        shared = pages.sparkSession.sparkContext.broadcast(np.sort(templates.select("h").toArrow()["h"].to_numpy()))
+        rows = rows.withColumn("own", F.lit(None).cast("array<long>"))
     else:
+        shared = None
         salts = 32  # a large host's pages are dealt to so many tasks
-        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+        lists_of = templates.groupBy("host").agg(F.collect_list("h").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(lists_of, ["host", "salt"], "left")
 
     def make():
-        met: dict[tuple, frozenset] = {}
-
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            every = shared.value if shared else None
             texts = []
-            for page, own in zip(b.column("html").to_pylist(), b.column("templates").to_pylist(), strict=True):
-                key = tuple(own or ())
-                if key not in met:
-                    if len(met) > 1000:
-                        met.clear()
-                    met[key] = frozenset(key)
-                texts.append(parse(page, met[key])[0])
+            for host, page, own in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("own").to_pylist(), strict=True):
+                known = every if shared else np.sort(np.array(own or [], np.int64))
+                found = lambda h: (k := int(known.searchsorted(h))) < len(known) and known[k] == h  # noqa: B023, E731
+                texts.append(parse(page, found if len(known) else None, host, lists)[0])
             return pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
         return one
 
-    return map_batches(joined.select("page_id", "url", "html", "templates"), "page_id long, url string, text string, n_chars long", make)
+    return map_batches(rows.select("page_id", "url", "html", "host", "own"), "page_id long, url string, text string, n_chars long", make)

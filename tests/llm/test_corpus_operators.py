@@ -316,6 +316,132 @@ def test_recurring_subtrees_go_and_article_text_stays(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def elements(page):
+    """A well-formed page as nested lists [name, children], by the library's parser."""
+    from html.parser import HTMLParser
+
+    root = ["", []]
+    stack = [root]
+
+    class P(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            words = [w for k, v in attrs if k in ("class", "role") for w in re.sub(r"[\d\s]+", " ", v.lower()).split()]
+            stack.append([".".join([tag, *sorted(set(words))]), []])
+            stack[-2][1].append(stack[-1])
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            stack[-1][1].append(data)
+
+    P().feed(page)
+    return root
+
+
+def brute_templates(pages, named):
+    """Main texts of (host, page) after removal of what recurs, by recounting every subtree as a nested tuple."""
+    loose = lambda t: re.sub(r"[\d\s]+", "", t.lower())
+
+    def content(e, prose=False):
+        prose = prose or e[0] == "p"
+        parts = [("".join(c.lower().split()) if prose else loose(c)) if isinstance(c, str) else content(c, prose) for c in e[1] if words(c).strip()]
+        return (e[0], *[x for x in parts if x])
+
+    def words(e):
+        return e if isinstance(e, str) else "".join(map(words, e[1]))
+
+    def shape(e):
+        kinds = [shape(c) for c in e[1] if not isinstance(c, str)]
+        return (e[0], *[k for j, k in enumerate(kinds) if not j or kinds[j - 1] != k])
+
+    def outside_links(e):
+        return "" if e[0] == "a" else "".join(c if isinstance(c, str) else outside_links(c) for c in e[1])
+
+    def links(e):
+        return (e[0] == "a") + sum(links(c) for c in e[1] if not isinstance(c, str))
+
+    def keys(e, path):
+        if loose(words(e)) and e[0].split(".")[0] in ("div", "section", "p", "article"):
+            yield e, ("content", content(e))
+            if e[0] in named or (not outside_links(e).strip() and links(e) > 1):
+                yield e, ("shape", path, shape(e))
+        for c in e[1]:
+            if not isinstance(c, str):
+                yield from keys(c, (*path, e[0]))
+
+    def text(e, gone):
+        if isinstance(e, str):
+            return e
+        if id(e) in gone:
+            return ""
+        inner = "".join(text(c, gone) for c in e[1])
+        return inner if e[0] in ("b", "a", "span") else "\n" + inner + "\n"
+
+    trees = [(h, elements(p)) for h, p in pages]
+    found, bodies = {}, {}
+    for (h, t), (_, p) in zip(trees, pages):
+        body = html.parse(p)[0]
+        bodies.setdefault(h, set()).add(body)
+        for _, k in keys(t, ()):
+            found.setdefault((h, k), set()).add(body)
+    often = {hk for hk, b in found.items() if len(b) >= 5 and len(b) >= (0.2 if hk[1][0] == "content" else 0.5) * len(bodies[hk[0]])}
+    out = []
+    for h, t in trees:
+        gone = {id(e) for e, k in keys(t, ()) if (h, k) in often}
+        lines = (" ".join(x.split()) for x in text(t, gone).split("\n"))
+        out.append("\n".join(x for x in lines if x))
+    return out, often
+
+
+def test_templates_against_a_recount(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(rng.choice(["red", "sun", "tree", "stone", "river", "blue", "hill", "cloud"], n)) + f" {rng.integers(10**6)}"
+    letters = lambda: "".join(rng.choice(list("abcdefghij"), 8))
+    rows = []
+    for k in range(60):
+        host = f"h{k % 4}.example"
+        menu = "".join(f"<span><a href='/{k}/{j}'>{letters()}</a></span>" for j in range(2 + k % 3))
+        own = "".join(f"<p>{letters()} {word(6)}</p>" for _ in range(3))
+        known = "<div class='box'>Read this every day</div>" if k % 8 != 3 else ""
+        rare = f"<section>Only {'abc'[k % 3]} here</section>" if k % 16 < 4 else ""
+        rows.append((k, f"http://{host}/{k}", f"<div><div class='bar c{k}'>{menu}</div>{known}<div>{own}</div>{rare}<div class='ad'>{letters()}</div></div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want, often = brute_templates([(u.split("/")[2], p) for _, u, p in rows], {"div.ad"})
+    got = {r.page_id: r.text for r in html.extract(pages, lists=False).collect()}
+    assert [got[k] for k in range(60)] == want
+    assert html.host_templates(pages).count() == len(often)
+    shuffled = {r.page_id: r.text for r in html.extract(pages, lists=False, max_broadcast=0).collect()}
+    assert shuffled == got and all("<" not in t and "Read this" not in t for t in got.values())
+
+
+def test_templates_go_by_count_and_not_by_name_alone(spark):
+    menu = lambda k: f"<div class='x{k}'><a href='/{k}'>Item {'abcdefghij'[k % 10] * 3}</a> <a>Other {'klmnopqrst'[k // 10] * 2}</a></div>"
+    rows = [(k, f"http://h.example/{k}", f"<body>{menu(k)}<div><em>Text {'abcdefghij'[k % 10] * 4} {'klmnopqrst'[k // 10] * 4}</em></div></body>") for k in range(30)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), lists=False)
+    assert {r.text for r in got.collect()} == {f"Text {'abcdefghij'[k % 10] * 4} {'klmnopqrst'[k // 10] * 4}" for k in range(30)}
+    few = html.extract(spark.createDataFrame(rows[:3], "page_id long, url string, html string"))
+    assert all("Item" in r.text for r in few.collect())
+    shared = [(k, f"http://s.example/{k}", f"<body><article><div><p>Shared passage.</p></div><p>Own {'abcdefghij'[k % 10] * 3}.</p></article></body>") for k in range(10)]
+    kept = html.extract(spark.createDataFrame(shared, "page_id long, url string, html string"))
+    assert all(r.text.startswith("Shared passage.\n") for r in kept.collect())
+
+
+def test_html_takes_odd_rows(spark):
+    long = "<body><nav>Menu</nav><article>" + "<p>word " * 40_000 + "</article></body>"
+    rows = [(k, f"http://h.example/{k}", f"<body><div>Same bar</div><p>{'abcdefghij'[k] * 5}</p></body>") for k in range(10)]
+    rows += [(20, None, "<body><div>Same bar</div><p>x</p></body>"), (None, "http://h.example/0", "<b>q"), (21, "http://h.example/z", long), (21, "http://h.example/z", long), (22, "no url", "<p>y"), (23, "http://h.example/e", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("host", "text", "own", "h", "salt", "hashes", "body", "n_chars")])
+    for bound in (10**6, 0):
+        got = html.extract(df, max_broadcast=bound)
+        assert got.columns == ["page_id", "url", "text", "n_chars"]
+        by = {}
+        for r in got.collect():
+            by.setdefault(r.page_id, []).append(r.text)
+        assert len(sum(by.values(), [])) == 16 and by[3] == ["ddddd"] and by[20] == ["Same bar\nx"] and by[None] == ["q"]
+        assert by[21] == ["\n".join(["word"] * 40_000)] * 2 and by[22] == ["y"] and by[23] == [""]
+
+
 # ---- chat -----------------------------------------------------------------------------------------------------------
 
 
