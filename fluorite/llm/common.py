@@ -40,8 +40,8 @@ def stage(df: DataFrame) -> DataFrame:
 HOT_KEYS = 100_000
 
 
-def attach(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """Inner join on ``keys``, of which ``right`` has one row each with ``n``, the rows of ``left`` that have it.
+def attach(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """Join ("inner" or "left") on ``keys``, of which ``right`` has one row each with ``n``, the rows of ``left`` that have it.
 
     A key with more than 1 / HOT_KEYS of all rows (and more than 1,000) is hot: there are at most HOT_KEYS of them whatever the
     data, so they are broadcast and their rows don't move; the others are dealt by key. Null keys don't meet.
@@ -50,8 +50,8 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFr
     most = max(1000, (right.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
     hot = right.where(F.col(n) > most)
     if hot.isEmpty():
-        return left.join(right, keys)
-    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) <= most), keys)
+        return left.join(right, keys, how)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) <= most), keys, how)
     return left.join(F.broadcast(hot), keys).unionByName(cold)
 
 

@@ -11,9 +11,14 @@ How the work stays in proportion to the rows:
 * Documents with the same shingle set are one node, however many there are.
 * A band's bucket links its members to its smallest node, its leader: at most one row for each member. Two documents that
   share a bucket share its leader, so all candidates meet in the leader's group; no pairs are listed.
-* A group of up to ``block`` members is confirmed in one task. A larger one is dealt into blocks by hash, and each two of its
-  blocks meet in a task of their own, so no task holds more than two blocks. A task returns the links of a spanning forest.
-* Links are joined to components by contraction; nothing is collected by the driver.
+* A group is dealt into blocks of a bounded number of nodes and shingles. First all pairs within each block are confirmed,
+  which settles a group of one block. Of a larger one each block's linked texts then send one of them to the next round,
+  where these meet in fewer blocks, and so on: near copies of one text, however many, become one component at a cost in
+  proportion to their number.
+* What is still apart in a group then meets what it hasn't met: the blocks of all but the largest component meet all of
+  the group's blocks, two in a task. Pairs that are linked by others already aren't compared.
+* Links are joined to components by contraction; nothing is collected by the driver. Buckets, groups and sets of copies that
+  hold a large part of all rows are joined by broadcast of their few keys, so none gathers in one task.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluorite.llm.common import map_batches, stage
+from fluorite.llm.common import attach, map_batches, stage
 from fluorite.llm.components import connected_components
 
 #: Ids of documents with candidates are broadcast up to so many, 8 bytes each.
 MAX_BROADCAST_IDS = 4_000_000
+#: Leaders of groups of several blocks are broadcast up to so many, 8 bytes each.
+HOT_GROUPS = 1_000_000
 
 
 def word_hashes(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
@@ -84,32 +91,115 @@ class Signer:
         return out.view(np.int64)
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows ``left`` and rows ``right``; a link has 100 * common >= percent * union."""
+#: Shingles of a block's sets at most, 8 bytes each, beside its largest set.
+BLOCK_SHINGLES = 2_000_000
+
+
+def links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows ``left`` and rows ``right``; a link has 100 * common >= percent * union.
+
+    ``known``: components the rows are in already; two rows of one component aren't compared.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    parent = list(range(len(ids)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
+    label = np.arange(len(ids)) if known is None else np.unique(known, return_inverse=True)[1]
     flag, out = np.zeros(len(vocabulary), bool), []
     for a in left:
+        apart = right[label[right] != label[a]]
+        if not len(apart):
+            continue
         own = codes[begin[a] : begin[a] + sizes[a]]
         flag[own] = True
         common = np.add.reduceat(flag[codes], begin)
         flag[own] = False
         close = 100 * common >= percent * (sizes[a] + sizes - common)
-        for b in right[close[right]]:
-            if (ra := root(int(a))) != (rb := root(int(b))):
-                parent[ra] = rb
+        for b in apart[close[apart]]:
+            if label[a] != label[b]:
+                label[label == label[b]] = label[a]
                 out.append((int(ids[a]), int(ids[b])))
     return out
 
 
+def _confirm(met: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """``met``: leader, node, own, i, j and component. Links between blocks i and j of each group: leader, a, b."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        ids, own = group["node"].to_numpy(), group["own"].to_numpy()
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+        found = links(ids, sets, np.flatnonzero(own == i), np.flatnonzero(own == j), percent, group["component"].to_numpy()) if len(ids) > 1 else []
+        return pa.table({"leader": pa.array([group["leader"][0].as_py()] * len(found), pa.int64()), "a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return stage(met.join(full, "node").groupBy("leader", "i", "j").applyInArrow(run, "leader long, a long, b long"))
+
+
+def _blocks(block: int, when: Column | None = None) -> Column:
+    """How many blocks a group's nodes (those for which ``when``) take."""
+    one, n = (F.lit(1), F.col("n")) if when is None else (F.when(when, 1), F.when(when, F.col("n")))
+    return F.ceil(F.greatest(F.coalesce(F.sum(one), F.lit(0)) / block, F.coalesce(F.sum(n), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+
+def _within_blocks(member: DataFrame, full: DataFrame, percent: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the blocks of each group (leader, node, n, component), and the groups' sizes (leader, members, blocks)."""
+    size = stage(member.groupBy("leader").agg(F.count("*").alias("members"), _blocks(block).alias("blocks")))
+    own = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")
+    met = attach(member, size, ["leader"], "members").withColumn("own", own).withColumn("i", F.col("own")).withColumn("j", F.col("own"))
+    return _confirm(met.select("leader", "node", "component", "own", "i", "j"), full, percent), size
+
+
+def _with_components(member: DataFrame, edges: DataFrame) -> DataFrame:
+    to = connected_components(edges.select("a", "b")).withColumnRenamed("component", "to")
+    return stage(member.drop("component").join(to, "node", "left").withColumn("component", F.coalesce("to", "node")).drop("to"))
+
+
+def _between_blocks(member: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between the components of each group: the blocks of all but its largest meet each other and the largest's."""
+    parts = member.groupBy("leader", "component").agg(F.count("*").alias("nodes"))
+    main = parts.groupBy("leader").agg(F.max(F.struct("nodes", "component")).alias("m"), F.sum("nodes").alias("members"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("leader", "members", F.col("m.component").alias("main"))
+    rows = attach(member, main, ["leader"], "members")
+    aside = F.col("component") != F.col("main")
+    half = max(1, block // 2)
+    size = rows.groupBy("leader").agg(F.count("*").alias("members"), _blocks(half, aside).alias("few"), _blocks(half, ~aside).alias("many"))
+    rows = attach(rows.drop("members"), size, ["leader"], "members")
+    own = F.when(aside, F.pmod(F.xxhash64("node"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).cast("int")
+    rows = rows.withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(aside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
+    return _confirm(rows.select("leader", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), full, percent)
+
+
+def confirmed_links(member: DataFrame, full: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: links that join what the pairs of each group (leader, node, n) with enough in common join."""
+    edges, size = _within_blocks(member.withColumn("component", F.col("node")), full, percent, block, 0)
+    large = size.where("blocks > 1").select("leader")
+    if large.isEmpty():
+        return edges.select("a", "b")
+    # Groups of one block are settled; only the members of larger ones go on, without their joined texts.
+    large = F.broadcast(large) if large.limit(HOT_GROUPS + 1).count() <= HOT_GROUPS else large
+    member, own, every = stage(member.join(large, "leader", "left_semi")), edges.join(large, "leader", "left_semi"), [edges]
+    seed, before = 0, None
+    while True:
+        member = _with_components(member, own)
+        heads = member.groupBy("leader", "component").agg(F.min(F.struct("node", "n")).alias("m")).select("leader", "m.node", "m.n", "component")
+        apart = heads.groupBy("leader").agg(F.count("*").alias("parts")).where("parts > 1").agg(F.sum("parts")).first()[0] or 0
+        if not apart:
+            break
+        # As long as a round joins a half of what is apart, the next costs at most half of it.
+        if before is not None and apart > before / 2:
+            every.append(_between_blocks(member, full, percent, block))
+            break
+        seed, before = seed + 1, apart
+        more, _ = _within_blocks(stage(heads), full, percent, block, seed)
+        every.append(more)
+        own = stage(own.unionByName(more))
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    return out.select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, permutations: int = 100, rows: int = 5, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept, for each row.
 
@@ -139,14 +229,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = stage(classes)
     # Both columns together are one row's, so a set that many rows share doesn't gather in one task.
     first = named.join(nodes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    banded = first.dropDuplicates(["set_key", "doc_id"]).select("doc_id", F.explode("bands").alias("band"))
+    banded = first.dropDuplicates(["set_key", "doc_id"]).select("doc_id", "n", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     # The leader itself is a member of each of its groups.
-    member = stage(banded.join(leaders.select("band", "leader"), "band").select("leader", F.col("doc_id").alias("node")).distinct())
-    size = member.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = member.join(size, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("leader", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    member = stage(attach(banded, leaders, ["band"], "members").select("leader", F.col("doc_id").alias("node"), "n").distinct())
 
     # Only texts that have a candidate are read again. Their ids are few and are broadcast, so that no other text moves; the
     # size is checked, and beyond it the texts are dealt by id.
@@ -164,28 +250,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return one
 
     full = map_batches(rows_in.join(wanted, "doc_id", "left_semi"), "node long, set_key binary, shingles binary", sets)
-    # Of rows that share a doc_id, only those with the node's own set count.
-    full = full.join(nodes.select("set_key", "node"), ["set_key", "node"], "left_semi").select("node", "shingles").dropDuplicates(["node", "shingles"])
-
-    def confirm(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        ids, own = group["node"].to_numpy(), group["own"].to_numpy()
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
-        found = links(ids, sets, np.flatnonzero(own == i), np.flatnonzero(own == j), percent) if len(ids) > 1 else []
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    edges = met.join(full, "node").groupBy("leader", "i", "j").applyInArrow(confirm, "a long, b long")
-    components = connected_components(edges).withColumnRenamed("node", "of").withColumnRenamed("component", "to")
-    named_nodes = nodes.join(components, nodes.node == components.of, "left").select("set_key", F.coalesce("to", "node").alias("component"))
+    # Of rows that share a doc_id, only those with the node's own set count. The sets are read once for each round.
+    full = stage(full.join(nodes.select("set_key", "node"), ["set_key", "node"], "left_semi").select("node", "shingles").dropDuplicates(["node"]))
+    components = connected_components(confirmed_links(member, full, percent, block)).withColumnRenamed("node", "of").withColumnRenamed("component", "to")
+    named_nodes = nodes.join(components, nodes.node == components.of, "left").select("set_key", "copies", F.coalesce("to", "node").alias("component"))
     # Documents alone with their text and their links are left as they are; the join is for the others.
     linked = named_nodes.join(nodes.where("copies > 1").select("set_key"), "set_key", "left_semi").unionByName(
-        named_nodes.join(components.select(F.col("of").alias("component")).distinct(), "component", "left_semi").select("set_key", "component")
+        named_nodes.join(components.select(F.col("of").alias("component")).distinct(), "component", "left_semi").select("set_key", "copies", "component")
     )
     return _result(signed, linked.distinct())
 
 
 def _result(signed: DataFrame, linked: DataFrame) -> DataFrame:
     own: Column = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    out = signed.select("doc_id", "n", "set_key").join(linked, "set_key", "left").withColumn("component_id", own)
+    out = attach(signed.select("doc_id", "n", "set_key"), linked, ["set_key"], "copies", "left").withColumn("component_id", own)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

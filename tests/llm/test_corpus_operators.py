@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluorite.llm import chat, decontam, gbt, html, minhash, mpeg, packing, quality, rans, secrets, tokenfile, toxicity
+from fluorite.llm.common import attach
 from fluorite.llm.components import connected_components
 from fluorite.llm.tokens import default_path, encoder
 
@@ -125,7 +126,7 @@ def brute(texts: dict[int, str | None], words: int, percent: int = 80) -> dict[i
     return part
 
 
-@pytest.mark.parametrize("block", [512, 7])
+@pytest.mark.parametrize("block", [512, 7, 3])
 def test_near_duplicates_against_brute_force(spark, block):
     rng = np.random.default_rng(3)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(2000)]
@@ -166,6 +167,15 @@ def test_signatures_estimate_similarity():
     assert abs(same - expect) < 0.25 * expect
 
 
+def test_hot_keys_are_attached_like_others(spark):
+    rows = [(k, "hot" if k < 1500 else None if k % 5 == 0 else f"k{k % 7}") for k in range(1700)]
+    left = spark.createDataFrame(rows, "i long, key string")
+    right = left.where("key IS NOT NULL AND key <> 'k3'").groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = sorted((r.i, r.key, r.n) for r in attach(left, right, ["key"], "n", how).collect())
+        assert got == sorted((r.i, r.key, r.n) for r in left.join(right, "key", how).collect())
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)]
