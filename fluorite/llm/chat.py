@@ -1,6 +1,7 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
-A message's content is a list of parts. Text parts are written as they are but for control strings, which are escaped;
+A message's content is a list of parts. Text parts that follow each other are joined and written as they are but for control
+strings, which are escaped in the joined text, so none can be put together from parts;
 image, audio and document parts become numbered placeholders, and what they refer to and how many tokens they expand to is
 recorded beside the text. A turn reads ``<|im_start|>role``, a line feed, the content, ``<|im_end|>`` and a line feed.
 
@@ -41,6 +42,24 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
 
 
+def _is_text(part: Column) -> Column:
+    return ~F.coalesce(part["type"].isin(*RATES), F.lit(False))
+
+
+def joined(parts: Column) -> Column:
+    """``parts`` with each run of text parts (all but the types of ``RATES``) as one."""
+    empty = F.array().cast(f"array<{PART}>")
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(F.lit("text").alias("type"), F.concat(text(last), text(p)).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))
+        return F.when((F.size(done) > 0) & _is_text(last) & _is_text(p), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(p)))
+
+    typed = parts.cast(f"array<{PART}>")
+    return F.when(F.size(typed) < 2, typed).otherwise(F.aggregate(typed, empty, step))
+
+
 def _visit(part: Column) -> Column:
     """What a part writes, and its tokens: the visitor. An unknown type counts as a text part."""
     rate = F.coalesce(*[F.when(part["type"] == k, F.lit(v)) for k, v in RATES.items()])
@@ -57,12 +76,13 @@ def _visit(part: Column) -> Column:
 def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", learn_role: str = "assistant") -> DataFrame:
     """One row for each conversation: conv, n_turns, formatted, loss_spans (code points, end exclusive) and attachments.
 
-    ``parts``: array of ``PART``; null content is empty. Turns go by ``turn`` (null first), ties by role and content. The loss
-    mask covers the text parts of the ``learn_role``'s turns. An attachment has its place in the text, type, ref and tokens.
-    A null ``conv`` is a conversation of its own. Other columns are ignored; an empty table gives no rows.
+    ``parts``: array of ``PART``; null content is empty, so is a null text, and a part of unknown or null type is a text. Turns go by ``turn`` (null first), ties by role and content. The loss
+    mask covers the texts of the ``learn_role``'s turns, a span for each run of text parts. An attachment has its place in the text, type, ref and tokens.
+    A null ``conv`` is a conversation of its own; repeated rows are turns each; texts may have any length. Other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     no_parts = F.array().cast(f"array<{PART}>")
-    m = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(parts), no_parts).alias("parts"))
+    m = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), joined(F.coalesce(F.col(parts), no_parts)).alias("parts"))
     m = m.withColumn("seen", F.transform("parts", _visit))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     m = m.withColumn("head", head).withColumn("line", F.concat("head", F.array_join(F.col("seen.written"), ""), F.lit(END + "\n")))
