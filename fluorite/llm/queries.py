@@ -21,8 +21,8 @@ def op2_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, counts = tokenfile.write(table(spark, sf_dir, "documents"))
-    return tokenfile.read(blocks, counts).select("doc_id", "start", "n_tokens", "ids_crc32")
+    folder = tokenfile.write(table(spark, sf_dir, "documents"))
+    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,18 +25,31 @@ LOW = 1 << 31
 
 
 class Table:
-    """Counts of all ids, scaled to a sum of 2**20 with at least 1 for each, so that every id can be coded."""
+    """``freq``: how many of the 2**20 slots each id has; at least 1, so that every id can be coded."""
 
-    def __init__(self, counts):
+    def __init__(self, freq: np.ndarray):
+        if int(freq.sum()) != 1 << BITS or int(freq.min()) < 1:
+            raise ValueError("frequencies must be positive and add up to 2**20")
+        self.freq = freq.astype(np.uint64)
+        self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+
+    @classmethod
+    def of_counts(cls, counts) -> Table:
+        """Counts of all ids, scaled to a sum of 2**20 with at least 1 for each."""
         counts = np.asarray(counts, np.float64)
         size = 1 << BITS
         if not 0 < len(counts) < size:
             raise ValueError(f"{len(counts)} ids; a table has 1 to {size - 1}")
         freq = 1 + np.floor(counts / max(counts.sum(), 1.0) * (size - len(counts))).astype(np.int64)
         freq[int(np.argmax(counts))] += size - freq.sum()
-        self.freq = freq.astype(np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(counts), dtype=np.uint32), freq)
+        return cls(freq)
+
+
+def checkpoints(blob: bytes) -> np.ndarray:
+    """How many ids of a coded block lie before each of its checkpoints."""
+    _, lanes, points = struct.unpack_from("<IHH", blob, 0)
+    return np.array([struct.unpack_from("<I", blob, 8 + k * (8 + 8 * lanes))[0] * lanes for k in range(points)], np.int64)
 
 
 def encode(data: np.ndarray, table: Table, lanes: int, every: int) -> bytes:

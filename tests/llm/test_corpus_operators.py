@@ -3,10 +3,13 @@
 import hashlib
 import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,7 +215,7 @@ def test_encoder_equals_the_library():
 @pytest.mark.parametrize("n", [0, 1, 7, 255, 2048, 2049, 30_000])
 def test_rans_round_trip_and_checkpoints(n):
     ids = np.minimum(np.random.default_rng(n).geometric(0.01, n), 4999).astype("<u4")
-    table = rans.Table(np.bincount(ids, minlength=5000))
+    table = rans.Table.of_counts(np.bincount(ids, minlength=5000))
     blob = rans.encode(ids, table, 64, 8)
     assert (rans.decode(blob, table) == ids).all()
     if n > 2000:
@@ -222,8 +225,8 @@ def test_rans_round_trip_and_checkpoints(n):
 
 def test_token_file_round_trip(spark, odd):
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string"))
-    blocks, counts = tokenfile.write(docs, block_tokens=40)
-    got = sorted(tokenfile.read(blocks, counts).collect(), key=lambda r: r.start)
+    folder = tokenfile.write(docs, block_tokens=40)
+    got = sorted(tokenfile.read(spark, folder).collect(), key=lambda r: r.start)
     want = sorted((r.doc_id if r.doc_id is not None else -1, [*ids_of(r.text), 0]) for r in docs.collect())
     assert [(r.doc_id if r.doc_id is not None else -1) for r in got] == [k for k, _ in want]
     at = 0
@@ -231,7 +234,50 @@ def test_token_file_round_trip(spark, odd):
         raw = np.array(ids, "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(ids), zlib.crc32(raw), raw)
         at += len(ids)
-    assert tokenfile.read(*tokenfile.write(odd.limit(0))).count() == 0
+    assert tokenfile.read(spark, tokenfile.write(odd.limit(0))).count() == 0
+
+
+def test_token_file_is_read_from_checkpoints_by_path_alone(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "x", "of the"], int(rng.integers(0, 400))))) for k in range(60)] + [(99, "word " * 5000)]
+    folder = f"file://{tmp_path}/ids"
+    tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, block_tokens=4000, lanes=16, checkpoint_steps=8)
+    every = {r.doc_id: r for r in tokenfile.read(spark.newSession(), folder).collect()}
+    wanted = spark.createDataFrame([(3,), (40,), (59,), (99,), (40,), (1234,), (None,)], "doc_id long")
+    some = {r.doc_id: r for r in tokenfile.read_documents(wanted, folder).collect()}
+    assert set(some) == {3, 40, 59, 99} and all(some[k] == every[k] for k in some)
+    # Another process needs nothing but the files.
+    code = f"""
+import numpy as np, pyarrow.parquet as pq
+from fluorite.llm import rans
+meta = pq.read_table({str(tmp_path)!r} + "/ids/table").to_pylist()[0]
+table = rans.Table(np.frombuffer(meta["frequencies"], "<u4"))
+for row in pq.read_table({str(tmp_path)!r} + "/ids/blocks").to_pylist():
+    marks = [*rans.checkpoints(row["coded"]), row["n_ids"]]
+    whole = rans.decode(row["coded"], table)
+    assert len(whole) == row["n_ids"] == sum(row["doc_lens"]) and len(marks) == len(row["crc32s"]) + 1
+    for k, (a, b) in enumerate(zip(marks, marks[1:])):
+        assert (rans.decode(row["coded"], table, k, k + 1) == whole[a:b]).all()
+print("read")
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": os.environ["PYTHONPATH"]})
+    assert out.stdout.strip() == "read", out.stderr
+    path = next(p for p in sorted((tmp_path / "ids" / "table").glob("*.parquet")))
+    broken = pq.read_table(path).to_pylist()
+    broken[0]["crc32"] ^= 1
+    pq.write_table(pa.Table.from_pylist(broken), path)
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        tokenfile.read_table(spark, folder)
+
+
+def test_small_blocks_do_not_grow():
+    rng = np.random.default_rng(22)
+    ids = np.minimum(rng.zipf(1.2, 300_000) - 1, 49_999).astype("<u4")
+    table = rans.Table.of_counts(np.bincount(ids, minlength=50_000))
+    for n in (1000, 10_000, 262_144):
+        lanes = max(1, min(2048, n // tokenfile.LANE_IDS))
+        assert len(rans.encode(ids[:n], table, lanes, 64)) < 2 * n
 
 
 @pytest.mark.parametrize("weights", [None, {"s1": 0.8, "s2": 0.2}, {"s0": 1.0}])
