@@ -642,10 +642,87 @@ def test_short_changed_and_partly_copied_items_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1, 1), (2, 2), (3, 3), (5, 4)]
 
 
+def test_slots_hold_one_to_one(spark):
+    base = "a farmer has {} cows in one field and then also {} sheep in another field near the old river bank"
+    docs = [(1, base.format(5, 8)), (2, base.format(5, 5)), (3, base.format(12, 12)), (4, base.format(13, 12))]
+    same, other = base.format(12, 12), base.format(12, 13)
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, same), (2, other)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1, 2), (2, 1), (3, 1), (4, 2)]
+    full = "yesterday John Smith gives five red pens to Anna and then John Smith goes home with the other pens"
+    docs = [(1, full.replace("John Smith", "Olga")), (2, full.replace("John Smith", "Jan van Dyk").replace("van Dyk", "Van Dyk")), (3, full.replace("John Smith", "Olga", 1))]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, full)], "item_id long, text string"))
+    assert {r.doc_id: (r.coverage, r.agreement) for r in found.collect()} == {1: (1.0, 1.0), 2: (1.0, 1.0), 3: (1.0, 2 / 3)}
+    names = "Maria buys 12 pens. Tom eats 30 cups. Anna drinks 4 teas."
+    docs = [(1, "Olga buys 5 pens. Ivan eats 7 cups. Vera drinks 9 teas.")]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, names)], "item_id long, text string"))
+    assert [r.doc_id for r in found.collect()] == [1]
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    name = lambda: "".join(rng.choice(list("ABCDEF"), 1)) + word()
+
+    def make():  # words, of which some are slots (kind, number of the value)
+        out = [word() for _ in range(int(rng.integers(15, 24)))]
+        for k in range(2, len(out), 3):
+            out[k] = ("name" if rng.random() < 0.4 else "number", int(rng.integers(0, 3)))
+        return out
+
+    def fill(shape, values):
+        return [w if isinstance(w, str) else values(w) for w in shape]
+
+    def fixed():
+        known = {}
+        return lambda w: known.setdefault(w, name() if w[0] == "name" else str(int(rng.integers(100, 10**6))))
+
+    shapes = {k: make() for k in range(8)}
+    items = {k: fill(s, fixed()) for k, s in shapes.items()}
+    docs = {}
+    for d in range(160):
+        k = d % 8
+        noise = lambda w: (name() if w[0] == "name" else str(int(rng.integers(100, 10**6))))
+        body = fill(shapes[k], fixed() if d % 3 else noise)
+        n = len(body) if d % 4 else int(rng.integers(3, len(body)))
+        docs[d] = [word() for _ in range(4)] + body[:n] + [word() for _ in range(3)]
+
+    typed = lambda w: "A" if w[0].isupper() else "N" if w[0].isdigit() else w
+    want = {}
+    for d, dw in docs.items():
+        for k, iw in items.items():
+            wins = lambda ws: [tuple(map(typed, ws[j : j + 5])) for j in range(len(ws) - 4)]
+            iwin, dwin = wins(iw), wins(dw)
+            place = {w: j for j, w in enumerate(dwin)}
+            hit = [j for j, w in enumerate(iwin) if w in place]
+            slots = {j + q: place[iwin[j]] + q for j in hit for q in range(5) if typed(iw[j + q]) in ("A", "N")}
+            pairs = [((typed(iw[p]), iw[p]), (typed(dw[q]), dw[q])) for p, q in slots.items()]
+            count = {x: pairs.count(x) for x in pairs}
+            best_a = {a: min((-n, y[1]) for (x, y), n in count.items() if x == a)[1] for a, _ in pairs}
+            best_b = {b: min((-n, x[1]) for (x, y), n in count.items() if y == b)[1] for _, b in pairs}
+            held = sum(best_a[a] == b[1] and best_b[b] == a[1] for a, b in pairs)
+            if hit and len(hit) / len(iwin) >= 0.5 and held >= 0.6 * len(pairs):
+                want[d, k] = (len(hit) / len(iwin), len(pairs), held / len(pairs) if pairs else 1.0)
+            elif len(hit) >= 9 and held >= 0.6 * len(pairs):
+                want[d, k] = None
+    found = decontam.contaminated(
+        spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    )
+    got = {(r.doc_id, r.item_id): (r.coverage, r.n_slots, r.agreement) for r in found.collect()}
+    assert set(got) == set(want) and 60 < len(want) < 150
+    assert all(v is None or got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def test_decontamination_takes_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string").withColumn("h", F.lit(1))
+    odd = odd.select("*", *[F.lit("x").alias(c) for c in ("doc", "item_id", "doc_pos", "named", "plain", "at", "words")])
     assert {r.doc_id for r in decontam.contaminated(odd, items).collect()} == {1, 2, None}
     assert decontam.contaminated(odd.limit(0), items).count() == 0 and decontam.contaminated(odd, items.limit(0)).count() == 0
+    split = [(None, "a farmer has 5 cows in one field and then"), (None, "also 8 sheep in another field near the old river bank"), (5, "a farmer has 5 cows in one field and then"), (5, "also 8 sheep in another field"), (5, ITEM), (0, "x")]
+    whole = [(1, "a farmer has 5 cows in one field and then also 8 sheep in another field near the old river bank and the small road"), (2, ITEM), (2, "another text of this item that nobody has " * 2), (2, ITEM)]
+    found = decontam.contaminated(spark.createDataFrame(split, "doc_id long, text string"), spark.createDataFrame(whole, "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(5, 2)]
+    long = spark.createDataFrame([(1, "filler " * 100_000 + ITEM)], "doc_id long, text string")
+    assert decontam.contaminated(long, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 1
 
 
 # ---- media ----------------------------------------------------------------------------------------------------------
