@@ -75,13 +75,15 @@ def statistics(text: str | None) -> list[float]:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """doc_id, text and y of at most ``max_rows`` labelled documents outside the held-out fold.
 
-    A document labelled twice takes the larger label; null ids and labels don't count.
+    A document labelled twice takes the larger label; null ids and labels don't count; of rows with the same doc_id the
+    smallest text counts, so the bound is one of rows too.
     """
     n, held = held_out
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), n) != held))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # the bound makes it safe to broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def collect_features(rows: DataFrame, describe, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,16 +108,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     return gbt.fit(x, y)
 
 
-def score(docs: DataFrame, model: gbt.Trees) -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1). Other columns stay; a column of that name is replaced."""
-    names = [c for c in docs.columns if c != "quality_score"]
-    schema = docs.select(*names).schema.add("quality_score", "double")
+def score(docs: DataFrame, model: gbt.Trees, into: str = "quality_score") -> DataFrame:
+    """``docs`` with ``into`` (0 to 1). Other columns stay; a column of that name is replaced.
+
+    A null text scores like an empty one, which has zeros for statistics; a whole text of any length is read; equal texts
+    score alike, each row by itself; an empty table gives no rows.
+    """
+    names = [c for c in docs.columns if c != into]
+    schema = docs.select(*names).schema.add(into, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             x = np.array([statistics(t) for t in b.column("text").to_pylist()]).reshape(-1, len(NAMES))
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(gbt.sigmoid(shared.value.margin(x)))], names=[*b.schema.names, "quality_score"])
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(gbt.sigmoid(shared.value.margin(x)))], names=[*b.schema.names, into])
 
         return one
 

@@ -46,7 +46,7 @@ def op5_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").withColumn("text", F.col("text")))
+    s = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     base = F.filter("secrets", lambda x: x["rank"] < len(secrets.BASE))
     n = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
     state = lambda status: F.size(F.filter("secrets", lambda x: x["status"] == status)).cast("long")
@@ -78,7 +78,7 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mpeg.describe(mpeg.store(table(spark, sf_dir, "documents")))
-    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_us")
+    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_samples", "duration_us", "bad_checksums", "seek_offsets")
 
 
 def queries() -> dict:
@@ -140,16 +140,16 @@ def _secret_kind(rank: int, kind: str, pattern: str, group: int, least: int) ->
 
 
 SECRET_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS owner FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 c AS ({" UNION ALL ".join(_secret_kind(k, *x) for k, x in enumerate(secrets.BASE + secrets.MORE))}),
-o AS (SELECT val, count(DISTINCT owner) AS owners FROM c JOIN d USING (rid) GROUP BY val),
+o AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT owner || chr(2) || repo) AS repos FROM c JOIN d USING (rid) GROUP BY val),
 k AS (
-  SELECT rid, rank, kind, st, kind || ':' || st::BIGINT || ':' || (st + length(whole))::BIGINT AS span, owners
+  SELECT rid, rank, kind, st, kind || ':' || st::BIGINT || ':' || (st + length(whole))::BIGINT AS span, owners, repos
   FROM c JOIN o USING (val) WHERE rank < {len(secrets.BASE)} OR owners <= 2),
 a AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(span, ',' ORDER BY st, rank) FILTER (rank < {len(secrets.BASE)}) AS base, string_agg(span, ',' ORDER BY st, rank) AS spans,
-    count(*) FILTER (owners <= 2) AS n_live, count(*) FILTER (owners >= 5) AS n_example
+    count(*) FILTER (owners <= 2) AS n_live, count(*) FILTER (owners >= 5 OR owners > 2 AND repos >= 10) AS n_example
   FROM k GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example

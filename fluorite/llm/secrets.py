@@ -1,8 +1,13 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns give candidates with their places. Each candidate's value is hashed, and over the whole corpus distinct owners and
-repositories of a hash are counted: a value that many owners hold is a copied example, one that few hold looks live. Values
-of the base kinds are reported either way, values of the further kinds only if they look live.
+repositories of a hash are counted. A value is
+
+* live with up to ``few_owners`` owners, in however many repositories of these: it is theirs;
+* an example, widely copied, from ``many_owners`` owners on, or if more than a few owners hold it in ``many_repos`` repositories;
+* shared between these: several owners, but not spread enough to be called an example.
+
+Values of the base kinds are reported in any case, values of the further kinds only if they look live.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluorite.llm.common import stage
+from fluorite.llm.common import attach, stage
 
 #: Kind, pattern, group that is the value, least length of that group; base kinds first, in order of rank.
 BASE = [
@@ -28,8 +33,22 @@ MORE = [
     ("address", r"://[^\s:@/]+:([^\s:@/]{6,})@", 1, 6),
 ]
 RANK = {kind: k for k, (kind, *_) in enumerate(BASE + MORE)}
-#: Copies of the table of counted values, so that a value with a large part of all candidates is joined in as many tasks.
-SALTS = 8
+#: A text without one of a kind's strings (in lower case: assign's may have either) has no match of it.
+NEEDLES = {
+    "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
+    "access": ["AKIA"],
+    "issued": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "AIza"],
+    "signed": ["eyJ"],
+    "private": ["-----BEGIN "],
+    "address": ["://"],
+}
+#: Characters of a match behind its value.
+BEHIND = {"address": 1}
+
+
+def _may_match(text: Column, kind: str) -> Column:
+    within = F.lower(text) if kind == "assign" else text
+    return reduce(lambda a, b: a | b, [F.contains(within, F.lit(n)) for n in NEEDLES[kind]]) if kind in NEEDLES else F.lit(True)
 
 
 def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -49,7 +68,7 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     spans = F.filter(F.aggregate(pieces, zero, step)["spans"], lambda s: F.length(s["value"]) >= least)
     named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(RANK[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
     # Most texts have no match; only then are the pieces built.
-    return F.when(text.rlike(pattern), named).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
+    return F.when(_may_match(text, kind) & text.rlike(pattern), named).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
 
 
 def candidates(text: Column) -> Column:
@@ -70,29 +89,33 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_rows"))
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str | None = None, few_owners: int = 2, many_owners: int = 5) -> DataFrame:
-    """``docs`` with ``secrets``: array<struct<start, rank, end, kind, value, n_owners, n_repos, status>> by start and rank.
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str | None = None, few_owners: int = 2, many_owners: int = 5, many_repos: int = 10, into: str = "secrets") -> DataFrame:
+    """``docs`` with ``into``: array<struct<start, rank, end, kind, value, n_owners, n_repos, status>> by start and rank.
 
-    status: "live" with up to ``few_owners`` owners, "example" from ``many_owners`` owners on, "shared" between. Candidates of
-    ``MORE`` are kept if live. A null text has none; repeated rows are scanned each; an empty table gives no rows. Other
-    columns stay; one named ``secrets`` is replaced. ``repo``: None takes owner and language, where there is a ``lang``.
+    Candidates of ``MORE`` are kept if live. A null or empty text has none; texts may have any length; repeated rows are
+    scanned each; an empty table gives no rows. Other columns stay; one named ``into`` is replaced.
+
+    ``repo``: the column that names a repository; None takes owner and language, where there is a ``lang``. That is a stand-in
+    for corpora that name none, and a weak one: it tells an owner's holdings in different languages apart, no more.
+    A null owner or repository counts as one more.
     """
-    kept = [c for c in docs.columns if c != "secrets"]
+    kept = [c for c in docs.columns if c != into]
     repo_col = F.col(repo) if repo else F.concat_ws("/", F.col(owner).cast("string"), *([F.col("lang").cast("string")] if "lang" in docs.columns else []))
     row = F.struct(*[F.col(c) for c in kept])
     scanned = stage(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row"), F.col(owner).cast("string").alias("owner"), repo_col.alias("repo"), candidates(F.col(text)).alias("found")))
-    each = scanned.where(F.size("found") > 0).select("row_id", "owner", "repo", F.explode("found").alias("c"))
-    each = each.withColumn("value_hash", F.sha2(F.col("c.value"), 256))
-    counted = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    status = F.when(F.col("n_owners") <= few_owners, "live").when(F.col("n_owners") >= many_owners, "example").otherwise("shared")
-    known = each.join(counted, ["value_hash", "salt"]).withColumn("status", status)
+    having = scanned.where(F.size("found") > 0)
+    each = having.select("row_id", "owner", "repo", F.explode("found").alias("c")).withColumn("value_hash", F.sha2(F.col("c.value"), 256))
+    spread = (F.col("n_owners") >= many_owners) | (F.col("n_owners") > few_owners) & (F.col("n_repos") >= many_repos)
+    status = F.when(F.col("n_owners") <= few_owners, "live").when(spread, "example").otherwise("shared")
+    known = attach(each, ownership(each), ["value_hash"], "n_rows").withColumn("status", status)
     known = known.where((F.col("c.rank") < len(BASE)) | (F.col("status") == "live"))
     entry = F.struct("c.start", "c.rank", "c.end", "c.kind", "c.value", "n_owners", "n_repos", "status")
     by_row = known.groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("secrets"))
     none = F.array().cast(by_row.schema["secrets"].dataType)
-    out = scanned.select("row_id", "row").join(by_row, "row_id", "left")
-    return out.select(*[F.col("row")[c].alias(c) for c in kept], F.coalesce("secrets", none).alias("secrets"))
+    # Only rows with candidates move; the others go by.
+    found = having.select("row_id", "row").join(by_row, "row_id", "left").select("row", F.coalesce("secrets", none).alias("secrets"))
+    out = scanned.where(F.size("found") == 0).select("row", none.alias("secrets")).unionByName(found)
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], F.col("secrets").alias(into))
 
 
 def digest(spans: Column) -> Column:
@@ -101,7 +124,15 @@ def digest(spans: Column) -> Column:
 
 
 def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every value that isn't a copied example replaced, longest first."""
-    values = F.array_distinct(F.transform(F.filter(secrets, lambda s: s["status"] != "example"), lambda s: s["value"]))
-    longest = F.transform(F.array_sort(F.transform(values, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
-    return F.aggregate(longest, text.cast("string"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    """``text`` with the values of all spans but copied examples replaced, at their places only; values that overlap get one mark."""
+    behind = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(n)) for k, n in BEHIND.items()], F.lit(0))
+    place = lambda s: F.struct((s["end"] - behind(s) - F.length(s["value"])).alias("at"), (s["end"] - behind(s)).alias("to"))
+    places = F.array_sort(F.transform(F.filter(secrets, lambda s: s["status"] != "example"), place))
+    t = text.cast("string")
+
+    def step(state: Column, p: Column) -> Column:
+        before = F.concat(state["out"], F.substr(t, state["upto"] + 1, p["at"] - state["upto"]), F.lit(mark))
+        return F.struct(F.greatest(state["upto"], p["to"]).alias("upto"), F.when(p["at"] >= state["upto"], before).otherwise(state["out"]).alias("out"))
+
+    done = F.aggregate(places, F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(t, s["upto"] + 1)))
+    return F.when(F.size(places) > 0, done).otherwise(t)

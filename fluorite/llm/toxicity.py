@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluorite.llm import gbt
-from fluorite.llm.common import map_batches
+from fluorite.llm.common import map_batches, stage
 from fluorite.llm.quality import MAX_TRAINING_ROWS, collect_features, training_rows
 
 #: Insults that count before anything is learned.
@@ -143,27 +143,35 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (3, 1), max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Trees on three quarters of the training rows, the calibration on margins of the other quarter."""
-    rows = training_rows(docs, labels, label, held_out, max_rows)
+    """Lexicon and trees of three quarters of the training rows, the calibration of margins of the other quarter.
+
+    The quarter goes by a hash of the id. If either part lacks a label, everything is learned from all rows, uncalibrated.
+    """
+    rows = stage(training_rows(docs, labels, label, held_out, max_rows).withColumn("late", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0))
+    features = Features(learn_lexicon(rows.where("NOT late")))
+    x, y, _ = collect_features(rows.where("NOT late"), features, len(NAMES))
+    late_x, late_y, _ = collect_features(rows.where("late"), features, len(NAMES))
+    if 0 < y.sum() < len(y) and 0 < late_y.sum() < len(late_y):
+        trees = gbt.fit(x, y)
+        return Model(features, trees, gbt.Isotonic(trees.margin(late_x), late_y))
     features = Features(learn_lexicon(rows))
-    x, y, ids = collect_features(rows, features, len(NAMES))
-    late = np.array([int(i) * 2654435761 % 2**32 % 4 == 0 for i in ids], bool)
-    if not 0 < y[late].sum() < late.sum() or not 0 < y[~late].sum() < (~late).sum():
-        late = np.ones(len(y), bool)
-        return Model(features, gbt.fit(x, y), gbt.Isotonic(np.zeros(0), np.zeros(0)))
-    trees = gbt.fit(x[~late], y[~late])
-    return Model(features, trees, gbt.Isotonic(trees.margin(x[late]), y[late]))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1). Other columns stay; a column of that name is replaced."""
-    names = [c for c in docs.columns if c != "toxicity"]
-    schema = docs.select(*names).schema.add("toxicity", "double")
+    x, y, _ = collect_features(rows, features, len(NAMES))
+    return Model(features, gbt.fit(x, y), gbt.Isotonic(np.zeros(0), np.zeros(0)))
+
+
+def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
+    """``docs`` with ``into`` (0 to 1). Other columns stay; a column of that name is replaced.
+
+    A null text scores like an empty one, which has zeros for features; a whole text of any length is read; equal texts score
+    alike, each row by itself; an empty table gives no rows.
+    """
+    names = [c for c in docs.columns if c != into]
+    schema = docs.select(*names).schema.add(into, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column("text").to_pylist()), pa.float64())], names=[*b.schema.names, "toxicity"])
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column("text").to_pylist()), pa.float64())], names=[*b.schema.names, into])
 
         return one
 

@@ -94,6 +94,23 @@ def test_training_leaves_out_the_held_out_fold_and_is_bounded(labelled):
     assert len(got) == 50 and not any(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
 
 
+def test_calibration_rows_teach_nothing_else(spark):
+    rows = [(k, f"word{'abcdefghij'[k % 10]} grobnik text" if k % 3 == 0 else "plain text of words") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("late", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    # A word of the calibration quarter's toxic rows alone.
+    docs = docs.withColumn("text", F.when(F.col("late") & (F.col("doc_id") % 3 == 0), F.concat("text", F.lit(" onlylate"))).otherwise(F.col("text")))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.train(docs.drop("late"), labels)
+    assert "grobnik" in model.features.words and "onlylate" not in model.features.words and len(model.calibration.x)
+
+
+def test_a_repeated_id_trains_once(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = quality.training_rows(docs, labels, "quality", (5, 0)).collect()
+    assert len(got) == len({r.doc_id for r in got}) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(40))
+
+
 def test_classifiers_take_odd_rows(spark, odd, labelled):
     docs, labels = labelled
     labels = labels.unionByName(spark.createDataFrame([(None, 1, 1), (5, None, None)], labels.schema))
@@ -572,12 +589,35 @@ def test_ownership_splits_examples_from_live_values(spark):
     assert all(r.secrets == [] for r in secrets.scan(spark.createDataFrame(common, "doc_id long, text string, source string")).collect())
 
 
-def test_secrets_take_odd_rows_and_redact(odd):
+def test_repositories_and_owners_decide_the_status(spark):
+    rows = [(k, "password: oneowner123", "own", f"r{k}") for k in range(30)]
+    rows += [(100 + k, "token = fewowners123", f"o{k % 3}", f"r{k}") for k in range(12)]
+    rows += [(200 + k, "secret: betweens123", f"o{k % 3}", f"o{k % 3}") for k in range(12)]
+    rows += [(300 + k, "api_key: everyones123", f"o{k}", "fork") for k in range(5)] + [(400, "passwd=nullowner123", None, None)]
+    got = {r.doc_id: r.secrets[0] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, r string"), repo="r").collect()}
+    assert [(got[k].status, got[k].n_owners, got[k].n_repos) for k in (0, 100, 200, 300, 400)] == [("live", 1, 30), ("example", 3, 12), ("shared", 3, 3), ("example", 5, 5), ("live", 1, 1)]
+
+
+def test_secrets_take_odd_rows_and_redact(spark, odd):
     got = secrets.scan(odd)
     assert got.count() == 9 and set(got.columns) == set(odd.columns)
     text = got.where("doc_id = 7").select(secrets.redact(F.col("text"), F.col("secrets")).alias("t")).first().t
     assert text == "naïve 😀 token: [SECRET] end"
     assert secrets.scan(odd.limit(0)).count() == 0
+    other = secrets.scan(odd.withColumn("secrets", F.lit("mine")), into="found")
+    assert {r.secrets for r in other.collect()} == {"mine"} and set(other.columns) == {*odd.columns, "found"}
+    hexes = "0123456789abcdef" * 2
+    rows = [
+        ("secret: password and my password hint; the password page", "secret: [SECRET] and my password hint; the password page"),
+        ("😀 get https://me:hunter22@host/ now", "😀 get https://me:[SECRET]@host/ now"),
+        (f"token = {hexes}; {hexes}", "token = [SECRET]; [SECRET]"),
+        (f"password: AKIA{'A' * 16} end", "password: [SECRET] end"),
+        ("nothing", "nothing"),
+        (None, None),
+    ]
+    got = secrets.scan(spark.createDataFrame([(k, t, "s") for k, (t, _) in enumerate(rows)], "doc_id long, text string, source string"))
+    done = {r.doc_id: r.t for r in got.select("doc_id", secrets.redact(F.col("text"), F.col("secrets")).alias("t")).collect()}
+    assert [done[k] for k in range(len(rows))] == [want for _, want in rows]
 
 
 # ---- decontamination ------------------------------------------------------------------------------------------------
