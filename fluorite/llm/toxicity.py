@@ -8,6 +8,7 @@ and word beginnings that occur in toxic documents almost alone.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir d
 DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 MAX_LEXICON = 4000
+#: Parts of the training rows for the calibration.
+FOLDS = 3
 #: Beginnings of words that count as units besides whole words.
 STEMS = (4, 5, 6)
 
@@ -51,18 +54,29 @@ def units(text: str | None) -> set[str]:
     return words | {w[:k] + "-" for w in words for k in STEMS if len(w) > k}
 
 
-def learn_lexicon(rows: DataFrame, size: int = MAX_LEXICON, min_docs: int = 6, min_share: float = 0.7) -> dict[str, float]:
-    """Entries with at least ``min_docs`` documents of which ``min_share`` are toxic, by log-odds; at most ``size``."""
+def unit_counts(rows: DataFrame) -> DataFrame:
+    """unit, t0, n0, t1, n1, ...: how many toxic documents, and how many in all, hold a unit in each fold of ``rows`` (text, y, fold)."""
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             got = [units(t) for t in b.column("text").to_pylist()]
+            sizes = [len(s) for s in got]
             flat = [u for s in got for u in s]
-            return pa.RecordBatch.from_pydict({"unit": pa.array(flat, pa.string()), "y": pa.array(np.repeat(b.column("y").to_numpy(), [len(s) for s in got]), pa.int32())})
+            return pa.RecordBatch.from_pydict({"unit": pa.array(flat, pa.string()), **{c: pa.array(np.repeat(b.column(c).to_numpy(), sizes), pa.int32()) for c in ("y", "fold")}})
 
         return one
 
-    counts = map_batches(rows.select("text", "y"), "unit string, y int", make).groupBy("unit").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+    sums = [x for f in range(FOLDS) for x in (F.sum(F.when(F.col("fold") == f, F.col("y")).otherwise(0)).alias(f"t{f}"), F.count_if(F.col("fold") == f).alias(f"n{f}"))]
+    return map_batches(rows.select("text", "y", "fold"), "unit string, y int, fold int", make).groupBy("unit").agg(*sums)
+
+
+def lexicon(counts: DataFrame, without: int | None = None, size: int = MAX_LEXICON, min_docs: int = 6, min_share: float = 0.7) -> dict[str, float]:
+    """Entries with at least ``min_docs`` documents of which ``min_share`` are toxic, by log-odds; at most ``size``.
+
+    ``counts``: of ``unit_counts``; the documents of fold ``without`` don't count.
+    """
+    t, n = (sum((F.col(f"{c}{f}") for f in range(FOLDS) if f != without), F.lit(0)) for c in "tn")
+    counts = counts.select("unit", t.alias("t"), n.alias("n"))
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5))
     best = counts.where((F.col("n") >= min_docs) & (F.col("t") >= min_share * F.col("n"))).select("unit", odds.alias("w"))
     return {r.unit: r.w for r in best.orderBy(F.col("w").desc(), "unit").limit(size).collect()}
@@ -143,20 +157,28 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = (3, 1), max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Lexicon and trees of three quarters of the training rows, the calibration of margins of the other quarter.
+    """Lexicon and trees of all training rows, calibrated on margins of rows that those who gave them haven't seen.
 
-    The quarter goes by a hash of the id. If either part lacks a label, everything is learned from all rows, uncalibrated.
+    For each of ``FOLDS`` parts of the training rows, a lexicon and trees are learned from the other parts and give the
+    part's margins; the calibration is fitted to all of these. With one label only there is nothing to calibrate.
     """
-    rows = stage(training_rows(docs, labels, label, held_out, max_rows).withColumn("late", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0))
-    features = Features(learn_lexicon(rows.where("NOT late")))
-    x, y, _ = collect_features(rows.where("NOT late"), features, len(NAMES))
-    late_x, late_y, _ = collect_features(rows.where("late"), features, len(NAMES))
-    if 0 < y.sum() < len(y) and 0 < late_y.sum() < len(late_y):
-        trees = gbt.fit(x, y)
-        return Model(features, trees, gbt.Isotonic(trees.margin(late_x), late_y))
-    features = Features(learn_lexicon(rows))
+    part = F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 8) % FOLDS
+    rows = stage(training_rows(docs, labels, label, held_out, max_rows).withColumn("fold", part.cast("int")))
+    counts = stage(unit_counts(rows))
+    margins, truth = [], []
+    for f in range(FOLDS):
+        features = Features(lexicon(counts, f))
+        x, y, ids = collect_features(rows, features, len(NAMES))
+        own = np.array([(zlib.crc32(str(i).encode()) >> 8) % FOLDS == f for i in ids.tolist()], bool)
+        if not own.any() or not 0 < y[~own].sum() < (~own).sum():
+            continue
+        margins.append(gbt.fit(x[~own], y[~own]).margin(x[own]))
+        truth.append(y[own])
+    features = Features(lexicon(counts))
     x, y, _ = collect_features(rows, features, len(NAMES))
-    return Model(features, gbt.fit(x, y), gbt.Isotonic(np.zeros(0), np.zeros(0)))
+    margin, seen = np.concatenate([*margins, np.zeros(0)]), np.concatenate([*truth, np.zeros(0)])
+    usable = 0 < seen.sum() < len(seen)
+    return Model(features, gbt.fit(x, y), gbt.Isotonic(margin if usable else np.zeros(0), seen if usable else np.zeros(0)))
 
 
 def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:

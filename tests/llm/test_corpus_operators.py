@@ -94,14 +94,21 @@ def test_training_leaves_out_the_held_out_fold_and_is_bounded(labelled):
     assert len(got) == 50 and not any(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
 
 
-def test_calibration_rows_teach_nothing_else(spark):
-    rows = [(k, f"word{'abcdefghij'[k % 10]} grobnik text" if k % 3 == 0 else "plain text of words") for k in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("late", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
-    # A word of the calibration quarter's toxic rows alone.
-    docs = docs.withColumn("text", F.when(F.col("late") & (F.col("doc_id") % 3 == 0), F.concat("text", F.lit(" onlylate"))).otherwise(F.col("text")))
+def test_calibration_is_on_rows_not_learned_from(spark):
+    part = lambda k: (zlib.crc32(str(k).encode()) >> 8) % toxicity.FOLDS
+    rows = [(k, f"grobnik only{'abc'[part(k)]} text" if k % 3 == 0 else "plain text of words") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
-    model = toxicity.train(docs.drop("late"), labels)
-    assert "grobnik" in model.features.words and "onlylate" not in model.features.words and len(model.calibration.x)
+    known = [k for k in range(600) if zlib.crc32(str(k).encode()) % 3 != 1]
+    folded = quality.training_rows(docs, labels, "toxic", (3, 1)).withColumn("fold", (F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 8) % toxicity.FOLDS).cast("int"))
+    counts = toxicity.unit_counts(folded)
+    got = {r.unit: r for r in counts.where("unit IN ('grobnik', 'text', 'onlya')").collect()}
+    for f in range(toxicity.FOLDS):
+        assert got["grobnik"][f"t{f}"] == sum(k % 3 == 0 and part(k) == f for k in known) and got["text"][f"n{f}"] == sum(part(k) == f for k in known)
+    assert got["onlya"]["n1"] == got["onlya"]["n2"] == 0 < got["onlya"]["n0"]
+    assert "onlya" in toxicity.lexicon(counts) and "onlya" not in toxicity.lexicon(counts, 0) and "grobnik" in toxicity.lexicon(counts, 0)
+    model = toxicity.train(docs, labels)
+    assert "grobnik" in model.features.words and len(model.calibration.x)
 
 
 def test_a_repeated_id_trains_once(spark):
