@@ -78,7 +78,7 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mpeg.describe(mpeg.store(table(spark, sf_dir, "documents")))
-    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_samples", "duration_us", "bad_checksums", "seek_offsets")
+    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_samples", "duration_us", "bad_checksums", "seek_offsets", F.try_element_at("tags", F.lit("TXXX")).alias("tag"))
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import struct
 import subprocess
 import sys
 import zlib
@@ -817,6 +818,71 @@ def test_mpeg_headers():
     assert mpeg.header(b"\xff\xff\xff\xff") is None and mpeg.header(b"abc") is None
 
 
+def bitwise_crc(bits):
+    out = 0xFFFF
+    for b in bits:
+        top = out >> 15 ^ int(b)
+        out = (out << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return out
+
+
+@pytest.mark.parametrize("head", [bytes([0xFF, 0xFC, 0x84, 0x04]), bytes([0xFF, 0xFC, 0x24, 0xC4]), bytes([0xFF, 0xFC, 0x88, 0x54]), bytes([0xFF, 0xF4, 0x84, 0x04]), bytes([0xFF, 0xFE, 0x84, 0x04]), bytes([0xFF, 0xFE, 0x84, 0xC4])])
+def test_mpeg_checksums_of_layers_one_and_two(head):
+    # (subbands' allocation bits, channels) of each head, by hand from the tables of the standard.
+    layout = {
+        b"\x84\x04": ([4] * 11 + [3] * 12 + [2] * 4, 2), b"\x24\xc4": ([4] * 2 + [3] * 6, 1), b"\x88\x54": ([4] * 11 + [3] * 12 + [2] * 4, 2),
+    }
+    layer = 4 - (head[1] >> 1 & 3)
+    widths, channels = layout[bytes(head[2:])] if layer == 2 and head[1] == 0xFC else ([4] * 4 + [3] * 7 + [2] * 19, 2) if layer == 2 else ([4] * 32, 1 if head[3] == 0xC4 else 2)
+    joint = head[3] >> 6 == 1
+    bound = 4 * ((head[3] >> 4 & 3) + 1) if joint else len(widths)
+    rng = np.random.default_rng(41)
+    size = mpeg.header(head)[0]
+    frames = []
+    for _ in range(4):
+        bits, used = "", 0
+        for band, n in enumerate(widths):
+            for _ in range(1 if channels == 1 or band >= bound else 2):
+                v = int(rng.integers(0, 2**n)) * int(rng.integers(0, 2))
+                bits += f"{v:0{n}b}"
+                used += (v > 0) * (2 if channels == 2 and band >= bound else 1)
+        if layer == 2:
+            bits += "".join(rng.choice(["0", "1"], 2 * used))
+        crc = bitwise_crc(f"{head[2]:08b}{head[3]:08b}" + bits)
+        body = bits + "0" * (-len(bits) % 8)
+        raw = head + crc.to_bytes(2, "big") + bytes(int(body[k : k + 8], 2) for k in range(0, len(body), 8))
+        frames.append(raw[:size] + bytes(size - len(raw)))
+    got = mpeg.read(b"".join(frames))
+    assert len(got["offsets"]) == 4 and got["bad_checksums"] == 0
+    hurt = bytearray(b"".join(frames))
+    hurt[2 * size + 6] ^= 0x80
+    assert mpeg.read(bytes(hurt))["bad_checksums"] == 1
+
+
+def test_mpeg_tags_and_tables():
+    stream = mpeg.write(bytes(576 * 8))
+    got = mpeg.read(stream)
+    assert got["values"] == [("TXXX", "payload=4608")] and len(got["table"]["seek"]) == 100 and got["table"]["seek"][50] == 113 * got["table"]["bytes"] // 256
+    frame = lambda name, value: name + struct.pack(">IH", len(value), 0) + value
+    text = frame(b"TIT2", b"\x03" + "Tïtle".encode()) + frame(b"TPE1", b"\x01" + "Ärtist".encode("utf-16")) + frame(b"APIC", b"12345") + bytes(20)
+    tag = b"ID3\x03\x00\x00" + bytes([0, 0, len(text) >> 7, len(text) & 127]) + text
+    old = b"TT2\x00\x00\x04\x00abc"
+    tag2 = b"ID3\x02\x00\x00" + bytes([0, 0, 0, len(old)]) + old
+    last = b"TAG" + b"Song".ljust(30, b"\0") + b"Band".ljust(30, b"\0") + b"Disc".ljust(30, b"\0") + b"1999" + b"note".ljust(28, b"\0") + bytes([0, 7, 12])
+    got = mpeg.read(tag + tag2 + stream[stream.index(b"\xff\xfa") :] + last)
+    assert got["values"] == [("TIT2", "Tïtle"), ("TPE1", "Ärtist"), ("APIC", "5 bytes"), ("TT2", "abc"), ("title", "Song"), ("artist", "Band"), ("album", "Disc"), ("year", "1999"), ("comment", "note"), ("track", "7"), ("genre", "12")]
+    assert got["tags"] == ["id3v2", "id3v2", "id3v1"] and len(got["offsets"]) == 8
+    plain = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(413)
+    points = [3, 5, 7, 9]
+    vbri = plain[:36] + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 5 * 417, 4, len(points), 2, 2, 1) + b"".join(struct.pack(">H", p) for p in points)
+    got = mpeg.read(vbri.ljust(417, b"\0") + plain * 4)
+    assert got["table"] == {"kind": "VBRI", "frames": 4, "bytes": 5 * 417, "seek": [0, 6, 16, 30], "each_frames": 1} and got["missing_frames"] == 0
+    # Durations and offsets by counting: 1152 samples and 417 bytes a frame, of 418 where padded.
+    padded = bytes([0xFF, 0xFB, 0x92, 0xC0]) + bytes(414)
+    got = mpeg.read(plain + padded + plain + padded)
+    assert got["offsets"].tolist() == [0, 417, 835, 1252] and got["samples"] == 4 * 1152 and got["rate"] == 44100
+
+
 def test_media_columns_take_odd_rows(odd):
     got = mpeg.describe(mpeg.store(odd)).collect()
     texts = sorted(((r.text or "").encode() for r in odd.select("text").collect()), key=len)
