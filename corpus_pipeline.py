@@ -1,7 +1,8 @@
 """A training corpus from documents in five stages, each one operator of ``fluorite.llm``.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of ``documents``; rows with a null doc_id are never taken for copies or leaks.
+of ``docs`` with their types, whatever else these are named. A null text counts as empty, repeated rows are rows each, and
+rows with a null doc_id, to which no result can refer, are never taken for copies or leaks. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,27 +27,42 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    """Documents that the classifier, fitted on ``labels`` of these documents, scores 0.3 or more."""
+    model, into = quality.train(docs, table(spark, sf_dir, "labels")), _free(docs, "quality_score")
+    return quality.score(docs, model, into).where(F.col(into) >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; all rows of that id stay."""
     found = minhash.near_duplicates(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
     return _without(docs, found.where(~F.col("kept")).select("doc_id")).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``; of an id with one, no row stays."""
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("doc_id IS NOT NULL").select("doc_id")).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs).withColumn("text", secrets.redact(F.col("text"), F.col("secrets")))
+    """All documents, the values that look live or shared replaced in their texts; n_chars, where it is, follows the text."""
+    into = _free(docs, "secrets")
+    found = secrets.scan(docs, into=into).withColumn("text", secrets.redact(F.col("text"), F.col(into)))
+    if "n_chars" not in docs.columns:
+        return found.select(*docs.columns)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in full sequences, by shares of the sources."""
     return packing.pack(docs).drop("ids")
 
 
