@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluorite.llm.common import stage
+from fluorite.functions.scratch import stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges``: a, b (long). Returns node, component (the smallest node reachable) for every node of an edge.
+    """``edges``: a, b (long). Returns node, component (the smallest node reachable) for every node of an edge between two nodes.
 
     Each round points every node at its smallest neighbour, follows the pointers once more, and replaces the edges by
     those between the nodes pointed at; edges inside a component vanish. Pointers go to smaller nodes only, so a component

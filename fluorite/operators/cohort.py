@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fluorite.functions.ranking import numbered, running_sums
+from fluorite.functions.ranking import numbered, percentiles, running_sums
+from fluorite.functions.scratch import stage
 from fluorite.functions.special import p_ks, p_upper, p_welch
 
 
@@ -19,7 +20,7 @@ def summary(cells: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def five_numbers(cells: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Minimum, quartiles and maximum, and the ends of whiskers at 1.5 interquartile ranges."""
-    q = cells.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
+    q = percentiles(cells, value, [0.0, 0.25, 0.5, 0.75, 1.0], by)
     q = q.select(*by, *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("v_min", "v_q1", "v_median", "v_q3", "v_max"))])
     reach = 1.5 * (F.col("v_q3") - F.col("v_q1"))
     inside = cells.join(q, list(by)).where(F.col(value).between(F.col("v_q1") - reach, F.col("v_q3") + reach))
@@ -67,6 +68,15 @@ def label() -> Column:
     return F.concat("a", F.lit(" vs "), "b").alias("comparison")
 
 
+def by_prefix(cells: DataFrame, conditions: Sequence[str], group: str) -> DataFrame:
+    """``cells`` of groups that begin with one of ``conditions``, as that condition: ``Incision_0h`` takes ``Incision_0h_1``.
+
+    A group that several conditions begin counts for each; a null group for none.
+    """
+    own = F.filter(F.array(*[F.lit(c) for c in conditions]), lambda c: F.coalesce(F.startswith(F.col(group), c), F.lit(False)))
+    return cells.withColumn(group, F.explode(own))
+
+
 def _pooled(cells: DataFrame, pairs: DataFrame, group: str, value: str) -> DataFrame:
     """comparison, value, c1, c2: how often each value occurs on either side of each pair."""
     tied = cells.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("c"))
@@ -81,7 +91,7 @@ def _sizes(pooled: DataFrame) -> DataFrame:
 
 def kolmogorov_smirnov(cells: DataFrame, pairs: DataFrame, group: str, value: str) -> DataFrame:
     """The largest distance of the two distribution functions of each pair."""
-    pooled = _pooled(cells, pairs, group, value)
+    pooled = stage(_pooled(cells, pairs, group, value))
     run = running_sums(pooled, ["value"], {"f1": F.col("c1"), "f2": F.col("c2")}, ["comparison"])
     gap = F.abs(F.col("f1") / F.col("n1") - F.col("f2") / F.col("n2"))
     return run.join(_sizes(pooled), "comparison").groupBy("comparison").agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(gap).alias("ks_stat"))
@@ -89,7 +99,7 @@ def kolmogorov_smirnov(cells: DataFrame, pairs: DataFrame, group: str, value: st
 
 def mann_whitney(cells: DataFrame, pairs: DataFrame, group: str, value: str) -> DataFrame:
     """U of the first group by mid-ranks, and the tie- and continuity-corrected z of each alternative."""
-    pooled = _pooled(cells, pairs, group, value).withColumn("t", F.col("c1") + F.col("c2"))
+    pooled = stage(_pooled(cells, pairs, group, value).withColumn("t", F.col("c1") + F.col("c2")))
     run = running_sums(pooled, ["value"], {"upto": F.col("t")}, ["comparison"])
     mid = F.col("upto") - F.col("t") + (F.col("t") + 1) / 2
     r = run.groupBy("comparison").agg(F.sum(mid * F.col("c1")).alias("r1"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))

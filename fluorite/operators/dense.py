@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fluorite.operators.spots import components, integrate
+from fluorite.functions.components import connected_components
+from fluorite.functions.ranking import numbered
+from fluorite.functions.scratch import stage
+from fluorite.operators.raster import image_of
+from fluorite.operators.spots import integrate
 
 
 def bright_regions(img: DataFrame, level: float) -> DataFrame:
-    """Voxels of at least ``level`` with their face-connected region, named by its smallest voxel key."""
-    key = F.xxhash64("z", "y", "x")
-    bright = img.where(F.col("v") >= level).withColumn("node", key)
-    ahead = bright.select("z", "y", "x", F.col("node").alias("a"), F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("zyx", s, strict=True)]) for s in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])).alias("s"))
-    ahead = ahead.select("a", *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in "zyx"])
-    met = ahead.join(bright.select("z", "y", "x", F.col("node").alias("b")), ["z", "y", "x"]).select("a", "b")
-    edges = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(bright.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    return bright.join(components(edges), "node").select("z", "y", "x", "v", F.col("component").alias("region"))
+    """Voxels of at least ``level`` with their face-connected region, named by the smallest number of its voxels in order of place."""
+    place = [*image_of(img), "z", "y", "x"]
+    bright = stage(numbered(img.where(F.col("v") >= level), place, "node"))
+    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("zyx", s, strict=True)]) for s in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])
+    ahead = bright.select(*place, F.col("node").alias("a"), F.explode(steps).alias("s"))
+    ahead = ahead.select(*place[:-3], "a", *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in "zyx"])
+    groups = connected_components(ahead.join(bright.select(*place, F.col("node").alias("b")), place).select("a", "b"))
+    return bright.join(groups, "node", "left").select(*place, "v", F.coalesce("component", "node").alias("region"))
 
 
 def decompose(img: DataFrame, spots: DataFrame, voxels: DataFrame, level: float, min_voxels: int = 5) -> DataFrame:
@@ -36,6 +40,7 @@ def decompose(img: DataFrame, spots: DataFrame, voxels: DataFrame, level: float,
     dense = sizes.join(F.broadcast(one)).withColumn("k", F.least(F.round(F.col("held") / F.col("one")).cast("long"), F.col("n"))).where((F.col("n") >= min_voxels) & (F.col("k") >= 2)).select("region", "k")
     inside = regions.join(dense, "region")
     rank = F.row_number().over(W.partitionBy("region").orderBy(F.col("v").desc(), "z", "y", "x"))
-    made = inside.withColumn("r", rank).where("r <= k").select("z", "y", "x", F.lit("region").alias("origin"))
-    rest = spots.join(inside.select("z", "y", "x"), ["z", "y", "x"], "left_anti").select("z", "y", "x", F.lit("spot").alias("origin"))
+    place = [*image_of(img), "z", "y", "x"]
+    made = inside.withColumn("r", rank).where("r <= k").select(*place, F.lit("region").alias("origin"))
+    rest = spots.join(inside.select(*place), place, "left_anti").select(*place, F.lit("spot").alias("origin"))
     return rest.unionByName(made)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluorite.operators.raster import image_of
+
 FIT = "spot_id long, total double, amplitude double, sigma_z double, sigma_y double, sigma_x double, r2 double"
 
 
@@ -57,10 +59,11 @@ def gaussian_fit(img: DataFrame, spots: DataFrame, radius: int = 2, sigma: tuple
     side = range(-radius, radius + 1)
     steps = [(a, b, c) for a in side for b in side for c in side]
     array = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(v).alias(x) for x, v in zip("zyx", s, strict=True)]) for k, s in enumerate(steps)])
-    asked = spots.select("spot_id", "z", "y", "x", F.explode(array).alias("s"))
-    asked = asked.select("spot_id", F.col("s.k").alias("k"), *[(F.col(a) + F.col(f"s.{a}")).alias(a) for a in "zyx"])
-    patches = asked.join(img, ["z", "y", "x"]).groupBy("spot_id").agg(F.collect_list(F.struct("k", "v")).alias("patch"), F.sum("v").alias("total"))
-    offsets = np.array(steps, float)
+    by = image_of(img)
+    asked = spots.select("spot_id", *by, "z", "y", "x", F.explode(array).alias("s"))
+    asked = asked.select("spot_id", *by, F.col("s.k").alias("k"), *[(F.col(a) + F.col(f"s.{a}")).alias(a) for a in "zyx"])
+    patches = asked.join(img, [*by, "z", "y", "x"]).groupBy("spot_id").agg(F.collect_list(F.struct("k", "v")).alias("patch"), F.sum("v").alias("total"))
+    offsets, sigma = np.array(steps, float), tuple(max(0.2, s) for s in sigma)
 
     def fit(batches):
         for b in batches:

@@ -1,4 +1,8 @@
-"""Image stacks as voxel rows (z, y, x, v): projections, normalisation, extrema, filters, tiles and shapes."""
+"""Image stacks as voxel rows (z, y, x, v): projections, normalisation, extrema, filters, tiles and shapes.
+
+A table of several stacks names them in a column ``image_id``; where it is, every operator works on each stack by itself and
+returns it. Spots then have it too; their ids differ over all stacks.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from fluorite.functions.ranking import percentiles
 from fluorite.functions.scratch import stage
 
 
+def image_of(df: DataFrame) -> list[str]:
+    """The image key of a table, if it has one."""
+    return ["image_id"] if "image_id" in df.columns else []
+
+
 def plane_of(z: Column, k: int) -> Column:
     """Projected plane of a slice."""
     return F.floor(z / k).cast("long")
@@ -19,7 +29,7 @@ def plane_of(z: Column, k: int) -> Column:
 
 def project_full(img: DataFrame, k: int) -> DataFrame:
     """Maximum over windows of ``k`` slices; a last window with fewer is dropped. Returns plane, y, x, v."""
-    out = img.groupBy(plane_of(F.col("z"), k).alias("plane"), "y", "x").agg(F.max("v").alias("v"), F.count("*").alias("n"))
+    out = img.groupBy(*image_of(img), plane_of(F.col("z"), k).alias("plane"), "y", "x").agg(F.max("v").alias("v"), F.count("*").alias("n"))
     return out.where(F.col("n") == k).drop("n")
 
 
@@ -28,29 +38,30 @@ def project_grouped(img: DataFrame, k: int, compat_drop_last: bool = False) -> D
 
     ``compat_drop_last`` leaves out the last slice of each group, unless it is its only one.
     """
-    rows = img.withColumn("plane", plane_of(F.col("z"), k))
+    rows, by = img.withColumn("plane", plane_of(F.col("z"), k)), image_of(img)
     if compat_drop_last:
-        ends = img.groupBy(plane_of(F.col("z"), k).alias("plane")).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
-        rows = rows.join(ends, "plane").where((F.col("z") < F.col("z1")) | (F.col("z0") == F.col("z1")))
-    return rows.groupBy("plane", "y", "x").agg(F.max("v").alias("v"))
+        ends = img.groupBy(*by, plane_of(F.col("z"), k).alias("plane")).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+        rows = rows.join(ends, [*by, "plane"]).where((F.col("z") < F.col("z1")) | (F.col("z0") == F.col("z1")))
+    return rows.groupBy(*by, "plane", "y", "x").agg(F.max("v").alias("v"))
 
 
 def project_stack(img: DataFrame) -> DataFrame:
-    return img.groupBy("y", "x").agg(F.max("v").alias("v"), F.count("*").alias("n_planes"))
+    return img.groupBy(*image_of(img), "y", "x").agg(F.max("v").alias("v"), F.count("*").alias("n_planes"))
 
 
 def minmax_normalise(img: DataFrame, by: Sequence[str] = ("z",)) -> DataFrame:
-    """(v - min) / (max - min) of each image; zeros where an image is constant."""
+    """(v - min) / (max - min) of each plane (``by``: of what else); zeros where it is constant."""
+    by = [*image_of(img), *by]
     span = img.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     scaled = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
-    return img.join(span, list(by)).select("z", "y", "x", scaled.alias("v"))
+    return img.join(span, by).select(*image_of(img), "z", "y", "x", scaled.alias("v"))
 
 
 def percentile_normalise(img: DataFrame, lo: float = 1, hi: float = 99.8, by: Sequence[str] = ("z",)) -> DataFrame:
-    """(v - p_lo) / (p_hi - p_lo) of each image; a bound of 0 means the default bounds."""
-    lo, hi = (1, 99.8) if lo == 0 or hi == 0 else (lo, hi)
-    q = img.groupBy(*by).agg(F.percentile("v", F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("q"))
-    return img.join(q, list(by)).select("z", "y", "x", F.try_divide(F.col("v") - F.get("q", F.lit(0)), F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("v"))
+    """(v - p_lo) / (p_hi - p_lo) of each plane (``by``: of what else); a bound of 0 means the default bounds."""
+    by, (lo, hi) = [*image_of(img), *by], (1, 99.8) if lo == 0 or hi == 0 else (lo, hi)
+    q = percentiles(img, "v", [lo / 100, hi / 100], by)
+    return img.join(q, by).select(*image_of(img), "z", "y", "x", F.try_divide(F.col("v") - F.get("q", F.lit(0)), F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("v"))
 
 
 def extrema(img: DataFrame, dz: int, dy: int, dx: int, kind: str = "max", beyond: float = 0.0) -> DataFrame:
@@ -62,7 +73,7 @@ def extrema(img: DataFrame, dz: int, dy: int, dx: int, kind: str = "max", beyond
     out = img.withColumn("m", F.col("v"))
     for axis, d, rest in (("x", dx, ("z", "y")), ("y", dy, ("z", "x")), ("z", dz, ("y", "x"))):
         if d:
-            out = out.withColumn("m", best("m").over(W.partitionBy(*rest).orderBy(axis).rangeBetween(-d, d)))
+            out = out.withColumn("m", best("m").over(W.partitionBy(*image_of(img), *rest).orderBy(axis).rangeBetween(-d, d)))
     return out.where((F.col("v") == F.col("m")) & ((F.col("v") > beyond) if kind == "max" else (F.col("v") < beyond))).drop("m")
 
 
@@ -71,10 +82,12 @@ def centre_crop(img: DataFrame, points: DataFrame, dz: int, dy: int, dx: int) ->
 
     The image's bounds clip a crop, as voxels outside don't exist.
     """
-    offsets = F.explode(F.sequence(F.col("pz") - dz, F.col("pz") + dz))
-    p = points.select("spot_id", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("x").alias("px")).withColumn("z", offsets)
-    near = img.join(p, "z").where(F.col("y").between(F.col("py") - dy, F.col("py") + dy) & F.col("x").between(F.col("px") - dx, F.col("px") + dx))
-    return near.groupBy("spot_id", (F.col("y") - F.col("py")).alias("dy"), (F.col("x") - F.col("px")).alias("dx")).agg(F.max("v").alias("v"))
+    by, box = image_of(img), lambda a, d: F.explode(F.sequence(F.col(f"p{a}") - d, F.col(f"p{a}") + d))
+    p = points.select("spot_id", *by, *[F.col(a).alias(f"p{a}") for a in "zyx"])
+    for a, d in zip("zyx", (dz, dy, dx), strict=True):
+        p = p.withColumn(a, box(a, d))
+    near = img.join(p, [*by, "z", "y", "x"])
+    return near.groupBy("spot_id", *by, (F.col("y") - F.col("py")).alias("dy"), (F.col("x") - F.col("px")).alias("dx")).agg(F.max("v").alias("v"))
 
 
 def gaussian_weights(sigma: float) -> list[tuple[int, float]]:
@@ -98,9 +111,10 @@ def convolve(img: DataFrame, weights: Sequence[tuple[dict[str, int], float]]) ->
     join with the voxels there are.
     """
     steps = F.array(*[F.struct(*[F.lit(d.get(a, 0)).alias(a) for a in "zyx"], F.lit(float(w)).alias("w")) for d, w in weights])
-    sent = img.select("z", "y", "x", "v", F.explode(steps).alias("s"))
-    summed = sent.groupBy(*[(F.col(a) + F.col(f"s.{a}")).alias(a) for a in "zyx"]).agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
-    return img.select("z", "y", "x").join(summed, ["z", "y", "x"])
+    by = image_of(img)
+    sent = img.select(*by, "z", "y", "x", "v", F.explode(steps).alias("s"))
+    summed = sent.groupBy(*by, *[(F.col(a) + F.col(f"s.{a}")).alias(a) for a in "zyx"]).agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
+    return img.select(*by, "z", "y", "x").join(summed, [*by, "z", "y", "x"])
 
 
 def gaussian(img: DataFrame, sigma: dict[str, float]) -> DataFrame:
@@ -131,7 +145,7 @@ def tile_offsets(tiles: DataFrame) -> DataFrame:
 
 
 def tile_merge(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("plane", "y", "x").agg(F.max("label").alias("label"))
+    return labels.groupBy(*image_of(labels), "plane", "y", "x").agg(F.max("label").alias("label"))
 
 
 SIX = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -148,13 +162,15 @@ def flood_fill(img: DataFrame, seeds: DataFrame, max_levels: int = 10) -> DataFr
     A step goes from a voxel to a positive one that is no brighter, up to ``max_levels`` steps. Each level is one equi-join of
     the frontier with the image; levels are written, so the plan doesn't grow.
     """
+    by = image_of(img)
+    own = ["spot_id", *by, "z", "y", "x"]
     bright = img.where("v > 0")
-    frontier = stage(img.join(seeds.select("spot_id", "z", "y", "x"), ["z", "y", "x"]).select("spot_id", "z", "y", "x", "v"))
+    frontier = stage(img.join(seeds.select(*own), own[1:]).select(*own, "v"))
     seen = frontier.withColumn("level", F.lit(0))
     for level in range(1, max_levels + 1):
-        moved = neighbours(frontier.withColumnRenamed("v", "from_v"), ["spot_id", "from_v"])
-        step = moved.join(bright, ["z", "y", "x"]).where("from_v >= v").select("spot_id", "z", "y", "x", "v").distinct()
-        frontier = stage(step.join(seen.select("spot_id", "z", "y", "x"), ["spot_id", "z", "y", "x"], "left_anti"))
+        moved = neighbours(frontier.withColumnRenamed("v", "from_v"), ["spot_id", *by, "from_v"])
+        step = moved.join(bright, own[1:]).where("from_v >= v").select(*own, "v").distinct()
+        frontier = stage(step.join(seen.select(*own), own, "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("level", F.lit(level)))
@@ -163,38 +179,44 @@ def flood_fill(img: DataFrame, seeds: DataFrame, max_levels: int = 10) -> DataFr
 
 def outer_shell(voxels: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
     """Face neighbours outside each spot's set (spot_id, z, y, x), and its own voxels on the image's border."""
+    own = ["spot_id", *image_of(voxels), "z", "y", "x"]
     inside = [F.col(a).between(*bounds[a]) for a in "zyx"]
-    out = neighbours(voxels, ["spot_id"]).where(inside[0] & inside[1] & inside[2]).distinct()
-    out = out.join(voxels.select("spot_id", "z", "y", "x"), ["spot_id", "z", "y", "x"], "left_anti")
+    out = neighbours(voxels, own[:-3]).where(inside[0] & inside[1] & inside[2]).distinct()
+    out = out.join(voxels.select(*own), own, "left_anti")
     border = [F.col(a).isin(*bounds[a]) for a in "zyx"]
-    return out.unionByName(voxels.where(border[0] | border[1] | border[2]).select("spot_id", "z", "y", "x").distinct())
+    return out.unionByName(voxels.where(border[0] | border[1] | border[2]).select(*own).distinct())
 
 
 def diamond(points: DataFrame, r: int, bounds: tuple[int, int], filled: bool = False) -> DataFrame:
     """Pixels at city-block distance ``r`` (``filled``: up to it) of each point, clipped to the image: spot_id, z, y, x."""
     steps = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if abs(a) + abs(b) == r or filled and abs(a) + abs(b) < r]
     array = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a, b in steps])
-    out = points.withColumn("_s", F.explode(array)).select("spot_id", "z", (F.col("y") + F.col("_s.y")).alias("y"), (F.col("x") + F.col("_s.x")).alias("x"))
+    out = points.withColumn("_s", F.explode(array)).select("spot_id", *image_of(points), "z", (F.col("y") + F.col("_s.y")).alias("y"), (F.col("x") + F.col("_s.x")).alias("x"))
     return out.where(F.col("y").between(0, bounds[0] - 1) & F.col("x").between(0, bounds[1] - 1))
 
 
 def rasterise(pixels: DataFrame) -> DataFrame:
     """One spot for each pixel: the largest spot_id where shapes overlap."""
-    return pixels.groupBy("z", "y", "x").agg(F.max("spot_id").alias("spot_id"))
+    return pixels.groupBy(*image_of(pixels), "z", "y", "x").agg(F.max("spot_id").alias("spot_id"))
 
 
 def expand_labels(labels: DataFrame, distance: float, bounds: tuple[int, int]) -> DataFrame:
     """Give each pixel within ``distance`` of a label the nearest one, the smaller label at ties: plane, y, x, label, d2.
 
-    Each labelled pixel reaches a disc of fixed size; the nearest reach wins by a minimum, which aggregates partially.
+    Only a label's border can be nearest to a pixel outside: pixels that lack a labelled neighbour reach a disc of fixed size, all
+    others themselves alone. The nearest reach wins by a minimum, which aggregates partially.
     """
-    r = int(distance)
+    r, by = int(distance), image_of(labels)
+    place = [*by, "plane", "y", "x"]
     steps = [(a, b, a * a + b * b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= distance * distance]
-    array = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x"), F.lit(d).alias("d2")) for a, b, d in steps])
-    reach = labels.withColumn("_s", F.explode(array)).select("plane", (F.col("y") + F.col("_s.y")).alias("y"), (F.col("x") + F.col("_s.x")).alias("x"), F.col("_s.d2").alias("d2"), "label")
+    table = lambda rows: F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x"), F.lit(d).alias("d2")) for a, b, d in rows])
+    moved = lambda df, s, *more: df.withColumn("_s", F.explode(s)).select(*by, "plane", (F.col("y") + F.col("_s.y")).alias("y"), (F.col("x") + F.col("_s.x")).alias("x"), F.col("_s.d2").alias("d2"), *more)
+    around = moved(labels.select(*place).distinct(), table([(0, 1, 1), (0, -1, 1), (1, 0, 1), (-1, 0, 1)])).groupBy(*place).agg(F.count("*").alias("near"))
+    inner = labels.select(*place, "label").join(around, place, "left").withColumn("inner", F.coalesce(F.col("near"), F.lit(0)) == 4)
+    reach = moved(inner, F.when(F.col("inner"), table([(0, 0, 0)])).otherwise(table(steps)), "label")
     reach = reach.where(F.col("y").between(0, bounds[0] - 1) & F.col("x").between(0, bounds[1] - 1))
-    near = reach.groupBy("plane", "y", "x").agg(F.min(F.struct("d2", "label")).alias("n"))
-    return near.select("plane", "y", "x", F.col("n.label").alias("label"), F.col("n.d2").alias("d2"))
+    near = reach.groupBy(*place).agg(F.min(F.struct("d2", "label")).alias("n"))
+    return near.select(*place, F.col("n.label").alias("label"), F.col("n.d2").alias("d2"))
 
 
 def convolve_reflected(img: DataFrame, axis: str, weights: Sequence[tuple[int, float]], bounds: tuple[int, int]) -> DataFrame:
@@ -205,10 +227,11 @@ def convolve_reflected(img: DataFrame, axis: str, weights: Sequence[tuple[int, f
     lo, n = bounds[0], bounds[1] - bounds[0] + 1
     array = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in weights])
     k = F.pmod(F.col(axis) + F.col("s.d") - lo, F.lit(2 * n))
-    asked = img.select("z", "y", "x", F.explode(array).alias("s")).withColumn("from", (F.when(k < n, k).otherwise(2 * n - 1 - k) + lo).cast("long"))
-    rest = [a for a in "zyx" if a != axis]
+    by = image_of(img)
+    asked = img.select(*by, "z", "y", "x", F.explode(array).alias("s")).withColumn("from", (F.when(k < n, k).otherwise(2 * n - 1 - k) + lo).cast("long"))
+    rest = [*by, *[a for a in "zyx" if a != axis]]
     source = img.select(*rest, F.col(axis).alias("from"), "v")
-    return asked.join(source, [*rest, "from"]).groupBy("z", "y", "x").agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
+    return asked.join(source, [*rest, "from"]).groupBy(*by, "z", "y", "x").agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
 
 
 def log_filter(img: DataFrame, sigma: dict[str, float], bounds: dict[str, tuple[int, int]], truncate: float = 4.0) -> DataFrame:
@@ -229,5 +252,5 @@ def log_filter(img: DataFrame, sigma: dict[str, float], bounds: dict[str, tuple[
         for a in axes:
             one = convolve_reflected(one, a, kernel(sigma[a], a == second), bounds[a])
         parts = one if parts is None else parts.unionByName(one)
-    summed = parts.groupBy("z", "y", "x").agg((-F.sum("v")).alias("v"))
+    summed = parts.groupBy(*image_of(img), "z", "y", "x").agg((-F.sum("v")).alias("v"))
     return summed.withColumn("v", F.greatest("v", F.lit(0.0)))

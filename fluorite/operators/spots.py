@@ -1,4 +1,7 @@
-"""Spot tables (spot_id, z, y, x, intensity): thresholds, intensities, filters, clusters and assignment to cells."""
+"""Spot tables (spot_id, z, y, x, intensity): thresholds, intensities, filters, clusters and assignment to cells.
+
+As in ``raster``, a column ``image_id`` tells the stacks of a table apart; spot ids differ over all of them.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fluorite.functions.ranking import numbered
+from fluorite.functions.components import connected_components
+from fluorite.functions.ranking import numbered, percentiles
 from fluorite.functions.scratch import stage
+from fluorite.operators.raster import image_of
 
 
 def threshold_percentile(peaks: DataFrame, value: str, p: float = 0.99) -> DataFrame:
     """The percentile of ``value`` with linear interpolation; 0 without rows."""
-    return peaks.agg(F.coalesce(F.percentile(value, F.lit(p)), F.lit(0.0)).alias("threshold"))
+    return percentiles(peaks, value, [p]).agg(F.coalesce(F.max(F.get("q", F.lit(0))), F.lit(0.0)).alias("threshold"))
 
 
 def threshold_rank(spots: DataFrame, total: str, peak: str, p: float = 0.99) -> DataFrame:
@@ -45,7 +50,14 @@ def background_filter(spots: DataFrame, control: DataFrame, value: str = "intens
 
 def integrate(voxels: DataFrame, img: DataFrame) -> DataFrame:
     """Sum of the image over each spot's voxels: spot_id, total, n_voxels."""
-    return voxels.select("spot_id", "z", "y", "x").join(img, ["z", "y", "x"]).groupBy("spot_id").agg(F.sum("v").alias("total"), F.count("*").alias("n_voxels"))
+    place = [*image_of(img), "z", "y", "x"]
+    return voxels.select("spot_id", *place).join(img, place).groupBy("spot_id").agg(F.sum("v").alias("total"), F.count("*").alias("n_voxels"))
+
+
+def gather(points: DataFrame, img: DataFrame, name: str = "peak") -> DataFrame:
+    """``points`` with the image's value at their place; those outside the image drop out."""
+    place = [*image_of(img), "z", "y", "x"]
+    return points.join(img.select(*place, F.col("v").alias(name)), place)
 
 
 def spans(voxels: DataFrame) -> DataFrame:
@@ -60,13 +72,14 @@ def close_pairs(points: DataFrame, voxel: tuple[float, float, float], radius: fl
     ``points``: z, y, x, n. Positions fall into grid cells as wide as the radius; each is sent to the 27 cells around its
     own, so pairs meet by an equi-join on the cell.
     """
+    by = image_of(points)
     cell = [F.floor(F.col(a) * s / radius).cast("long").alias(f"c{a}") for a, s in zip("zyx", voxel, strict=True)]
-    right = points.select(F.col("z").alias("z2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("n").alias("n2"), *cell)
+    right = points.select(*by, F.col("z").alias("z2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("n").alias("n2"), *cell)
     around = F.array(*[F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
     left = points.select("*", *cell).withColumn("_s", F.explode(around))
     left = left.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"_s.{a}") for a in "zyx"}).drop("_s")
     d2 = sum(F.pow((F.col(a) - F.col(f"{a}2")) * s, 2) for a, s in zip("zyx", voxel, strict=True))
-    return left.join(right, ["cz", "cy", "cx"]).where(d2 <= radius * radius).select("z", "y", "x", "n", "z2", "y2", "x2", "n2")
+    return left.join(right, [*by, "cz", "cy", "cx"]).where(d2 <= radius * radius).select(*by, "z", "y", "x", "n", "z2", "y2", "x2", "n2")
 
 
 def cluster_cores(spots: DataFrame, voxel: tuple[float, float, float], radius: float, min_spots: int) -> DataFrame:
@@ -74,81 +87,88 @@ def cluster_cores(spots: DataFrame, voxel: tuple[float, float, float], radius: f
 
     Spots of one voxel share their neighbourhood, so pairs are of voxels, however many spots fall on one.
     """
-    points = spots.groupBy("z", "y", "x").agg(F.count("*").alias("n"))
-    near = close_pairs(points, voxel, radius).groupBy("z", "y", "x").agg(F.sum("n2").alias("n_near"))
-    return spots.join(near, ["z", "y", "x"]).select("spot_id", "z", "y", "x", "n_near", (F.col("n_near") >= min_spots).alias("is_core"))
+    place = [*image_of(spots), "z", "y", "x"]
+    points = spots.groupBy(*place).agg(F.count("*").alias("n"))
+    near = close_pairs(points, voxel, radius).groupBy(*place).agg(F.sum("n2").alias("n_near"))
+    return spots.join(near, place).select("spot_id", *place, "n_near", (F.col("n_near") >= min_spots).alias("is_core"))
 
 
 def clusters(spots: DataFrame, voxel: tuple[float, float, float], radius: float, min_spots: int) -> DataFrame:
     """spot_id and cluster (smallest spot_id of its cores) by density: cores within the radius share a cluster, other spots
     take the smallest cluster of a core within it, and null without one."""
+    by = image_of(spots)
+    place = [*by, "z", "y", "x"]
     flagged = stage(cluster_cores(spots, voxel, radius, min_spots))
-    points = flagged.groupBy("z", "y", "x").agg(F.lit(1).alias("n"), F.min(F.when(F.col("is_core"), F.col("spot_id"))).alias("core"))
-    at = points.where("core IS NOT NULL").select("z", "y", "x", "core")
-    near = close_pairs(points.select("z", "y", "x", "n"), voxel, radius)
-    to = at.select(F.col("z").alias("z2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("core").alias("core2"))
-    linked = stage(near.join(to, ["z2", "y2", "x2"]).join(points.select("z", "y", "x", "core"), ["z", "y", "x"]).select("z", "y", "x", "core", "core2"))
-    edges = linked.where("core IS NOT NULL").select(F.col("core").alias("a"), F.col("core2").alias("b"))
-    groups = components(edges)
-    own = linked.join(groups, linked.core2 == groups.node).groupBy("z", "y", "x").agg(F.min("component").alias("cluster"))
-    return flagged.join(own, ["z", "y", "x"], "left").select("spot_id", "is_core", "cluster")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (smallest node reachable) from edges a, b, given in both directions; an edge may join a to itself."""
-    nodes = stage(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    while True:
-        step = edges.join(nodes, edges.b == nodes.node).groupBy("a").agg(F.min("component").alias("m"))
-        new = nodes.join(step, nodes.node == step.a, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"))
-        # Follow the label's own label too, so labels travel twice as far each round.
-        far = new.select(F.col("node").alias("c"), F.col("c").alias("further"))
-        new = new.join(far, "c", "left").select("node", F.least("c", F.coalesce("further", "c")).alias("component"))
-        new = stage(new)
-        changed = new.join(nodes.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        nodes = new
-        if not changed:
-            return nodes
+    points = stage(flagged.groupBy(*place).agg(F.lit(1).alias("n"), F.min(F.when(F.col("is_core"), F.col("spot_id"))).alias("core")))
+    at = points.where("core IS NOT NULL").select(*place, "core")
+    near = close_pairs(points.select(*place, "n"), voxel, radius)
+    to = at.select(*by, F.col("z").alias("z2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("core").alias("core2"))
+    linked = stage(near.join(to, [*by, "z2", "y2", "x2"]).join(points.select(*place, "core"), place).select(*place, "core", "core2"))
+    groups = connected_components(linked.where("core < core2").select(F.col("core").alias("a"), F.col("core2").alias("b")))
+    # A core without another is its own cluster.
+    own = linked.join(groups, linked.core2 == groups.node, "left").groupBy(*place).agg(F.min(F.coalesce("component", "core2")).alias("cluster"))
+    return flagged.join(own, place, "left").select("spot_id", "is_core", "cluster")
 
 
 def assign(spots: DataFrame, labels: DataFrame) -> DataFrame:
     """Each spot (spot_id, plane, y, x, intensity) with the label of its pixel, 0 where there is none."""
-    return spots.join(labels.select("plane", "y", "x", "label"), ["plane", "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
+    place = [*image_of(labels), "plane", "y", "x"]
+    return spots.join(labels.select(*place, "label"), place, "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
 
 
 def cell_counts(assigned: DataFrame, labels: DataFrame) -> DataFrame:
     """plane, label, n and intensity for every label there is, zero without spots; background is left out first."""
-    found = assigned.where("label > 0").groupBy("plane", "label").agg(F.count("*").alias("n"), F.sum("intensity").alias("intensity"))
-    every = labels.select("plane", F.col("label").cast("long").alias("label")).distinct()
-    return every.join(found, ["plane", "label"], "left").select("plane", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+    cell = [*image_of(labels), "plane", "label"]
+    found = assigned.where("label > 0").groupBy(*cell).agg(F.count("*").alias("n"), F.sum("intensity").alias("intensity"))
+    every = labels.select(*cell[:-1], F.col("label").cast("long").alias("label")).distinct()
+    return every.join(found, cell, "left").select(*cell, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+
+
+def percent_of_max(spots: DataFrame, value: str = "intensity", name: str = "pct") -> DataFrame:
+    """``spots`` with ``value`` as percent of its largest in the image."""
+    by = image_of(spots)
+    top = spots.groupBy(*by).agg(F.max(value).alias("_top"))
+    joined = spots.join(top, by) if by else spots.join(F.broadcast(top))
+    return joined.withColumn(name, F.try_divide(F.col(value), F.col("_top")) * 100).drop("_top")
 
 
 def background_counts(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("plane").agg(F.count_if(F.col("label") == 0).alias("background"), F.count_if(F.col("label") > 0).alias("assigned"))
+    return assigned.groupBy(*image_of(assigned), "plane").agg(F.count_if(F.col("label") == 0).alias("background"), F.count_if(F.col("label") > 0).alias("assigned"))
 
 
 def zonal_map(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """The count and intensity of each pixel's label."""
-    return labels.select("plane", "y", "x", F.col("label").cast("long").alias("label")).join(counts, ["plane", "label"])
+    cell = [*image_of(labels), "plane", "label"]
+    return labels.select(*cell[:-1], "y", "x", F.col("label").cast("long").alias("label")).join(counts, cell)
 
 
 def positive_relabel(counts: DataFrame, by: Sequence[str] = ("plane",)) -> DataFrame:
     """New labels 1, 2, ... in label order for labels with spots; 0 for the others."""
-    order = W.partitionBy(*by, F.col("n") > 0).orderBy("label")
+    order = W.partitionBy(*image_of(counts), *by, F.col("n") > 0).orderBy("label")
     return counts.withColumn("new_label", F.when(F.col("n") > 0, F.row_number().over(order)).otherwise(0).cast("long"))
 
 
 def best_overlap(truth: DataFrame, found: DataFrame, keys: Sequence[str] = ("plane", "y", "x")) -> DataFrame:
     """For each label of ``truth`` the largest intersection over union with a label of ``found`` in its plane."""
+    keys = [*image_of(truth), *keys]
     t = truth.select(*keys, F.col("label").alias("t"))
     f = found.select(*keys, F.col("label").alias("f"))
-    plane = keys[0]
-    common = t.join(f, list(keys)).groupBy(plane, "t", "f").agg(F.count("*").alias("c"))
-    sizes_t, sizes_f = t.groupBy(plane, "t").agg(F.count("*").alias("nt")), f.groupBy(plane, "f").agg(F.count("*").alias("nf"))
-    iou = common.join(sizes_t, [plane, "t"]).join(sizes_f, [plane, "f"]).groupBy(plane, "t").agg(F.max(F.col("c") / (F.col("nt") + F.col("nf") - F.col("c"))).alias("iou"))
-    return sizes_t.join(iou, [plane, "t"], "left").select(plane, F.col("t").alias("label"), F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    plane = [k for k in keys if k not in ("y", "x")]
+    common = t.join(f, keys).groupBy(*plane, "t", "f").agg(F.count("*").alias("c"))
+    sizes_t, sizes_f = t.groupBy(*plane, "t").agg(F.count("*").alias("nt")), f.groupBy(*plane, "f").agg(F.count("*").alias("nf"))
+    iou = common.join(sizes_t, [*plane, "t"]).join(sizes_f, [*plane, "f"]).groupBy(*plane, "t").agg(F.max(F.col("c") / (F.col("nt") + F.col("nf") - F.col("c"))).alias("iou"))
+    return sizes_t.join(iou, [*plane, "t"], "left").select(*plane, F.col("t").alias("label"), F.coalesce("iou", F.lit(0.0)).alias("iou"))
+
+
+def outer_counts(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """plane, label, n for every number from 1 to the plane's largest label, 0 for those without spots or pixels."""
+    cell = [*image_of(labels), "plane", "label"]
+    dense = labels.groupBy(*cell[:-1]).agg(F.max("label").alias("m")).select(*cell[:-1], F.explode(F.sequence(F.lit(1).cast("long"), F.col("m").cast("long"))).alias("label"))
+    return dense.join(counts.select(*cell, "n"), cell, "left").select(*cell, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def label_extents(labels: DataFrame) -> DataFrame:
     """Median height and width of the labels' boxes in each plane."""
-    box = labels.groupBy("plane", "label").agg((F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
-    return box.groupBy("plane").agg(F.median("h").alias("median_h"), F.median("w").alias("median_w"), F.count("*").alias("n_labels"))
+    by = [*image_of(labels), "plane"]
+    box = labels.groupBy(*by, "label").agg((F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
+    return box.groupBy(*by).agg(F.median("h").alias("median_h"), F.median("w").alias("median_w"), F.count("*").alias("n_labels"))

@@ -28,11 +28,17 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("spot_id"), (F.col("event_id") % 40).alias("z"), (F.col("event_id") * 7 % SIDE).alias("y"), (F.col("user_id") % SIDE).alias("x"), F.col("value").alias("intensity"), F.col("event_type").alias("channel"))
 
 
+def stacks(spark: SparkSession, sf_dir: str, planes: int = 100) -> DataFrame:
+    """The slices of ``img`` as stacks of ``planes`` each, with an image key."""
+    i = img(spark, sf_dir)
+    return i.select(F.floor(F.col("z") / planes).cast("long").alias("image_id"), (F.col("z") % planes).alias("z"), "y", "x", "v")
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each 64 suppliers, in which each has a pixel of its own."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    s = s.select((k + 1).alias("label"), (F.col("s_nationkey") % 6).cast("long").alias("plane"), (k * 13 % SIDE).alias("y"), (k * 29 % SIDE).alias("x"))
-    return s.groupBy("plane", "y", "x").agg(F.min("label").alias("label"))
+    return s.select(F.floor(k / 64).cast("long").alias("image_id"), (k + 1).alias("label"), (F.col("s_nationkey") % 6).cast("long").alias("plane"), (k * 13 % SIDE).alias("y"), (k * 29 % SIDE).alias("x"))
 
 
 def cell_px(spark: SparkSession, sf_dir: str, distance: int = 5) -> DataFrame:
@@ -40,7 +46,9 @@ def cell_px(spark: SparkSession, sf_dir: str, distance: int = 5) -> DataFrame:
 
 
 def placed_spots(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
-    return spots(spark, sf_dir).withColumn("plane", raster.plane_of(F.col("z"), k))
+    """Spots with the image and the projected plane that they lie in: an image for each 6,400 events."""
+    s = spots(spark, sf_dir).withColumn("plane", raster.plane_of(F.col("z"), k))
+    return s.withColumn("image_id", F.floor(F.col("spot_id") / 6400).cast("long"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,19 +62,19 @@ SQL = {
     "img": """img AS (SELECT vec_id AS z, (p - 1) // 8 AS y, (p - 1) % 8 AS x, embedding[p]::DOUBLE AS v
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings))""",
     "spots": """spots AS (SELECT event_id AS spot_id, event_id % 40 AS z, event_id * 7 % 64 AS y, user_id % 64 AS x, value AS intensity, event_type AS channel,
-  event_id % 40 // 7 AS plane FROM events)""",
-    "seeds": """seeds AS (SELECT plane, y, x, min(label) AS label FROM (SELECT s_suppkey + 1 AS label, (s_nationkey % 6)::BIGINT AS plane,
-  s_suppkey * 13 % 64 AS y, s_suppkey * 29 % 64 AS x FROM supplier) GROUP BY ALL)""",
+  event_id % 40 // 7 AS plane, event_id // 6400 AS image_id FROM events)""",
+    "stacks": """stacks AS (SELECT z // 100 AS image_id, z % 100 AS z, y, x, v FROM img)""",
+    "seeds": """seeds AS (SELECT s_suppkey // 64 AS image_id, s_suppkey + 1 AS label, (s_nationkey % 6)::BIGINT AS plane, s_suppkey * 13 % 64 AS y, s_suppkey * 29 % 64 AS x FROM supplier)""",
     "cell_px": """disc AS (SELECT a, b, a * a + b * b AS d2 FROM range(-5, 6) ta(a), range(-5, 6) tb(b) WHERE a * a + b * b <= 25),
-cell_px AS (SELECT plane, y, x, label, d2 FROM (SELECT plane, y + a AS y, x + b AS x, label, d2,
-  row_number() OVER (PARTITION BY plane, y + a, x + b ORDER BY d2, label) AS r FROM seeds, disc) WHERE r = 1 AND y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63)""",
+cell_px AS (SELECT image_id, plane, y, x, label, d2 FROM (SELECT image_id, plane, y + a AS y, x + b AS x, label, d2,
+  row_number() OVER (PARTITION BY image_id, plane, y + a, x + b ORDER BY d2, label) AS r FROM seeds, disc) WHERE r = 1 AND y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63)""",
     "cells": """cells AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'Incision' ELSE 'Amputation' END || '_' || (l_linenumber % 3 * 6)::VARCHAR || 'h' AS grp,
   1 + l_suppkey % 3 AS rep, l_quantity::DOUBLE AS n, l_extendedprice::DOUBLE AS inten FROM lineitem)""",
-    "assigned": """assigned AS (SELECT s.*, coalesce(c.label, 0) AS label FROM spots s LEFT JOIN cell_px c USING (plane, y, x))""",
-    "counts": """counts AS (SELECT l.plane, l.label, coalesce(n, 0) AS n, coalesce(intensity, 0) AS intensity FROM (SELECT DISTINCT plane, label FROM cell_px) l
-  LEFT JOIN (SELECT plane, label, count(*) AS n, sum(intensity) AS intensity FROM assigned WHERE label > 0 GROUP BY ALL) USING (plane, label))""",
+    "assigned": """assigned AS (SELECT s.*, coalesce(c.label, 0) AS label FROM spots s LEFT JOIN cell_px c USING (image_id, plane, y, x))""",
+    "counts": """counts AS (SELECT l.image_id, l.plane, l.label, coalesce(n, 0) AS n, coalesce(intensity, 0) AS intensity FROM (SELECT DISTINCT image_id, plane, label FROM cell_px) l
+  LEFT JOIN (SELECT image_id, plane, label, count(*) AS n, sum(intensity) AS intensity FROM assigned WHERE label > 0 GROUP BY ALL) USING (image_id, plane, label))""",
 }
-NEEDS = {"cell_px": ["seeds"], "assigned": ["spots", "cell_px"], "counts": ["assigned"]}
+NEEDS = {"stacks": ["img"], "cell_px": ["seeds"], "assigned": ["spots", "cell_px"], "counts": ["assigned"]}
 
 
 def with_tables(*names: str, recursive: bool = False) -> str:

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluorite.functions.ranking import numbered
+from fluorite.functions.ranking import numbered, percentiles
+from fluorite.functions.scratch import stage
 from fluorite.operators import cohort, raster
 from fluorite.operators import spots as sp
 from fluorite.plans import adapters as ad
@@ -276,14 +277,17 @@ def control_threshold_rank(spark, d):
 
 @query("SELECT event_type AS channel, coalesce(CASE WHEN event_type = 'purchase' THEN 50.0 END, CASE WHEN count(*) FILTER (user_id % 2 = 0) > 0 THEN quantile_cont(value, 0.99) FILTER (user_id % 2 = 0) END, 10.0, max(value)) AS threshold FROM events GROUP BY event_type")
 def threshold_precedence(spark, d):
-    s = ad.table(spark, d, "events").groupBy(F.col("event_type").alias("channel")).agg(F.percentile(F.when(F.col("user_id") % 2 == 0, F.col("value")), F.lit(0.99)).alias("control"), F.max("value").alias("auto"))
+    s = ad.table(spark, d, "events").groupBy(F.col("event_type").alias("channel")).agg(F.max("value").alias("auto"))
+    even = ad.table(spark, d, "events").where("user_id % 2 = 0").select(F.col("event_type").alias("channel"), "value")
+    s = s.join(percentiles(even, "value", [0.99], ["channel"]).select("channel", F.get("q", F.lit(0)).alias("control")), "channel", "left")
     manual = F.when(F.col("channel") == "purchase", F.lit(50.0))
     return s.select("channel", sp.threshold_precedence(manual, F.col("control"), F.lit(10.0), F.col("auto")).alias("threshold"))
 
 
 @query(w("img") + " SELECT round(quantile_cont(v, 0.999), 9) AS threshold, count(*) AS n FROM img WHERE v < 0")
 def auto_threshold_quantile(spark, d):
-    return ad.img(spark, d).where("v < 0").agg(F.round(F.percentile("v", F.lit(0.999)), 9).alias("threshold"), F.count("*").alias("n"))
+    i = ad.img(spark, d).where("v < 0")
+    return percentiles(i, "v", [0.999]).select(F.round(F.get("q", F.lit(0)), 9).alias("threshold")).join(F.broadcast(i.agg(F.count("*").alias("n"))))
 
 
 @query("SELECT k, (k * 10)::DOUBLE AS threshold, (SELECT count(*) FROM events WHERE value >= k * 10) AS n_spots FROM range(40) t(k)")
@@ -340,7 +344,15 @@ def cluster_core(spark, d):
     return sp.cluster_cores(ad.spots(spark, d), VOXEL, RADIUS, MIN_SPOTS).select("spot_id", "n_near", "is_core")
 
 
-@query()
+@query(
+    w("spots", recursive=True) + f", {NEAR_SQL}" + """, flag AS (SELECT spot_id, z, y, x, n_near >= 4 AS is_core FROM spots JOIN core USING (z, y, x)),
+c AS (SELECT z, y, x, min(spot_id) AS node FROM flag WHERE is_core GROUP BY ALL),
+l AS (SELECT a.node AS a, b.node AS b FROM near n JOIN c a ON a.z = n.z AND a.y = n.y AND a.x = n.x JOIN c b ON b.z = n.z2 AND b.y = n.y2 AND b.x = n.x2),
+r AS (SELECT node AS a, node AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+comp AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a),
+own AS (SELECT n.z, n.y, n.x, min(component) AS "cluster" FROM near n JOIN c ON c.z = n.z2 AND c.y = n.y2 AND c.x = n.x2 JOIN comp USING (node) GROUP BY ALL)
+SELECT spot_id, is_core, "cluster" FROM flag LEFT JOIN own USING (z, y, x)"""
+)
 def cluster_components(spark, d):
     return sp.clusters(ad.spots(spark, d), VOXEL, RADIUS, MIN_SPOTS)
 
@@ -503,7 +515,7 @@ def spot_raster(spark, d):
 # ---- cells ----------------------------------------------------------------------------------------------------------
 
 
-@query(w("cell_px") + " SELECT plane, y, x, label, d2 FROM cell_px")
+@query(w("cell_px") + " SELECT image_id, plane, y, x, label, d2 FROM cell_px")
 def expand_labels(spark, d):
     return ad.cell_px(spark, d).withColumn("d2", F.col("d2").cast("long"))
 
@@ -513,63 +525,74 @@ def _assigned(spark, d):
     return px, sp.assign(ad.placed_spots(spark, d), px)
 
 
-@query(w("assigned") + " SELECT spot_id, plane, label FROM assigned")
+@query(w("assigned") + " SELECT spot_id, image_id, plane, label FROM assigned")
 def assign_spots(spark, d):
-    return _assigned(spark, d)[1].select("spot_id", "plane", "label")
+    return _assigned(spark, d)[1].select("spot_id", "image_id", "plane", "label")
 
 
-@query(w("counts") + " SELECT plane, label, n, round(intensity, 6) AS intensity FROM counts")
+@query(w("counts") + " SELECT image_id, plane, label, n, round(intensity, 6) AS intensity FROM counts")
 def cell_counts(spark, d):
     px, a = _assigned(spark, d)
     return rounded(sp.cell_counts(a, px), "intensity")
 
 
-@query(w("counts") + " SELECT g.plane, g.l AS label, coalesce(c.n, 0) AS n FROM (SELECT plane, unnest(range(1, m + 1)) AS l FROM (SELECT plane, max(label) AS m FROM cell_px GROUP BY plane)) g LEFT JOIN counts c ON c.plane = g.plane AND c.label = g.l")
+@query(w("counts") + " SELECT g.image_id, g.plane, g.l AS label, coalesce(c.n, 0) AS n FROM (SELECT image_id, plane, unnest(range(1, m + 1)) AS l FROM (SELECT image_id, plane, max(label) AS m FROM cell_px GROUP BY ALL)) g LEFT JOIN counts c ON c.image_id = g.image_id AND c.plane = g.plane AND c.label = g.l")
 def label_outer_counts(spark, d):
     px, a = _assigned(spark, d)
-    dense = px.groupBy("plane").agg(F.max("label").alias("m")).select("plane", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("label"))
-    return dense.join(sp.cell_counts(a, px).select("plane", "label", "n"), ["plane", "label"], "left").select("plane", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return sp.outer_counts(sp.cell_counts(a, px), px)
 
 
-@query(w("assigned") + " SELECT plane, count(*) FILTER (label = 0) AS background, count(*) FILTER (label > 0) AS assigned FROM assigned GROUP BY plane")
+@query(w("assigned") + ", p AS (SELECT *, 100 * intensity / max(intensity) OVER (PARTITION BY image_id) AS pct FROM assigned) SELECT l.image_id, l.plane, l.label, round(coalesce(pct, 0), 6) AS intensity FROM (SELECT DISTINCT image_id, plane, label FROM cell_px) l LEFT JOIN (SELECT image_id, plane, label, sum(pct) AS pct FROM p WHERE label > 0 GROUP BY ALL) USING (image_id, plane, label)")
+def normalised_per_label(spark, d):
+    px, a = _assigned(spark, d)
+    pct = sp.percent_of_max(a).drop("intensity").withColumnRenamed("pct", "intensity")
+    return rounded(sp.cell_counts(pct, px).drop("n"), "intensity")
+
+
+@query(w("assigned") + " SELECT image_id, plane, count(*) FILTER (label = 0) AS background, count(*) FILTER (label > 0) AS assigned FROM assigned GROUP BY ALL")
 def background_counts(spark, d):
     return sp.background_counts(_assigned(spark, d)[1])
 
 
-@query(w("counts") + " SELECT p.plane, p.y, p.x, p.label, c.n, round(c.intensity, 6) AS intensity FROM cell_px p JOIN counts c USING (plane, label)")
+@query(w("counts") + " SELECT p.image_id, p.plane, p.y, p.x, p.label, c.n, round(c.intensity, 6) AS intensity FROM cell_px p JOIN counts c USING (image_id, plane, label)")
 def zonal_map(spark, d):
     px, a = _assigned(spark, d)
-    return rounded(sp.zonal_map(px, sp.cell_counts(a, px)).select("plane", "y", "x", "label", "n", "intensity"), "intensity")
+    return rounded(sp.zonal_map(px, sp.cell_counts(a, px)).select("image_id", "plane", "y", "x", "label", "n", "intensity"), "intensity")
 
 
-@query(w("counts") + " SELECT plane, label, n, CASE WHEN n > 0 THEN sum((n > 0)::INT) OVER (PARTITION BY plane ORDER BY label) ELSE 0 END::BIGINT AS new_label FROM counts")
+@query(w("counts") + " SELECT image_id, plane, label, n, CASE WHEN n > 0 THEN sum((n > 0)::INT) OVER (PARTITION BY image_id, plane ORDER BY label) ELSE 0 END::BIGINT AS new_label FROM counts")
 def positive_relabel(spark, d):
     px, a = _assigned(spark, d)
-    return sp.positive_relabel(sp.cell_counts(a, px)).select("plane", "label", "n", "new_label")
+    return sp.positive_relabel(sp.cell_counts(a, px)).select("image_id", "plane", "label", "n", "new_label")
 
 
-@query(w("cell_px") + ", t AS (SELECT plane, y, x, label FROM cell_px WHERE d2 <= 16), nt AS (SELECT plane, label, count(*) AS n FROM t GROUP BY ALL), nf AS (SELECT plane, label, count(*) AS n FROM cell_px GROUP BY ALL), c AS (SELECT plane, t.label AS a, f.label AS b, count(*) AS c FROM t JOIN cell_px f USING (plane, y, x) GROUP BY ALL) SELECT nt.plane, nt.label, round(coalesce(max(c / (nt.n + nf.n - c)), 0), 9) AS iou FROM nt LEFT JOIN c ON c.plane = nt.plane AND c.a = nt.label LEFT JOIN nf ON nf.plane = c.plane AND nf.label = c.b GROUP BY 1, 2")
+@query(w("cell_px") + """, t AS (SELECT image_id, plane, y, x, label FROM cell_px WHERE d2 <= 16), nt AS (SELECT image_id, plane, label, count(*) AS n FROM t GROUP BY ALL),
+nf AS (SELECT image_id, plane, label, count(*) AS n FROM cell_px GROUP BY ALL), c AS (SELECT image_id, plane, t.label AS a, f.label AS b, count(*) AS c FROM t JOIN cell_px f USING (image_id, plane, y, x) GROUP BY ALL)
+SELECT nt.image_id, nt.plane, nt.label, round(coalesce(max(c / (nt.n + nf.n - c)), 0), 9) AS iou FROM nt LEFT JOIN c ON c.image_id = nt.image_id AND c.plane = nt.plane AND c.a = nt.label
+LEFT JOIN nf ON nf.image_id = c.image_id AND nf.plane = c.plane AND nf.label = c.b GROUP BY 1, 2, 3""")
 def label_iou(spark, d):
     px = ad.cell_px(spark, d)
     return sp.best_overlap(px.where("d2 <= 16"), px).withColumn("iou", F.round("iou", 9))
 
 
-@query(w("cell_px") + ", b AS (SELECT plane, label, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM cell_px GROUP BY ALL) SELECT plane, median(h) AS median_h, median(w) AS median_w, count(*) AS n_labels FROM b GROUP BY plane")
+@query(w("cell_px") + ", b AS (SELECT image_id, plane, label, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM cell_px GROUP BY ALL) SELECT image_id, plane, median(h) AS median_h, median(w) AS median_w, count(*) AS n_labels FROM b GROUP BY ALL")
 def label_extents(spark, d):
     return sp.label_extents(ad.cell_px(spark, d))
 
 
-@query(w("spots", "cell_px") + " SELECT p.plane, p.plane IN (SELECT plane FROM spots) AS has_spots, n, (SELECT max(plane) FROM spots) >= p.plane AS inside FROM (SELECT plane, count(DISTINCT label) AS n FROM cell_px GROUP BY plane) p")
+@query(w("spots", "cell_px") + " SELECT p.image_id, p.plane, s.plane IS NOT NULL AS has_spots, p.n, coalesce(t.top >= p.plane, false) AS inside FROM (SELECT image_id, plane, count(DISTINCT label) AS n FROM cell_px GROUP BY ALL) p LEFT JOIN (SELECT DISTINCT image_id, plane FROM spots) s USING (image_id, plane) LEFT JOIN (SELECT image_id, max(plane) AS top FROM spots GROUP BY image_id) t ON t.image_id = p.image_id")
 def shape_check(spark, d):
-    px = ad.cell_px(spark, d).groupBy("plane").agg(F.count_distinct("label").alias("n"))
-    s = ad.placed_spots(spark, d).select("plane").distinct().withColumn("here", F.lit(True))
-    top = F.broadcast(ad.placed_spots(spark, d).agg(F.max("plane").alias("top")))
-    return px.join(s, "plane", "left").join(top).select("plane", F.coalesce("here", F.lit(False)).alias("has_spots"), "n", (F.col("top") >= F.col("plane")).alias("inside"))
+    px = ad.cell_px(spark, d).groupBy("image_id", "plane").agg(F.count_distinct("label").alias("n"))
+    placed = ad.placed_spots(spark, d)
+    s = placed.select("image_id", "plane").distinct().withColumn("here", F.lit(True))
+    top = placed.groupBy("image_id").agg(F.max("plane").alias("top"))
+    out = px.join(s, ["image_id", "plane"], "left").join(top, "image_id", "left")
+    return out.select("image_id", "plane", F.coalesce("here", F.lit(False)).alias("has_spots"), "n", F.coalesce(F.col("top") >= F.col("plane"), F.lit(False)).alias("inside"))
 
 
-@query(w("cell_px") + " SELECT plane, count(DISTINCT label) + 1 AS n_with_background, max(label) AS max_label FROM cell_px GROUP BY plane")
+@query(w("cell_px") + " SELECT image_id, plane, count(DISTINCT label) + 1 AS n_with_background, max(label) AS max_label FROM cell_px GROUP BY ALL")
 def distinct_labels(spark, d):
-    return ad.cell_px(spark, d).groupBy("plane").agg((F.count_distinct("label") + 1).alias("n_with_background"), F.max("label").alias("max_label"))
+    return ad.cell_px(spark, d).groupBy("image_id", "plane").agg((F.count_distinct("label") + 1).alias("n_with_background"), F.max("label").alias("max_label"))
 
 
 # ---- tiles ----------------------------------------------------------------------------------------------------------
@@ -595,9 +618,9 @@ def tile_offset(spark, d):
     return raster.tile_offsets(t)
 
 
-@query(w("cell_px") + ", o AS (SELECT plane, y, x, label FROM cell_px UNION ALL SELECT plane, y, x, label + 10 FROM cell_px WHERE x % 448 < 8) SELECT plane, y, x, max(label) AS label FROM o GROUP BY ALL")
+@query(w("cell_px") + ", o AS (SELECT image_id, plane, y, x, label FROM cell_px UNION ALL SELECT image_id, plane, y, x, label + 10 FROM cell_px WHERE x % 448 < 8) SELECT image_id, plane, y, x, max(label) AS label FROM o GROUP BY ALL")
 def tile_merge(spark, d):
-    px = ad.cell_px(spark, d).select("plane", "y", "x", "label")
+    px = ad.cell_px(spark, d).select("image_id", "plane", "y", "x", "label")
     return raster.tile_merge(px.unionByName(px.where("x % 448 < 8").withColumn("label", F.col("label") + 10)))
 
 
@@ -632,11 +655,13 @@ def slice_skip(spark, d):
 # ---- array files ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_type AS path, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row, unnest([0, 1, 2])::BIGINT AS col, unnest([event_id % 40, event_id * 7 % 64, user_id % 64])::DOUBLE AS value FROM events")
+@query("SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row, unnest([0, 1, 2])::BIGINT AS col, unnest([event_id % 40, event_id * 7 % 64, user_id % 64])::DOUBLE AS value FROM events")
 def npy_round_trip(spark, d):
     from fluorite.sources import arrays
 
-    return arrays.array_rows(arrays.spots_npy(ad.spots(spark, d), "channel")).select("path", "row", "col", "value")
+    written = stage(arrays.spots_npy(ad.spots(spark, d), "channel", rows_per_file=10_000))
+    rows = arrays.array_rows(written).join(written.select("path", "first_row"), "path")
+    return rows.select(F.substring_index("path", "/", 1).alias("channel"), (F.col("row") + F.col("first_row")).alias("row"), "col", "value")
 
 
 @query(w("img") + " SELECT (z // 50)::VARCHAR AS path, z - min(z) OVER (PARTITION BY z // 50) AS z, y, x, v FROM img")
@@ -712,7 +737,7 @@ def detect_spots(spark, d):
     return detect(ad.img(spark, d), settings, digits=8).select("z", "y", "x", "peak")
 
 
-@query(w("counts") + ", r AS (SELECT plane, label, n, row_number() OVER (PARTITION BY plane ORDER BY label) AS new_label FROM counts WHERE n > 0) SELECT p.plane, p.y, p.x, r.new_label AS label, r.n FROM cell_px p JOIN r USING (plane, label)")
+@query(w("counts") + ", r AS (SELECT image_id, plane, label, n, row_number() OVER (PARTITION BY image_id, plane ORDER BY label) AS new_label FROM counts WHERE n > 0) SELECT p.image_id, p.plane, p.y, p.x, r.new_label AS label, r.n FROM cell_px p JOIN r USING (image_id, plane, label)")
 def counterstain_positive(spark, d):
     from fluorite.plans.pipelines import counterstain
 
@@ -748,21 +773,22 @@ def decompose_dense(spark, d):
     return decompose(i.where("v > 0"), seeds, f, 0.1)
 
 
-@query(w("cell_px", "spots") + """, s AS (SELECT label, count(*) AS n_spots FROM spots JOIN cell_px USING (plane, y, x) GROUP BY ALL),
-a AS (SELECT label, count(*) AS cell_area, count(*) FILTER (d2 <= 4) AS nucleus_area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cell_px GROUP BY label)
-SELECT a.*, coalesce(n_spots, 0) AS n_spots FROM a LEFT JOIN s USING (label)""")
+@query(w("cell_px", "spots") + """, s AS (SELECT image_id, label, count(*) AS n_spots FROM spots JOIN cell_px USING (image_id, plane, y, x) GROUP BY ALL),
+a AS (SELECT image_id, label, count(*) AS cell_area, count(*) FILTER (d2 <= 4) AS nucleus_area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cell_px GROUP BY ALL)
+SELECT a.*, coalesce(n_spots, 0) AS n_spots FROM a LEFT JOIN s USING (image_id, label)""")
 def extract_cells(spark, d):
     px = ad.cell_px(spark, d)
-    area = px.groupBy("label").agg(F.count("*").alias("cell_area"), F.count_if(F.col("d2") <= 4).alias("nucleus_area"), *[f(a).alias(f"{a}{k}") for a in "yx" for k, f in enumerate((F.min, F.max))])
-    inside = ad.placed_spots(spark, d).join(px, ["plane", "y", "x"]).groupBy("label").agg(F.count("*").alias("n_spots"))
-    return area.join(inside, "label", "left").withColumn("n_spots", F.coalesce("n_spots", F.lit(0)))
+    area = px.groupBy("image_id", "label").agg(F.count("*").alias("cell_area"), F.count_if(F.col("d2") <= 4).alias("nucleus_area"), *[f(a).alias(f"{a}{k}") for a in "yx" for k, f in enumerate((F.min, F.max))])
+    inside = ad.placed_spots(spark, d).join(px, ["image_id", "plane", "y", "x"]).groupBy("image_id", "label").agg(F.count("*").alias("n_spots"))
+    return area.join(inside, ["image_id", "label"], "left").withColumn("n_spots", F.coalesce("n_spots", F.lit(0)))
 
 
 @query(w("spots") + """, t AS (SELECT channel, z, quantile_cont(intensity, 0.999) AS threshold FROM spots GROUP BY ALL)
 SELECT channel, count(*) AS n_images, round(avg(threshold), 6) AS mean_threshold, round(quantile_cont(threshold, 0.5), 6) AS median_threshold FROM t GROUP BY channel""")
 def threshold_survey(spark, d):
-    t = ad.spots(spark, d).groupBy("channel", "z").agg(F.percentile("intensity", F.lit(0.999)).alias("threshold"))
-    return t.groupBy("channel").agg(F.count("*").alias("n_images"), r6(F.avg("threshold")).alias("mean_threshold"), r6(F.percentile("threshold", F.lit(0.5))).alias("median_threshold"))
+    t = percentiles(ad.spots(spark, d), "intensity", [0.999], ["channel", "z"]).select("channel", "z", F.get("q", F.lit(0)).alias("threshold"))
+    middle = percentiles(t, "threshold", [0.5], ["channel"]).select("channel", r6(F.get("q", F.lit(0))).alias("median_threshold"))
+    return t.groupBy("channel").agg(F.count("*").alias("n_images"), r6(F.avg("threshold")).alias("mean_threshold")).join(middle, "channel")
 
 
 @query("SELECT p.part, p.p_partkey AS image, q.s_suppkey AS mask FROM (SELECT p_partkey % 10 AS part, p_partkey, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_name, p_partkey) AS r FROM part) p JOIN (SELECT s_suppkey % 10 AS part, s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_name) AS r FROM supplier) q ON p.part = q.part AND p.r = q.r")
@@ -771,3 +797,96 @@ def paired_by_order(spark, d):
     masks = ad.table(spark, d, "supplier").select((F.col("s_suppkey") % 10).alias("part"), F.col("s_suppkey").alias("mask"), F.col("s_name").alias("k"))
     a, b = numbered(images, ["k", "image"], "r", ["part"]), numbered(masks, ["k", "mask"], "r", ["part"])
     return a.select("part", "image", "r").join(b.select("part", "mask", "r"), ["part", "r"]).select("part", "image", "mask")
+
+
+# ---- several stacks, controls and the second detector --------------------------------------------------------------
+
+
+STACK_MAXIMA = _extrema_sql("max", "v > 0").replace("FROM img)", "FROM stacks)").replace("PARTITION BY ", "PARTITION BY image_id, ").replace("SELECT z, y", "SELECT image_id, z, y")
+
+
+@query(w("stacks") + STACK_MAXIMA)
+def stack_maxima(spark, d):
+    return raster.extrema(ad.stacks(spark, d), 1, 2, 2)
+
+
+@query(w("stacks") + " SELECT image_id, z // 10 AS plane, y, x, max(v) AS v FROM stacks GROUP BY ALL")
+def stack_projection(spark, d):
+    return raster.project_grouped(ad.stacks(spark, d), 10)
+
+
+STACK_RESPONSE = w("stacks", recursive=True) + """, k AS (SELECT d, exp(-0.5 * d ^ 2) / sum(exp(-0.5 * d ^ 2)) OVER () AS w FROM range(-3, 4) t(d)),
+gy AS (SELECT image_id, z, y + d AS y, x, sum(v * w) AS v FROM stacks, k WHERE y + d BETWEEN 0 AND 7 GROUP BY ALL),
+gx AS (SELECT image_id, z, y, x + d AS x, sum(v * w) AS v FROM gy, k WHERE x + d BETWEEN 0 AND 7 GROUP BY ALL),
+lg AS (SELECT image_id, z, y, x, round(v, 8) AS v FROM (SELECT c.image_id, c.z, c.y, c.x, 2 * (9 * any_value(c.v) - sum(n.v)) AS v
+  FROM gx c JOIN gx n ON n.image_id = c.image_id AND n.z = c.z AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL))"""
+RESPONSE_MAXIMA = STACK_MAXIMA.replace("FROM stacks)", "FROM lg)")
+STACK_SETTINGS = {"kernel_size": (0.0, 1.0, 1.0), "minimal_distance": (1, 2, 2), "max_levels": 4}
+
+
+def _settings():
+    from fluorite.functions.config import Settings
+
+    return Settings(**STACK_SETTINGS)
+
+
+@query(STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA}), lv AS (SELECT image_id, quantile_cont(v, 0.999) AS level FROM lg WHERE v > 0 GROUP BY image_id) SELECT image_id, z, y, x, v AS peak FROM pk JOIN lv USING (image_id) WHERE v >= level")
+def stack_detect(spark, d):
+    from fluorite.plans.pipelines import detect
+
+    return detect(ad.stacks(spark, d), _settings(), digits=8).select("image_id", "z", "y", "x", "peak")
+
+
+@query(STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA}) SELECT image_id, z, y, x, v AS peak, row_number() OVER (ORDER BY image_id, z, y, x) - 1 AS spot_id FROM pk")
+def control_spots(spark, d):
+    from fluorite.plans.pipelines import control_spots as found
+
+    return found(ad.stacks(spark, d), _settings(), 8)[0].select("image_id", "z", "y", "x", "peak", "spot_id")
+
+
+@query(STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA}) SELECT row_number() OVER (ORDER BY image_id, z, y, x) - 1 AS spot_id, v AS peak FROM pk")
+def control_peaks(spark, d):
+    from fluorite.plans.pipelines import control_peaks as peaks
+
+    return peaks(ad.stacks(spark, d), _settings(), 8)
+
+
+@query(
+    STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA})" + """, seed AS (SELECT row_number() OVER (ORDER BY image_id, z, y, x) - 1 AS spot_id, * FROM pk),
+step AS (SELECT * FROM (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) t(dz, dy, dx)),
+f AS (SELECT spot_id, image_id, z, y, x, v, 0 AS level FROM seed UNION SELECT f.spot_id, i.image_id, i.z, i.y, i.x, i.v, f.level + 1 FROM f, step JOIN lg i ON i.image_id = f.image_id AND i.z = f.z + dz AND i.y = f.y + dy AND i.x = f.x + dx WHERE f.level < 4 AND i.v > 0 AND f.v >= i.v),
+t AS (SELECT spot_id, count(*) AS n_voxels, sum(v) AS total FROM (SELECT spot_id, z, y, x, any_value(v) AS v FROM f GROUP BY ALL) GROUP BY spot_id)
+SELECT s.spot_id, s.image_id, s.z, s.y, s.x, s.v AS peak, round(t.total, 8) AS total, t.n_voxels FROM seed s JOIN t USING (spot_id)"""
+)
+def control_intensities(spark, d):
+    from fluorite.plans.pipelines import control_intensities as found
+
+    return found(ad.stacks(spark, d), _settings(), 8, max_levels=4).withColumn("total", F.round("total", 8))
+
+
+MINIMA = _extrema_sql("min", "v < 0").replace("FROM img)", "FROM cut)").replace("PARTITION BY ", "PARTITION BY image_id, ").replace("SELECT z, y", "SELECT image_id, z, y")
+
+
+@query(STACK_RESPONSE + f""", ng AS (SELECT image_id, z, y, x, -v AS v FROM lg), lv AS (SELECT image_id, quantile_cont(v, 0.6) AS level FROM ng WHERE v < 0 GROUP BY image_id),
+cut AS (SELECT image_id, z, y, x, CASE WHEN v <= level THEN v ELSE 0 END AS v FROM ng JOIN lv USING (image_id)) SELECT image_id, z, y, x, v AS peak FROM ({MINIMA})""")
+def minima_detect(spark, d):
+    from fluorite.plans.pipelines import detect_minima
+
+    return detect_minima(ad.stacks(spark, d), _settings(), share=0.6, fit_radius=None, digits=8).select("image_id", "z", "y", "x", "peak")
+
+
+@query()
+def minima_fit(spark, d):
+    from fluorite.plans.pipelines import detect_minima
+
+    return detect_minima(ad.stacks(spark, d), _settings(), min_r2=0.2).select("image_id", "spot_id", "z", "y", "x", "peak", "total", "r2")
+
+
+@query(
+    w("cells") + f", {PAIRS_SQL}, c AS (SELECT grp || '_' || rep AS name, n FROM cells), " + """m AS (SELECT g, count(*) AS n, avg(n) AS m, var_samp(n) AS v FROM (SELECT DISTINCT a AS g FROM pairs UNION SELECT b FROM pairs) JOIN c ON starts_with(name, g) GROUP BY g)
+SELECT p.a || ' vs ' || p.b AS comparison, x.n AS n1, y.n AS n2, round((x.m - y.m) / sqrt(x.v / x.n + y.v / y.n), 6) AS t_stat FROM pairs p JOIN m x ON x.g = p.a JOIN m y ON y.g = p.b"""
+)
+def prefix_welch(spark, d):
+    named = ad.cells(spark, d).withColumn("name", F.concat_ws("_", "grp", "rep"))
+    conditions = sorted({c for pair in PAIRS for c in pair})
+    return rounded(cohort.welch(cohort.by_prefix(named, conditions, "name"), pairs_table(spark), "name", "n"), "t_stat").drop("df")

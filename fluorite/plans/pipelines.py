@@ -6,48 +6,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluorite.functions.config import Settings
+from fluorite.functions.ranking import numbered, percentiles
 from fluorite.functions.scratch import stage
 from fluorite.operators import cohort, raster
 from fluorite.operators import spots as sp
+from fluorite.operators.fitting import gaussian_fit
+from fluorite.operators.raster import image_of
+
+
+def _response(img: DataFrame, settings: Settings, digits: int) -> DataFrame:
+    return raster.log_response(img, dict(zip("zyx", settings.kernel_size, strict=True))).withColumn("v", F.round("v", digits))
+
+
+def _named(peaks: DataFrame) -> DataFrame:
+    """Maxima as spots, numbered in order of image and place over the whole table."""
+    return stage(numbered(peaks.withColumnRenamed("v", "peak"), [*image_of(peaks), "z", "y", "x"], "spot_id"))
+
+
+def control_spots(control: DataFrame, settings: Settings, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """All candidates of a control stack, the maxima of its filter response above 0: spot_id, z, y, x and peak. And the response."""
+    response = stage(_response(control, settings, digits))
+    return _named(raster.extrema(response, *settings.minimal_distance)), response
+
+
+def control_peaks(control: DataFrame, settings: Settings, digits: int = 9) -> DataFrame:
+    """spot_id and peak of a control's candidates: the response at their places."""
+    found, response = control_spots(control, settings, digits)
+    return sp.gather(found.drop("peak"), response).select("spot_id", "peak")
+
+
+def control_intensities(control: DataFrame, settings: Settings, digits: int = 9, max_levels: int = 10) -> DataFrame:
+    """A control's candidates with what the response sums to over the voxels that flow from them: spot_id, place, peak, total."""
+    found, response = control_spots(control, settings, digits)
+    total = sp.integrate(raster.flood_fill(response, found, max_levels), response)
+    return found.join(total, "spot_id").select("spot_id", *image_of(found), "z", "y", "x", "peak", "total", "n_voxels")
+
+
+def _levels(response: DataFrame, share: float, name: str) -> DataFrame:
+    """One row, or one for each image: the percentile of ``v``."""
+    by = image_of(response)
+    return percentiles(response, "v", [share], by).select(*by, F.get("q", F.lit(0)).alias(name))
+
+
+def _with_level(peaks: DataFrame, level: DataFrame) -> DataFrame:
+    by = image_of(peaks)
+    return peaks.join(level, by) if by else peaks.join(F.broadcast(level))
 
 
 def detect(img: DataFrame, settings: Settings, manual: float | None = None, control: DataFrame | None = None, digits: int = 9) -> DataFrame:
-    """Spots of a stack: spot_id, z, y, x, peak, total, n_voxels and the span of each axis.
+    """Spots of each stack: spot_id, z, y, x, peak, total, n_voxels and the span of each axis.
 
-    Filter response, threshold (given, of the control, of the settings, or the response's 0.999 quantile), local maxima at
-    least as bright, then what the image sums to over each one's flood-filled voxels. ``digits``: the response is rounded, so
-    plateaus don't depend on the order of sums.
+    Filter response, threshold (given, of the control, of the settings, or the image's 0.999 quantile of the response), local
+    maxima at least as bright, what the image sums to over each one's flood-filled voxels, and, with a control, without the
+    spots below its mean sum. ``digits``: the response is rounded, so plateaus don't depend on the order of sums.
     """
-    sigma = dict(zip("zyx", settings.kernel_size, strict=True))
     # The threshold, the maxima and each level of the fill read the response: it is computed once and written.
-    response = stage(raster.log_response(img, sigma).withColumn("v", F.round("v", digits)))
-    dz, dy, dx = settings.minimal_distance
-    auto = response.where("v > 0").agg(F.percentile("v", F.lit(0.999)).alias("auto"))
+    response = stage(_response(img, settings, digits))
+    level = _levels(response.where("v > 0"), 0.999, "auto").withColumn("control", F.lit(None).cast("double"))
+    lit = lambda x: F.lit(x).cast("double")
+    dim = None
     if control is not None:
-        peaks = raster.extrema(raster.log_response(control, sigma), dz, dy, dx)
-        auto = auto.join(F.broadcast(sp.threshold_percentile(peaks, "v").withColumnRenamed("threshold", "control")))
-    else:
-        auto = auto.withColumn("control", F.lit(None).cast("double"))
-    level = auto.select(sp.threshold_precedence(F.lit(manual).cast("double"), F.col("control"), F.lit(settings.experiment_threshold).cast("double"), F.col("auto")).alias("level"))
-    peaks = raster.extrema(response, dz, dy, dx).join(F.broadcast(level)).where("v >= level").drop("level")
-    found = stage(peaks.withColumn("spot_id", F.xxhash64("z", "y", "x")).withColumnRenamed("v", "peak"))
+        dim = stage(control_intensities(control, settings, digits))
+        level = level.drop("control").join(F.broadcast(sp.threshold_percentile(dim, "peak").withColumnRenamed("threshold", "control")))
+    chosen = sp.threshold_precedence(lit(manual), F.col("control"), lit(settings.experiment_threshold), F.col("auto"))
+    level = level.select(*image_of(level), chosen.alias("level"))
+    found = _named(_with_level(raster.extrema(response, *settings.minimal_distance), level).where("v >= level").drop("level"))
     voxels = raster.flood_fill(response, found, settings.max_levels)
     out = found.join(sp.integrate(voxels, img), "spot_id").join(sp.spans(voxels), "spot_id")
-    return out.select("spot_id", "z", "y", "x", "peak", "total", "n_voxels", *[f"span_{a}" for a in "zyx"])
+    if dim is not None:
+        out = sp.background_filter(out, dim.select("total"), "total").drop("control_mean")
+    return out.select("spot_id", *image_of(found), "z", "y", "x", "peak", "total", "n_voxels", *[f"span_{a}" for a in "zyx"])
+
+
+def detect_minima(img: DataFrame, settings: Settings, threshold: float | None = None, share: float = 0.999, fit_radius: int | None = 2, min_r2: float = 0.8, digits: int = 9) -> DataFrame:
+    """The second detector: minima of the negated response at most as high as a threshold, each with a Gaussian fit of its patch.
+
+    Without a threshold it is the ``share`` quantile of the image's negative values; values above it count as 0. ``fit_radius``:
+    None leaves out the fit. Returns spot_id, z, y, x, peak and, with the fit, total, the sigmas and r2.
+    """
+    response = stage(_response(img, settings, digits).withColumn("v", -F.col("v")))
+    by = image_of(response)
+    level = _levels(response.where("v < 0"), share, "level") if threshold is None else None
+    cut = _with_level(response, level) if level is not None else response.withColumn("level", F.lit(float(threshold)))
+    cut = cut.select(*by, "z", "y", "x", F.when(F.col("v") <= F.col("level"), F.col("v")).otherwise(0.0).alias("v"))
+    found = _named(raster.extrema(cut, *settings.minimal_distance, kind="min"))
+    place = found.select("spot_id", *by, "z", "y", "x", "peak")
+    return place if fit_radius is None else place.join(gaussian_fit(img, found, fit_radius, settings.kernel_size, min_r2), "spot_id")
 
 
 def assign_to_cells(spots: DataFrame, labels: DataFrame, k: int, distance: int = 0, bounds: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Counts of each cell and of each plane's background; labels are widened first if ``distance`` is given."""
     if distance and bounds:
-        labels = raster.expand_labels(labels, distance, bounds).select("plane", "y", "x", "label")
+        labels = raster.expand_labels(labels, distance, bounds).drop("d2")
     assigned = sp.assign(spots.withColumn("plane", raster.plane_of(F.col("z"), k)), labels)
     return sp.cell_counts(assigned, labels), sp.background_counts(assigned)
 
 
 def counterstain(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """Pixels of the cells that have spots, with labels that follow each other."""
-    new = sp.positive_relabel(counts).where("new_label > 0").select("plane", "label", "new_label", "n")
-    return sp.zonal_map(labels, new).select("plane", "y", "x", F.col("new_label").alias("label"), "n")
+    new = sp.positive_relabel(counts).where("new_label > 0").select(*image_of(counts), "plane", "label", "new_label", "n")
+    return sp.zonal_map(labels, new).select(*image_of(labels), "plane", "y", "x", F.col("new_label").alias("label"), "n")
 
 
 def cohort_tests(cells: DataFrame, pairs: DataFrame, group: str, value: str) -> DataFrame:

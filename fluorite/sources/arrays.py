@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluorite.functions.ranking import numbered
+
 ROWS = "path string, member string, row long, col long, value double"
 
 
@@ -40,11 +42,19 @@ def npy_array(raw: bytes) -> np.ndarray:
     return data.reshape(head["shape"], order="F" if head["fortran_order"] else "C")
 
 
-def _rows(path: str, member: str, array: np.ndarray) -> pa.RecordBatch:
+#: Values that a reader's task holds as rows at a time.
+SLICE = 1 << 18
+
+
+def _rows(path: str, member: str, array: np.ndarray):
+    """The array's values as batches of rows, a slice of the array each."""
     flat = array.reshape(len(array), -1) if array.ndim else array.reshape(1, 1)
-    row, col = np.indices(flat.shape)
-    n = flat.size
-    return pa.RecordBatch.from_pydict({"path": pa.array([path] * n), "member": pa.array([member] * n), "row": pa.array(row.ravel(), pa.int64()), "col": pa.array(col.ravel(), pa.int64()), "value": pa.array(flat.ravel().astype(np.float64))})
+    each = max(1, SLICE // max(1, flat.shape[1]))
+    for k in range(0, len(flat), each):
+        own = flat[k : k + each]
+        row, col = np.indices(own.shape)
+        n = own.size
+        yield pa.RecordBatch.from_pydict({"path": pa.array([path] * n), "member": pa.array([member] * n), "row": pa.array(row.ravel() + k, pa.int64()), "col": pa.array(col.ravel(), pa.int64()), "value": pa.array(own.ravel().astype(np.float64))})
 
 
 def array_rows(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -56,9 +66,9 @@ def array_rows(files: DataFrame, path: str = "path", content: str = "content") -
                 if raw[:2] == b"PK":
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
                         for name in sorted(z.namelist()):
-                            yield _rows(p, name.removesuffix(".npy"), npy_array(z.read(name)))
+                            yield from _rows(p, name.removesuffix(".npy"), npy_array(z.read(name)))
                 else:
-                    yield _rows(p, "", npy_array(raw))
+                    yield from _rows(p, "", npy_array(raw))
 
     return files.select(F.col(path).cast("string"), F.col(content)).mapInArrow(parse, ROWS)
 
@@ -68,16 +78,22 @@ def read_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> DataF
     return array_rows(files)
 
 
-def spots_npy(spots: DataFrame, by: str) -> DataFrame:
-    """One NPY file of (n, 3) coordinates in order of spot_id for each value of ``by``: path, content."""
+def spots_npy(spots: DataFrame, by: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """NPY files of (n, 3) coordinates in order of spot_id for each value of ``by``: path, first_row, content.
+
+    A value's spots are dealt to files of ``rows_per_file``, each made by a task of its own: ``<value>/<part>.npy``. first_row is
+    how many of its spots lie in the files before.
+    """
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by("spot_id")
         zyx = np.stack([group[a].to_numpy() for a in "zyx"], 1).astype("<i8")
-        return pa.table({"path": pa.array([str(group["by"][0].as_py())]), "content": pa.array([npy_bytes(zyx)], pa.binary())})
+        part = group["part"][0].as_py()
+        return pa.table({"path": pa.array([f"{group['by'][0].as_py()}/{part:06}.npy"]), "first_row": pa.array([part * rows_per_file], pa.int64()), "content": pa.array([npy_bytes(zyx)], pa.binary())})
 
-    rows = spots.select(F.col(by).cast("string").alias("by"), "spot_id", "z", "y", "x")
-    return rows.groupBy("by").applyInArrow(pack, "path string, content binary")
+    rows = numbered(spots.select(F.col(by).cast("string").alias("by"), "spot_id", "z", "y", "x"), ["spot_id"], "rn", ["by"])
+    rows = rows.withColumn("part", F.floor(F.col("rn") / rows_per_file).cast("long")).drop("rn")
+    return rows.groupBy("by", "part").applyInArrow(pack, "path string, first_row long, content binary")
 
 
 # ---- TIFF -----------------------------------------------------------------------------------------------------------
