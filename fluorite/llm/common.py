@@ -1,39 +1,15 @@
-"""What the corpus operators share: scratch tables, inputs and folds."""
+"""What the corpus operators share: joins with hot keys, inputs and folds; scratch tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluorite.functions.scratch import scratch_dir, stage
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that setting is empty and the master is local (tests) a temporary folder takes its place; a cluster's executors
-    share none, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.gettempdir() + "/fluorite"
-    return f"{base.rstrip('/')}/fluorite-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a reader of that table.
-
-    It cuts the lineage: what is read back doesn't depend on any executor's memory or disk, so a lost executor costs a
-    re-read and not a recomputation. Ids and media hardly shrink without an entropy coder, so zstd it is.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["attach", "fold", "map_batches", "scratch_dir", "stage", "table"]
 
 
 #: Keys with more than this part of all rows, so at most as many as this, are attached by broadcast.
