@@ -135,23 +135,27 @@ def parse(page: str | None, is_template=None, site: str = "", lists: bool = True
         while len(stack) > k:
             e = stack.pop()
             dropped -= e.drop
-            content, shape = _number(e.name, *e.parts), _number(e.name, *e.kinds)
-            if e.parts and not e.holds_main and (e.tag in BLOCK or e.drop):
+            # Inline elements go into their parents' hashes as they are; the shape of many children is hashed to stay short.
+            block = e.tag in BLOCK or e.drop
+            shape = f"{e.name}({','.join(e.kinds)})" if e.kinds else e.name
+            if len(shape) > 200:
+                shape = f"{_number(shape):x}"
+            content = f"\x1e{_number(e.name, *e.parts):x}" if block and e.parts else ""
+            if content and not e.holds_main:
                 own = []
                 if not e.holds_own:
-                    own.append(_number(site, str(content)) >> 2 << 1)
+                    own.append(_number(site, content) >> 2 << 1)
                 if e.drop or not e.main and not e.bare and e.links > 1:
-                    own.append(_number(site, e.path, str(shape)) >> 2 << 1 | 1)
+                    own.append(_number(site, e.path, shape) >> 2 << 1 | 1)
                 hashes.extend(own)
                 if is_template is not None and any(map(is_template, own)):
                     del pieces[e.mark :]
             if stack:
                 up = stack[-1]
                 if e.parts:
-                    up.parts.append(f"\x1e{content:x}")
-                kind = f"{shape:x}"
-                if not up.kinds or up.kinds[-1] != kind:
-                    up.kinds.append(kind)
+                    up.parts += [content] if block else ["\x1d" + e.name, *e.parts, "\x1d"]
+                if not up.kinds or up.kinds[-1] != shape:
+                    up.kinds.append(shape)
                 up.bare, up.links, up.holds_own = up.bare or e.bare, up.links + e.links, up.holds_own or e.holds_own
                 if (e.holds_main or e.tag in ("article", "main")) and not e.drop and not dropped:
                     up.holds_main = True
