@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from fluorite.functions.ranking import numbered, percentiles, running_sums
 from fluorite.functions.scratch import stage
-from fluorite.functions.special import p_ks, p_upper, p_welch
+from fluorite.functions.special import p_ks, p_u, p_upper, p_welch
 
 
 def summary(cells: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -98,7 +98,7 @@ def kolmogorov_smirnov(cells: DataFrame, pairs: DataFrame, group: str, value: st
 
 
 def mann_whitney(cells: DataFrame, pairs: DataFrame, group: str, value: str) -> DataFrame:
-    """U of the first group by mid-ranks, and the tie- and continuity-corrected z of each alternative."""
+    """U of the first group by mid-ranks, the tie- and continuity-corrected z of each alternative, and the sum of t^3 - t over ties."""
     pooled = stage(_pooled(cells, pairs, group, value).withColumn("t", F.col("c1") + F.col("c2")))
     run = running_sums(pooled, ["value"], {"upto": F.col("t")}, ["comparison"])
     mid = F.col("upto") - F.col("t") + (F.col("t") + 1) / 2
@@ -108,7 +108,7 @@ def mann_whitney(cells: DataFrame, pairs: DataFrame, group: str, value: str) ->
     var = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
     gap = F.col("u_stat") - F.col("n1") * F.col("n2") / 2
     z = lambda g: F.try_divide(g - 0.5, F.sqrt(var))
-    return out.select("comparison", "n1", "n2", "u_stat", z(-gap).alias("z_less"), z(F.abs(gap)).alias("z_two_sided"))
+    return out.select("comparison", "n1", "n2", "u_stat", z(-gap).alias("z_less"), z(F.abs(gap)).alias("z_two_sided"), "ties")
 
 
 def welch_p(tests: DataFrame) -> DataFrame:
@@ -120,8 +120,12 @@ def ks_p(tests: DataFrame) -> DataFrame:
 
 
 def mwu_p(tests: DataFrame, alternative: str = "two-sided") -> DataFrame:
-    z = p_upper("z_less") if alternative == "less" else F.least(F.lit(1.0), 2 * p_upper("z_two_sided"))
-    return tests.withColumn("p_value", z)
+    """Adds p_value: exact for small samples without ties, by the normal approximation otherwise."""
+    less, both = alternative == "less", F.col("n1") * F.col("n2")
+    u = F.col("u_stat") if less else F.least("u_stat", both - F.col("u_stat"))
+    exact = p_u(u, F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("ties").cast("double"))
+    exact, normal = (exact, p_upper("z_less")) if less else (2 * exact, 2 * p_upper("z_two_sided"))
+    return tests.withColumn("p_value", F.least(F.lit(1.0), F.coalesce(exact, normal))).drop("ties")
 
 
 def significance(p: Column, level: float = 0.05) -> Column:

@@ -177,6 +177,34 @@ def flood_fill(img: DataFrame, seeds: DataFrame, max_levels: int = 10) -> DataFr
     return seen
 
 
+#: The order in which ``flood_fill_compat`` looks at a voxel's neighbours (z, y, x).
+LOOK_ORDER = [(0, 0, -1), (0, 0, 1), (0, -1, 0), (0, 1, 0), (-1, 0, 0), (1, 0, 0)]
+
+
+def flood_fill_compat(img: DataFrame, seeds: DataFrame, max_levels: int = 10) -> DataFrame:
+    """``flood_fill`` with the early stop of older runs: a search ends where the first voxel of a level adds none.
+
+    Voxels of a level are in order of discovery, by their finder's place in its level and the neighbour looked at.
+    """
+    by = image_of(img)
+    own = ["spot_id", *by, "z", "y", "x"]
+    bright = img.where("v > 0")
+    frontier = stage(img.join(seeds.select(*own), own[1:]).select(*own, "v", F.lit(0).alias("turn")))
+    seen = frontier.drop("turn").withColumn("level", F.lit(0))
+    steps = F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip("zyx", s, strict=True)]) for s in LOOK_ORDER])
+    search = W.partitionBy("spot_id")
+    for level in range(1, max_levels + 1):
+        moved = frontier.select("spot_id", *by, "z", "y", "x", F.col("v").alias("from_v"), "turn", F.posexplode(steps).alias("k", "s"))
+        moved = moved.select("spot_id", *by, "from_v", F.struct("turn", "k").alias("found"), *[(F.col(a) + F.col(f"s.{a}")).alias(a) for a in "zyx"])
+        step = moved.join(bright, own[1:]).where("from_v >= v").groupBy(*own, "v").agg(F.min("found").alias("found"))
+        step = step.join(seen.select(*own), own, "left_anti").withColumn("first", F.min("found.turn").over(search)).where("first = 0")
+        frontier = stage(step.select(*own, "v", (F.row_number().over(search.orderBy("found")) - 1).alias("turn")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.drop("turn").withColumn("level", F.lit(level)))
+    return seen
+
+
 def outer_shell(voxels: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
     """Face neighbours outside each spot's set (spot_id, z, y, x), and its own voxels on the image's border."""
     own = ["spot_id", *image_of(voxels), "z", "y", "x"]

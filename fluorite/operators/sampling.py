@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,23 @@ def random_regions(images: DataFrame, height: int, width: int, n: int = 1, key:
     return fit.select(key, F.col("k").cast("long").alias("k"), y0.cast("long").alias("y0"), x0.cast("long").alias("x0"), (y0 + height).cast("long").alias("y1"), (x0 + width).cast("long").alias("x1"))
 
 
+def random_volumes(images: DataFrame, depth: int, height: int, width: int, n: int = 1, key: str = "image") -> DataFrame:
+    """``n`` regions of ``depth`` slices inside each stack (key, nz, ny, nx); smaller stacks have none."""
+    flat = random_regions(images.where(F.col("nz") >= depth), height, width, n, key)
+    z0 = F.pmod(draw(F.col(key) * n + F.col("k"), 8), F.col("nz") - depth + 1).cast("long")
+    return flat.join(images.select(key, "nz"), key).select(key, "k", z0.alias("z0"), (z0 + depth).alias("z1"), "y0", "x0", "y1", "x1")
+
+
+def noise(img: DataFrame, side: int, amount: float = 0.02, image: str = "z") -> DataFrame:
+    """Adds normal noise (by Box and Muller) whose deviation is 0 to ``amount``, drawn for each image."""
+    pixel = F.pmod(F.col(image), F.lit(PRIME)) * side * side + F.col("y") * side + F.col("x")
+    unit = lambda k, s: (draw(k, s) + 0.5) / float(PRIME)
+    # Draws are linear in their key: the second takes the square, or the two would move together.
+    pixel = F.pmod(pixel, F.lit(PRIME))
+    normal = F.sqrt(-2 * F.log(unit(pixel, 9))) * F.cos(2 * math.pi * unit(pixel * pixel, 10))
+    return img.withColumn("v", F.col("v") + amount * unit(F.col(image), 11) * normal)
+
+
 def augment(img: DataFrame, side: int, image: str = "z") -> DataFrame:
     """Flip and transpose square images at random, and scale and shift their values by 0.6 to 2 and -0.2 to 0.2."""
     bit = lambda s: draw(F.col(image), s) % 2 == 1

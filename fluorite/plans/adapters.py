@@ -45,6 +45,12 @@ def cell_px(spark: SparkSession, sf_dir: str, distance: int = 5) -> DataFrame:
     return raster.expand_labels(seeds(spark, sf_dir), distance, (SIDE, SIDE))
 
 
+def nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nuclei with numbers of their own, one around each seed."""
+    px = raster.expand_labels(seeds(spark, sf_dir), 2, (SIDE, SIDE))
+    return px.select("image_id", "plane", "y", "x", (F.col("label") + 100_000).alias("label"))
+
+
 def placed_spots(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
     """Spots with the image and the projected plane that they lie in: an image for each 6,400 events."""
     s = spots(spark, sf_dir).withColumn("plane", raster.plane_of(F.col("z"), k))
@@ -68,13 +74,15 @@ SQL = {
     "cell_px": """disc AS (SELECT a, b, a * a + b * b AS d2 FROM range(-5, 6) ta(a), range(-5, 6) tb(b) WHERE a * a + b * b <= 25),
 cell_px AS (SELECT image_id, plane, y, x, label, d2 FROM (SELECT image_id, plane, y + a AS y, x + b AS x, label, d2,
   row_number() OVER (PARTITION BY image_id, plane, y + a, x + b ORDER BY d2, label) AS r FROM seeds, disc) WHERE r = 1 AND y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63)""",
+    "nuclei": """nuclei AS (SELECT image_id, plane, y, x, label + 100000 AS label FROM (SELECT image_id, plane, y + a AS y, x + b AS x, label,
+  row_number() OVER (PARTITION BY image_id, plane, y + a, x + b ORDER BY a * a + b * b, label) AS r FROM seeds, range(-2, 3) ta(a), range(-2, 3) tb(b) WHERE a * a + b * b <= 4) WHERE r = 1 AND y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63)""",
     "cells": """cells AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'Incision' ELSE 'Amputation' END || '_' || (l_linenumber % 3 * 6)::VARCHAR || 'h' AS grp,
   1 + l_suppkey % 3 AS rep, l_quantity::DOUBLE AS n, l_extendedprice::DOUBLE AS inten FROM lineitem)""",
     "assigned": """assigned AS (SELECT s.*, coalesce(c.label, 0) AS label FROM spots s LEFT JOIN cell_px c USING (image_id, plane, y, x))""",
     "counts": """counts AS (SELECT l.image_id, l.plane, l.label, coalesce(n, 0) AS n, coalesce(intensity, 0) AS intensity FROM (SELECT DISTINCT image_id, plane, label FROM cell_px) l
   LEFT JOIN (SELECT image_id, plane, label, count(*) AS n, sum(intensity) AS intensity FROM assigned WHERE label > 0 GROUP BY ALL) USING (image_id, plane, label))""",
 }
-NEEDS = {"stacks": ["img"], "cell_px": ["seeds"], "assigned": ["spots", "cell_px"], "counts": ["assigned"]}
+NEEDS = {"stacks": ["img"], "cell_px": ["seeds"], "nuclei": ["seeds"], "assigned": ["spots", "cell_px"], "counts": ["assigned"]}
 
 
 def with_tables(*names: str, recursive: bool = False) -> str:

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluorite.functions.ranking import numbered, percentiles
-from fluorite.functions.scratch import stage
+from fluorite.functions.scratch import scratch_dir, stage
 from fluorite.operators import cohort, raster
 from fluorite.operators import spots as sp
 from fluorite.plans import adapters as ad
@@ -310,14 +312,22 @@ def intensity_clip(spark, d):
     return ad.spots(spark, d).where("intensity < 150").select("spot_id", "intensity")
 
 
-@query(w("spots") + f", {CONTROL}" + """ SELECT 'raw' AS stage, count(*) AS n, round(avg(intensity), 6) AS mean_intensity FROM spots
+NEAR_SQL = """p AS (SELECT z, y, x, count(*) AS n FROM {of} GROUP BY ALL),
+near AS (SELECT a.z, a.y, a.x, b.z AS z2, b.y AS y2, b.x AS x2, b.n AS n2 FROM p a JOIN p b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 4 AND a.y + 4 AND b.x BETWEEN a.x - 4 AND a.x + 4
+  AND ((a.z - b.z) * 361) ^ 2 + ((a.y - b.y) * 75) ^ 2 + ((a.x - b.x) * 75) ^ 2 <= 62500),
+core AS (SELECT z, y, x, sum(n2) AS n_near FROM near GROUP BY ALL)"""
+
+
+@query(w("spots") + f", {CONTROL}, kept AS (SELECT spots.* FROM spots, c WHERE (m IS NULL OR intensity >= m) AND intensity < 150), {NEAR_SQL.format(of='kept')}" + """ SELECT 'raw' AS stage, count(*) AS n, round(avg(intensity), 6) AS mean_intensity FROM spots
 UNION ALL SELECT 'background_removed', count(*), round(avg(intensity), 6) FROM spots, c WHERE m IS NULL OR intensity >= m
-UNION ALL SELECT 'clipped', count(*), round(avg(intensity), 6) FROM spots, c WHERE (m IS NULL OR intensity >= m) AND intensity < 150""")
+UNION ALL SELECT 'clipped', count(*), round(avg(intensity), 6) FROM kept UNION ALL SELECT 'clustered', count(*), round(avg(intensity), 6) FROM kept k WHERE EXISTS (FROM near n JOIN core c ON c.z = n.z2 AND c.y = n.y2 AND c.x = n.x2 WHERE c.n_near >= 4 AND n.z = k.z AND n.y = k.y AND n.x = k.x)""")
 def stage_counts(spark, d):
     s = ad.spots(spark, d)
     kept = sp.background_filter(s, s.where("channel = 'view'"))
     count = lambda name, df: df.agg(F.lit(name).alias("stage"), F.count("*").alias("n"), r6(F.avg("intensity")).alias("mean_intensity"))
-    return count("raw", s).unionByName(count("background_removed", kept)).unionByName(count("clipped", kept.where("intensity < 150")))
+    clipped = stage(kept.where("intensity < 150"))
+    clustered = sp.clusters(clipped, VOXEL, RADIUS, MIN_SPOTS).where("cluster IS NOT NULL").join(clipped, "spot_id")
+    return count("raw", s).unionByName(count("background_removed", kept)).unionByName(count("clipped", clipped)).unionByName(count("clustered", clustered))
 
 
 @query(w("spots") + " SELECT DISTINCT z, y, x FROM spots")
@@ -333,19 +343,13 @@ def brightest_of_channel(spark, d):
 
 # ---- spots: clusters ------------------------------------------------------------------------------------------------
 
-NEAR_SQL = """p AS (SELECT z, y, x, count(*) AS n FROM spots GROUP BY ALL),
-near AS (SELECT a.z, a.y, a.x, b.z AS z2, b.y AS y2, b.x AS x2, b.n AS n2 FROM p a JOIN p b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 4 AND a.y + 4 AND b.x BETWEEN a.x - 4 AND a.x + 4
-  AND ((a.z - b.z) * 361) ^ 2 + ((a.y - b.y) * 75) ^ 2 + ((a.x - b.x) * 75) ^ 2 <= 62500),
-core AS (SELECT z, y, x, sum(n2) AS n_near FROM near GROUP BY ALL)"""
-
-
-@query(w("spots") + f", {NEAR_SQL} SELECT spot_id, n_near::BIGINT AS n_near, n_near >= 4 AS is_core FROM spots JOIN core USING (z, y, x)")
+@query(w("spots") + f", {NEAR_SQL.format(of='spots')} SELECT spot_id, n_near::BIGINT AS n_near, n_near >= 4 AS is_core FROM spots JOIN core USING (z, y, x)")
 def cluster_core(spark, d):
     return sp.cluster_cores(ad.spots(spark, d), VOXEL, RADIUS, MIN_SPOTS).select("spot_id", "n_near", "is_core")
 
 
 @query(
-    w("spots", recursive=True) + f", {NEAR_SQL}" + """, flag AS (SELECT spot_id, z, y, x, n_near >= 4 AS is_core FROM spots JOIN core USING (z, y, x)),
+    w("spots", recursive=True) + f", {NEAR_SQL.format(of='spots')}" + """, flag AS (SELECT spot_id, z, y, x, n_near >= 4 AS is_core FROM spots JOIN core USING (z, y, x)),
 c AS (SELECT z, y, x, min(spot_id) AS node FROM flag WHERE is_core GROUP BY ALL),
 l AS (SELECT a.node AS a, b.node AS b FROM near n JOIN c a ON a.z = n.z AND a.y = n.y AND a.x = n.x JOIN c b ON b.z = n.z2 AND b.y = n.y2 AND b.x = n.x2),
 r AS (SELECT node AS a, node AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
@@ -716,10 +720,10 @@ def anisotropy(spark, d):
     return s.select(F.col("s_suppkey").alias("image"), F.round(ratio, 9).alias("anisotropy"))
 
 
-@query(w("cells") + " SELECT grp, printf('%s: n=%d, mean=%.2f', grp, count(*), round(avg(n), 2)) AS shown, lpad(count(*)::VARCHAR, 8, '0') AS padded FROM cells GROUP BY grp")
+@query(w("cells") + " SELECT grp, printf('%s: n=%d, mean=%.2f', grp, count(*), round(avg(n), 2)) AS shown, printf('%.4f, %.4e, %.5f', round(avg(n), 3), round(avg(n), 3), round(avg(n), 3)) AS digits, lpad(count(*)::VARCHAR, 8, '0') AS padded FROM cells GROUP BY grp")
 def formatted_summary(spark, d):
-    g = ad.cells(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("n"), 2).alias("m"))
-    return g.select("grp", F.format_string("%s: n=%d, mean=%.2f", "grp", "n", "m").alias("shown"), F.lpad(F.col("n").cast("string"), 8, "0").alias("padded"))
+    g = ad.cells(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("n"), 2).alias("m"), F.round(F.avg("n"), 3).alias("m3"))
+    return g.select("grp", F.format_string("%s: n=%d, mean=%.2f", "grp", "n", "m").alias("shown"), F.format_string("%.4f, %.4e, %.5f", "m3", "m3", "m3").alias("digits"), F.lpad(F.col("n").cast("string"), 8, "0").alias("padded"))
 
 
 LOG_SQL = w("img") + f", {SMOOTH}" + """, lg AS (SELECT z, y, x, round(v, 8) AS v FROM (SELECT c.z, c.y, c.x, 2 * (9 * any_value(c.v) - sum(n.v)) AS v
@@ -773,14 +777,14 @@ def decompose_dense(spark, d):
     return decompose(i.where("v > 0"), seeds, f, 0.1)
 
 
-@query(w("cell_px", "spots") + """, s AS (SELECT image_id, label, count(*) AS n_spots FROM spots JOIN cell_px USING (image_id, plane, y, x) GROUP BY ALL),
-a AS (SELECT image_id, label, count(*) AS cell_area, count(*) FILTER (d2 <= 4) AS nucleus_area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM cell_px GROUP BY ALL)
-SELECT a.*, coalesce(n_spots, 0) AS n_spots FROM a LEFT JOIN s USING (image_id, label)""")
+@query(w("cell_px", "nuclei", "spots") + """, b AS (SELECT p.image_id, p.plane, p.y, p.x, p.label, n.label AS nucleus FROM cell_px p LEFT JOIN nuclei n USING (image_id, plane, y, x)),
+s AS (SELECT b.image_id, b.plane, b.label, count(*) AS n_spots, count(*) FILTER (nucleus IS NOT NULL) AS n_nuclear FROM spots JOIN b USING (image_id, plane, y, x) GROUP BY ALL),
+a AS (SELECT image_id, plane, label, count(*) AS cell_area, count(nucleus) AS nucleus_area, count(DISTINCT nucleus) AS n_nuclei, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM b GROUP BY ALL)
+SELECT a.*, coalesce(n_spots, 0) AS n_spots, coalesce(n_nuclear, 0) AS n_nuclear FROM a LEFT JOIN s USING (image_id, plane, label)""")
 def extract_cells(spark, d):
-    px = ad.cell_px(spark, d)
-    area = px.groupBy("image_id", "label").agg(F.count("*").alias("cell_area"), F.count_if(F.col("d2") <= 4).alias("nucleus_area"), *[f(a).alias(f"{a}{k}") for a in "yx" for k, f in enumerate((F.min, F.max))])
-    inside = ad.placed_spots(spark, d).join(px, ["image_id", "plane", "y", "x"]).groupBy("image_id", "label").agg(F.count("*").alias("n_spots"))
-    return area.join(inside, ["image_id", "label"], "left").withColumn("n_spots", F.coalesce("n_spots", F.lit(0)))
+    from fluorite.operators.shapes import extract_cells as extract
+
+    return extract(ad.cell_px(spark, d), ad.nuclei(spark, d), ad.placed_spots(spark, d))
 
 
 @query(w("spots") + """, t AS (SELECT channel, z, quantile_cont(intensity, 0.999) AS threshold FROM spots GROUP BY ALL)
@@ -890,3 +894,173 @@ def prefix_welch(spark, d):
     named = ad.cells(spark, d).withColumn("name", F.concat_ws("_", "grp", "rep"))
     conditions = sorted({c for pair in PAIRS for c in pair})
     return rounded(cohort.welch(cohort.by_prefix(named, conditions, "name"), pairs_table(spark), "name", "n"), "t_stat").drop("df")
+
+
+# ---- outlines, volumes, noise and the older flood rule ----------------------------------------------------------------
+
+RAY_COUNTS = (4, 8, 16, 32, 64, 128)
+
+
+@query(
+    w("cell_px") + """, ray AS (SELECT n, k, round(sin(2 * pi() * k / n), 12) AS dy, round(cos(2 * pi() * k / n), 12) AS dx FROM (SELECT n, unnest(range(n)) AS k FROM (SELECT unnest([4, 8, 16, 32, 64, 128]) AS n))),
+ctr AS (SELECT image_id, plane, label, floor(avg(y) + 0.5)::BIGINT AS cy, floor(avg(x) + 0.5)::BIGINT AS cx, max(y) - min(y) + max(x) - min(x) + 2 AS reach FROM cell_px GROUP BY ALL),
+walk AS (SELECT image_id, plane, label, cy, cx, n, k, dy, dx, unnest(range(reach + 1)) AS s FROM ctr, ray),
+len AS (SELECT w.image_id, w.plane, w.label, w.cy, w.cx, w.n, w.k, w.dy, w.dx, greatest(min(s) FILTER (p.label IS NULL) - 1, 0) AS d FROM walk w LEFT JOIN cell_px p
+  ON p.image_id = w.image_id AND p.plane = w.plane AND p.label = w.label AND p.y = floor(cy + s * dy + 0.5)::BIGINT AND p.x = floor(cx + s * dx + 0.5)::BIGINT GROUP BY ALL),
+tri AS (SELECT a.image_id, a.plane, a.label, a.cy, a.cx, a.n, greatest(a.d, b.d) AS far, a.d * a.dy AS y1, a.d * a.dx AS x1, b.d * b.dy AS y2, b.d * b.dx AS x2 FROM len a JOIN len b USING (image_id, plane, label, n) WHERE b.k = (a.k + 1) % a.n),
+box AS (SELECT *, unnest(range(floor(least(0, x1, x2))::BIGINT, ceil(greatest(0, x1, x2))::BIGINT + 1)) AS px FROM (SELECT *, unnest(range(floor(least(0, y1, y2))::BIGINT, ceil(greatest(0, y1, y2))::BIGINT + 1)) AS py FROM tri)),
+rec AS (SELECT n, image_id, plane, cy + py AS y, cx + px AS x, max(label) AS label FROM box WHERE py * py + px * px <= far * far + 1e-9 AND x1 * py - y1 * px >= -1e-9 AND px * y2 - py * x2 >= -1e-9
+  AND (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) >= -1e-9 GROUP BY ALL),
+nt AS (SELECT image_id, plane, label, count(*) AS c FROM cell_px GROUP BY ALL), nf AS (SELECT n, image_id, plane, label, count(*) AS c FROM rec GROUP BY ALL),
+hit AS (SELECT r.n, r.image_id, r.plane, p.label AS a, r.label AS b, count(*) AS c FROM rec r JOIN cell_px p USING (image_id, plane, y, x) GROUP BY ALL),
+best AS (SELECT hit.n, hit.image_id, hit.plane, a, max(hit.c / (nt.c + nf.c - hit.c)) AS iou FROM hit JOIN nt ON nt.image_id = hit.image_id AND nt.plane = hit.plane AND nt.label = a
+  JOIN nf ON nf.n = hit.n AND nf.image_id = hit.image_id AND nf.plane = hit.plane AND nf.label = b GROUP BY ALL)
+SELECT n AS n_rays, count(*) AS n_labels, round(avg(iou), 9) AS mean_iou FROM best GROUP BY n"""
+)
+def star_iou(spark, d):
+    from fluorite.operators.shapes import star_reconstruct
+
+    px = stage(ad.cell_px(spark, d).select("image_id", "plane", "y", "x", "label"))
+    found = star_reconstruct(px, RAY_COUNTS)
+    truth = px.withColumn("n_rays", F.explode(F.array(*[F.lit(n) for n in RAY_COUNTS])))
+    iou = sp.best_overlap(truth, found, ("n_rays", "plane", "y", "x")).where("iou > 0")
+    return iou.groupBy(F.col("n_rays").cast("long").alias("n_rays")).agg(F.count("*").alias("n_labels"), F.round(F.avg("iou"), 9).alias("mean_iou"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS image, 10 + s_suppkey % 20 AS nz, 400 + s_suppkey % 5 * 100 AS ny, 500 + s_nationkey * 10 AS nx FROM supplier),
+e AS (SELECT image, k, nz, ny, nx, (image * 3 + k) % 1000003 AS h FROM s, range(3) t(k) WHERE nz >= 15 AND ny >= 500 AND nx >= 500),
+p AS (SELECT image, k, (h * 7935 + 942561) % 1000003 % (nz - 14) AS z0, (h * 7921 + 209458) % 1000003 % (ny - 499) AS y0, (h * 7923 + 314187) % 1000003 % (nx - 499) AS x0 FROM e)
+SELECT image, k, z0, z0 + 15 AS z1, y0, x0, y0 + 500 AS y1, x0 + 500 AS x1 FROM p""")
+def random_volumes(spark, d):
+    from fluorite.operators.sampling import random_volumes as volumes
+
+    k = F.col("s_suppkey")
+    sizes = ad.table(spark, d, "supplier").select(k.alias("image"), (10 + k % 20).alias("nz"), (400 + k % 5 * 100).alias("ny"), (500 + F.col("s_nationkey") * 10).alias("nx"))
+    return volumes(sizes, 15, 500, 500, 3)
+
+
+@query(w("img") + """ SELECT z, y, x, round(v + 0.02 * ((((z % 1000003) * 7941 + 1256748) % 1000003 + 0.5::DOUBLE) / 1000003) * sqrt(-2 * ln(((q * 7937 + 1047290) % 1000003 + 0.5::DOUBLE) / 1000003))
+* cos(2 * pi() * (((q * q % 1000003 * 7939 + 1152019) % 1000003 + 0.5::DOUBLE) / 1000003)), 9) AS v FROM (SELECT *, ((z % 1000003) * 64 + y * 8 + x) % 1000003 AS q FROM img)""")
+def noisy_images(spark, d):
+    from fluorite.operators.sampling import noise
+
+    return noise(ad.img(spark, d), 8).withColumn("v", F.round("v", 9))
+
+
+@query()
+def flood_fill_compat(spark, d):
+    i = ad.img(spark, d)
+    seeds = raster.extrema(i, 1, 2, 2).withColumn("spot_id", F.col("z") * 64 + F.col("y") * 8 + F.col("x"))
+    return raster.flood_fill_compat(i, seeds, FLOOD_LEVELS).select("spot_id", "z", "y", "x", "level")
+
+
+@query(w("counts") + " SELECT image_id, plane, label, n, round(intensity, 6) AS intensity FROM counts")
+def assign_to_cells(spark, d):
+    from fluorite.plans.pipelines import assign_to_cells as assign
+
+    spots = ad.placed_spots(spark, d).drop("plane")
+    return rounded(assign(spots, ad.seeds(spark, d), 7, 5, (ad.SIDE, ad.SIDE))[0], "intensity")
+
+
+# ---- tables and files written and read again --------------------------------------------------------------------------
+
+
+@query(
+    w("cells")
+    + ", r AS (SELECT grp, inten, row_number() OVER (PARTITION BY grp ORDER BY inten, n, rep) - 1 AS row_idx FROM cells) SELECT "
+    + ", ".join(f"max(inten) FILTER (grp = '{g}') AS {g}" for g in GROUPS) + " FROM r GROUP BY row_idx"
+)
+def wide_csv(spark, d):
+    from fluorite.sources import sinks
+
+    path = scratch_dir(spark)
+    sinks.write_wide_csv(ad.cells(spark, d), path, "grp", "inten", ["inten", "n", "rep"], GROUPS)
+    return sinks.read_wide_csv(spark, path, GROUPS)
+
+
+@query(w("counts") + " SELECT image_id, plane, label, n FROM counts")
+def plane_tables(spark, d):
+    from fluorite.sources import sinks
+
+    px, a = _assigned(spark, d)
+    path, counts = scratch_dir(spark), stage(sp.cell_counts(a, px).select("image_id", "plane", "label", "n"))
+    for _ in range(2):  # results replace what is there
+        sinks.write_table(counts, path, ["plane"])
+    return spark.read.schema(counts.schema).parquet(path)
+
+
+@query(w("spots") + " SELECT image_id::VARCHAR AS image, 'plane_' || plane AS member, row_number() OVER (PARTITION BY image_id, plane ORDER BY spot_id) - 1 AS row, intensity AS value FROM spots")
+def npz_round_trip(spark, d):
+    from fluorite.sources import arrays
+
+    s = ad.placed_spots(spark, d).withColumn("member", F.concat(F.lit("plane_"), F.col("plane").cast("long")))
+    return arrays.array_rows(arrays.ragged_npz(s, "image_id", "member", "spot_id", "intensity")).select(F.col("path").alias("image"), "member", "row", "value")
+
+
+@query("SELECT o_custkey AS image, min(o_orderkey) AS chosen, round(arg_min(o_totalprice, o_orderkey), 2)::DOUBLE AS value FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def read_skipping_broken(spark, d):
+    from fluorite.sources import arrays, files
+
+    def write(batches):
+        for b in batches:
+            raw = [arrays.npy_bytes(np.array([v])) for v in b.column("v").to_pylist()]
+            cut = [r[:40] if broken else r for r, broken in zip(raw, b.column("broken").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("priority"), pa.array(cut, pa.binary())], ["image", "priority", "content"])
+
+    o = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("image"), F.col("o_orderkey").alias("priority"), F.col("o_totalprice").cast("double").alias("v"), (F.col("o_orderstatus") == "F").alias("broken"))
+    made = o.mapInArrow(write, "image long, priority long, content binary")
+    best = files.first_available(arrays.readable(made), "image", ["priority"])
+    rows = arrays.array_rows(best, "image")
+    return best.select("image", F.col("priority").alias("chosen")).join(rows.select(F.col("path").cast("long").alias("image"), F.round("value", 2).alias("value")), "image")
+
+
+@query("SELECT c_nationkey::BIGINT AS image, row_number() OVER (ORDER BY c_nationkey::VARCHAR) - 1 AS position, count(*) AS n_thresholds, round(avg(round(c_acctbal, 2)), 6)::DOUBLE AS mean_threshold FROM customer WHERE c_acctbal >= 0 GROUP BY c_nationkey")
+def scan_sidecars(spark, d):
+    from fluorite.sources import files
+
+    root = scratch_dir(spark)
+    c = ad.table(spark, d, "customer").where("c_acctbal >= 0")
+    text = F.concat(F.lit("dtype: uint16\nthreshold: "), F.col("c_acctbal").cast("decimal(20,2)").cast("string"))
+    c.select(F.col("c_nationkey").alias("image"), text.alias("value")).repartition("image").write.partitionBy("image").text(root)
+    found = files.find(spark, root, "*.txt").select(F.lit(0).alias("folder"), F.substring_index("path", "/image=", -1).alias("path"))
+    image = F.regexp_extract("path", "^([0-9]+)/", 1).cast("long").alias("image")
+    listed = files.planes(found, "folder", "path").select(image, F.col("plane").cast("long").alias("position"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).select(F.substring_index("_metadata.file_path", "/image=", -1).alias("path"), "value")
+    held = files.thresholds(lines).groupBy(image).agg(F.count("*").alias("n_thresholds"), r6(F.avg("threshold")).alias("mean_threshold"))
+    return listed.join(held, "image")
+
+
+@query(
+    w("cells") + """, p AS (SELECT DISTINCT rep, regexp_extract(grp, '_([0-9]+)h', 1) AS h, regexp_extract(grp, '^([A-Za-z]+)_', 1) AS injury FROM cells),
+f AS (SELECT h::INT AS hours, injury, rep::INT AS image, k, '/exp/' || h || 'hr_' || injury || '/Image' || rep || '/565/results/' || l || '/' AS folder, 'label_' || lpad(k::VARCHAR, 3, '0') || '.tif' AS name FROM p, range(3) t(k), (VALUES ('nuclei'), ('cells'), ('counterstain')) u(l))
+SELECT folder || name AS path, hours, injury, image, '565' AS channel, row_number() OVER (PARTITION BY folder ORDER BY name) - 1 AS plane FROM f"""
+)
+def label_planes(spark, d):
+    from fluorite.sources import files
+
+    h, injury = F.regexp_extract("grp", "_([0-9]+)h", 1), F.regexp_extract("grp", "^([A-Za-z]+)_", 1)
+    made = ad.cells(spark, d).select("rep", h.alias("h"), injury.alias("injury")).distinct()
+    folders = F.explode(F.array(*[F.lit(x) for x in ("nuclei", "cells", "counterstain")]))
+    names = F.explode(F.array(*[F.lit(f"{a}_{k:03}.tif") for k in range(3) for a in ("label", "stacked", "max_projection")]))
+    made = made.withColumn("l", folders).withColumn("name", names)
+    path = F.concat(F.lit("/exp/"), "h", F.lit("hr_"), "injury", F.lit("/Image"), "rep", F.lit("/565/results/"), "l", F.lit("/"), "name")
+    kept = files.label_images(made.select(path.alias("path"))).withColumns(files.path_columns(F.col("path")))
+    planes = files.planes(kept.withColumn("folder", F.regexp_replace("path", "[^/]+$", "")), "folder", "path")
+    return planes.drop("folder").withColumn("plane", F.col("plane").cast("long"))
+
+
+@query("SELECT s_suppkey AS image, 300.0::DOUBLE + s_suppkey % 200 AS voxel_z, round((300 + s_suppkey % 200) / 75.0::DOUBLE, 9) AS anisotropy, CASE WHEN s_nationkey % 2 = 0 THEN round(s_acctbal, 2)::DOUBLE END AS threshold, 1::BIGINT AS n_unknown FROM supplier")
+def settings_of_files(spark, d):
+    from fluorite.functions.config import from_text
+
+    def parse(batches):
+        for b in batches:
+            own = [from_text(t) for t in b.column("text").to_pylist()]
+            cols = [[float(s.voxel_size[0]) for s in own], [s.anisotropy for s in own], [s.experiment_threshold for s in own], [len(s.unknown) for s in own]]
+            kinds = [pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column("image"), *map(pa.array, cols, kinds)], ["image", "voxel_z", "anisotropy", "threshold", "n_unknown"])
+
+    given = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_acctbal").cast("decimal(20,2)").cast("string")).otherwise("null")
+    text = F.concat(F.lit("voxel_size: [1, 75, 75]\nuse_gpu: false\nvoxel_size: ["), 300 + F.col("s_suppkey") % 200, F.lit(", 75, 75]\nexperimentThreshold: "), given)
+    rows = ad.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("image"), text.alias("text"))
+    return rounded(rows.mapInArrow(parse, "image long, voxel_z double, anisotropy double, threshold double, n_unknown long").withColumn("anisotropy", F.round("anisotropy", 9)), "threshold")

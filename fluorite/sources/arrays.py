@@ -96,6 +96,41 @@ def spots_npy(spots: DataFrame, by: str, rows_per_file: int = 1_000_000) -> Data
     return rows.groupBy("by", "part").applyInArrow(pack, "path string, first_row long, content binary")
 
 
+def ragged_npz(df: DataFrame, by: str, member: str, order: str, value: str) -> DataFrame:
+    """An NPZ file for each ``by`` with a one-dimensional array for each ``member``, as long as that has rows: path, content.
+
+    A file is made by one task, so ``by`` names what fits there, such as an image.
+    """
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("member", "ascending"), ("at", "ascending")])
+        names, values = group["member"].to_numpy(zero_copy_only=False), group["value"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        out = io.BytesIO()
+        np.savez(out, **dict(zip(names[cuts], np.split(values, cuts[1:]), strict=True)))
+        return pa.table({"path": pa.array([group["by"][0].as_py()]), "content": pa.array([out.getvalue()], pa.binary())})
+
+    rows = df.select(F.col(by).cast("string").alias("by"), F.col(member).cast("string").alias("member"), F.col(order).alias("at"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("by").applyInArrow(pack, "path string, content binary")
+
+
+def readable(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` whose content parses as NPY: the others are missing to what picks by priority."""
+
+    def keep(batches):
+        for b in batches:
+            ok = []
+            for raw in b.column(content).to_pylist():
+                try:
+                    npy_array(raw or b"")
+                    ok.append(True)
+                except (ValueError, SyntaxError, KeyError, TypeError, struct.error):
+                    ok.append(False)
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return files.mapInArrow(keep, files.schema)
+
+
 # ---- TIFF -----------------------------------------------------------------------------------------------------------
 
 #: Tags of the TIFF format, and struct letters of its value types.
