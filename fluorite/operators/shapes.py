@@ -18,7 +18,8 @@ EDGE = 1e-9
 def star_outlines(labels: DataFrame, n_rays: Sequence[int]) -> DataFrame:
     """n_rays, plane, label, cy, cx and, for ray ``k`` from the centre, its length ``d``.
 
-    The centre is the label's mean place, rounded; a ray ends before its first step outside the label, 0 if the centre is outside.
+    The centre is the label's mean place, rounded; a ray goes half a pixel, along its longer axis, beyond the last step
+    before its first one outside the label; 0 if the centre is outside.
     """
     cell = [*image_of(labels), "plane", "label"]
     reach = F.max("y") - F.min("y") + F.max("x") - F.min("x") + 2
@@ -31,7 +32,8 @@ def star_outlines(labels: DataFrame, n_rays: Sequence[int]) -> DataFrame:
     inside = labels.select(*cell, "y", "x", F.lit(True).alias("inside"))
     walked = steps.select("*", at("y"), at("x")).join(inside, [*cell, "y", "x"], "left")
     end = F.min(F.when(F.col("inside").isNull(), F.col("s")))
-    return walked.groupBy(*cell, "cy", "cx", "n_rays", "k", "dy", "dx").agg(F.greatest(end - 1, F.lit(0)).alias("d"))
+    half = 0.5 / F.greatest(F.abs("dy"), F.abs("dx"))
+    return walked.groupBy(*cell, "cy", "cx", "n_rays", "k", "dy", "dx").agg(F.greatest(end - 1 + half, F.lit(0.0)).alias("d"))
 
 
 def star_reconstruct(labels: DataFrame, n_rays: Sequence[int]) -> DataFrame:

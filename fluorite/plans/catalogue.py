@@ -905,7 +905,7 @@ RAY_COUNTS = (4, 8, 16, 32, 64, 128)
     w("cell_px") + """, ray AS (SELECT n, k, round(sin(2 * pi() * k / n), 12) AS dy, round(cos(2 * pi() * k / n), 12) AS dx FROM (SELECT n, unnest(range(n)) AS k FROM (SELECT unnest([4, 8, 16, 32, 64, 128]) AS n))),
 ctr AS (SELECT image_id, plane, label, floor(avg(y) + 0.5)::BIGINT AS cy, floor(avg(x) + 0.5)::BIGINT AS cx, max(y) - min(y) + max(x) - min(x) + 2 AS reach FROM cell_px GROUP BY ALL),
 walk AS (SELECT image_id, plane, label, cy, cx, n, k, dy, dx, unnest(range(reach + 1)) AS s FROM ctr, ray),
-len AS (SELECT w.image_id, w.plane, w.label, w.cy, w.cx, w.n, w.k, w.dy, w.dx, greatest(min(s) FILTER (p.label IS NULL) - 1, 0) AS d FROM walk w LEFT JOIN cell_px p
+len AS (SELECT w.image_id, w.plane, w.label, w.cy, w.cx, w.n, w.k, w.dy, w.dx, greatest(min(s) FILTER (p.label IS NULL) - 1 + 0.5 / any_value(greatest(abs(dy), abs(dx))), 0) AS d FROM walk w LEFT JOIN cell_px p
   ON p.image_id = w.image_id AND p.plane = w.plane AND p.label = w.label AND p.y = floor(cy + s * dy + 0.5)::BIGINT AND p.x = floor(cx + s * dx + 0.5)::BIGINT GROUP BY ALL),
 tri AS (SELECT a.image_id, a.plane, a.label, a.cy, a.cx, a.n, greatest(a.d, b.d) AS far, a.d * a.dy AS y1, a.d * a.dx AS x1, b.d * b.dy AS y2, b.d * b.dx AS x2 FROM len a JOIN len b USING (image_id, plane, label, n) WHERE b.k = (a.k + 1) % a.n),
 box AS (SELECT *, unnest(range(floor(least(0, x1, x2))::BIGINT, ceil(greatest(0, x1, x2))::BIGINT + 1)) AS px FROM (SELECT *, unnest(range(floor(least(0, y1, y2))::BIGINT, ceil(greatest(0, y1, y2))::BIGINT + 1)) AS py FROM tri)),
