@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 #: Entries whose ids a worker keeps, about 40 bytes each; beyond that it keeps those of the current batch.
 CACHED = 600_000
 #: Bytes of text that are looked up together, and new entries that the library gets as one text.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 NEW_ENTRIES = 1000
 MARKS = ".,;:!?"
 
