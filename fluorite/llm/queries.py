@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluorite.llm import chat, decontam, html, minhash, mpeg, packing, quality, secrets, tokenfile, toxicity
+from fluorite.llm import centroids, chat, contentsort, decontam, html, minhash, mpeg, packing, quality, ranked, secrets, tokenfile, toxicity
 from fluorite.llm.common import fold, stage, table
 
 
@@ -81,13 +81,26 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_samples", "duration_us", "bad_checksums", "seek_offsets", F.try_element_at("tags", F.lit("TXXX")).alias("tag"))
 
 
+def op11_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_shared_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contentsort.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = [op1_toxicity, op2_minmax_neardup, op3_rans_tokens, op4_template_removal, op5_typed_chat, op6_secret_ownership, op7_quality, op8_mixture_packing, op9_template_decontamination, op10_mpeg_audio]
+    own += [op11_incremental_centroids, op12_shared_ranking, op13_content_sort]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minmax_neardup": NEAR_SQL, "op5_typed_chat": CHAT_SQL, "op6_secret_ownership": SECRET_SQL}
+    return {"op2_minmax_neardup": NEAR_SQL, "op5_typed_chat": CHAT_SQL, "op6_secret_ownership": SECRET_SQL, "op11_incremental_centroids": CENTROID_SQL, "op12_shared_ranking": RANK_SQL, "op13_content_sort": COPY_SQL}
 
 
 #: Exact links from shared shingles, then components by following smaller ids.
@@ -155,3 +168,57 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN a USING (rid)
 """
+
+
+def _centroid_sql() -> str:
+    """The rounds one after the other; all sums in integers."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, 'null')) AS h, q FROM v ORDER BY h, q LIMIT 16))",
+    ]
+    for r in range(4):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, q, c, d FROM (
+    SELECT rid, vec_id, q, c, d, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS k FROM (
+      SELECT rid, vec_id, v.q AS q, c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c{r}.q[i]) * (v.q[i] - c{r}.q[i])))::BIGINT AS d FROM v, c{r}))
+  WHERE k = 1)""")
+        if r < 3:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c AS c, coalesce(n.q, c{r}.q) AS q FROM c{r} LEFT JOIN (
+    SELECT c, list(f ORDER BY i) AS q FROM (
+      SELECT c, i, ((s - ((s % n + n) % n)) // n)::BIGINT AS f FROM (
+        SELECT c, i, sum(q[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i))
+    GROUP BY c) n USING (c))""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, a3.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a3.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
+"""
+
+
+CENTROID_SQL = _centroid_sql()
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANK_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, n),
+m AS (SELECT rid, doc_id, 10 + (90 * len(t) * s.n) // s.l AS m FROM d, s),
+r AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY item_id, rid, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+COPY_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+"""
