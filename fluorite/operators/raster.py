@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fluorite.functions.ranking import percentiles
 from fluorite.functions.scratch import stage
+from fluorite.operators.blocks import along, band, in_blocks
 
 
 def image_of(df: DataFrame) -> list[str]:
@@ -104,31 +106,36 @@ def gaussian_kernel(spark, sigma: float) -> DataFrame:
     return raw.withColumn("w", F.col("e") / F.sum("e").over(W.partitionBy())).drop("e")
 
 
-def convolve(img: DataFrame, weights: Sequence[tuple[dict[str, int], float]]) -> DataFrame:
-    """Sum of shifted images; voxels outside count as zero and no voxel is added.
+def gaussian(img: DataFrame, sigma: dict[str, float], bounds: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """One pass for each axis, in blocks; a missing or zero sigma leaves the axis alone.
 
-    Each voxel sends its weighted value to its neighbours, partial sums go first, and targets outside the image drop in the
-    join with the voxels there are.
+    Voxels outside count as zero; with ``bounds`` the image is mirrored there.
     """
-    steps = F.array(*[F.struct(*[F.lit(d.get(a, 0)).alias(a) for a in "zyx"], F.lit(float(w)).alias("w")) for d, w in weights])
-    by = image_of(img)
-    sent = img.select(*by, "z", "y", "x", "v", F.explode(steps).alias("s"))
-    summed = sent.groupBy(*by, *[(F.col(a) + F.col(f"s.{a}")).alias(a) for a in "zyx"]).agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
-    return img.select(*by, "z", "y", "x").join(summed, [*by, "z", "y", "x"])
+    kernels = {a: gaussian_weights(sigma[a]) for a in "zyx" if sigma.get(a)}
 
+    def work(values, there, start):
+        for axis, a in enumerate("zyx"):
+            if a in kernels:
+                values = along(values, axis, band(values.shape[axis], kernels[a], start[axis], bounds and bounds[a])) * there
+        return there, values
 
-def gaussian(img: DataFrame, sigma: dict[str, float]) -> DataFrame:
-    """One pass for each axis; a missing or zero sigma leaves the axis alone."""
-    for axis in "zyx":
-        if sigma.get(axis):
-            img = convolve(img, [({axis: d}, w) for d, w in gaussian_weights(sigma[axis])])
-    return img
+    return in_blocks(img, image_of(img), "zyx", "v", {a: k[-1][0] for a, k in kernels.items()}, work, "v double")
 
 
 def log_response(img: DataFrame, sigma: dict[str, float]) -> DataFrame:
-    """Smoothed image, in-plane 8-neighbour Laplacian, times the sum of the squared sigmas."""
-    ring = [({"y": a, "x": b}, 8.0 if a == b == 0 else -1.0) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    return convolve(gaussian(img, sigma), ring).withColumn("v", F.col("v") * sum(s * s for s in sigma.values()))
+    """Smoothed image, in-plane 8-neighbour Laplacian, times the sum of the squared sigmas; all passes in one block."""
+    kernels = {a: gaussian_weights(sigma[a]) for a in "zyx" if sigma.get(a)}
+    reach = {a: kernels[a][-1][0] if a in kernels else 0 for a in "zyx"}
+    reach, ones, scale = {a: r + (a != "z") for a, r in reach.items()}, [(-1, 1.0), (0, 1.0), (1, 1.0)], sum(s * s for s in sigma.values())
+
+    def work(values, there, start):
+        for axis, a in enumerate("zyx"):
+            if a in kernels:
+                values = along(values, axis, band(values.shape[axis], kernels[a])) * there
+        box = along(along(values, 1, band(values.shape[1], ones)), 2, band(values.shape[2], ones))
+        return there, (9 * values - box) * scale
+
+    return in_blocks(img, image_of(img), "zyx", "v", reach, work, "v double")
 
 
 def tile_grid(sizes: DataFrame, tile: int, overlap: int) -> DataFrame:
@@ -231,41 +238,40 @@ def rasterise(pixels: DataFrame) -> DataFrame:
 def expand_labels(labels: DataFrame, distance: float, bounds: tuple[int, int]) -> DataFrame:
     """Give each pixel within ``distance`` of a label the nearest one, the smaller label at ties: plane, y, x, label, d2.
 
-    Only a label's border can be nearest to a pixel outside: pixels that lack a labelled neighbour reach a disc of fixed size, all
-    others themselves alone. The nearest reach wins by a minimum, which aggregates partially.
+    In blocks, by two passes: along y the nearest label of each column, then along x the nearest of the columns. Both take the
+    smaller label at equal distances, so the order of passes doesn't show.
     """
-    r, by = int(distance), image_of(labels)
-    place = [*by, "plane", "y", "x"]
-    steps = [(a, b, a * a + b * b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= distance * distance]
-    table = lambda rows: F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x"), F.lit(d).alias("d2")) for a, b, d in rows])
-    moved = lambda df, s, *more: df.withColumn("_s", F.explode(s)).select(*by, "plane", (F.col("y") + F.col("_s.y")).alias("y"), (F.col("x") + F.col("_s.x")).alias("x"), F.col("_s.d2").alias("d2"), *more)
-    around = moved(labels.select(*place).distinct(), table([(0, 1, 1), (0, -1, 1), (1, 0, 1), (-1, 0, 1)])).groupBy(*place).agg(F.count("*").alias("near"))
-    inner = labels.select(*place, "label").join(around, place, "left").withColumn("inner", F.coalesce(F.col("near"), F.lit(0)) == 4)
-    reach = moved(inner, F.when(F.col("inner"), table([(0, 0, 0)])).otherwise(table(steps)), "label")
-    reach = reach.where(F.col("y").between(0, bounds[0] - 1) & F.col("x").between(0, bounds[1] - 1))
-    near = reach.groupBy(*place).agg(F.min(F.struct("d2", "label")).alias("n"))
-    return near.select(*place, F.col("n.label").alias("label"), F.col("n.d2").alias("d2"))
-
-
-def convolve_reflected(img: DataFrame, axis: str, weights: Sequence[tuple[int, float]], bounds: tuple[int, int]) -> DataFrame:
-    """Weighted sum along one axis; outside the image it is mirrored at its edges (edge voxels count twice).
-
-    Each voxel asks for its mirrored neighbours, so the sum is one equi-join with the image and one aggregation.
-    """
-    lo, n = bounds[0], bounds[1] - bounds[0] + 1
-    array = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in weights])
-    k = F.pmod(F.col(axis) + F.col("s.d") - lo, F.lit(2 * n))
-    by = image_of(img)
-    asked = img.select(*by, "z", "y", "x", F.explode(array).alias("s")).withColumn("from", (F.when(k < n, k).otherwise(2 * n - 1 - k) + lo).cast("long"))
-    rest = [*by, *[a for a in "zyx" if a != axis]]
-    source = img.select(*rest, F.col(axis).alias("from"), "v")
-    return asked.join(source, [*rest, "from"]).groupBy(*by, "z", "y", "x").agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
+    r, limit = int(distance), distance * distance
+    far = np.int64(2 * r * r + 1)
+
+    def nearest(d2, label, axis):
+        best_d, best = d2.copy(), label.copy()
+        for step in range(1, r + 1):
+            for to, of in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+                to, of = (tuple(x if k == axis else slice(None) for k in range(2)) for x in (to, of))
+                d, l = d2[of] + step * step, label[of]
+                better = (d < best_d[to]) | ((d == best_d[to]) & (l < best[to]))
+                best_d[to][better], best[to][better] = d[better], l[better]
+        return best_d, best
+
+    def work(values, there, start):
+        d2, label = nearest(np.where(there, 0, far), values, 0)
+        d2, label = nearest(d2, label, 1)
+        y, x = start[0] + np.arange(d2.shape[0])[:, None], start[1] + np.arange(d2.shape[1])[None, :]
+        inside = (y >= 0) & (y < bounds[0]) & (x >= 0) & (x < bounds[1])
+        return (d2 < far) & (d2 <= limit) & inside, label, d2
+
+    # Of pixels with several labels the smallest counts.
+    place = [*image_of(labels), "plane", "y", "x"]
+    single = labels.groupBy(*place).agg(F.min("label").cast("long").alias("label"))
+    return in_blocks(single, place[:-2], "yx", "label", {"y": r, "x": r}, work, "label long, d2 long")
 
 
 def log_filter(img: DataFrame, sigma: dict[str, float], bounds: dict[str, tuple[int, int]], truncate: float = 4.0) -> DataFrame:
     """Negated Laplacian of Gaussian, clipped at 0, so that bright spots are positive and 0 means no signal.
 
-    Sum over the axes of the second derivative of a Gaussian along one axis and the Gaussian along the others.
+    Sum over the axes of the second derivative of a Gaussian along one axis and the Gaussian along the others; outside
+    ``bounds`` the image is mirrored (edge voxels count twice). In blocks.
     """
 
     def kernel(s: float, second: bool) -> list[tuple[int, float]]:
@@ -274,11 +280,15 @@ def log_filter(img: DataFrame, sigma: dict[str, float], bounds: dict[str, tuple[
         return [(d, w / sum(base) * ((d * d / s**2 - 1) / s**2 if second else 1)) for d, w in zip(range(-r, r + 1), base, strict=True)]
 
     axes = [a for a in "zyx" if sigma.get(a)]
-    parts = None
-    for second in axes:
-        one = img
-        for a in axes:
-            one = convolve_reflected(one, a, kernel(sigma[a], a == second), bounds[a])
-        parts = one if parts is None else parts.unionByName(one)
-    summed = parts.groupBy(*image_of(img), "z", "y", "x").agg((-F.sum("v")).alias("v"))
-    return summed.withColumn("v", F.greatest("v", F.lit(0.0)))
+
+    def work(values, there, start):
+        out = np.zeros_like(values)
+        for second in axes:
+            one = values
+            for a in axes:
+                axis = "zyx".index(a)
+                one = along(one, axis, band(values.shape[axis], kernel(sigma[a], a == second), start[axis], bounds[a]))
+            out -= one
+        return there, np.maximum(out, 0.0)
+
+    return in_blocks(img, image_of(img), "zyx", "v", {a: int(truncate * sigma[a] + 0.5) for a in axes}, work, "v double")
