@@ -42,6 +42,39 @@ def elbow(peaks: DataFrame, value: str, lo: float, step: float, n: int) -> DataF
     return grid.join(bins, "k", "left").select("k", (F.col("k") * step + lo).alias("threshold"), F.coalesce(F.sum("c").over(later), F.lit(0)).alias("n_spots"))
 
 
+def knee_threshold(peaks: DataFrame, value: str = "v", n: int = 100) -> DataFrame:
+    """``threshold``, where the curve of spot counts breaks; one row, or one for each image.
+
+    The logarithm of how many of ``value`` reach each of ``n`` equal steps up to the largest is a steep line (noise), a flat one
+    (spots), and an end that falls off where the brightest spots run out. The end is what comes after the point farthest above
+    the line from first to last step, if that is the fourth step or a later one. Of all breaks of the rest, that with the
+    smallest squared error of two lines is taken, the first of equal ones. Running sums give each break's error, so an image
+    costs ``n`` rows. Values of 0 or less don't count; without others there is no row.
+    """
+    by = image_of(peaks)
+    peaks = peaks.where(F.col(value) > 0)
+    top = peaks.groupBy(*by).agg(F.max(value).alias("_top")).where("_top IS NOT NULL")
+    binned = (peaks.join(top, by) if by else peaks.join(F.broadcast(top))).groupBy(*by, F.least(F.floor(F.col(value) / F.col("_top") * n), F.lit(n - 1)).cast("long").alias("k")).agg(F.count("*").alias("c"))
+    grid = top.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    up, down = W.partitionBy(*by).orderBy("k"), W.partitionBy(*by).orderBy(F.desc("k"))
+    curve = grid.join(binned, [*by, "k"], "left").withColumn("y", F.log(F.sum(F.coalesce("c", F.lit(0))).over(down.rowsBetween(W.unboundedPreceding, 0)).cast("double")))
+    x, y, whole = F.col("k").cast("double"), F.col("y"), W.partitionBy(*by)
+    straight = F.max_by("y", -x).over(whole) + (F.max_by("y", x).over(whole) - F.max_by("y", -x).over(whole)) * x / (n - 1)
+    curve = curve.withColumn("_above", F.round(y - straight, 9)).withColumn("_end", -F.max(F.struct("_above", (-F.col("k")).alias("k"))).over(whole)["k"])
+    curve = curve.withColumn("_end", F.when(F.col("_end") >= 3, F.col("_end")).otherwise(n - 1)).where(F.col("k") <= F.col("_end"))
+    sums = {"m": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
+
+    def error(side: str):
+        m, sx, sy, sxx, sxy, syy = (F.col(f"{side}_{c}") for c in sums)
+        return syy - sy * sy / m - (sxy - sx * sy / m) * (sxy - sx * sy / m) / (sxx - sx * sx / m)
+
+    before, rest = up.rowsBetween(W.unboundedPreceding, -1), up.rowsBetween(0, W.unboundedFollowing)
+    curve = curve.withColumns({f"l_{c}": F.sum(e).over(before) for c, e in sums.items()} | {f"r_{c}": F.sum(e).over(rest) for c, e in sums.items()})
+    breaks = curve.where((F.col("k") >= 2) & (F.col("k") < F.col("_end"))).withColumn("_e", F.round(error("l") + error("r"), 9))
+    best = breaks.groupBy(*by).agg(F.min(F.struct("_e", "k", "_top")).alias("b"))
+    return best.where("b IS NOT NULL").select(*by, (F.col("b._top") * F.col("b.k") / n).alias("threshold"))
+
+
 def background_filter(spots: DataFrame, control: DataFrame, value: str = "intensity") -> DataFrame:
     """Spots at least as bright as the mean of ``control``; all of them if it has no rows."""
     mean = control.agg(F.avg(value).alias("control_mean"))
@@ -110,6 +143,13 @@ def clusters(spots: DataFrame, voxel: tuple[float, float, float], radius: float,
     return flagged.join(own, place, "left").select("spot_id", "is_core", "cluster")
 
 
+def cluster_table(spots: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Each cluster with its number of spots and their centroid: cluster, n_spots, z, y, x. ``clustered``: spot_id and cluster."""
+    by = image_of(spots)
+    own = spots.select("spot_id", *by, "z", "y", "x").join(clustered.where("cluster IS NOT NULL").select("spot_id", "cluster"), "spot_id")
+    return own.groupBy(*by, "cluster").agg(F.count("*").alias("n_spots"), *[F.avg(a).alias(a) for a in "zyx"])
+
+
 def assign(spots: DataFrame, labels: DataFrame) -> DataFrame:
     """Each spot (spot_id, plane, y, x, intensity) with the label of its pixel, 0 where there is none."""
     place = [*image_of(labels), "plane", "y", "x"]

@@ -738,7 +738,7 @@ def detect_spots(spark, d):
     from fluorite.plans.pipelines import detect
 
     settings = Settings(kernel_size=(0.0, 1.0, 1.0), minimal_distance=(1, 2, 2), max_levels=4)
-    return detect(ad.img(spark, d), settings, digits=8).select("z", "y", "x", "peak")
+    return detect(ad.img(spark, d), settings, digits=8, automatic="quantile").select("z", "y", "x", "peak")
 
 
 @query(w("counts") + ", r AS (SELECT image_id, plane, label, n, row_number() OVER (PARTITION BY image_id, plane ORDER BY label) AS new_label FROM counts WHERE n > 0) SELECT p.image_id, p.plane, p.y, p.x, r.new_label AS label, r.n FROM cell_px p JOIN r USING (image_id, plane, label)")
@@ -772,9 +772,9 @@ def log_filter(spark, d):
 def decompose_dense(spark, d):
     from fluorite.operators.dense import decompose
 
-    i, f = _flood(spark, d)
-    seeds = raster.extrema(i, 1, 2, 2)
-    return decompose(i.where("v > 0"), seeds, f, 0.1)
+    i = stage(ad.stacks(spark, d))
+    seeds = stage(numbered(raster.extrema(i, 1, 2, 2), ["image_id", "z", "y", "x"], "spot_id"))
+    return decompose(i, seeds, {"z": 0.8, "y": 1.0, "x": 1.0})[0]
 
 
 @query(w("cell_px", "nuclei", "spots") + """, b AS (SELECT p.image_id, p.plane, p.y, p.x, p.label, n.label AS nucleus FROM cell_px p LEFT JOIN nuclei n USING (image_id, plane, y, x)),
@@ -838,7 +838,7 @@ def _settings():
 def stack_detect(spark, d):
     from fluorite.plans.pipelines import detect
 
-    return detect(ad.stacks(spark, d), _settings(), digits=8).select("image_id", "z", "y", "x", "peak")
+    return detect(ad.stacks(spark, d), _settings(), digits=8, automatic="quantile").select("image_id", "z", "y", "x", "peak")
 
 
 @query(STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA}) SELECT image_id, z, y, x, v AS peak, row_number() OVER (ORDER BY image_id, z, y, x) - 1 AS spot_id FROM pk")
@@ -1064,3 +1064,99 @@ def settings_of_files(spark, d):
     text = F.concat(F.lit("voxel_size: [1, 75, 75]\nuse_gpu: false\nvoxel_size: ["), 300 + F.col("s_suppkey") % 200, F.lit(", 75, 75]\nexperimentThreshold: "), given)
     rows = ad.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("image"), text.alias("text"))
     return rounded(rows.mapInArrow(parse, "image long, voxel_z double, anisotropy double, threshold double, n_unknown long").withColumn("anisotropy", F.round("anisotropy", 9)), "threshold")
+
+
+# ---- automatic thresholds, controls, and all stages of a run ---------------------------------------------------------
+
+KNEE_SQL = """top AS (SELECT image_id, max(v) AS t FROM pk WHERE v > 0 GROUP BY image_id),
+bin AS (SELECT image_id, least(floor(v / t * 100), 99)::BIGINT AS k, count(*) AS c FROM pk JOIN top USING (image_id) WHERE v > 0 GROUP BY ALL),
+curve AS (SELECT image_id, t, k, ln(sum(coalesce(c, 0)) OVER (PARTITION BY image_id ORDER BY k DESC)) AS y FROM (SELECT image_id, t, unnest(range(100)) AS k FROM top) LEFT JOIN bin USING (image_id, k)),
+above AS (SELECT image_id, k, round(y - (first + (last - first) * k / 99), 9) AS d FROM curve JOIN (SELECT image_id, arg_min(y, k) AS first, arg_max(y, k) AS last FROM curve GROUP BY image_id) USING (image_id)),
+shoulder AS (SELECT image_id, CASE WHEN e >= 3 THEN e ELSE 99 END AS e FROM (SELECT image_id, arg_max(k, (d, -k)) AS e FROM above GROUP BY image_id)),
+cut AS (SELECT curve.*, e FROM curve JOIN shoulder USING (image_id) WHERE k <= e),
+tried AS (SELECT image_id, b, t, round(sum(err), 9) AS e FROM (SELECT image_id, t, b, regr_syy(y, k) - regr_sxy(y, k) ^ 2 / regr_sxx(y, k) AS err FROM cut, range(2, 99) r(b) WHERE b < e GROUP BY image_id, t, b, k < b) GROUP BY ALL),
+knee AS (SELECT image_id, arg_min(t * b / 100, (e, b)) AS threshold FROM tried GROUP BY image_id)"""
+
+
+@query(STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA}), {KNEE_SQL} SELECT image_id, round(threshold, 9) AS threshold FROM knee")
+def knee_threshold(spark, d):
+    from fluorite.plans.pipelines import _response
+
+    response = stage(_response(ad.stacks(spark, d), _settings(), 8))
+    return sp.knee_threshold(raster.extrema(response, 1, 2, 2)).withColumn("threshold", F.round("threshold", 9))
+
+
+@query(STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA}), {KNEE_SQL} SELECT image_id, z, y, x, v AS peak FROM pk JOIN knee USING (image_id) WHERE v >= threshold")
+def knee_detect(spark, d):
+    from fluorite.plans.pipelines import detect
+
+    return detect(ad.stacks(spark, d), _settings(), digits=8).select("image_id", "z", "y", "x", "peak")
+
+
+COHORTS = ("control", "experiment", "counterstain", "counterstain_control")
+
+
+@query(STACK_RESPONSE + f", pk AS ({RESPONSE_MAXIMA}), {KNEE_SQL} SELECT {list(COHORTS)}[image_id % 4 + 1] AS cohort, count(*) AS n_images, round(avg(threshold), 9) AS mean_threshold, round(quantile_cont(threshold, 0.5), 9) AS median_threshold, round(min(threshold), 9) AS least, round(max(threshold), 9) AS most FROM knee GROUP BY ALL")
+def cohort_threshold_survey(spark, d):
+    from fluorite.plans.pipelines import threshold_survey as survey
+
+    images = ad.stacks(spark, d)
+    cohorts = images.select("image_id").distinct().withColumn("cohort", F.element_at(F.array(*map(F.lit, COHORTS)), (F.col("image_id") % 4 + 1).cast("int")))
+    out = survey(images, cohorts, _settings(), 8)
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_threshold", "median_threshold", "least", "most")})
+
+
+#: The control is the same stacks at half the brightness, with image numbers below 0 in SQL.
+CONTROL_RUN = (STACK_RESPONSE.replace("), k AS (SELECT d", "), bothstacks AS (SELECT * FROM stacks UNION ALL SELECT -1 - image_id, z, y, x, v / 2 FROM stacks), k AS (SELECT d", 1).replace("FROM stacks, k", "FROM bothstacks, k")
+    + f", pk AS ({RESPONSE_MAXIMA}), lv AS (SELECT quantile_cont(v, 0.99) AS level FROM pk WHERE image_id < 0), seed AS (SELECT * FROM pk, lv WHERE image_id < 0 OR v >= level)," + """
+step AS (SELECT * FROM (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) t(dz, dy, dx)),
+f AS (SELECT image_id AS i, z AS sz, y AS sy, x AS sx, z, y, x, v, 0 AS level FROM seed UNION SELECT f.i, f.sz, f.sy, f.sx, p.z, p.y, p.x, p.v, f.level + 1 FROM f, step JOIN lg p ON p.image_id = f.i AND p.z = f.z + dz AND p.y = f.y + dy AND p.x = f.x + dx WHERE f.level < CASE WHEN f.i < 0 THEN 10 ELSE 4 END AND p.v > 0 AND f.v >= p.v),
+own AS (SELECT DISTINCT i, sz, sy, sx, z, y, x, v FROM f),
+dim AS (SELECT avg(total) AS m FROM (SELECT sum(v) AS total FROM own WHERE i < 0 GROUP BY i, sz, sy, sx)),
+spot AS (SELECT i AS image_id, sz AS z, sy AS y, sx AS x, sum(s.v) AS total, count(*) AS n_voxels, max(own.z) - min(own.z) + 1 AS span_z, max(own.y) - min(own.y) + 1 AS span_y, max(own.x) - min(own.x) + 1 AS span_x
+  FROM own JOIN stacks s ON s.image_id = own.i AND s.z = own.z AND s.y = own.y AND s.x = own.x WHERE i >= 0 GROUP BY ALL)""")
+
+
+@query(CONTROL_RUN + " SELECT image_id, z, y, x, v AS peak, round(total, 8) AS total, n_voxels, span_z, span_y, span_x FROM spot JOIN pk USING (image_id, z, y, x), dim WHERE total >= m")
+def controlled_detect(spark, d):
+    from fluorite.plans.pipelines import detect
+
+    images = ad.stacks(spark, d)
+    out = detect(images, _settings(), control=images.withColumn("v", F.col("v") / 2), digits=8)
+    return out.drop("spot_id").withColumn("total", F.round("total", 8))
+
+
+def _analysis(spark, d, **more):
+    from fluorite.functions.config import Settings
+    from fluorite.plans.pipelines import analyse
+
+    images = stage(ad.stacks(spark, d))
+    return analyse(images, Settings(**STACK_SETTINGS, radius_for_spots=800.0, min_spots_for_clusters=3, **more), control=images.withColumn("v", F.col("v") / 2), digits=8)
+
+
+ANALYSIS_RUN = CONTROL_RUN + ", bright AS (SELECT spot.* FROM spot, dim WHERE total >= m), " + """pair AS (SELECT a.image_id, a.z, a.y, a.x, b.z AS z2, b.y AS y2, b.x AS x2 FROM bright a JOIN bright b ON a.image_id = b.image_id
+  AND ((a.z - b.z) * 361) ^ 2 + ((a.y - b.y) * 75) ^ 2 + ((a.x - b.x) * 75) ^ 2 <= 640000),
+core AS (SELECT image_id, z, y, x FROM pair GROUP BY ALL HAVING count(*) >= 3),
+reach AS (SELECT image_id, z AS cz, y AS cy, x AS cx, z, y, x FROM core UNION SELECT r.image_id, r.cz, r.cy, r.cx, p.z2, p.y2, p.x2 FROM reach r JOIN pair p ON p.image_id = r.image_id AND p.z = r.z AND p.y = r.y AND p.x = r.x
+  JOIN core c ON c.image_id = p.image_id AND c.z = p.z2 AND c.y = p.y2 AND c.x = p.x2),
+named AS (SELECT image_id, z, y, x, min((cz, cy, cx)) AS name FROM reach GROUP BY ALL),
+clus AS (SELECT p.image_id, p.z, p.y, p.x, min(n.name) AS name FROM pair p JOIN named n ON n.image_id = p.image_id AND n.z = p.z2 AND n.y = p.y2 AND n.x = p.x2 GROUP BY ALL)"""
+
+
+@query(ANALYSIS_RUN + """, st AS (SELECT 'raw' AS stage, image_id, total FROM spot UNION ALL SELECT 'decomposed', image_id, total FROM spot UNION ALL SELECT 'background_removed', image_id, total FROM bright
+  UNION ALL SELECT 'clustered', image_id, total FROM bright JOIN clus USING (image_id, z, y, x))
+SELECT i.image_id, s.stage, count(total) AS n, round(avg(total), 6) AS mean_total, round(any_value(level), 8) AS threshold, 'bigint' AS place_type
+FROM (SELECT DISTINCT image_id FROM pk WHERE image_id >= 0) i CROSS JOIN (VALUES ('raw'), ('decomposed'), ('background_removed'), ('clustered')) s(stage) CROSS JOIN lv LEFT JOIN st ON st.image_id = i.image_id AND st.stage = s.stage GROUP BY ALL""".replace("round(any_value(level), 8)", "round(level, 8)"))
+def run_stages(spark, d):
+    return _analysis(spark, d, decomposition=None).stages.withColumns({"mean_total": r6("mean_total"), "threshold": F.round("threshold", 8)})
+
+
+@query(ANALYSIS_RUN + " SELECT image_id, count(*) AS n_spots, round(avg(z), 6) AS z, round(avg(y), 6) AS y, round(avg(x), 6) AS x FROM clus GROUP BY image_id, name")
+def run_clusters(spark, d):
+    return rounded(_analysis(spark, d, decomposition=None).clusters.drop("cluster"), *"zyx")
+
+
+@query()
+def run_decomposed(spark, d):
+    """All stages with decomposition, whose mixtures SQL can't express; the tests plant spots."""
+    return _analysis(spark, d, decomposition=(0.7, 1.0, 5.0), spot_size=(300.0, 75.0, 75.0)).stages

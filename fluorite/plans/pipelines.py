@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from fluorite.functions.ranking import numbered, percentiles
 from fluorite.functions.scratch import stage
 from fluorite.operators import cohort, raster
 from fluorite.operators import spots as sp
+from fluorite.operators.dense import decompose
 from fluorite.operators.fitting import gaussian_fit
 from fluorite.operators.raster import image_of
 
@@ -53,31 +57,99 @@ def _with_level(peaks: DataFrame, level: DataFrame) -> DataFrame:
     return peaks.join(level, by) if by else peaks.join(F.broadcast(level))
 
 
-def detect(img: DataFrame, settings: Settings, manual: float | None = None, control: DataFrame | None = None, digits: int = 9) -> DataFrame:
-    """Spots of each stack: spot_id, z, y, x, peak, total, n_voxels and the span of each axis.
+def _measured(found: DataFrame, response: DataFrame, img: DataFrame, max_levels: int) -> DataFrame:
+    """``found`` with what the image sums to over each spot's flood-filled voxels, their number and span along each axis."""
+    voxels = stage(raster.flood_fill(response, found, max_levels))
+    out = found.join(sp.integrate(voxels, img), "spot_id").join(sp.spans(voxels), "spot_id")
+    return out.select(*found.columns, "total", "n_voxels", *[f"span_{a}" for a in "zyx"])
 
-    Filter response, threshold (given, of the control, of the settings, or the image's 0.999 quantile of the response), local
-    maxima at least as bright, what the image sums to over each one's flood-filled voxels, and, with a control, without the
-    spots below its mean sum. ``digits``: the response is rounded, so plateaus don't depend on the order of sums.
-    """
+
+def _found(img: DataFrame, settings: Settings, manual: float | None, control: DataFrame | None, digits: int, automatic: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spots with the level used, the filter response, and the level of each image. ``control``: its candidates."""
     # The threshold, the maxima and each level of the fill read the response: it is computed once and written.
     response = stage(_response(img, settings, digits))
-    level = _levels(response.where("v > 0"), 0.999, "auto").withColumn("control", F.lit(None).cast("double"))
-    lit = lambda x: F.lit(x).cast("double")
-    dim = None
+    peaks = stage(raster.extrema(response, *settings.minimal_distance))
+    level = sp.knee_threshold(peaks).withColumnRenamed("threshold", "auto") if automatic == "knee" else _levels(response.where("v > 0"), 0.999, "auto")
+    level = level.withColumn("control", F.lit(None).cast("double"))
     if control is not None:
-        dim = stage(control_intensities(control, settings, digits))
-        level = level.drop("control").join(F.broadcast(sp.threshold_percentile(dim, "peak").withColumnRenamed("threshold", "control")))
+        level = level.drop("control").join(F.broadcast(sp.threshold_percentile(control, "peak").withColumnRenamed("threshold", "control")))
+    lit = lambda x: F.lit(x).cast("double")
     chosen = sp.threshold_precedence(lit(manual), F.col("control"), lit(settings.experiment_threshold), F.col("auto"))
-    level = level.select(*image_of(level), chosen.alias("level"))
-    found = _named(_with_level(raster.extrema(response, *settings.minimal_distance), level).where("v >= level").drop("level"))
-    voxels = raster.flood_fill(response, found, settings.max_levels)
-    out = found.join(sp.integrate(voxels, img), "spot_id").join(sp.spans(voxels), "spot_id")
+    level = stage(level.select(*image_of(level), chosen.alias("level")))
+    return _named(_with_level(peaks, level).where("v >= level").drop("level")), response, level
+
+
+def detect(img: DataFrame, settings: Settings, manual: float | None = None, control: DataFrame | None = None, digits: int = 9, automatic: str = "knee") -> DataFrame:
+    """Spots of each stack: spot_id, z, y, x, peak, total, n_voxels and the span of each axis.
+
+    Filter response, threshold (given, of the control, of the settings, or automatic), local maxima at least as bright, what the
+    image sums to over each one's flood-filled voxels, and, with a control, without the spots below its mean sum.
+    ``automatic``: ``knee`` of the image's curve of spot counts, or the 0.999 ``quantile`` of its positive response. ``digits``:
+    the response is rounded, so plateaus don't depend on the order of sums.
+    """
+    dim = None if control is None else stage(control_intensities(control, settings, digits))
+    found, response, _ = _found(img, settings, manual, dim, digits, automatic)
+    out = _measured(found, response, img, settings.max_levels)
     if dim is not None:
         out = sp.background_filter(out, dim.select("total"), "total").drop("control_mean")
     return out.select("spot_id", *image_of(found), "z", "y", "x", "peak", "total", "n_voxels", *[f"span_{a}" for a in "zyx"])
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """What a whole detection run leaves: spots of the last stage, clusters, dense regions, and a row for each stage."""
+
+    spots: DataFrame
+    clusters: DataFrame
+    regions: DataFrame
+    stages: DataFrame
+
+
+def analyse(img: DataFrame, settings: Settings, manual: float | None = None, control: DataFrame | None = None, digits: int = 9, automatic: str = "knee") -> Analysis:
+    """Detection, decomposition of dense regions, background removal and clustering, with what each stage leaves.
+
+    ``spots``: spot_id, z, y, x, region (of spots of the mixture), total, n_voxels, spans and cluster. ``clusters``: cluster,
+    n_spots and centroid. ``stages``: for each image and stage (raw, decomposed, background_removed, clustered) how many
+    spots there are, their mean sum, the threshold used and the type of their places. Without ``settings.decomposition``, or
+    without a control, that stage leaves all spots as they are.
+    """
+    by = image_of(img)
+    place = [*by, "z", "y", "x"]
+    dim = None if control is None else stage(control_intensities(control, settings, digits))
+    found, response, level = _found(img, settings, manual, dim, digits, automatic)
+    raw = stage(_measured(found, response, img, settings.max_levels))
+    if settings.decomposition is None:
+        apart, regions = raw.withColumn("region", F.lit(None).cast("long")), raw.sparkSession.createDataFrame([], "region long, n_voxels long, n_before long, n_spots long")
+    else:
+        split, regions, _ = decompose(img, raw, settings.spot_voxels, settings.decomposition)
+        split = stage(numbered(split.withColumnRenamed("spot_id", "was"), [*place, "region", "was"], "spot_id"))
+        apart = _measured(split.drop("was"), response, img, settings.max_levels)
+    apart = stage(apart)
+    bright = apart if dim is None else stage(sp.background_filter(apart, dim.select("total"), "total").drop("control_mean"))
+    clustered = stage(sp.clusters(bright, settings.voxel_size, settings.radius_for_spots, settings.min_spots_for_clusters))
+    spots = bright.join(clustered.select("spot_id", "cluster"), "spot_id").select("spot_id", *place, "region", "total", "n_voxels", *[f"span_{a}" for a in "zyx"], "cluster")
+    spots = stage(spots)
+
+    kind = dict(img.dtypes)["z"]
+    rows = [df.select(*by, "total", F.lit(name).alias("stage"), F.lit(k).alias("step")) for k, (name, df) in enumerate((("raw", raw), ("decomposed", apart), ("background_removed", bright), ("clustered", spots.where("cluster IS NOT NULL"))))]
+    sums = reduce(DataFrame.unionByName, rows).groupBy(*by, "stage", "step").agg(F.count("*").alias("n"), F.avg("total").alias("mean_total"))
+    every = level.crossJoin(F.broadcast(img.sparkSession.createDataFrame([("raw",), ("decomposed",), ("background_removed",), ("clustered",)], "stage string")))
+    stages = every.join(sums.drop("step"), [*by, "stage"], "left").select(*by, "stage", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_total", F.col("level").alias("threshold"), F.lit(kind).alias("place_type"))
+    return Analysis(spots, sp.cluster_table(spots, spots), regions, stages)
+
+
+def threshold_survey(img: DataFrame, cohorts: DataFrame, settings: Settings, digits: int = 9) -> DataFrame:
+    """Automatic thresholds of all images, summed up for each cohort: cohort, n_images, mean, median, least and most.
+
+    ``cohorts``: image_id and cohort (control, experiment, counterstain, its control). Images without a maximum have none.
+    """
+    peaks = raster.extrema(stage(_response(img, settings, digits)), *settings.minimal_distance)
+    each = stage(sp.knee_threshold(peaks).join(cohorts.select("image_id", "cohort"), "image_id"))
+    middle = percentiles(each, "threshold", [0.5], ["cohort"]).select("cohort", F.get("q", F.lit(0)).alias("median_threshold"))
+    out = each.groupBy("cohort").agg(F.count("*").alias("n_images"), F.avg("threshold").alias("mean_threshold"), F.min("threshold").alias("least"), F.max("threshold").alias("most"))
+    return out.join(middle, "cohort").select("cohort", "n_images", "mean_threshold", "median_threshold", "least", "most")
+
+
 def detect_minima(img: DataFrame, settings: Settings, threshold: float | None = None, share: float = 0.999, fit_radius: int | None = 2, min_r2: float = 0.8, digits: int = 9) -> DataFrame:
     """The second detector: minima of the negated response at most as high as a threshold, each with a Gaussian fit of its patch.
 

@@ -75,7 +75,7 @@ def test_labels_reach_over_blocks(spark, small, distance):
 def test_borders_move_once_for_each_neighbour(spark):
     """The shuffle has a row for each piece, not one for each voxel and tap of the kernel."""
     _, df = stack(spark, (4, 40, 40), ["a"])
-    plan = raster.gaussian(df.coalesce(1), {"z": 1.0, "y": 2.0, "x": 2.0})._jdf.queryExecution().executedPlan().toString()
+    plan = raster.gaussian(df, {"z": 1.0, "y": 2.0, "x": 2.0})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
 
 
