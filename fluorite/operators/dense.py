@@ -118,10 +118,12 @@ def fit_mixture(cells: np.ndarray, values: np.ndarray, sigma_z: float, sigma_yx:
     return np.array(centres, np.int64)
 
 
-def bright_regions(img: DataFrame, levels: DataFrame) -> DataFrame:
-    """Voxels above their image's ``level`` with their face-connected region, named by the smallest number of its voxels in order of place."""
+def bright_regions(img: DataFrame, levels: DataFrame | float) -> DataFrame:
+    """Voxels above a level, or above their image's ``level``, with their face-connected region, named by the smallest number of its voxels in order of place."""
     by = image_of(img)
     place = [*by, "z", "y", "x"]
+    if not isinstance(levels, DataFrame):
+        levels = img.select(*by).distinct().withColumn("level", F.lit(float(levels))) if by else img.sparkSession.createDataFrame([(float(levels),)], "level double")
     over = (img.join(levels, by) if by else img.join(F.broadcast(levels))).where(F.col("v") > F.col("level"))
     bright = stage(numbered(over.select(*place, "v"), place, "node"))
     steps = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("zyx", s, strict=True)]) for s in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])
