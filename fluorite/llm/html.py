@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +51,19 @@ NAMED = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs comments comment reply respond disqus share sharing social related recommended footer masthead pagination pager widget toolbar "
     "complementary contentinfo skip login search".split()
 )
-#: Ids are often made from a title: in an article they count on these elements, if all their words name boilerplate.
+#: Words that go with these in names and say nothing by themselves.
+NEUTRAL = frozenset("box bar block area section list links link button buttons item items wrap wrapper container inner outer content body slot unit panel group posts post articles article stories row col top bottom left right main site page".split())
+#: Ids are often made from a title: on text elements they don't count, and elsewhere all their words must name boilerplate.
 ID_INSIDE = frozenset("div aside ul".split())
 REMARKS = frozenset("comment comments respond disqus".split())
 NAMED_OUTSIDE = NAMED | {"header", "top", "topbar"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-#: Names with or without a value, taken one after another, so that a value's words are never read as names.
-ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# A tag is read as the HTML standard's tokenizer does: a name goes to white space, "/", ">" or "=", and a quote begins a value
+# only straight after "=". Nothing that is read is given back, so a page is read once whatever it holds. A tag that the page's
+# end cuts off is no text.
+_NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+)(?:>|\Z)", re.S)
+ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?+)?+")
 NAME = re.compile(r"[^A-Za-z]+")
 LOOSE, SPACE = re.compile(r"[\d\s]+"), re.compile(r"\s+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -65,10 +71,21 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: A subtree is a template if it recurs on so many pages of a host with different main text, and on this part of them;
 #: a shape says less than content, so it takes a larger part.
 MIN_PAGES, MIN_SHARE, MIN_SHAPE_SHARE = 5, 0.2, 0.5
-#: Up to so many template hashes, 8 bytes each, go to all tasks as one sorted array; beyond it each page gets its host's.
+#: Up to so many template hashes, 8 bytes each, go to all tasks as one sorted array; beyond it each page gets those that it holds.
 MAX_BROADCAST_TEMPLATES = 2_000_000
 
 
+#: Parts of an inline element that its parent's hash takes one by one.
+MAX_PARTS = 64
+#: Stack places kept besides those of tags: blocks, and elements that only some end tags reach beyond.
+BLOCKS, BOUND = "<block>", "<bound>"
+CROSSING = frozenset("body html main article section div".split())
+
+
+def _kinds(tag: str) -> list[str]:
+    return [tag, *([BLOCKS] if tag in BLOCK else []), *([BOUND] if tag in ("article", "main", "body") else [])]
+
+
 class _Open:
     """An element that isn't closed yet. parts: its text and children for the content hash; kinds: children's shapes."""
 
@@ -92,6 +109,11 @@ def element_name(tag: str, attrs: str) -> str:
     return ".".join([tag, *sorted({c for name, words in own if name in ("class", "role") for c in words})])
 
 
+def _names_boilerplate(value: str) -> bool:
+    """Whether one of the names in ``value`` says boilerplate and nothing else: ``share-buttons`` does, ``related-work`` doesn't."""
+    return any(own and own <= NAMED | NEUTRAL and own & NAMED for own in (set(NAME.split(n)) - {""} for n in value.split()))
+
+
 def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in BOILERPLATE or (tag == "header" and not in_main):
         return True
@@ -110,7 +132,10 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
             own = set(NAME.split(value)) - {""}
             if own and (tag in ID_INSIDE and own <= NAMED or tag not in OWN_TEXT and own <= REMARKS):
                 return True
-        elif name in ("class", "id", "role") and (NAMED if in_main else NAMED_OUTSIDE) & set(NAME.split(value)):
+        elif in_main and name in ("class", "role"):
+            if tag not in OWN_TEXT and _names_boilerplate(value):
+                return True
+        elif name in ("class", "id", "role") and NAMED_OUTSIDE & set(NAME.split(value)):
             return True
     return False
 
@@ -129,11 +154,18 @@ def parse(page: str | None, is_template=None, site: str = "", lists: bool = True
     pieces: list[tuple[str | None, bool, bool]] = []
     hashes: list[int] = []
     dropped = 0
+    # Where the open elements of each tag, the blocks and the bounds of end tags are on the stack: no walk along it is needed.
+    places: dict[str, list[int]] = defaultdict(list)
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     def close(k: int) -> None:
         nonlocal dropped
         while len(stack) > k:
             e = stack.pop()
+            for kind in _kinds(e.tag):
+                places[kind].pop()
             dropped -= e.drop
             # Inline elements go into their parents' hashes as they are; the shape of many children is hashed to stay short.
             block = e.tag in BLOCK or e.drop
@@ -153,7 +185,9 @@ def parse(page: str | None, is_template=None, site: str = "", lists: bool = True
             if stack:
                 up = stack[-1]
                 if e.parts:
-                    up.parts += [content] if block else ["\x1d" + e.name, *e.parts, "\x1d"]
+                    # An inline element of many parts goes up as one, so deep ones aren't copied again and again.
+                    short = len(e.parts) <= MAX_PARTS
+                    up.parts += [content] if block else ["\x1d" + e.name, *e.parts, "\x1d"] if short else [f"\x1d{_number(e.name, *e.parts):x}"]
                 if not up.kinds or up.kinds[-1] != shape:
                     up.kinds.append(shape)
                 up.bare, up.links, up.holds_own = up.bare or e.bare, up.links + e.links, up.holds_own or e.holds_own
@@ -182,40 +216,29 @@ def parse(page: str | None, is_template=None, site: str = "", lists: bool = True
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ("article", "main", "body") and tag not in ("body", "html", "main", "article", "section", "div"):
-                    break
+            k = last(tag)
+            if k >= 0 and (tag in CROSSING or k >= last(BOUND)):
+                close(k)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 pieces.append((" ", bool(stack) and stack[-1].main, dropped > 0) if tag == "br" else (None, False, False))
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-        if tag in ENDS_OWN:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in ENDS_OWN[tag]:
-                    close(k)
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if tag in ENDS_P and (k := last(BLOCKS)) >= 0 and stack[k].tag == "p":
+            close(k)
+        if tag in ENDS_OWN and (k := last(*ENDS_OWN[tag])) > last("ul", "ol", "dl", "table", "select"):
+            close(k)
         inside = bool(stack) and stack[-1].main
         main = inside or tag in ("article", "main") or 'role="main"' in m[3].lower()
         drop = _boilerplate(tag, m[3], inside)
         name = element_name(tag, m[3])
         if tag in BLOCK:
             pieces.append((None, False, False))
-        path = f"{stack[-1].path}/{stack[-1].name}" if stack and len(stack) < 64 else ""
+        path = f"{_number(stack[-1].path, stack[-1].name):x}" if stack else ""
         up = stack[-1] if stack else None
         keep, linked, prose = inside and not dropped and not drop and tag in OWN_TEXT, tag == "a" or up is not None and up.linked, tag in PROSE or up is not None and up.prose
+        for kind in _kinds(tag):
+            places[kind].append(len(stack))
         stack.append(_Open(tag, name, path, drop, main, keep, len(pieces), linked, prose))
         dropped += drop
         if tag in RAW:
@@ -268,13 +291,21 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     return attach(often, sizes, ["host"], "n_hashes").where(F.col("n") >= share * F.col("n_pages")).select("host", "h")
 
 
+def _own_hashes():
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted(set(parse(page, None, host)[1])) for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_pydict({"row_id": b.column("row_id"), "host": b.column("host"), "h": pa.array(found, pa.list_(pa.int64()))})
+
+    return one
+
+
 def extract(
     pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_shape_share: float = MIN_SHAPE_SHARE, lists: bool = True, max_broadcast: int = MAX_BROADCAST_TEMPLATES
 ) -> DataFrame:
     """``pages`` (page_id, url, html) as page_id, url, text and n_chars.
 
     Null or empty html has an empty text; pages without a url or host are of no site, so only the markup's names count;
-    repeated rows are extracted each; a page may have any length. Other columns are ignored, whatever their names; an empty
+    repeated rows are extracted each; a page may have any length and any markup, its time grows with its length. Other columns are ignored, whatever their names; an empty
     table gives no rows.
     """
     rows = _rows(pages)
@@ -283,10 +314,11 @@ def extract(
         shared = pages.sparkSession.sparkContext.broadcast(np.sort(templates.select("h").toArrow()["h"].to_numpy()))
         rows = rows.withColumn("own", F.lit(None).cast("array<long>"))
     else:
-        shared = None
-        salts = 32  # a large host's pages are dealt to so many tasks
-        lists_of = templates.groupBy("host").agg(F.collect_list("h").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(lists_of, ["host", "salt"], "left")
+        # Each page gets its own hits: pages are numbered once, their hashes meet the templates, and few come back.
+        shared, rows = None, stage(rows.withColumn("row_id", F.monotonically_increasing_id()))
+        hits = map_batches(rows.where("host <> ''").select("row_id", "host", "html"), "row_id long, host string, h array<long>", _own_hashes)
+        hits = hits.select("row_id", "host", F.explode("h").alias("h")).join(templates, ["host", "h"], "left_semi").groupBy("row_id").agg(F.collect_list("h").alias("own"))
+        rows = rows.join(hits, "row_id", "left")
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
