@@ -39,7 +39,8 @@ FOLDS = 3
 STEMS = (4, 5, 6)
 
 WORD = re.compile(r"[^\W\d_]+")
-HIDDEN = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_][\w@$!*]*")
+# It begins where a run of letters does and gives nothing back, so a long run without a mark is read once.
+HIDDEN = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*]++[^\W\d_][\w@$!*]*+")
 SPELLED = re.compile(r"\b(?:[^\W\d_][ .*_-]){3,}[^\W\d_]\b")
 
 NAMES = [
