@@ -12,6 +12,7 @@ Values of the base kinds are reported in any case, values of the further kinds o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,8 @@ NEEDLES = {
     "private": ["-----BEGIN "],
     "address": ["://"],
 }
+#: Matches of a text that are numbered in one pass.
+BLOCK = 256
 #: Characters of a match behind its value.
 BEHIND = {"address": 1}
 
@@ -51,21 +54,50 @@ def _may_match(text: Column, kind: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(within, F.lit(n)) for n in NEEDLES[kind]]) if kind in NEEDLES else F.lit(True)
 
 
+def _running(items: Column, zero: Column, step: Callable, after: Callable, kind: str, around: Callable | None = None) -> Column:
+    """An array of what ``step(state, item)`` (the next state and a result) gives for each item in order; ``after`` is the next state.
+
+    A running state in one pass would copy the results so far for each item. So items go in blocks of BLOCK: first the state
+    before each block, then each block by itself. ``kind``: the result's type. ``around(block, state)`` is made once for each
+    block; step then gets the block's first state and it, too.
+    """
+
+    def whole(bound: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(bound) - 1, F.lit(0)), F.lit(BLOCK)), lambda b: F.slice(bound, b + 1, F.lit(BLOCK)))
+        before = F.aggregate(blocks, F.array(zero), lambda s, b: F.concat(s, F.array(F.aggregate(b, F.element_at(s, -1), after))))
+        empty = F.array().cast(kind)
+
+        def one(block: Column, start: Column) -> Column:
+            def results(*more: Column) -> Column:
+                def add(s: Column, item: Column) -> Column:
+                    state, result = step(s["state"], item, *more)
+                    return F.struct(state.alias("state"), F.concat(s["made"], F.array(result)).alias("made"))
+
+                return F.aggregate(block, F.struct(start.alias("state"), empty.alias("made")), add)["made"]
+
+            return F.transform(F.array(around(block, start)), lambda c: results(start, c))[0] if around else results()
+
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), one))
+
+    # Bound to a name, so that the items are made once and not for each block.
+    return F.transform(F.array(items), whole)[0]
+
+
 def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Candidates of one kind: the pieces between matches and the matches together give the places, in code points."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    # Running sums: state (place, spans).
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
-    pieces = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, w: F.struct(g.alias("gap"), w.alias("whole"))), value, lambda p, v: F.struct(p["gap"].alias("gap"), p["whole"].alias("whole"), v.alias("value")))
+    size = lambda a: F.transform(a, F.length)
+    pieces = F.zip_with(F.zip_with(F.slice(size(gaps), F.lit(1), F.size(whole)), size(whole), lambda g, w: F.struct(g.alias("gap"), w.alias("whole"))), value, lambda p, v: F.struct(p["gap"].alias("gap"), p["whole"].alias("whole"), v.alias("value")))
 
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["gap"])
-        end = start + F.length(p["whole"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("spans"))
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + p["gap"]
+        end = start + p["whole"]
+        return end, F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))
 
-    spans = F.filter(F.aggregate(pieces, zero, step)["spans"], lambda s: F.length(s["value"]) >= least)
+    found = _running(pieces, F.lit(0), step, lambda at, p: at + p["gap"] + p["whole"], "array<struct<start:int,end:int,value:string>>")
+    spans = F.filter(found, lambda s: F.length(s["value"]) >= least)
     named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(RANK[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
     # Most texts have no match; only then are the pieces built.
     return F.when(_may_match(text, kind) & text.rlike(pattern), named).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
@@ -118,7 +150,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str |
     return out.select(*[F.col("row")[c].alias(c) for c in kept], F.col("secrets").alias(into))
 
 
-def digest(spans: Column) -> Column:
+def digest(spans: Column | str) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -130,9 +162,14 @@ def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
     places = F.array_sort(F.transform(F.filter(secrets, lambda s: s["status"] != "example"), place))
     t = text.cast("string")
 
-    def step(state: Column, p: Column) -> Column:
-        before = F.concat(state["out"], F.substr(t, state["upto"] + 1, p["at"] - state["upto"]), F.lit(mark))
-        return F.struct(F.greatest(state["upto"], p["to"]).alias("upto"), F.when(p["at"] >= state["upto"], before).otherwise(state["out"]).alias("out"))
+    most = lambda a: F.array_max(F.transform(a, lambda p: p["to"]))
+
+    def step(upto: Column, p: Column, first: Column, near: Column) -> tuple[Column, Column]:
+        gap = F.concat(F.substr(near, upto - first + 1, p["at"] - upto), F.lit(mark))
+        return F.greatest(upto, p["to"]), F.when(p["at"] >= upto, gap).otherwise("")
 
-    done = F.aggregate(places, F.struct(F.lit(0).alias("upto"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(t, s["upto"] + 1)))
+    # A piece of a text is found by counting from its beginning: so a block's stretch of it is cut out first.
+    near = lambda block, first: F.substr(t, first + 1, F.greatest(most(block) - first, F.lit(0)))
+    parts = _running(places, F.lit(0), step, lambda upto, p: F.greatest(upto, p["to"]), "array<string>", near)
+    done = F.concat(F.array_join(parts, ""), F.substr(t, most(places) + 1))
     return F.when(F.size(places) > 0, done).otherwise(t)
