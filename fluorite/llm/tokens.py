@@ -10,6 +10,7 @@ library for a batch's new ones together, and gathers the batch's ids from them;
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 
@@ -24,16 +25,25 @@ CACHED = 600_000
 BATCH_BYTES = 4_000_000
 NEW_ENTRIES = 1000
 MARKS = ".,;:!?"
+#: After so many bytes of text a worker gives freed memory back, which the allocators else keep.
+RELEASE_BYTES = 12_000_000
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        made = json.loads(self.tokenizer.to_str())
-        split = made["pre_tokenizer"] or {}
-        self.by_run = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        split = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.by_run = self.tokenizer.normalizer is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         #: Strings that the library takes as one id wherever they stand; a text with one goes through the library whole.
-        self.special = [t["content"] for t in made["added_tokens"]]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         #: Ids that begin with a space, which a byte-level vocabulary writes as U+0120.
         self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(self.size)])
@@ -54,11 +64,14 @@ class Encoder:
         """For slices of ``texts`` in order: the ids of all its texts (u4), and where each text's ids end."""
         texts = texts.cast(pa.large_string()).fill_null("")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        at = 0
+        at, released = 0, 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
             yield self._slice(texts.slice(at, end - at))
             at = end
+            if sizes[at - 1] - released >= RELEASE_BYTES or at == len(texts):
+                released = sizes[at - 1]
+                release_memory()
 
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their counts. The library gets many entries as one text; where each begins, an id begins with a space."""
