@@ -1160,3 +1160,33 @@ def run_clusters(spark, d):
 def run_decomposed(spark, d):
     """All stages with decomposition, whose mixtures SQL can't express; the tests plant spots."""
     return _analysis(spark, d, decomposition=(0.7, 1.0, 5.0), spot_size=(300.0, 75.0, 75.0)).stages
+
+
+# ---- files read in parts --------------------------------------------------------------------------------------------
+
+
+@query(w("stacks") + " SELECT image_id, z - min(z) OVER (PARTITION BY image_id) AS z, y, x, v FROM stacks")
+def tiff_pages(spark, d):
+    from fluorite.sources import tiff
+
+    tiff.register(spark)
+    root = scratch_dir(spark)
+    codecs = F.array(*[F.lit(c) for c in sorted(tiff.COMPRESSIONS)])
+    images = ad.stacks(spark, d).withColumn("codec", F.element_at(codecs, (F.col("image_id") % 4 + 1).cast("int")))
+    tiff.write_files(tiff.stack_files(images, "image_id", "codec"), root)
+    rows = spark.read.format("fluorite_tiff").option("partitionBytes", 1 << 14).load(f"{root}/*.tif")
+    return rows.select(F.regexp_extract("path", r"([0-9]+)\.tif$", 1).cast("long").alias("image_id"), "z", "y", "x", "v")
+
+
+@query("SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row, unnest([0, 1, 2])::BIGINT AS col, unnest([event_id % 40, event_id * 7 % 64, user_id % 64])::DOUBLE AS value FROM events")
+def npy_ranges(spark, d):
+    from fluorite.sources import arrays, tiff
+
+    tiff.register(spark)
+    root = scratch_dir(spark)
+    written = stage(arrays.spots_npy(ad.spots(spark, d), "channel"))
+    tiff.write_files(written.select("path", "content"), root)
+    rows = spark.read.format("fluorite_npy").option("partitionBytes", 1 << 13).load(root)
+    found = written.select(F.col("path").alias("of"), "first_row")
+    rows = rows.withColumn("of", F.regexp_replace("path", "^.*/([^/]+/[^/]+)$", "$1")).join(found, "of")
+    return rows.select(F.split("of", "/")[0].alias("channel"), (F.col("row") + F.col("first_row")).alias("row"), "col", "value")
