@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 SIZE = {"z": 16, "y": 64, "x": 64}
 
 
-def in_blocks(img: DataFrame, keys: Sequence[str], axes: str, value: str, reach: dict[str, int], work: Callable, columns: str, size: dict[str, int] | None = None) -> DataFrame:
+def in_blocks(img: DataFrame, keys: Sequence[str], axes: str, value: str, reach: dict[str, int], work: Callable, columns: str, size: dict[str, int] | None = None, borders: bool = False) -> DataFrame:
     """``keys``, ``axes`` and ``columns`` (a schema) of what ``work`` finds in each block.
 
     ``work(values, there, start)`` gets the block's array with its borders (float64 or int64, as ``value`` is), where it has
     voxels, and the place of its first cell; it returns an array of booleans, which cells are in the result, and one array for
     each column. Of these, the cells without the borders are kept. ``reach``: the width of the border along each axis. Voxels
-    that are missing are no part of ``there`` and 0; blocks without a voxel in reach don't occur.
+    that are missing are no part of ``there`` and 0; blocks without a voxel in reach don't occur. ``borders``: cells of the
+    borders are kept too, and each row tells its block (t and the axis) and whether the cell is the block's own (inner).
     """
     reach = [int(reach.get(a, 0)) for a in axes]
     size = [max((size or SIZE)[a], 2 * r) for a, r in zip(axes, reach, strict=True)]
@@ -39,6 +40,8 @@ def in_blocks(img: DataFrame, keys: Sequence[str], axes: str, value: str, reach:
     rows = img.select(*keys, *[F.col(a).cast("long").alias(a) for a in axes], F.col(value).cast(to).alias("_v")).where(F.col("_v").isNotNull())
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     targets = [f"_t{a}" for a in axes]
+    if borders:
+        columns += "".join(f", t{a} long" for a in axes) + ", inner boolean"
 
     def scatter(batches):
         for b in batches:
@@ -81,11 +84,16 @@ def in_blocks(img: DataFrame, keys: Sequence[str], axes: str, value: str, reach:
             there.ravel()[p] = True
         block = [group[t][0].as_py() for t in targets]
         kept, *out = work(values, there, [b * s - r for b, s, r in zip(block, size, reach, strict=True)])
-        at = np.nonzero(kept[inner])
+        part = tuple(slice(None) for _ in axes) if borders else inner
+        at = np.nonzero(kept[part])
         n = len(at[0])
+        if borders:
+            own = np.zeros(shape, bool)
+            own[inner] = True
+            out += [*[np.full(shape, b, np.int64) for b in block], own]
         made = {k: pa.chunked_array([group[k].slice(0, 1)]).combine_chunks().take(pa.array(np.zeros(n, np.int64))) for k in keys}
-        made |= {a: pa.array(x + b * s) for a, x, b, s in zip(axes, at, block, size, strict=True)}
-        return pa.table(made | {c: pa.array(x[inner][at]) for c, x in zip(names, out, strict=True)})
+        made |= {a: pa.array(x + b * s - r * borders) for a, x, b, s, r in zip(axes, at, block, size, reach, strict=True)}
+        return pa.table(made | {c: pa.array(x[part][at]) for c, x in zip(names, out, strict=True)})
 
     schema = ", ".join(filter(None, [kinds, *[f"{a} long" for a in axes], columns]))
     return pieces.groupBy(*keys, *targets).applyInArrow(fill, schema)

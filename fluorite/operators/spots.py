@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -200,6 +202,75 @@ def best_overlap(truth: DataFrame, found: DataFrame, keys: Sequence[str] = ("pla
     return sizes_t.join(iou, [*plane, "t"], "left").select(*plane, F.col("t").alias("label"), F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
+def _assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Rows and columns of the one-to-one choice with the largest sum of ``gain`` (none below 0), by shortest augmenting paths."""
+    flip = gain.shape[0] > gain.shape[1]
+    cost = -(gain.T if flip else gain)
+    rows, cols = cost.shape
+    u, v, owner = np.zeros(rows + 1), np.zeros(cols + 1), np.zeros(cols + 1, int)
+    for r in range(1, rows + 1):
+        owner[0], at = r, 0
+        least, back, done = np.full(cols + 1, np.inf), np.zeros(cols + 1, int), np.zeros(cols + 1, bool)
+        while True:
+            done[at] = True
+            i = owner[at]
+            free = np.flatnonzero(~done[1:]) + 1
+            reduced = cost[i - 1, free - 1] - u[i] - v[free]
+            better = reduced < least[free]
+            least[free[better]], back[free[better]] = reduced[better], at
+            to = free[np.argmin(least[free])]
+            step = least[to]
+            u[owner[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            at = to
+            if not owner[at]:
+                break
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    pairs = [(int(owner[c]) - 1, c - 1) for c in range(1, cols + 1) if owner[c]]
+    return [(b, a) if flip else (a, b) for a, b in pairs]
+
+
+def match_labels(truth: DataFrame, found: DataFrame, keys: Sequence[str] = ("plane", "y", "x"), least: float = 0.0) -> DataFrame:
+    """Labels of ``truth`` and ``found`` matched one to one so that the sum of their intersections over union is largest.
+
+    A row for each label of ``truth``: label, matched (null without) and iou (0 without). Pairs with an intersection over union
+    of ``least`` or less don't match. Labels that overlap form small graphs; each of their components is solved by itself, so a
+    task holds one group of labels that touch each other.
+    """
+    keys = [*image_of(truth), *keys]
+    plane = [k for k in keys if k not in ("y", "x")]
+    t, f = truth.select(*keys, F.col("label").alias("t")), found.select(*keys, F.col("label").alias("f"))
+    sizes_t, sizes_f = t.groupBy(*plane, "t").agg(F.count("*").alias("nt")), f.groupBy(*plane, "f").agg(F.count("*").alias("nf"))
+    common = t.join(f, keys).groupBy(*plane, "t", "f").agg(F.count("*").alias("c"))
+    iou = F.col("c") / (F.col("nt") + F.col("nf") - F.col("c"))
+    pairs = common.join(sizes_t, [*plane, "t"]).join(sizes_f, [*plane, "f"]).select(*plane, "t", "f", iou.alias("iou")).where(F.col("iou") > least)
+    # Labels of both sides are numbered as nodes of one graph.
+    nodes = pairs.select(*plane, F.lit(0).alias("side"), F.col("t").alias("label")).unionByName(pairs.select(*plane, F.lit(1).alias("side"), F.col("f").alias("label"))).distinct()
+    nodes = stage(numbered(nodes, [*plane, "side", "label"], "node"))
+    a = nodes.where("side = 0").select(*plane, F.col("label").alias("t"), F.col("node").alias("a"))
+    b = nodes.where("side = 1").select(*plane, F.col("label").alias("f"), F.col("node").alias("b"))
+    edges = stage(pairs.join(a, [*plane, "t"]).join(b, [*plane, "f"]))
+    groups = connected_components(edges.select("a", "b"))
+
+    def solve(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("a", "ascending"), ("b", "ascending")])
+        left, i = np.unique(group["a"].to_numpy(), return_inverse=True)
+        right, j = np.unique(group["b"].to_numpy(), return_inverse=True)
+        gain = np.zeros((len(left), len(right)))
+        gain[i, j] = group["iou"].to_numpy()
+        chosen = [(x, y) for x, y in _assignment(gain) if gain[x, y] > 0]
+        return pa.table({"a": pa.array([int(left[x]) for x, _ in chosen], pa.int64()), "b": pa.array([int(right[y]) for _, y in chosen], pa.int64())})
+
+    joined = edges.join(groups.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "iou")
+    chosen = joined.groupBy("component").applyInArrow(solve, "a long, b long")
+    matched = edges.join(chosen, ["a", "b"]).select(*plane, "t", F.col("f").alias("matched"), "iou")
+    out = sizes_t.drop("nt").join(matched, [*plane, "t"], "left")
+    return out.select(*plane, F.col("t").alias("label"), "matched", F.coalesce("iou", F.lit(0.0)).alias("iou"))
+
+
 def outer_counts(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """plane, label, n for every number from 1 to the plane's largest label, 0 for those without spots or pixels."""
     cell = [*image_of(labels), "plane", "label"]

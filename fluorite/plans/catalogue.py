@@ -915,7 +915,7 @@ nt AS (SELECT image_id, plane, label, count(*) AS c FROM cell_px GROUP BY ALL),
 hit AS (SELECT r.n, r.image_id, r.plane, p.label AS a, r.label AS b, count(*) AS c FROM rec r JOIN cell_px p USING (image_id, plane, y, x) GROUP BY ALL),
 best AS (SELECT hit.n, hit.image_id, hit.plane, a, max(hit.c / (nt.c + nf.c - hit.c)) AS iou FROM hit JOIN nt ON nt.image_id = hit.image_id AND nt.plane = hit.plane AND nt.label = a
   JOIN nf ON nf.n = hit.n AND nf.image_id = hit.image_id AND nf.plane = hit.plane AND nf.label = b GROUP BY ALL)
-SELECT n AS n_rays, count(*) AS n_labels, round(avg(iou), 9) AS mean_iou FROM best GROUP BY n"""
+SELECT t.n AS n_rays, count(*) AS n_labels, round(avg(coalesce(iou, 0)), 9) AS mean_iou FROM (SELECT nt.*, unnest([4, 8, 16, 32, 64, 128]) AS n FROM nt) t LEFT JOIN best ON best.n = t.n AND best.image_id = t.image_id AND best.plane = t.plane AND best.a = t.label GROUP BY ALL"""
 )
 def star_iou(spark, d):
     from fluorite.operators.shapes import star_reconstruct
@@ -923,7 +923,7 @@ def star_iou(spark, d):
     px = stage(ad.cell_px(spark, d).select("image_id", "plane", "y", "x", "label"))
     found = star_reconstruct(px, RAY_COUNTS)
     truth = px.withColumn("n_rays", F.explode(F.array(*[F.lit(n) for n in RAY_COUNTS])))
-    iou = sp.best_overlap(truth, found, ("n_rays", "plane", "y", "x")).where("iou > 0")
+    iou = sp.best_overlap(truth, found, ("n_rays", "plane", "y", "x"))
     return iou.groupBy(F.col("n_rays").cast("long").alias("n_rays")).agg(F.count("*").alias("n_labels"), F.round(F.avg("iou"), 9).alias("mean_iou"))
 
 
@@ -1190,3 +1190,30 @@ def npy_ranges(spark, d):
     found = written.select(F.col("path").alias("of"), "first_row")
     rows = rows.withColumn("of", F.regexp_replace("path", "^.*/([^/]+/[^/]+)$", "$1")).join(found, "of")
     return rows.select(F.split("of", "/")[0].alias("channel"), (F.col("row") + F.col("first_row")).alias("row"), "col", "value")
+
+
+# ---- labels: tiles with seams, one-to-one matching --------------------------------------------------------------------
+
+
+@query(w("cell_px", recursive=True) + """, px AS (SELECT image_id, plane, y, x, y * 64 + x AS p FROM cell_px),
+near AS (SELECT a.image_id, a.plane, a.p, b.p AS q FROM px a JOIN px b ON a.image_id = b.image_id AND a.plane = b.plane AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+reach AS (SELECT image_id, plane, p, p AS q FROM px UNION SELECT r.image_id, r.plane, r.p, n.q FROM reach r JOIN near n ON n.image_id = r.image_id AND n.plane = r.plane AND n.p = r.q)
+SELECT image_id, plane, p // 64 AS y, p % 64 AS x, min(q) AS name FROM reach GROUP BY ALL""")
+def tile_labels(spark, d):
+    from fluorite.operators.tiles import label_tiles, threshold_segmenter
+
+    px = ad.cell_px(spark, d).select("image_id", "plane", "y", "x", F.lit(1.0).alias("v"))
+    labels = stage(label_tiles(px, threshold_segmenter(1.0), tile=16, overlap=2))
+    names = labels.groupBy("image_id", "plane", "label").agg(F.min(F.col("y") * 64 + F.col("x")).alias("name"))
+    return labels.join(names, ["image_id", "plane", "label"]).select("image_id", "plane", "y", "x", "name")
+
+
+@query()
+def star_matches(spark, d):
+    """One-to-one matches of star-convex outlines; the tests try every assignment of small planes."""
+    from fluorite.operators.shapes import star_reconstruct
+
+    px = stage(ad.cell_px(spark, d).select("image_id", "plane", "y", "x", "label"))
+    truth = px.withColumn("n_rays", F.explode(F.array(*[F.lit(n) for n in RAY_COUNTS])))
+    m = sp.match_labels(truth, star_reconstruct(px, RAY_COUNTS), ("n_rays", "plane", "y", "x"))
+    return m.groupBy(F.col("n_rays").cast("long").alias("n_rays")).agg(F.count("*").alias("n_labels"), F.count("matched").alias("n_matched"), F.round(F.avg("iou"), 9).alias("mean_iou"))
