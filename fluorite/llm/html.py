@@ -18,6 +18,7 @@ form, script, style or reader comments goes by its name, and of a page with an a
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import defaultdict
@@ -82,19 +83,28 @@ BLOCKS, BOUND = "<block>", "<bound>"
 CROSSING = frozenset("body html main article section div".split())
 
 
-def _kinds(tag: str) -> list[str]:
-    return [tag, *([BLOCKS] if tag in BLOCK else []), *([BOUND] if tag in ("article", "main", "body") else [])]
+@functools.cache
+def _kinds_of_known(tag: str) -> tuple[str, ...]:
+    return (tag, *([BLOCKS] if tag in BLOCK else []), *([BOUND] if tag in ("article", "main", "body") else []))
+
+
+def _kinds(tag: str) -> tuple[str, ...]:
+    return _kinds_of_known(tag) if tag in BLOCK or tag == "body" else (tag,)
+
+
+#: Attributes of up to so many characters are often those of other elements, too; what they say is kept.
+SHORT_ATTRIBUTES = 200
 
 
 class _Open:
     """An element that isn't closed yet. parts: its text and children for the content hash; kinds: children's shapes."""
 
-    __slots__ = ("tag", "name", "path", "drop", "main", "keep", "mark", "holds_main", "holds_own", "parts", "kinds", "linked", "prose", "bare", "links")
+    __slots__ = ("tag", "name", "path", "drop", "main", "keep", "mark", "holds_main", "holds_own", "parts", "kinds", "linked", "prose", "bare", "links", "below")
 
     def __init__(self, tag, name, path, drop, main, keep, mark, linked, prose):
         self.tag, self.name, self.path, self.drop, self.main, self.keep, self.mark, self.linked, self.prose = tag, name, path, drop, main, keep, mark, linked, prose
         self.holds_main, self.holds_own, self.bare, self.links = False, keep, False, int(tag == "a")
-        self.parts, self.kinds = [], []
+        self.parts, self.kinds, self.below = [], [], None
 
 
 def _number(*parts: str) -> int:
@@ -140,6 +150,13 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _described(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
+    return _boilerplate(tag, attrs, in_main), element_name(tag, attrs)
+
+
+_known = functools.lru_cache(50_000)(_described)
+
+
 def parse(page: str | None, is_template=None, site: str = "", lists: bool = True) -> tuple[str, list[int]]:
     """The main text of a page without its site's templates, and the hashes of the subtrees that could be some.
 
@@ -216,26 +233,27 @@ def parse(page: str | None, is_template=None, site: str = "", lists: bool = True
             continue
         tag = m[2].lower()
         if m[1]:
-            k = last(tag)
-            if k >= 0 and (tag in CROSSING or k >= last(BOUND)):
-                close(k)
+            own = places.get(tag)
+            if own and (tag in CROSSING or not (bounds := places[BOUND]) or own[-1] >= bounds[-1]):
+                close(own[-1])
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 pieces.append((" ", bool(stack) and stack[-1].main, dropped > 0) if tag == "br" else (None, False, False))
             continue
-        if tag in ENDS_P and (k := last(BLOCKS)) >= 0 and stack[k].tag == "p":
-            close(k)
+        if tag in ENDS_P and (open_blocks := places[BLOCKS]) and stack[open_blocks[-1]].tag == "p":
+            close(open_blocks[-1])
         if tag in ENDS_OWN and (k := last(*ENDS_OWN[tag])) > last("ul", "ol", "dl", "table", "select"):
             close(k)
         inside = bool(stack) and stack[-1].main
         main = inside or tag in ("article", "main") or 'role="main"' in m[3].lower()
-        drop = _boilerplate(tag, m[3], inside)
-        name = element_name(tag, m[3])
+        drop, name = (_known if len(m[3]) <= SHORT_ATTRIBUTES else _described)(tag, m[3], inside)
         if tag in BLOCK:
             pieces.append((None, False, False))
-        path = f"{_number(stack[-1].path, stack[-1].name):x}" if stack else ""
         up = stack[-1] if stack else None
+        if up is not None and up.below is None:
+            up.below = f"{_number(up.path, up.name):x}"
+        path = up.below if up is not None else ""
         keep, linked, prose = inside and not dropped and not drop and tag in OWN_TEXT, tag == "a" or up is not None and up.linked, tag in PROSE or up is not None and up.prose
         for kind in _kinds(tag):
             places[kind].append(len(stack))
