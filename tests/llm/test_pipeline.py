@@ -61,7 +61,7 @@ def test_stages_take_odd_rows(spark, tmp_path):
 
 def test_queries_against_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, DATA)
