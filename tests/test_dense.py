@@ -123,7 +123,7 @@ def test_whole_run(spark):
     places = [*ALONE, (5, 20, 28), (5, 20, 31), (5, 23, 29)]
     img = frame(spark, [planted((11, 40, 40), places)])
     control = frame(spark, [planted((11, 40, 40), ALONE, amplitude=30.0)])
-    settings = Settings(kernel_size=(1.0, 1.3, 1.3), minimal_distance=(1, 1, 1), voxel_size=(100.0, 100.0, 100.0), spot_size=(120.0, 160.0, 160.0), max_levels=4, radius_for_spots=420.0, min_spots_for_clusters=3, decomposition=(0.5, 1.05, 5.0))
+    settings = Settings(kernel_size=(1.0, 1.3, 1.3), minimal_distance=(1, 1, 1), voxel_size=(100.0, 100.0, 100.0), spot_size=(120.0, 160.0, 160.0), max_levels=10, radius_for_spots=420.0, min_spots_for_clusters=3, decomposition=(0.5, 1.05, 5.0))
     run = pipelines.analyse(img, settings, control=control)
     spots = [(r.z, r.y, r.x) for r in run.spots.collect()]
     assert all(min(max(abs(a - b) for a, b in zip(p, q, strict=True)) for q in spots) <= 1 for p in places)
