@@ -5,12 +5,15 @@ A payload travels as ancillary data of silent MPEG-1 layer III frames: mono, 48
 which a frame carries one unit of 576. An ID3v2 tag and a frame with a table of variable-bitrate form (frame and byte counts, seek points)
 go before them. The reader takes any layer and version, parses ID3 tags and the tables of variable-bitrate streams (Xing, Info,
 VBRI), looks for the next frame where none begins, and verifies the checksum of each frame that has one: of layer III over
-the side information, of layer I over the bit allocation, of layer II over that and the scale factor selection.
+the side information, of layer I over the bit allocation, of layer II over that and the scale factor selection. Durations are
+exact: samples are counted for each rate, less the encoder's delay and padding where the table states them. Frames of free format,
+whose headers name no bit rate, get their size from where the next two headers of the kind lie.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -39,6 +42,9 @@ HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 HEADER = bytes([0xFF, 0xFA, 0xC4, 0xC0])  # MPEG-1 layer III with checksum, 224 kbit/s, 48 kHz, mono
 FRAME, SIDE, SAMPLES, RATE = 672, 17, 1152, 48000
 
+#: A frame of free format has at most so many bytes: 640 kbit/s at the lowest rate.
+MAX_FREE_BYTES = 5764
+
 
 def _crc_table() -> np.ndarray:
     out = np.arange(256, dtype=np.uint32) << 8
@@ -58,22 +64,55 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def header(word: bytes) -> tuple[int, int, int, int, int] | None:
-    """(frame bytes, samples, Hz, side bytes, layer if a checksum follows or 0) of a 4-byte header; None if it is none."""
+def header(word: bytes, free: int = 0) -> tuple[int, int, int, int, int] | None:
+    """(frame bytes, samples, Hz, side bytes, layer if a checksum follows or 0) of a 4-byte header; None if it is none.
+
+    free: bytes of a frame of free format without its padding; 0 takes such headers for none.
+    """
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
     version, layer, kbps, hz = word[1] >> 3 & 3, 4 - (word[1] >> 1 & 3), word[2] >> 4, word[2] >> 2 & 3
-    if version == 1 or layer == 4 or kbps in (0, 15) or hz == 3:
+    if version == 1 or layer == 4 or kbps == 15 or kbps == 0 and not free or hz == 3:
         return None
     first = version == 3
     bits, rate, padding = KBPS[1 if first else 2, layer][kbps - 1] * 1000, HERTZ[version][hz], word[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     size = (12 * bits // rate + padding) * 4 if layer == 1 else samples // 8 * bits // rate + padding
+    if kbps == 0:
+        size = free + padding * (4 if layer == 1 else 1)
     mono = word[3] >> 6 == 3
     side = 0 if layer < 3 else (17 if mono else 32) if first else (9 if mono else 17)
     return size, samples, rate, side, 0 if word[1] & 1 else layer
 
 
+def free_size(stream: bytes, at: int, ends: tuple[int, ...]) -> int:
+    """Bytes without padding of the frame of free format at ``at``; 0 if it is none.
+
+    It is the distance to the first header that differs in padding and private bit alone and has one more at the same distance
+    after it, or one of ``ends``, where frames may end; so a frame all alone has no size.
+    """
+    word = stream[at : at + 4]
+    h = header(word, 1)
+    if h is None or word[2] >> 4:
+        return 0
+    padding = lambda k: (stream[k + 2] >> 1 & 1) * (4 if word[1] & 6 == 6 else 1)
+    alike = lambda k: stream[k : k + 2] == word[:2] and k + 2 < len(stream) and (stream[k + 2] ^ word[2]) & 0xFC == 0
+    nxt = at + 4 + h[3]
+    while (nxt := stream.find(word[:2], nxt + 1, at + MAX_FREE_BYTES + 2)) >= 0:
+        if alike(nxt):
+            size = nxt - at - padding(at)
+            after = nxt + size + padding(nxt)
+            if after in ends or alike(after):
+                return size
+    return 0
+
+
+def duration(samples: dict[int, int]) -> int:
+    """Microseconds, rounded down once, of numbers of samples by their rate in Hz."""
+    whole = math.lcm(*samples)
+    return sum(n * (whole // hz) for hz, n in samples.items()) * 1_000_000 // whole
+
+
 def allocation_widths(frame: bytes) -> list[int]:
     """Bits of the allocation of each subband of a layer I or II frame."""
     version, layer, kbps, hz = frame[1] >> 3 & 3, 4 - (frame[1] >> 1 & 3), frame[2] >> 4, frame[2] >> 2 & 3
@@ -81,6 +120,7 @@ def allocation_widths(frame: bytes) -> list[int]:
         return [4] * 32
     if version != 3:
         return [4] * 4 + [3] * 7 + [2] * 19
+    # Free format has the tables of the highest bit rates: its index 0 takes the last.
     rate, each = HERTZ[version][hz], KBPS[1, 2][kbps - 1] // (1 if frame[3] >> 6 == 3 else 2)
     if each < 56:
         return [4] * 2 + [3] * (10 if rate == 32000 else 6)
@@ -158,7 +198,8 @@ def read_table(stream: bytes, at: int, size: int, body: int) -> dict:
     """The variable-bitrate table of the frame at ``at``, whose main part begins at ``body``; {} without one.
 
     seek: how many bytes from this frame on each point of the table lies; points are evenly spread over the frames of Xing
-    and Info, and lie each_frames apart in VBRI.
+    and Info, and lie each_frames apart in VBRI. delay, padding: samples that the encoder put before and after the sound, where an
+    encoder's name follows the fields of Xing or Info.
     """
     frame = stream[at : at + size]
     name = stream[body : body + 4]
@@ -171,6 +212,12 @@ def read_table(stream: bytes, at: int, size: int, body: int) -> dict:
                 place += 4
         if flags & 4 and place + 100 <= size:
             out["seek"] = [p * (out["bytes"] or 0) // 256 for p in frame[place : place + 100]]
+            place += 100
+        place += 4 if flags & 8 else 0
+        # Name and version in 9 bytes, 12 of settings, then both counts in 12 bits each.
+        if re.fullmatch(rb"[A-Za-z]{4}", frame[place : place + 4]) and place + 24 <= size:
+            both = int.from_bytes(frame[place + 21 : place + 24], "big")
+            out["delay"], out["padding"] = both >> 12, both & 4095
         return out
     if frame[36:40] == b"VBRI" and size >= 62:
         total, count, entries, scale, width, each = struct.unpack_from(">IIHHHH", frame, 46)
@@ -200,10 +247,12 @@ def write(payload: bytes) -> bytes:
 
 
 def read(stream: bytes) -> dict:
-    """What a stream holds: tags, their values, frames, offsets, samples, Hz, skipped bytes, bad checksums, table, missing frames (None without a table).
+    """What a stream holds: tags, their values, frames, offsets, samples, Hz, microseconds, skipped bytes, bad checksums, table, missing frames (None without a table).
 
     offsets: where each audio frame begins. A frame counts if it is in step with one of its kind, or another of its kind or
-    the stream's end follows it; a frame that the stream cuts off doesn't. Bytes that belong to no tag or frame are skipped and counted.
+    the stream's end follows it; a frame that the stream cuts off doesn't. One of free format always needs what follows it. Bytes
+    that belong to no tag or frame are skipped and counted. samples: those of all frames, rate: of the first; duration_us: of all
+    samples at their own rates, less the encoder's delay at the first and padding at the last.
     """
     at, end, tags, values = 0, len(stream), [], []
     while stream[at : at + 3] == b"ID3" and at + 10 <= end:
@@ -215,7 +264,8 @@ def read(stream: bytes) -> dict:
     # An ID3v1 tag may begin here; it doesn't if a frame that ends where the stream ends holds these bytes.
     tail = end - 128 if end - at >= 128 and stream[end - 128 : end - 125] == b"TAG" else end
     known: dict[bytes, tuple | None] = {}
-    offsets, heads, skipped, samples, rate = [], [], 0, 0, 0
+    offsets, heads, skipped, rate, free = [], [], 0, 0, 0
+    samples: dict[int, int] = {}
     table: dict = {}
     synced, kind, bad = False, None, 0
     while at + 4 <= end:
@@ -226,17 +276,21 @@ def read(stream: bytes) -> dict:
             break
         word = stream[at : at + 4]
         h = known[word] if word in known else known.setdefault(word, header(word))
-        sure = False
+        sure, loose = False, word[0] == 255 and h is None and word[2] >> 4 == 0
+        if loose:
+            free = free if synced and free else free_size(stream, at, (tail, end))
+            h = header(word, free)
         if h is not None and (at + h[0] <= tail or at + h[0] == end):
             # In step, a frame of the same kind follows; out of step, it takes two in a row, or one that ends the stream.
             after = at + h[0]
-            follower = header(stream[after : after + 4])
-            sure = synced and h[1:4] == kind or after >= end - 3 or tail - 3 <= after <= tail or follower is not None and follower[1:4] == h[1:4]
+            follower = header(stream[after : after + 4], free if loose else 0)
+            sure = synced and h[1:4] == kind and not loose or after >= end - 3 or tail - 3 <= after <= tail or follower is not None and follower[1:4] == h[1:4]
         if not sure:
             nxt = stream.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             nxt = min(nxt, tail) if at < tail else nxt
-            skipped, at, synced = skipped + nxt - at, nxt, False
+            # A size that has led astray is looked for anew.
+            skipped, at, synced = (skipped, at, False) if loose and synced else (skipped + nxt - at, nxt, False)
             continue
         kind = h[1:4]
         if not offsets and not table:
@@ -248,8 +302,14 @@ def read(stream: bytes) -> dict:
         heads.append(h[3] if h[4] == 3 else 0)
         if h[4] in (1, 2) and crc16_of_bits(protected_bits(stream[at : at + h[0]])) != int.from_bytes(stream[at + 4 : at + 6], "big"):
             bad += 1
-        samples, rate, at, synced = samples + h[1], rate or h[2], at + h[0], True
+        samples[h[2]] = samples.get(h[2], 0) + h[1]
+        rate, last, at, synced = rate or h[2], h[2], at + h[0], True
     skipped += end - at if at < end else 0
+    total, heard = sum(samples.values()), dict(samples)
+    if heard:
+        heard[rate] -= table.get("delay", 0)
+        heard[last] -= table.get("padding", 0)
+    us = max(0, duration(heard)) if heard else 0
     missing = None if table.get("frames") is None else table["frames"] - len(offsets)
     raw = np.frombuffer(stream, np.uint8)
     place, covered = np.array(offsets, np.int64), np.array(heads, np.int64)
@@ -257,7 +317,7 @@ def read(stream: bytes) -> dict:
         own = place[covered == k][:, None]
         got = crc16(np.concatenate([raw[own + [2, 3]], raw[own + np.arange(6, 6 + k)]], 1))
         bad += int((got != (raw[own + 4].ravel().astype(np.uint32) << 8 | raw[own + 5].ravel())).sum())
-    return {"tags": tags, "values": values, "offsets": place, "samples": samples, "rate": rate, "skipped": skipped, "bad_checksums": bad, "table": table, "missing_frames": missing}
+    return {"tags": tags, "values": values, "offsets": place, "samples": total, "rate": rate, "duration_us": us, "skipped": skipped, "bad_checksums": bad, "table": table, "missing_frames": missing}
 
 
 def payload_of(stream: bytes, offsets: np.ndarray) -> bytes:
@@ -268,7 +328,8 @@ def payload_of(stream: bytes, offsets: np.ndarray) -> bytes:
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write each text's bytes, padded to whole units, as a stream; returns the stored table: doc_id, n_bytes, media.
 
-    A null text is empty; an empty one gets one unit of padding. Repeated rows are stored each; other columns are ignored;
+    A null text is empty; an empty one gets one unit of padding. A text may have any length: its stream takes 7 / 6 of its bytes,
+    and a task holds a batch's streams. Repeated rows are stored each; other columns are ignored;
     an empty table stays empty.
     """
 
@@ -304,7 +365,7 @@ def describe(media: DataFrame) -> DataFrame:
             for doc, n, m in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 got = read(m)
                 payload = payload_of(m, got["offsets"])
-                frames, us = len(got["offsets"]), got["samples"] * 1_000_000 // max(1, got["rate"])
+                frames, us = len(got["offsets"]), got["duration_us"]
                 feature = f"{got['table'].get('kind', '-')}:{got['table'].get('frames')}:frames={frames}:samples={got['samples']}:hz={got['rate']}:us={us}:skipped={got['skipped']}:bad={got['bad_checksums']}:tags={'+'.join(got['tags'])}"
                 row = {
                     "doc_id": doc, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),

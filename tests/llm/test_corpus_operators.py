@@ -1,12 +1,14 @@
 """The corpus operators against brute force, round trips and awkward rows."""
 
 import hashlib
+import math
 import os
 import re
 import struct
 import subprocess
 import sys
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -883,6 +885,50 @@ def test_mpeg_tags_and_tables():
     assert got["offsets"].tolist() == [0, 417, 835, 1252] and got["samples"] == 4 * 1152 and got["rate"] == 44100
 
 
+def test_mpeg_durations_of_several_rates():
+    cd, dat = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(413), bytes([0xFF, 0xFB, 0x94, 0xC0]) + bytes(380)
+    got = mpeg.read(cd * 100 + dat * 100)
+    true = Fraction(100 * 1152, 44100) + Fraction(100 * 1152, 48000)
+    assert got["duration_us"] == math.floor(true * 1_000_000) and got["samples"] == 200 * 1152 and got["rate"] == 44100
+    # Damage before the change of rate: offsets go on behind it, and the frames that are left count.
+    hurt = cd * 3 + b"\xff\xfbjunk\xff" + cd[:200] + cd * 2 + dat * 4 + bytes(11) + dat * 2
+    got = mpeg.read(hurt)
+    first = [0, 417, 834, 1251 + 207, 1251 + 624]
+    later = [1251 + 207 + 834 + 384 * k for k in range(4)]
+    assert got["offsets"].tolist() == [*first, *later, later[-1] + 395, later[-1] + 779] and got["skipped"] == 218
+    assert got["duration_us"] == math.floor((Fraction(5 * 1152, 44100) + Fraction(6 * 1152, 48000)) * 1_000_000)
+
+
+@pytest.mark.parametrize("fields", [7, 15])
+def test_mpeg_encoder_delay(fields):
+    plain = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(413)
+    table = b"Info" + struct.pack(">III", fields, 10, 11 * 417) + bytes(100) + bytes(4 if fields & 8 else 0)
+    encoder = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big") + bytes(12)
+    got = mpeg.read((plain[:21] + table + encoder).ljust(417, b"\0") + plain * 10)
+    assert (got["table"]["delay"], got["table"]["padding"]) == (576, 1000) and got["missing_frames"] == 0
+    assert got["samples"] == 11520 and got["duration_us"] == (11520 - 1576) * 1_000_000 // 44100
+    assert "delay" not in mpeg.read(mpeg.write(bytes(576)))["table"]
+
+
+@pytest.mark.parametrize(("second", "slot", "base", "samples"), [(0xFB, 1, 500, 1152), (0xFD, 1, 1300, 1152), (0xFF, 4, 400, 384)])
+def test_mpeg_free_format(second, slot, base, samples):
+    rng = np.random.default_rng(base)
+    padded = rng.integers(0, 2, 20)
+    body = lambda n: bytes(rng.integers(0, 255, n, np.uint8))  # noqa: E731, a body without a byte 255
+    frames = [bytes([0xFF, second, 2 * p, 0xC0]) + body(base + slot * int(p) - 4) for p in padded]
+    begin = np.cumsum([0, *map(len, frames)])
+    got = mpeg.read(b"".join(frames))
+    assert got["offsets"].tolist() == begin[:-1].tolist() and got["skipped"] == 0 and got["samples"] == 20 * samples
+    # What is cut out of a frame costs this frame and the one before, which has nothing to be measured by.
+    got = mpeg.read(b"".join(frames[:8]) + frames[8][:100] + b"".join(frames[9:]))
+    assert set(begin[:7].tolist()) <= set(got["offsets"].tolist()) and len(got["offsets"]) >= 18
+    # Another size goes on after the first; a frame alone has no size.
+    other = [bytes([0xFF, second, 0, 0xC0]) + body(base + 100 - 4) for _ in range(5)]
+    got = mpeg.read(b"".join(frames) + b"".join(other))
+    assert got["offsets"].tolist()[-5:] == [int(begin[-1]) + (base + 100) * k for k in range(5)]
+    assert len(mpeg.read(frames[0])["offsets"]) == 0
+
+
 def test_media_columns_take_odd_rows(odd):
     got = mpeg.describe(mpeg.store(odd)).collect()
     texts = sorted(((r.text or "").encode() for r in odd.select("text").collect()), key=len)
