@@ -283,3 +283,15 @@ def label_extents(labels: DataFrame) -> DataFrame:
     by = [*image_of(labels), "plane"]
     box = labels.groupBy(*by, "label").agg((F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
     return box.groupBy(*by).agg(F.median("h").alias("median_h"), F.median("w").alias("median_w"), F.count("*").alias("n_labels"))
+
+
+def shapes_match(img: DataFrame, mask: DataFrame) -> DataFrame:
+    """For each image the extents of its voxels (nz, ny, nx) and of its mask's (mz, my, mx), and whether they are equal.
+
+    An image or a mask without the other has nulls there and isn't equal.
+    """
+    by = image_of(img)
+    extent = lambda df, k: df.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"{k}{a}") for a in "zyx"])
+    same = (F.col("nz") == F.col("mz")) & (F.col("ny") == F.col("my")) & (F.col("nx") == F.col("mx"))
+    both = extent(img, "n").join(extent(mask, "m"), by, "full") if by else extent(img, "n").join(extent(mask, "m"))
+    return both.select(*by, "nz", "ny", "nx", "mz", "my", "mx", F.coalesce(same, F.lit(False)).alias("equal"))

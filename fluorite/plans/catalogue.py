@@ -1217,3 +1217,102 @@ def star_matches(spark, d):
     truth = px.withColumn("n_rays", F.explode(F.array(*[F.lit(n) for n in RAY_COUNTS])))
     m = sp.match_labels(truth, star_reconstruct(px, RAY_COUNTS), ("n_rays", "plane", "y", "x"))
     return m.groupBy(F.col("n_rays").cast("long").alias("n_rays")).agg(F.count("*").alias("n_labels"), F.count("matched").alias("n_matched"), F.round(F.avg("iou"), 9).alias("mean_iou"))
+
+
+# ---- contents of regions, polygons, order of tests ------------------------------------------------------------------
+
+
+STACK_SIZES = "sizes AS (SELECT image_id, max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM stacks GROUP BY image_id)"
+
+
+def _stack_sizes(stacks: DataFrame) -> DataFrame:
+    return stacks.groupBy("image_id").agg(*[(F.max(a) + 1).alias(f"n{a}") for a in "zyx"])
+
+
+@query(
+    w("stacks") + f""", {STACK_SIZES}, e AS (SELECT *, (image_id * 3 + k) % 1000003 AS h FROM sizes, range(3) t(k) WHERE nz >= 15 AND ny >= 5 AND nx >= 6),
+b AS (SELECT image_id, k, (h * 7935 + 942561) % 1000003 % (nz - 14) AS z0, (h * 7921 + 209458) % 1000003 % (ny - 4) AS y0, (h * 7923 + 314187) % 1000003 % (nx - 5) AS x0 FROM e)
+SELECT image_id, k, z - z0 AS z, y - y0 AS y, x - x0 AS x, v FROM stacks JOIN b USING (image_id) WHERE z BETWEEN z0 AND z0 + 14 AND y BETWEEN y0 AND y0 + 4 AND x BETWEEN x0 AND x0 + 5"""
+)
+def volume_contents(spark, d):
+    from fluorite.operators.sampling import contents
+    from fluorite.operators.sampling import random_volumes as volumes
+
+    i = ad.stacks(spark, d)
+    return contents(i, volumes(_stack_sizes(i), 15, 5, 6, 3, "image_id"), {"z": 15, "y": 5, "x": 6}, ["image_id"])
+
+
+@query(
+    w("img") + """, sizes AS (SELECT z, max(y) + 1 AS ny, max(x) + 1 AS nx FROM img GROUP BY z), e AS (SELECT *, (z * 2 + k) % 1000003 AS h FROM sizes, range(2) t(k) WHERE ny >= 4 AND nx >= 4),
+b AS (SELECT z, k, (h * 7921 + 209458) % 1000003 % (ny - 3) AS y0, (h * 7923 + 314187) % 1000003 % (nx - 3) AS x0 FROM e)
+SELECT z, k, y - y0 AS y, x - x0 AS x, v FROM img JOIN b USING (z) WHERE y BETWEEN y0 AND y0 + 3 AND x BETWEEN x0 AND x0 + 3"""
+)
+def crop_contents(spark, d):
+    from fluorite.operators.sampling import contents, random_regions
+
+    i = ad.img(spark, d)
+    sizes = i.groupBy("z").agg((F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
+    return contents(i, random_regions(sizes, 4, 4, 2, "z"), {"y": 4, "x": 4}, ["z"])
+
+
+QC_HASH = "(image_id * 1000003 + z * 7919 + y * 104729 + x * 31) % 1000"
+
+
+@query(
+    w("stacks") + f""", chosen AS (SELECT image_id, z * 64 + y * 8 + x AS spot, z, y, x FROM stacks WHERE v > 0.2 AND {QC_HASH} < 50)
+SELECT a.image_id, a.spot, s.z - a.z + 2 AS z, s.y - a.y + 2 AS y, s.x - a.x + 2 AS x, s.v FROM chosen a JOIN stacks s ON s.image_id = a.image_id
+AND s.z BETWEEN a.z - 2 AND a.z + 2 AND s.y BETWEEN a.y - 2 AND a.y + 2 AND s.x BETWEEN a.x - 2 AND a.x + 2"""
+)
+def qc_volumes(spark, d):
+    """The surroundings of a twentieth of the bright voxels, for checking by eye."""
+    from fluorite.operators.sampling import contents
+
+    i = ad.stacks(spark, d)
+    at = i.where("v > 0.2").where(F.expr(QC_HASH) < 50)
+    boxes = at.select("image_id", (F.col("z") * 64 + F.col("y") * 8 + F.col("x")).alias("spot"), *[(F.col(a) - 2).alias(f"{a}0") for a in "zyx"])
+    return contents(i, boxes, {"z": 5, "y": 5, "x": 5}, ["image_id"], ["spot"])
+
+
+@query(
+    w("cell_px") + """, sides AS (SELECT p.image_id, p.plane, p.label, count(*) AS perimeter FROM cell_px p, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(a, b)
+WHERE NOT EXISTS (SELECT 1 FROM cell_px q WHERE q.image_id = p.image_id AND q.plane = p.plane AND q.label = p.label AND q.y = p.y + a AND q.x = p.x + b) GROUP BY ALL),
+quads AS (SELECT image_id, plane, label, y + a AS y, x + b AS x, count(*) AS n, min(a) <> max(a) AND min(b) <> max(b) AS slanted FROM cell_px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(a, b) GROUP BY ALL),
+corners AS (SELECT image_id, plane, label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND slanted THEN 2 ELSE 0 END)::BIGINT AS n_corners,
+(sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND slanted THEN 2 ELSE 0 END) / 4)::BIGINT AS parts_less_holes FROM quads GROUP BY ALL)
+SELECT image_id, plane, label, n_corners, perimeter, count(*) AS area, parts_less_holes FROM cell_px JOIN sides USING (image_id, plane, label) JOIN corners USING (image_id, plane, label) GROUP BY ALL"""
+)
+def label_polygons(spark, d):
+    from fluorite.operators.polygons import polygons, ring_areas
+
+    found = ring_areas(polygons(ad.cell_px(spark, d).select("image_id", "plane", "y", "x", "label")))
+    total = {c: F.sum(c).alias(c) for c in ("n_corners", "perimeter", "area")}
+    return found.groupBy("image_id", "plane", "label").agg(*total.values(), F.sum(F.signum("area")).cast("long").alias("parts_less_holes"))
+
+
+ORDERED_SQL = w("cells") + f", {PAIRS_SQL}, {POOLED.format(v='n')}, " + """run AS (SELECT *, sum(c1 + c2) OVER (PARTITION BY comparison ORDER BY value) - (c1 + c2) + (c1 + c2 + 1) / 2 AS mid FROM pool),
+u AS (SELECT comparison, any_value(n1)::DOUBLE AS n1, any_value(n2)::DOUBLE AS n2, sum(mid * c1) - any_value(n1 * (n1 + 1) / 2) AS u, sum(pow(c1 + c2, 3) - (c1 + c2)) AS ties FROM run JOIN size USING (comparison) GROUP BY comparison),
+z AS (SELECT comparison, u - n1 * n2 / 2 AS gap, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM u)
+"""
+
+
+@query(ORDERED_SQL + "SELECT comparison, round((-gap - 0.5) / sd, 6) AS z_less, round((abs(gap) - 0.5) / sd, 6) AS z_two_sided FROM z")
+def mwu_z(spark, d):
+    return rounded(cohort.mann_whitney(ad.cells(spark, d), pairs_table(spark), "grp", "n"), "z_less", "z_two_sided").select("comparison", "z_less", "z_two_sided")
+
+
+# Fixed value: the normal quantile of 0.975, beyond which two-sided p is below 0.05.
+@query(ORDERED_SQL + "SELECT comparison, row_number() OVER (ORDER BY greatest((abs(gap) - 0.5) / sd, 0) DESC, comparison) AS place, CASE WHEN (abs(gap) - 0.5) / sd > 1.959963984540054 THEN 'significant' ELSE 'not significant' END AS label FROM z")
+def ordered_tests(spark, d):
+    """Comparisons by probability, the smallest first, with their label; SQL has both from z."""
+    tests = cohort.mwu_p(cohort.mann_whitney(ad.cells(spark, d), pairs_table(spark), "grp", "n"))
+    rows = numbered(tests.withColumn("label", cohort.significance(F.col("p_value"))), ["p_value", "comparison"])
+    return rows.select("comparison", (F.col("rn") + 1).alias("place"), "label")
+
+
+@query(
+    w("stacks") + f""", {STACK_SIZES}, masks AS (SELECT image_id, max(z) + 1 AS mz, max(y) + 1 AS my, max(x) + 1 AS mx FROM stacks WHERE v > 0.25 GROUP BY image_id)
+SELECT image_id, nz, ny, nx, mz, my, mx, coalesce(nz = mz AND ny = my AND nx = mx, false) AS equal FROM sizes FULL JOIN masks USING (image_id)"""
+)
+def shape_equality(spark, d):
+    i = ad.stacks(spark, d)
+    return sp.shapes_match(i, i.where("v > 0.25"))
