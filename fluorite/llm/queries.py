@@ -22,7 +22,7 @@ def op2_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.write(table(spark, sf_dir, "documents"))
-    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenfile.read(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,15 +164,17 @@ def _stretch(row: dict, table: rans.Table, k: int) -> bytes:
     return raw
 
 
-def _documents(docs: list, starts: list, lens: list, own: list) -> pa.RecordBatch:
+def _documents(docs: list, starts: list, lens: list, own: list, with_ids: bool = True) -> pa.RecordBatch:
     cols = (docs, starts, lens, list(map(zlib.crc32, own)))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(own, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    out = dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), (pa.array(c, pa.int64()) for c in cols), strict=True))
+    return pa.RecordBatch.from_pydict(out | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents of a file set: doc_id, start long (ids of all documents before it), n_tokens, ids_crc32 and ids (little-endian u32).
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """All documents of a file set: doc_id, start long (ids of all documents before it), n_tokens, ids_crc32 and, ``with_ids``, ids (little-endian u32).
 
-    A stretch whose checksum doesn't hold fails the job.
+    A stretch whose checksum doesn't hold fails the job. Without ids they are decoded and checked all the same, but stay in
+    the worker.
     """
     shared = spark.sparkContext.broadcast(read_table(spark, folder))
 
@@ -183,10 +185,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 (row,) = batch.slice(k, 1).to_pylist()
                 raw = b"".join(_stretch(row, table, c) for c in range(len(row["crc32s"])))
                 ends = np.cumsum(row["doc_lens"]).tolist()
-                own = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
-                yield _documents(row["doc_ids"], [row["at"] + e - n for e, n in zip(ends, row["doc_lens"], strict=True)], row["doc_lens"], own)
+                view = raw if with_ids else memoryview(raw)
+                own = [view[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+                yield _documents(row["doc_ids"], [row["at"] + e - n for e, n in zip(ends, row["doc_lens"], strict=True)], row["doc_lens"], own, with_ids)
 
-    return _placed(spark, folder).mapInArrow(decode, DOCUMENT)
+    return _placed(spark, folder).mapInArrow(decode, DOCUMENT if with_ids else DOCUMENT.removesuffix(", ids binary"))
 
 
 def read_documents(wanted: DataFrame, folder: str) -> DataFrame:

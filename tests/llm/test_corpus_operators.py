@@ -261,6 +261,8 @@ def test_token_file_round_trip(spark, odd):
         raw = np.array(ids, "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(ids), zlib.crc32(raw), raw)
         at += len(ids)
+    short = tokenfile.read(spark, folder, with_ids=False)
+    assert sorted(map(str, short.collect())) == sorted(str(r) for r in tokenfile.read(spark, folder).drop("ids").collect())
     assert tokenfile.read(spark, tokenfile.write(odd.limit(0))).count() == 0
 
 
