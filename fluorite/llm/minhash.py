@@ -16,7 +16,9 @@ How the work stays in proportion to the rows:
   where these meet in fewer blocks, and so on: near copies of one text, however many, become one component at a cost in
   proportion to their number.
 * What is still apart in a group then meets what it hasn't met: the blocks of all but the largest component meet all of
-  the group's blocks, two in a task. Pairs that are linked by others already aren't compared.
+  the group's blocks, two in a task, in larger blocks. Pairs that are linked by others already aren't compared.
+* Two blocks' sets are compared only where they share one of their rarest shingles (``links``), so texts of one template that
+  stay below the threshold cost their size and not the square of their number.
 * Links are joined to components by contraction; nothing is collected by the driver. Buckets, groups and sets of copies that
   hold a large part of all rows are joined by broadcast of their few keys, so none gathers in one task.
 """
@@ -93,28 +95,91 @@ class Signer:
 
 #: Shingles of a block's sets at most, 8 bytes each, beside its largest set.
 BLOCK_SHINGLES = 2_000_000
+#: Of sets that stay apart so many blocks' nodes meet as one block, as long as their shingles allow.
+BLOCKS_APART = 16
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class _Sets:
+    """Sets side by side, each in one order of their members: the rarer in all of them first."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        row = np.repeat(np.arange(len(sets)), self.sizes) * len(counts)
+        self.codes = np.sort(row + rank[codes]) - row
+        self.flag = np.zeros(len(counts), bool)
+
+    def firsts(self, row: int, n: np.ndarray) -> np.ndarray:
+        return self.codes[self.begin[row] : self.begin[row] + n[row]]
+
+    def common(self, a: int, rows: np.ndarray) -> np.ndarray:
+        """How many members set ``a`` has in common with each of ``rows``."""
+        own, sizes = self.firsts(a, self.sizes), self.sizes[rows]
+        self.flag[own] = True
+        out = np.add.reduceat(self.flag[self.codes[_ranges(self.begin[rows], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.flag[own] = False
+        return out
+
+
+class _Postings:
+    """For each member the ``rows`` that have it among their first ``n``."""
+
+    def __init__(self, sets: _Sets, rows: np.ndarray, n: np.ndarray):
+        codes = sets.codes[_ranges(sets.begin[rows], n[rows])]
+        order = np.argsort(codes, kind="stable")
+        self.rows = np.repeat(rows, n[rows])[order]
+        self.ends = np.cumsum(np.bincount(codes, minlength=len(sets.flag)))
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        lo = self.starts[codes]
+        return self.rows[_ranges(lo, self.ends[codes] - lo)]
+
+
+#: So few sets are compared with each other at once.
+FEW_SETS = 32
 
 
 def links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows ``left`` and rows ``right``; a link has 100 * common >= percent * union.
 
+    Only rows that share one of their rarest members are compared. Two sets with a link differ in so few members that, of the
+    larger one (x members), the rarest x - ceil(percent x / 100) + 1 and, of the other (y), the rarest y - ceil(2 percent y /
+    (100 + percent)) + 1 have one in common, whatever the order, if it is one for all sets. So no link is lost.
+
     ``known``: components the rows are in already; two rows of one component aren't compared.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    every = _Sets(sets)
+    sizes, out = every.sizes, []
     label = np.arange(len(ids)) if known is None else np.unique(known, return_inverse=True)[1]
-    flag, out = np.zeros(len(vocabulary), bool), []
+    few, same = len(ids) <= FEW_SETS, np.array_equal(left, right)
+    if not few:
+        as_larger, as_smaller = sizes + 1 - -(-percent * sizes // 100), sizes + 1 - -(-2 * percent * sizes // (100 + percent))
+        smaller = _Postings(every, right, as_smaller)
+        # Within one block a pair is met by its larger set.
+        larger = None if same else _Postings(every, right, as_larger)
     for a in left:
-        apart = right[label[right] != label[a]]
+        apart = right
+        if not few:
+            apart = smaller.of(every.firsts(a, as_larger))
+            apart = apart[sizes[apart] <= sizes[a]]
+            if larger is not None:
+                more = larger.of(every.firsts(a, as_smaller))
+                apart = np.concatenate([apart, more[sizes[more] > sizes[a]]])
+            apart = np.unique(apart)
+        apart = apart[label[apart] != label[a]]
         if not len(apart):
             continue
-        own = codes[begin[a] : begin[a] + sizes[a]]
-        flag[own] = True
-        common = np.add.reduceat(flag[codes], begin)
-        flag[own] = False
-        close = 100 * common >= percent * (sizes[a] + sizes - common)
-        for b in apart[close[apart]]:
+        common = every.common(a, apart)
+        for b in apart[100 * common >= percent * (sizes[a] + sizes[apart] - common)]:
             if label[a] != label[b]:
                 label[label == label[b]] = label[a]
                 out.append((int(ids[a]), int(ids[b])))
@@ -161,7 +226,7 @@ def _between_blocks(member: DataFrame, full: DataFrame, percent: int, block: int
     main = main.where("parts > 1").select("leader", "members", F.col("m.component").alias("main"))
     rows = attach(member, main, ["leader"], "members")
     aside = F.col("component") != F.col("main")
-    half = max(1, block // 2)
+    half = max(1, block * BLOCKS_APART // 2)
     size = rows.groupBy("leader").agg(F.count("*").alias("members"), _blocks(half, aside).alias("few"), _blocks(half, ~aside).alias("many"))
     rows = attach(rows.drop("members"), size, ["leader"], "members")
     own = F.when(aside, F.pmod(F.xxhash64("node"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).cast("int")

@@ -176,6 +176,59 @@ def test_near_duplicates_against_brute_force(spark, block):
     assert got[1003].n_shingles == got[1004].n_shingles == 0 and got[1002].n_shingles == 1
 
 
+def parts_of(ids, links) -> dict[int, int]:
+    part = {int(k): int(k) for k in ids}
+    for a, b in links:
+        x, y = sorted((part[a], part[b]))
+        part = {k: x if v == y else v for k, v in part.items()}
+    return part
+
+
+@pytest.mark.parametrize("percent", [30, 73, 80, 90, 100])
+def test_links_against_all_pairs(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(12):
+        n, base, sets = int(rng.integers(minhash.FEW_SETS + 1, 100)), rng.integers(0, 400, 60), []
+        for _ in range(n):
+            own = base[: int(rng.integers(30, 60))].copy()
+            changed = int(rng.integers(0, 14))
+            own[rng.integers(0, len(own), changed)] = rng.integers(0, 700, changed)
+            sets.append(np.unique(own).astype(np.uint64))
+        ids, plain = np.arange(n) * 7, [set(s.tolist()) for s in sets]
+        for left, right in ((np.arange(n), np.arange(n)), (np.arange(n // 2), np.arange(n // 2, n))):
+            want = [(int(ids[a]), int(ids[b])) for a in left for b in right if a != b and 100 * len(plain[a] & plain[b]) >= percent * len(plain[a] | plain[b])]
+            assert parts_of(ids, minhash.links(ids, sets, left, right, percent)) == parts_of(ids, want)
+
+
+def test_texts_below_the_threshold_are_not_compared(monkeypatch):
+    """20,000 sets of one template, of similarity 0.7, and a copy of every hundredth with one member changed."""
+    rng, n = np.random.default_rng(8), 20_000
+    template = rng.integers(0, 2**63, 165, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([template, rng.integers(0, 2**63, 35, dtype=np.uint64)])) for _ in range(n)]
+    sets += [np.unique(np.concatenate([s[1:], s[:1] + np.uint64(1)])) for s in sets[::100]]
+    compared, common = [0], minhash._Sets.common
+
+    def counted(self, a, rows):
+        compared[0] += len(rows)
+        return common(self, a, rows)
+
+    monkeypatch.setattr(minhash._Sets, "common", counted)
+    every = np.arange(len(sets))
+    found = minhash.links(every, sets, every, every, 80)
+    assert sorted(tuple(sorted(p)) for p in found) == [(100 * k, n + k) for k in range(n // 100)]
+    assert compared[0] < len(sets)
+
+
+def test_near_duplicates_of_one_template(spark):
+    rng = np.random.default_rng(9)
+    template = [f"w{k}" for k in range(100)]
+    texts = {k: " ".join([*template, *(f"x{v}" for v in rng.integers(0, 10**9, 18))]) for k in range(3000)}
+    texts |= {5000 + k: texts[k] + " more" for k in range(0, 3000, 50)}
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2)
+    parts = {r.doc_id: r.component_id for r in got.collect()}
+    assert parts == {k: k - 5000 if k >= 5000 else k for k in texts}
+
+
 def test_near_duplicates_take_odd_rows(odd):
     rows = minhash.near_duplicates(odd, words=5).collect()
     assert len(rows) == 9
