@@ -401,6 +401,31 @@ def test_windows_hold_the_target_mixture():
             assert abs(got - 5000 * n / total) < 1000
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 1.0, "c": 2.5}, {"a": 0.2, "b": 0.3, "c": 0.001}])
+def test_streams_equal_a_round_robin_with_deficits(weights):
+    """Each queue's deficit stays below one id after every window, and each id lies where the round-robin puts it."""
+    totals = {"a": 9_001, "b": 4_000, "c": 37, "d": 1}
+    plan = packing.phases(totals, weights, 500)
+    want: list[tuple[str, int]] = []
+    for phase in plan:
+        assert phase["base"] == len(want)
+        credit, next_id = dict.fromkeys(phase["queues"], Fraction(0)), {q: lo for q, (lo, _) in phase["queues"].items()}
+        for _ in range(phase["windows"]):
+            for q, (lo, hi) in phase["queues"].items():
+                credit[q] += Fraction(hi - lo, phase["windows"])
+                served = int(credit[q])
+                want += [(q, k) for k in range(next_id[q], next_id[q] + served)]
+                credit[q], next_id[q] = credit[q] - served, next_id[q] + served
+                assert 0 <= credit[q] < 1
+        assert next_id == {q: hi for q, (_, hi) in phase["queues"].items()} and not any(credit.values())
+    placer, got = packing._Placer(plan), {}
+    for q, n in totals.items():
+        for first in range(0, n, 700):  # documents of 700 ids
+            for at, size, place in placer.runs(q, first, min(700, n - first)):
+                got |= {place + k: (q, first + at + k) for k in range(size)}
+    assert [got[k] for k in range(len(want))] == want and len(got) == sum(totals.values())
+
+
 def test_weights_hold_with_many_sources(spark):
     rows = [(k, "some words of a text " * 20, f"s{k % 300}") for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
