@@ -2,9 +2,10 @@
 
 The library splits a text into words by a fixed pattern that takes at most one space into the word that follows it, and
 merges the bytes of each word on its own. So, in a text without two spaces in a row or one at its end, a space and what
-follows it up to the next space (a run) always gets the same ids, and of letters with one mark behind, so do the letters
-and the mark. Each Python worker keeps the ids of the letters and runs it has met in Arrow and numpy arrays, asks the
-library for a batch's new ones together, and gathers the batch's ids from them; they are those of
+follows it up to the next space (a run) always gets the same ids. Within a run, a line feed between two characters that are
+no white space is a word, so the part before it and the part from it on (a line) keep their ids wherever they stand; and of
+letters with marks behind, so do the letters and the marks. Each Python worker keeps the ids of the letters, runs and lines it
+has met, asks the library for a batch's new ones together, and gathers the batch's ids from them; they are those of
 ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
@@ -12,19 +13,25 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import json
+import string
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Entries whose ids a worker keeps, about 40 bytes each; beyond that it keeps those of the current batch.
-CACHED = 600_000
+#: Entries whose ids a worker keeps, about 150 bytes each; beyond that it keeps those of the
+#: current batch and, where they are at most half, those that came in several batches.
+CACHED = 500_000
 #: Bytes of text that are looked up together, and new entries that the library gets as one text.
 BATCH_BYTES = 4_000_000
 NEW_ENTRIES = 1000
-MARKS = ".,;:!?"
+MARKS = string.punctuation
+#: A run with a line feed is cut there unless this is found: white space beside a line feed, or any other in the run.
+UNCUT = r"[\t\x0B\f\r\x{85}\pZ]|^\n|\n$|\n\n"
 #: After so many bytes of text a worker gives freed memory back, which the allocators else keep.
 RELEASE_BYTES = 12_000_000
 
@@ -37,6 +44,54 @@ def release_memory() -> None:
         _trim(0)
 
 
+def _gather(flat: np.ndarray, length: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    start, n = np.cumsum(length) - length, length[entries]
+    return flat[np.repeat(start[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _list(strings: pa.Array) -> list[str]:
+    """As ``to_pylist``, which takes thrice as long."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Entries:
+    """Strings and their ids. ``learn`` gives the ids of new strings and their counts."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self.at: dict[str, int] = {}
+        self.flat, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        #: In how many batches each came since some were dropped last.
+        self.batches = np.zeros(0, np.int32)
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        """Where different ``keys`` are among the entries; new ones are added."""
+        at = np.fromiter(map(self.at.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [keys[k] for k in missing.tolist()]
+            flat, length = self.learn(new)
+            first = len(self.length)
+            at[missing] = first + np.arange(len(new))
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
+            self.batches = np.concatenate([self.batches, np.zeros(len(new), np.int32)])
+        self.batches[at] += 1
+        return self._drop(at) if len(self.length) > CACHED else at
+
+    def _drop(self, at: np.ndarray) -> np.ndarray:
+        keep = self.batches > 1
+        if keep.sum() > CACHED // 2:
+            keep[:] = False
+        keep[at] = True
+        used = np.flatnonzero(keep)
+        kept = list(itertools.compress(self.at, keep.tolist()))  # a dict keeps the order of entries
+        self.at = dict(zip(kept, range(len(kept)), strict=True))
+        self.flat, self.length = _gather(self.flat, self.length, used), self.length[used]
+        self.batches = np.zeros(len(used), np.int32)
+        return np.searchsorted(used, at)
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,14 +102,11 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         #: Ids that begin with a space, which a byte-level vocabulary writes as U+0120.
         self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(self.size)])
-        self.mark = np.full(256, -1, np.int64)
-        for m in MARKS:
-            ids = np.frombuffer(self(m), "<u4")
-            if len(ids) == 1:
-                self.mark[ord(m)] = ids[0]
-        # Entry k: a string without spaces, and the ids of a space and it.
-        self.keys = pa.array([], pa.large_string())
-        self.flat, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        feed = np.frombuffer(self("\n"), "<u4")
+        feeds = np.arange(self.size) == (feed[0] if len(feed) == 1 else -1)
+        #: By runs and letters without their space: ids of a space and them. By lines without their line feed: ids of both.
+        self.runs = _Entries(lambda new: self._learn(new, " ", self.spaced))
+        self.lines = _Entries(lambda new: self._learn(new, "\n", feeds))
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
@@ -73,44 +125,74 @@ class Encoder:
                 released = sizes[at - 1]
                 release_memory()
 
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their counts. The library gets many entries as one text; where each begins, an id begins with a space."""
+    def _learn(self, new: list[str], lead: str, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their counts of ``lead`` and each string. The library gets many as one text; where each begins is an id of ``leads``."""
         parts, counts = [], []
         for k in range(0, len(new), NEW_ENTRIES):
             part = new[k : k + NEW_ENTRIES]
-            (got,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            (got,) = self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
-            begin = np.flatnonzero(self.spaced[ids])
+            begin = np.flatnonzero(leads[ids])
             if len(begin) == len(part) and begin[0] == 0:
                 parts.append(ids)
                 counts.append(np.diff(begin, append=len(ids)))
             else:
-                own = [np.frombuffer(self(" " + s), "<u4") for s in part]
+                own = [np.frombuffer(self(lead + s), "<u4") for s in part]
                 parts += own
                 counts.append(np.array(list(map(len, own)), np.int64))
-        return np.concatenate(parts or [self.flat[:0]]), np.concatenate(counts or [self.length[:0]])
-
-    def _entries(self, keys: pa.Array) -> np.ndarray:
-        """Where different ``keys`` are among the entries; new ones are added."""
-        found = pc.index_in(keys, value_set=self.keys)
-        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if found.null_count:
-            new = keys.filter(pc.is_null(found))
-            flat, length = self._learn(new.to_pylist())
-            at[at < 0] = len(self.keys) + np.arange(len(new))
-            self.keys = pa.concat_arrays([self.keys, new])
-            self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
-            if len(self.keys) > CACHED:
-                used = np.unique(at)
-                self.flat = self._gather(self.flat, self.length, used)
-                self.keys, self.length = self.keys.take(pa.array(used)), self.length[used]
-                at = np.searchsorted(used, at)
-        return at
+        return np.concatenate(parts), np.concatenate(counts)
 
     @staticmethod
-    def _gather(flat: np.ndarray, length: np.ndarray, entries: np.ndarray) -> np.ndarray:
-        start, n = np.cumsum(length) - length, length[entries]
-        return flat[np.repeat(start[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    def _find(entries: _Entries, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """For each string: its entry, which marks follow that (-1: none), and these marks."""
+        stem = pc.ascii_rtrim(strings, MARKS)
+        behind = (pc.binary_length(strings).to_numpy(zero_copy_only=False) - pc.binary_length(stem).to_numpy(zero_copy_only=False)).astype(np.int64)
+        plain = pc.utf8_is_alpha(stem)
+        keys = pc.if_else(plain, stem, strings).dictionary_encode()
+        at = entries.find(_list(keys.dictionary))[keys.indices.to_numpy()]
+        # Marks are their code where one follows, else numbered from 128 on.
+        ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset + 1 : strings.offset + len(strings) + 1]
+        data = np.frombuffer(strings.buffers()[2] or b"\0", np.uint8)
+        plain = plain.to_numpy(zero_copy_only=False)
+        tail = np.where(plain & (behind > 0), data[np.maximum(ends - 1, 0)].astype(np.int64), -1)
+        several = np.flatnonzero(plain & (behind > 1))
+        marks = {chr(k): k for k in range(128)}
+        tail[several] = [marks.setdefault(s[-n:], len(marks)) for s, n in zip(_list(strings.take(pa.array(several))), behind[several].tolist(), strict=True)]
+        return at, tail, list(marks)
+
+    def _kinds(self, kinds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each of ``kinds``, and their counts."""
+        cut = pc.match_substring(kinds, "\n")
+        if pc.any(cut).as_py():
+            where = pc.indices_nonzero(cut)
+            cut = np.zeros(len(kinds), bool)
+            cut[where.to_numpy()] = pc.invert(pc.match_substring_regex(kinds.take(where), UNCUT)).to_numpy(zero_copy_only=False)
+            lists = pc.split_pattern(kinds.filter(pa.array(cut)), "\n")
+            ends, pieces = lists.offsets.to_numpy(), lists.flatten()
+            first = np.zeros(len(pieces), bool)
+            first[ends[:-1]] = True
+            runs, lines = pc.replace_with_mask(kinds, pa.array(cut), pieces.filter(pa.array(first))), pieces.filter(pa.array(~first))
+            size = np.ones(len(kinds), np.int64)
+            size[cut] = np.diff(ends)
+        else:
+            runs, lines, size = kinds, kinds.slice(0, 0), np.ones(len(kinds), np.int64)
+        run, run_tail, run_marks = self._find(self.runs, runs)
+        line, line_tail, line_marks = self._find(self.lines, lines)
+        marks = [np.frombuffer(self(m), "<u4") for m in [*run_marks, *line_marks]]
+        # One table of all: runs' entries, lines', marks, and last an empty one.
+        flat = np.concatenate([self.runs.flat, self.lines.flat, *marks])
+        length = np.concatenate([self.runs.length, self.lines.length, np.array([*map(len, marks), 0], np.int64)])
+        n_runs, none = len(self.runs.length), len(length) - 1
+        n_lines = n_runs + len(self.lines.length)
+        begin = np.cumsum(size) - size
+        of_run = np.zeros(size.sum(), bool)
+        of_run[begin] = True
+        units = np.empty((len(of_run), 2), np.int64)
+        units[of_run, 0], units[of_run, 1] = run, np.where(run_tail < 0, none, n_lines + run_tail)
+        units[~of_run, 0], units[~of_run, 1] = n_runs + line, np.where(line_tail < 0, none, n_lines + len(run_marks) + line_tail)
+        units = units.reshape(-1)
+        n = np.add.reduceat(length[units], 2 * begin) if len(kinds) else begin
+        return _gather(flat, length, units), n
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " "))
@@ -121,35 +203,16 @@ class Encoder:
         lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         ends = lists.offsets.to_numpy()
         ends = ends - ends[0]
-        runs = lists.flatten().dictionary_encode()
-        kinds = pa.concat_arrays([runs.dictionary])
-
-        stem = pc.utf8_rtrim(kinds, MARKS)
-        marks = (pc.binary_length(kinds).to_numpy(zero_copy_only=False) - pc.binary_length(stem).to_numpy(zero_copy_only=False)).astype(np.int64)
-        offsets = np.frombuffer(kinds.buffers()[1], np.int64)[kinds.offset : kinds.offset + len(kinds) + 1]
-        data = np.frombuffer(kinds.buffers()[2] or b"\0", np.uint8)
-        mark = self.mark[data[np.maximum(offsets[1:] - 1, 0)]]
-        plain = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False) & ((marks == 0) | ((marks == 1) & (mark >= 0)))
-        tail = np.where(plain & (marks == 1), mark, -1)
-        keys = pc.if_else(pa.array(plain), stem, kinds).dictionary_encode()
-        entry = self._entries(keys.dictionary)[keys.indices.to_numpy()]
-
-        first = [np.frombuffer(self(t if w else t.split(" ", 1)[0]), "<u4") for t, w in zip(texts.to_pylist(), whole, strict=True)]
-        flat = np.concatenate([self.flat, *first])
-        length = np.concatenate([self.length, np.array(list(map(len, first)), np.int64)])
-        codes = runs.indices.to_numpy()
-        entries, tails = entry[codes], tail[codes]
-        entries[ends[:-1]], tails[ends[:-1]] = len(self.length) + np.arange(len(texts)), -1
-
-        n = length[entries]
-        upto = np.cumsum(n + (tails >= 0))
-        out = np.empty(upto[-1], "<u4")
-        marked = np.flatnonzero(tails >= 0)
-        body = np.ones(len(out), bool)
-        body[upto[marked] - 1] = False
-        out[body] = self._gather(flat, length, entries)
-        out[upto[marked] - 1] = tails[marked]
-        return out, upto[ends[1:] - 1]
+        runs = lists.flatten()
+        head = pc.if_else(pa.array(whole), texts, runs.take(pa.array(ends[:-1])))
+        first = [np.frombuffer(self(s), "<u4") for s in _list(head)]
+        runs = runs.dictionary_encode()
+        flat, length = self._kinds(pa.concat_arrays([runs.dictionary]))
+        entries = runs.indices.to_numpy().astype(np.int64)
+        entries[ends[:-1]] = len(length) + np.arange(len(texts))
+        length = np.concatenate([length, np.array(list(map(len, first)), np.int64)])
+        upto = np.cumsum(length[entries])
+        return _gather(np.concatenate([flat, *first]), length, entries), upto[ends[1:] - 1]
 
 
 @functools.cache

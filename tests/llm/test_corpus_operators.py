@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import struct
 import subprocess
@@ -17,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluorite.functions.components import connected_components
-from fluorite.llm import chat, decontam, gbt, html, minhash, mpeg, packing, quality, rans, secrets, tokenfile, toxicity
+from fluorite.llm import chat, decontam, gbt, html, minhash, mpeg, packing, quality, rans, secrets, tokenfile, tokens, toxicity
 from fluorite.llm.common import attach
 from fluorite.llm.tokens import default_path, encoder
 
@@ -292,6 +293,33 @@ def test_encoder_equals_the_library():
     assert got == [ids_of(t) for t in texts]
 
 
+def encoded(own, texts):
+    out = []
+    for ids, ends in own.batch(pa.array(texts, pa.string())):
+        out += [part.tolist() for part in np.split(ids, ends[:-1])]
+    return out
+
+
+def test_encoder_asks_the_library_for_the_parts_of_runs_once(monkeypatch):
+    """Words around line feeds and before marks come in many pairs: 40 words here in 4,800 runs."""
+    words = [a + b for a in ("ab", "Cd", "ef", "Gh", "ij") for b in ("k", "l", "m", "n", "o", "p", "q", "r")]
+    texts = [" ".join(f"{a}{mark}\n{b}" for b in words for mark in (".", "***", ".',")) for a in words]
+    asked, learn = [], tokens.Encoder._learn
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, new, *more: asked.extend(new) or learn(self, new, *more))
+    assert encoded(tokens.Encoder(default_path()), texts) == [ids_of(t) for t in texts]
+    assert len(asked) <= 2 * len(words)
+
+
+def test_encoder_cuts_only_where_the_library_does(monkeypatch):
+    """Also while entries are dropped."""
+    monkeypatch.setattr(tokens, "CACHED", 40)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 300)
+    pieces = ["a", "The", "b's", "'", "'s", "'ll", "\n", "\n", "\n", " ", " ", "\t", "\r\n", "\u0085", "\u00a0", "\u2028", ".", "***", "42", "²", "é", "e\u0301", "日本", "\0"]
+    r = random.Random(5)
+    texts = ["".join(r.choices(pieces, k=r.randrange(14))) for _ in range(3000)]
+    assert encoded(tokens.Encoder(default_path()), texts) == [ids_of(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 255, 2048, 2049, 30_000])
 def test_rans_round_trip_and_checkpoints(n):
     ids = np.minimum(np.random.default_rng(n).geometric(0.01, n), 4999).astype("<u4")
