@@ -7,8 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluorite.functions.joins import shuffled
 from fluorite.operators.raster import image_of
 
+#: Spots that are fitted at once: their Jacobians take 125 x 7 doubles each, and several tables as large.
+AT_ONCE = 256
 FIT = "spot_id long, total double, amplitude double, sigma_z double, sigma_y double, sigma_x double, r2 double"
 
 
@@ -62,19 +65,21 @@ def gaussian_fit(img: DataFrame, spots: DataFrame, radius: int = 2, sigma: tuple
     by = image_of(img)
     asked = spots.select("spot_id", *by, "z", "y", "x", F.explode(array).alias("s"))
     asked = asked.select("spot_id", *by, F.col("s.k").alias("k"), *[(F.col(a) + F.col(f"s.{a}")).alias(a) for a in "zyx"])
-    patches = asked.join(img, [*by, "z", "y", "x"]).groupBy("spot_id").agg(F.collect_list(F.struct("k", "v")).alias("patch"), F.sum("v").alias("total"))
+    patches = shuffled(asked).join(img, [*by, "z", "y", "x"]).groupBy("spot_id").agg(F.collect_list(F.struct("k", "v")).alias("patch"), F.sum("v").alias("total"))
     offsets, sigma = np.array(steps, float), tuple(max(0.2, s) for s in sigma)
 
     def fit(batches):
         for b in batches:
+            if not (n := b.num_rows):
+                continue
             lists = b.column("patch")
-            n = len(lists)
             owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
             k, v = flat.field("k").to_numpy(), flat.field("v").to_numpy()
             values, known = np.zeros((n, len(offsets))), np.zeros((n, len(offsets)))
             values[owner, k], known[owner, k] = v, 1
-            p, r2 = fit_gaussians(offsets, values, known, sigma)
+            parts = [fit_gaussians(offsets, values[i : i + AT_ONCE], known[i : i + AT_ONCE], sigma) for i in range(0, n, AT_ONCE)]
+            p, r2 = (np.concatenate(x) for x in zip(*parts, strict=True))
             ok = r2 >= min_r2
             cols = {"spot_id": b.column("spot_id").to_numpy(), "total": b.column("total").to_numpy(), "amplitude": p[:, 0], "sigma_z": p[:, 4], "sigma_y": p[:, 5], "sigma_x": p[:, 6], "r2": r2}
             yield pa.RecordBatch.from_pydict({c: pa.array(x[ok]) for c, x in cols.items()})

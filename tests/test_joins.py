@@ -2,8 +2,11 @@
 
 import numpy as np
 
+from fluorite.functions.config import Settings
 from fluorite.functions.scratch import stage
-from fluorite.operators import raster
+from fluorite.operators import fitting, raster
+from fluorite.operators.fitting import gaussian_fit
+from fluorite.plans.pipelines import detect_minima
 
 
 def plan(df):
@@ -24,3 +27,17 @@ def test_crops_are_shuffled(spark):
     out = raster.centre_crop(volume(spark), points(spark), 1, 2, 2)
     assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
     assert out.count() == 25 + 3 * 3
+
+
+def test_patches_are_shuffled(spark):
+    out = gaussian_fit(volume(spark), points(spark), 1, min_r2=-np.inf)
+    assert "Broadcast" not in plan(out) and out.count() == 2
+    out = detect_minima(stage(volume(spark)), Settings(kernel_size=(0.0, 1.0, 1.0), minimal_distance=(1, 2, 2)), threshold=0.0, min_r2=-np.inf)
+    assert "Broadcast" not in plan(out)
+
+
+def test_patches_in_slices(spark, monkeypatch):
+    fit = lambda: sorted(map(tuple, gaussian_fit(volume(spark), points(spark).coalesce(1), 1, min_r2=-np.inf).collect()))
+    whole = fit()
+    monkeypatch.setattr(fitting, "AT_ONCE", 1)
+    assert fit() == whole
