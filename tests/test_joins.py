@@ -1,10 +1,12 @@
 """Tables that are larger than Spark expects aren't broadcast."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fluorite.functions.config import Settings
 from fluorite.functions.scratch import stage
-from fluorite.operators import fitting, raster
+from fluorite.operators import fitting, raster, shapes
+from fluorite.operators import spots as sp
 from fluorite.operators.fitting import gaussian_fit
 from fluorite.plans.pipelines import detect_minima
 
@@ -41,3 +43,31 @@ def test_patches_in_slices(spark, monkeypatch):
     whole = fit()
     monkeypatch.setattr(fitting, "AT_ONCE", 1)
     assert fit() == whole
+
+
+def blobs(spark, seed, labels=6):
+    """Labels of random pixels, some in pieces, in two planes."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(n % 2), int(y), int(x), int(n)) for n in range(labels) for y, x in rng.integers(0, 14, 2) + rng.integers(-4, 5, (25, 2))]
+    return stage(spark.createDataFrame(rows, "plane long, y long, x long, label long").distinct())
+
+
+def test_outlines_and_overlaps_are_shuffled(spark):
+    truth = blobs(spark, 1)
+    found = stage(shapes.star_reconstruct(truth, [4, 16]))
+    assert "Broadcast" not in plan(shapes.star_reconstruct(truth, [4, 16]))
+    own = stage(truth.withColumn("n_rays", F.explode(F.array(F.lit(4), F.lit(16)))))
+    assert "Broadcast" not in plan(sp.best_overlap(own, found, ("n_rays", "plane", "y", "x")))
+
+
+def test_matches_are_shuffled(spark):
+    truth = blobs(spark, 1)
+    assert "Broadcast" not in plan(sp.match_labels(truth, blobs(spark, 2)))
+
+
+def test_outlines_sector_by_sector(spark, monkeypatch):
+    """Large outlines go line by line of a sector, with the same pixels."""
+    made = lambda: sorted(map(tuple, shapes.star_reconstruct(blobs(spark, 4), [1, 2, 3, 4, 32]).collect()))
+    whole = made()
+    monkeypatch.setattr(shapes, "AT_ONCE", 7)
+    assert made() == whole and len({r[0] for r in whole}) == 5
