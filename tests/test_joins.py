@@ -71,3 +71,10 @@ def test_outlines_sector_by_sector(spark, monkeypatch):
     whole = made()
     monkeypatch.setattr(shapes, "AT_ONCE", 7)
     assert made() == whole and len({r[0] for r in whole}) == 5
+
+
+def test_labels_of_spots_are_shuffled(spark):
+    labels, own = blobs(spark, 5), stage(points(spark).select("spot_id", (F.col("z") % 2).alias("plane"), "y", "x", F.lit(1.0).alias("intensity")))
+    assigned = sp.assign(own, labels)
+    assert "Broadcast" not in plan(assigned) and assigned.count() >= 2
+    assert "Broadcast" not in plan(sp.cell_counts(stage(assigned), labels))
