@@ -78,3 +78,12 @@ def test_labels_of_spots_are_shuffled(spark):
     assigned = sp.assign(own, labels)
     assert "Broadcast" not in plan(assigned) and assigned.count() >= 2
     assert "Broadcast" not in plan(sp.cell_counts(stage(assigned), labels))
+
+
+def test_every_label_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sp, "PART", 3)
+    labels = spark.createDataFrame([(0, 0, 0, 8), (0, 0, 1, 2), (1, 0, 0, 3), (2, 0, 0, 0)], "plane long, y long, x long, label long")
+    counts = stage(spark.createDataFrame([(0, 2, 5), (0, 8, 1), (0, 9, 7), (1, 1, 4), (2, 0, 3)], "plane long, label long, n long"))
+    out = sp.outer_counts(counts, labels)
+    assert "Broadcast" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(0, k, {2: 5, 8: 1}.get(k, 0)) for k in range(1, 9)] + [(1, k, 4 * (k == 1)) for k in range(1, 4)]
