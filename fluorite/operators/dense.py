@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fluorite.functions.components import connected_components
+from fluorite.functions.joins import shuffled
 from fluorite.functions.ranking import numbered, percentiles
 from fluorite.functions.scratch import stage
 from fluorite.operators.raster import gaussian, image_of
@@ -38,7 +39,7 @@ def remove_background(img: DataFrame, spot: dict[str, float], gamma: float) -> D
     if ends.lo_z is None:
         return img.select(*place, F.col("v").cast("double").alias("v"))
     base = gaussian(img, {a: gamma * s for a, s in spot.items()}, {a: (ends[f"lo_{a}"], ends[f"hi_{a}"]) for a in "zyx"})
-    return img.join(base.withColumnRenamed("v", "base"), place).select(*place, F.greatest(F.col("v") - F.col("base"), F.lit(0.0)).alias("v"))
+    return img.join(shuffled(base.withColumnRenamed("v", "base")), place).select(*place, F.greatest(F.col("v") - F.col("base"), F.lit(0.0)).alias("v"))
 
 
 def reference_spot(img: DataFrame, spots: DataFrame, spot: dict[str, float], alpha: float) -> DataFrame:
@@ -49,9 +50,9 @@ def reference_spot(img: DataFrame, spots: DataFrame, spot: dict[str, float], alp
     p = few.select("spot_id", *by, *[F.col(a).alias(f"p{a}") for a in "zyx"])
     for a in "zyx":
         p = p.withColumn(f"d{a}", F.explode(F.sequence(F.lit(-reach[a]), F.lit(reach[a])))).withColumn(a, F.col(f"p{a}") + F.col(f"d{a}"))
-    cells = stage(img.join(p, [*by, "z", "y", "x"]).select(*by, "spot_id", "dz", "dy", "dx", "v"))
+    cells = stage(img.join(shuffled(p), [*by, "z", "y", "x"]).select(*by, "spot_id", "dz", "dy", "dx", "v"))
     full = cells.groupBy("spot_id").agg(F.count("*").alias("_n")).where(F.col("_n") == math.prod(2 * r + 1 for r in reach.values()))
-    q = percentiles(cells.join(full.select("spot_id"), "spot_id", "left_semi"), "v", [alpha], [*by, "dz", "dy", "dx"])
+    q = percentiles(cells.join(shuffled(full.select("spot_id")), "spot_id", "left_semi"), "v", [alpha], [*by, "dz", "dy", "dx"])
     return q.select(*by, "dz", "dy", "dx", F.get("q", F.lit(0)).alias("v"))
 
 
@@ -129,8 +130,8 @@ def bright_regions(img: DataFrame, levels: DataFrame | float) -> DataFrame:
     steps = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("zyx", s, strict=True)]) for s in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])
     ahead = bright.select(*place, F.col("node").alias("a"), F.explode(steps).alias("s"))
     ahead = ahead.select(*place[:-3], "a", *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in "zyx"])
-    groups = connected_components(ahead.join(bright.select(*place, F.col("node").alias("b")), place).select("a", "b"))
-    return bright.join(groups, "node", "left").select(*place, "v", F.coalesce("component", "node").alias("region"))
+    groups = connected_components(ahead.join(shuffled(bright.select(*place, F.col("node").alias("b"))), place).select("a", "b"), shuffled)
+    return bright.join(shuffled(groups), "node", "left").select(*place, "v", F.coalesce("component", "node").alias("region"))
 
 
 def decompose(img: DataFrame, spots: DataFrame, spot: dict[str, float], thresholds: tuple[float, float, float] = (0.7, 1, 5), min_voxels: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -161,7 +162,7 @@ def decompose(img: DataFrame, spots: DataFrame, spot: dict[str, float], threshol
     reference = stage(patch.groupBy(*[F.col(c) for c in by]).applyInArrow(fit, f"{kinds}sigma_z double, sigma_yx double, amplitude double, background double, level double"))
     regions = stage(bright_regions(clean, reference.select(*by, "level")))
     size = regions.groupBy("region").agg(F.count("*").alias("n_voxels")).where(F.col("n_voxels") >= min_voxels)
-    inside = stage(regions.join(size, "region"))
+    inside = stage(regions.join(shuffled(size), "region"))
     box = [F.when(F.col("n_voxels") > REGION_VOXELS, F.floor(F.col(a) / REGION_BOX[a])).otherwise(0).alias(f"b{a}") for a in "zyx"]
     cells = inside.select("region", *place, "v", *box)
     cells = cells.join(reference.drop("level"), by) if by else cells.join(F.broadcast(reference.drop("level")))
@@ -176,9 +177,9 @@ def decompose(img: DataFrame, spots: DataFrame, spot: dict[str, float], threshol
 
     fitted = stage(cells.groupBy("region", "bz", "by", "bx").applyInArrow(mixture, f"{kinds}region long, z long, y long, x long"))
     at = inside.select(*place, "region")
-    marked = stage(spots.select("spot_id", *place).join(at, place, "left"))
+    marked = stage(spots.select("spot_id", *place).join(shuffled(at), place, "left"))
     out = marked.where("region IS NULL").unionByName(fitted.select(F.lit(None).cast(dict(marked.dtypes)["spot_id"]).alias("spot_id"), *place, "region"))
     before = marked.where("region IS NOT NULL").groupBy("region").agg(F.count("*").alias("n_before"))
     after = fitted.groupBy("region").agg(F.count("*").alias("n_spots"))
-    table = size.join(before, "region", "left").join(after, "region").select("region", "n_voxels", F.coalesce("n_before", F.lit(0)).cast("long").alias("n_before"), "n_spots")
+    table = size.join(shuffled(before), "region", "left").join(shuffled(after), "region").select("region", "n_voxels", F.coalesce("n_before", F.lit(0)).cast("long").alias("n_before"), "n_spots")
     return out.select("spot_id", *place, "region"), table, reference
