@@ -3,9 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from fluorite.functions import components
 from fluorite.functions.config import Settings
 from fluorite.functions.scratch import stage
-from fluorite.operators import fitting, raster, shapes
+from fluorite.operators import dense, fitting, raster, shapes
 from fluorite.operators import spots as sp
 from fluorite.operators.fitting import gaussian_fit
 from fluorite.plans.pipelines import detect_minima
@@ -87,3 +88,20 @@ def test_every_label_in_parts(spark, monkeypatch):
     out = sp.outer_counts(counts, labels)
     assert "Broadcast" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(0, k, {2: 5, 8: 1}.get(k, 0)) for k in range(1, 9)] + [(1, k, 4 * (k == 1)) for k in range(1, 4)]
+
+
+def test_voxels_of_spots_are_shuffled(spark, monkeypatch):
+    """Each table that a fill, a sum, a decomposition and its components write is made without a broadcast of spots' voxels."""
+    img, own = volume(spark), points(spark)
+    assert "Broadcast" not in plan(sp.integrate(own, img)) and "Broadcast" not in plan(sp.gather(own, img))
+    seen, write = [], raster.stage
+    for module in (raster, dense, components):
+        monkeypatch.setattr(module, "stage", lambda df: seen.append(plan(df)) or write(df))
+    raster.flood_fill(stage(img), own, 2)
+    assert len(seen) >= 2 and not any("Broadcast" in p for p in seen)
+    seen.clear()
+    regions = dense.bright_regions(stage(img.withColumn("image_id", F.lit(0))), stage(spark.createDataFrame([(0, 5.0)], "image_id int, level double")))
+    patch = dense.reference_spot(stage(img), own, {"z": 0.5, "y": 0.5, "x": 0.5}, 0.5)
+    assert regions.count() == img.where("v > 5").count() and patch.count() == 27
+    joined = [p for p in seen if "Join" in p and "level" not in p and "_before" not in p]  # sums before each range are a few rows
+    assert joined and not any("Broadcast" in p for p in joined)
